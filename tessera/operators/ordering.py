@@ -61,10 +61,18 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols, partition_cols=(), buck
     bounds = df.groupBy(*parts).agg(
         F.percentile_approx(F.col(order_col).cast("double"), probs, accuracy).alias("_bounds"))
     # one row per partition group
-    d = (df.join(F.broadcast(bounds), on=parts, how="inner") if parts
-         else df.crossJoin(F.broadcast(bounds)))
     v = F.col(order_col).cast("double")
-    d = d.withColumn("_bk", F.size(F.filter(F.col("_bounds"), lambda x: x < v))).drop("_bounds")
+    if parts:
+        d = df.join(F.broadcast(bounds), on=parts, how="inner")
+        bcol = F.col("_bounds")
+    else:
+        # a single list of (buckets - 1) numbers: inline it as a literal
+        row = bounds.first()
+        d = df
+        bcol = F.array(*[F.lit(float(x)) for x in (row["_bounds"] or [])]).cast("array<double>")
+    d = d.withColumn("_bk", F.size(F.filter(bcol, lambda x: x < v)))
+    if parts:
+        d = d.drop("_bounds")
     w = Window.partitionBy(*parts, "_bk").orderBy(order_col).rowsBetween(UNB, 0)
     for s in sums:
         d = d.withColumn(f"_l_{s}", F.sum(s).over(w))
@@ -108,9 +116,10 @@ def group_count(df: DataFrame, group_cols=(), name: str = "_group_n") -> DataFra
     """Attach the row count of each group (aggregate + join, not a window, so
     a hot group is counted with map-side partial aggregation)."""
     groups = _cols(group_cols)
-    counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias(name))
     if not groups:
-        return df.crossJoin(F.broadcast(counts))
+        n = df.count()
+        return df.withColumn(name, F.lit(n).cast("long"))
+    counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias(name))
     return df.join(counts, on=groups, how="inner")
 
 
