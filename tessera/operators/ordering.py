@@ -125,3 +125,19 @@ def group_count(df: DataFrame, group_cols=(), name: str = "_group_n") -> DataFra
 
 def lit_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
+
+
+def top_k_per_group(df: DataFrame, group_cols, order: list[Column], k: int, salt_key: str,
+                    name: str = "rank", salt_buckets: int = 64) -> DataFrame:
+    """First ``k`` rows of each group by ``order`` (which must end in a
+    unique key), ranked 1..k.  Two phases: rows are salted by a hash of
+    ``salt_key`` into ``salt_buckets`` sub-groups and cut to k within each,
+    so a group holding a third of the table is ranked by many tasks; the
+    final ranking sees at most k * salt_buckets rows per group."""
+    groups = _cols(group_cols)
+    salt = F.pmod(F.xxhash64(F.col(salt_key)), F.lit(salt_buckets))
+    d = df.withColumn("_salt", salt)
+    d = d.withColumn("_r1", F.row_number().over(Window.partitionBy(*groups, "_salt").orderBy(*order)))
+    d = d.where(F.col("_r1") <= k).drop("_r1", "_salt")
+    d = d.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
+    return d.where(F.col(name) <= k)
