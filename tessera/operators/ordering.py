@@ -141,3 +141,44 @@ def top_k_per_group(df: DataFrame, group_cols, order: list[Column], k: int, salt
     d = d.where(F.col("_r1") <= k).drop("_r1", "_salt")
     d = d.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
     return d.where(F.col(name) <= k)
+
+
+def block_windows(df: DataFrame, group_cols, rank_col: str, halo: int, block: int = 100_000) -> DataFrame:
+    """Cut each group's rank sequence into blocks of ``block`` consecutive
+    ranks and copy the last ``halo`` rows of every block into the next one.
+    A window partitioned by (group, ``_blk``) then sees, for every own row
+    (``_halo`` false), its ``halo`` predecessors -- exact lags and short
+    rolling frames with bounded window partitions, even for a hot series."""
+    groups = _cols(group_cols)
+    r0 = F.col(rank_col) - 1
+    blk = F.floor(r0 / F.lit(block)).cast("long")
+    in_tail = (r0 % F.lit(block)) >= F.lit(block - halo)
+    copies = F.when(in_tail, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    d = df.withColumn("_shift", F.explode(copies))
+    return d.withColumn("_blk", blk + F.col("_shift")).withColumn("_halo", F.col("_shift") == 1).drop("_shift")
+
+
+def running_agg(df: DataFrame, group_cols, rank_col: str, value_col: str, fn: str = "max",
+                name: str | None = None, inclusive: bool = True, block: int = 100_000) -> DataFrame:
+    """Running max / min / sum of ``value_col`` along a dense 1-based
+    ``rank_col`` within groups, exact, with windows bounded to one block:
+    local running values per block plus the exclusive total of earlier
+    blocks (a small table: one row per group and block)."""
+    groups = _cols(group_cols)
+    name = name or f"running_{fn}_{value_col}"
+    agg = {"max": F.max, "min": F.min, "sum": F.sum}[fn]
+    d = df.withColumn("_blk", F.floor((F.col(rank_col) - 1) / F.lit(block)).cast("long"))
+    frame_end = 0 if inclusive else -1
+    w = Window.partitionBy(*groups, "_blk").orderBy(rank_col).rowsBetween(UNB, frame_end)
+    d = d.withColumn("_local", agg(value_col).over(w))
+    tot = d.groupBy(*groups, "_blk").agg(agg(value_col).alias("_bt"))
+    tot = tot.withColumn("_prev", agg("_bt").over(
+        Window.partitionBy(*groups).orderBy("_blk").rowsBetween(UNB, -1))).drop("_bt")
+    d = d.join(tot, on=[*groups, "_blk"], how="inner")
+    if fn == "sum":
+        combined = F.coalesce(F.col("_prev"), F.lit(0)) + F.coalesce(F.col("_local"), F.lit(0))
+        combined = F.when(F.col("_prev").isNull() & F.col("_local").isNull(), F.lit(None)).otherwise(combined)
+    else:
+        pick = F.greatest if fn == "max" else F.least
+        combined = pick(F.col("_prev"), F.col("_local"))  # greatest/least skip nulls
+    return d.withColumn(name, combined).drop("_blk", "_local", "_prev")
