@@ -1 +1,203 @@
-"""Queries."""
+"""Neighbour and model queries."""
+
+from __future__ import annotations
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import functions as F
+
+from tessera.operators import neighbors as NB
+from tessera.operators.features import FeaturePipeline
+from tessera.operators.split import random_split
+from tessera.plans.models import make_estimator
+from tessera.plans.registry import register
+from tessera.session import table
+
+
+def _r6(c):
+    return F.round(F.col(c), 6).alias(c)
+
+
+def embeddings_knn(spark, sf, k=5):
+    e = table(spark, sf, "embeddings")
+    return NB.knn(e, e, k=k, qid="vec_id", rid="vec_id", qvec="embedding", rvec="embedding", exclude_self=True)
+
+
+_KNN_SQL = """p AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+d AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, list_distance(a.x, b.x) AS distance
+      FROM p a JOIN p b ON a.vec_id <> b.vec_id),
+nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM d)
+       WHERE rank <= 5)"""
+
+
+@register("E07_knn_join", f"""
+WITH {_KNN_SQL}
+SELECT query_id, neighbor_id, CAST(rank AS INTEGER) AS rank, round(distance, 6) AS distance FROM nn""")
+def e07(spark, sf):
+    return embeddings_knn(spark, sf).select("query_id", "neighbor_id", "rank", _r6("distance"))
+
+
+@register("L09_knn_classifier", f"""
+WITH {_KNN_SQL},
+v AS (SELECT query_id, p.label, count(*) AS votes FROM nn JOIN p ON p.vec_id = nn.neighbor_id GROUP BY ALL)
+SELECT query_id, CAST(arg_min(label, (-votes, label)) AS INTEGER) AS prediction FROM v GROUP BY query_id""")
+def l09(spark, sf):
+    nn = embeddings_knn(spark, sf)
+    pred = NB.knn_classify(nn, table(spark, sf, "embeddings"), "vec_id", "label")
+    return pred.select("query_id", F.col("prediction").cast("int"))
+
+
+@register("L25_knn_regressor", f"""
+WITH {_KNN_SQL}
+SELECT query_id, round(avg(p.x[1]), 6) AS prediction FROM nn JOIN p ON p.vec_id = nn.neighbor_id GROUP BY query_id""")
+def l25(spark, sf):
+    nn = embeddings_knn(spark, sf)
+    t = table(spark, sf, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("y"))
+    return NB.knn_regress(nn, t, "vec_id", "y").select("query_id", _r6("prediction"))
+
+
+@register("L37_local_outlier_factor", f"""
+WITH {_KNN_SQL},
+kd AS (SELECT query_id AS neighbor_id, distance AS kdist FROM nn WHERE rank = 5),
+r AS (SELECT nn.query_id, greatest(kd.kdist, nn.distance) AS reach FROM nn JOIN kd USING (neighbor_id)),
+lrd AS (SELECT query_id, 1.0 / (avg(reach) + 1e-10) AS lrd FROM r GROUP BY query_id),
+l AS (SELECT nn.query_id, avg(lrd.lrd) AS m FROM nn JOIN lrd ON lrd.query_id = nn.neighbor_id GROUP BY nn.query_id)
+SELECT l.query_id, round(lrd.lrd, 6) AS lrd, round(l.m / lrd.lrd, 6) AS lof FROM l JOIN lrd USING (query_id)""")
+def l37(spark, sf):
+    lof = NB.local_outlier_factor(embeddings_knn(spark, sf), 5)
+    return lof.select("query_id", _r6("lrd"), _r6("lof"))
+
+
+def part_points(spark, sf):
+    p = table(spark, sf, "part")
+    mm = p.agg(F.min("p_retailprice").alias("a"), F.max("p_retailprice").alias("b")).first()
+    return p.select("p_partkey", ((F.col("p_size") - 1) / 49.0).alias("x"),
+                    ((F.col("p_retailprice") - F.lit(mm["a"])) / F.lit(mm["b"] - mm["a"])).alias("y"))
+
+
+_PTS_SQL = """pts AS (SELECT p_partkey, (p_size - 1) / 49.0 AS x,
+  (p_retailprice - (SELECT min(p_retailprice) FROM part)) / ((SELECT max(p_retailprice) FROM part) - (SELECT min(p_retailprice) FROM part)) AS y
+  FROM part)"""
+
+
+@register("E08_radius_neighbors", f"""
+WITH {_PTS_SQL}
+SELECT a.p_partkey, CAST(count(*) AS BIGINT) AS n_neighbors FROM pts a JOIN pts b
+  ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.02 GROUP BY a.p_partkey""")
+def e08(spark, sf):
+    pairs = NB.radius_pairs(part_points(spark, sf), "p_partkey", "x", "y", 0.02)
+    return pairs.groupBy(F.col("a").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n_neighbors"))
+
+
+@register("L32_dbscan")
+def l32(spark, sf):
+    return NB.dbscan(part_points(spark, sf), "p_partkey", "x", "y", eps=0.02, min_samples=5)
+
+
+# ---------------------------------------------------------------- classifiers
+
+def doc_quality_frame(spark, sf):
+    lab = table(spark, sf, "labels").select("doc_id", "quality")
+    doc = table(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source")
+    return lab.join(doc, "doc_id").withColumn("quality", F.col("quality").cast("string"))
+
+
+def _prepared(spark, sf):
+    d = random_split(doc_quality_frame(spark, sf), "doc_id", 0.8, seed=42)
+    fitted = FeaturePipeline(target="quality").fit(d.where("is_train").drop("is_train"))
+    return fitted.transform(d), fitted
+
+
+def _fit_predict(spark, sf, name, params=None):
+    data, _ = _prepared(spark, sf)
+    est = make_estimator("classification", name, params)
+    model = est.fit(data.where("is_train"))
+    return model.transform(data.where(~F.col("is_train"))).select("doc_id", "label", "prediction")
+
+
+for _id, _name, _params in [
+    ("L01_logistic_regression", "logistic_regression", None),
+    ("L02_random_forest", "random_forest", {"n_estimators": 20}),
+    ("L03_decision_tree", "decision_tree", None),
+    ("L04_gradient_boosting", "xgboost", {"n_estimators": 10}),
+    ("L05_extra_trees", "extra_trees", {"n_estimators": 20}),
+    ("L07_linear_svc", "linear_svc", None),
+    ("L08_sgd_elastic_net", "sgd", {"reg_param": 0.01, "l1_ratio": 0.5}),
+    ("L10_gaussian_nb", "naive_bayes", None),
+]:
+    def _q(spark, sf, _name=_name, _params=_params):
+        return _fit_predict(spark, sf, _name, _params)
+    _q.__doc__ = f"{_name}: fit on the 80% split of labels x documents, predict the rest."
+    register(_id)(_q)
+
+
+@register("L13_mlp")
+def l13(spark, sf):
+    data, fitted = _prepared(spark, sf)
+    n_in = len(fitted.feature_names())
+    est = make_estimator("classification", "mlp", {"layers": [n_in, 8, 2], "max_iter": 50})
+    return est.fit(data.where("is_train")).transform(data.where(~F.col("is_train"))).select("doc_id", "label", "prediction")
+
+
+# ----------------------------------------------------------------- regressors
+
+def lineitem_reg(spark, sf):
+    li = table(spark, sf, "lineitem")
+    va = VectorAssembler(inputCols=["l_quantity", "l_discount", "l_tax"], outputCol="features")
+    d = va.transform(li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"),
+                               "l_quantity", "l_discount", "l_tax", F.col("l_extendedprice").alias("label")))
+    return random_split(d, "row_id", 0.8, seed=42)
+
+
+@register("L17_linear_regression", """
+SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS slope,
+       round(regr_intercept(l_extendedprice, l_quantity), 6) AS intercept FROM lineitem""")
+def l17(spark, sf):
+    li = table(spark, sf, "lineitem")
+    d = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(
+        li.select("l_quantity", F.col("l_extendedprice").alias("label")))
+    m = make_estimator("regression", "linear_regression").fit(d)
+    return spark.createDataFrame([(round(float(m.coefficients[0]), 6), round(float(m.intercept), 6))],
+                                 "slope double, intercept double")
+
+
+for _id, _name, _params in [
+    ("L18_regularised_linear", "elastic_net", {"alpha": 0.1, "l1_ratio": 0.5}),
+    ("L19_huber", "huber", None),
+    ("L20_tweedie", "tweedie", {"power": 1.5}),
+    ("L22_random_forest_regressor", "random_forest", {"n_estimators": 20}),
+    ("L23_gbt_regressor", "xgboost", {"n_estimators": 10}),
+]:
+    def _r(spark, sf, _name=_name, _params=_params):
+        d = lineitem_reg(spark, sf)
+        m = make_estimator("regression", _name, _params).fit(d.where("is_train"))
+        return m.transform(d.where(~F.col("is_train"))).select("row_id", "label", "prediction")
+    _r.__doc__ = f"{_name} on lineitem: l_extendedprice from quantity, discount, tax."
+    register(_id)(_r)
+
+
+# ----------------------------------------------------------------- clustering
+
+def embedding_vectors(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+
+
+for _id, _name in [("L30_kmeans", "kmeans"), ("L31_bisecting_kmeans", "agglomerative"),
+                   ("L33_gaussian_mixture", "gaussian_mixture")]:
+    def _c(spark, sf, _name=_name):
+        d = embedding_vectors(spark, sf)
+        m = make_estimator("clustering", _name, {"n_clusters": 10}).fit(d)
+        return m.transform(d).select("vec_id", "label", "prediction")
+    register(_id)(_c)
+
+
+@register("L39_pca")
+def l39(spark, sf):
+    """PCA(5) on embeddings: explained variance per component (descending)."""
+    from pyspark.ml.feature import PCA
+    d = embedding_vectors(spark, sf)
+    m = PCA(k=5, inputCol="features", outputCol="pca").fit(d)
+    ev = [float(x) for x in m.explainedVariance]
+    proj = m.transform(d).select("vec_id", vector_to_array("pca").alias("components"))
+    return proj.withColumn("explained_variance", F.array(*[F.lit(x) for x in ev]))
