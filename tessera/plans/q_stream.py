@@ -1 +1,168 @@
-"""Queries."""
+"""Scoring and telemetry queries (K01-K06).  Stream queries run to
+completion with ``availableNow`` and return the sink read back, so the
+stream result is compared with the same SQL as the batch form."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.plans.registry import register
+from tessera.session import table
+from tessera.sources import telemetry as TL
+from tessera.streaming import telemetry as ST
+
+
+@register("K01_batch_scoring")
+def k01(spark, sf):
+    """Fit on labelled documents, score every document: one row out per row in."""
+    from tessera.operators.features import FeaturePipeline
+    from tessera.plans.models import make_estimator
+    lab = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
+    doc = table(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source")
+    train = doc.join(lab, "doc_id")
+    fitted = FeaturePipeline(target="quality").fit(train)
+    model = make_estimator("classification", "logistic_regression").fit(fitted.transform(train))
+    scored = ST.score(fitted.transform(doc.withColumn("quality", F.lit(None).cast("string"))), model,
+                      fitted.label_dict)
+    return scored.select("doc_id", "predicted_label")
+
+
+_LOG_SQL = """SELECT event_id, ts AS timestamp_utc, event_type AS model_version, CAST(1 AS BIGINT) AS row_count,
+  event_type AS request_type, value AS prediction, CAST(ts AS DATE) AS date FROM events"""
+
+
+def _events_to_source(spark, sf, path, copies=1):
+    """Driver table written as one parquet file per day (the arriving files)."""
+    e = table(spark, sf, "events")
+    for _ in range(copies):
+        e.withColumn("_day", F.to_date("ts")).repartition("_day").drop("_day").write.mode("append").parquet(path)
+    return e.schema
+
+
+@register("K02_stream_scoring", _LOG_SQL)
+def k02(spark, sf):
+    s = ST.stream_scratch(spark, "k02")
+    schema = _events_to_source(spark, sf, s["source"])
+
+    def shape(stream):
+        log = TL.to_log(stream, "event_id", "ts", "event_type", ["user_id", "event_type"], "value")
+        return log
+    ST.score_stream(spark, s["source"], schema, shape, s["sink"], s["checkpoint"])
+    back = spark.read.parquet(s["sink"])
+    return back.select("event_id", "timestamp_utc", "model_version", "row_count",
+                       F.get_json_object("request_json", "$.event_type").alias("request_type"),
+                       F.get_json_object("predictions_json", "$[0]").cast("double").alias("prediction"), "date")
+
+
+_K03_SQL = """
+SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
+       event_type, CAST(count(*) AS BIGINT) AS requests, CAST(count(*) AS BIGINT) AS rows,
+       round(avg(value), 6) AS mean_value FROM events GROUP BY ALL"""
+
+
+def _k03_out(df):
+    return df.select("window_start", "window_end", "event_type", F.col("requests").cast("long"),
+                     F.col("rows").cast("long"), F.round("mean_value", 6).alias("mean_value"))
+
+
+@register("K03_telemetry_windows", _K03_SQL)
+def k03(spark, sf):
+    w = ST.telemetry_windows(table(spark, sf, "events"), "ts", "event_type", "value", "1 day")
+    return _k03_out(w)
+
+
+@register("K03_sliding_7d", """
+WITH d AS (SELECT date_trunc('day', ts) AS day0, event_type, value FROM events),
+w AS (SELECT day0 - to_days(CAST(k AS INTEGER)) AS window_start, event_type, value
+      FROM d, (SELECT unnest(range(0, 7)) AS k) ks)
+SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, event_type,
+       CAST(count(*) AS BIGINT) AS requests, CAST(count(*) AS BIGINT) AS rows, round(avg(value), 6) AS mean_value
+FROM w GROUP BY ALL""")
+def k03s(spark, sf):
+    w = ST.telemetry_windows(table(spark, sf, "events"), "ts", "event_type", "value", "7 days", "1 day")
+    return _k03_out(w)
+
+
+@register("K03_stream_windows", _K03_SQL)
+def k03stream(spark, sf):
+    """Same windows from a stream (one file per trigger, watermark-bounded
+    state, update mode); each micro-batch's updates are written idempotently
+    by batch id and the last update per window is the result."""
+    s = ST.stream_scratch(spark, "k03")
+    schema = _events_to_source(spark, sf, s["source"])
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(s["source"])
+    agg = ST.telemetry_windows(src, "ts", "event_type", "value", "1 day", watermark="2 days")
+    sink = s["sink"]
+
+    def write(batch_df, batch_id):
+        batch_df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+    q = (agg.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", s["checkpoint"])
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    ups = spark.read.parquet(sink)
+    last = ups.groupBy("window_start", "event_type").agg(
+        F.max_by(F.struct("window_end", "requests", "rows", "mean_value"), "batch_id").alias("r"))
+    return _k03_out(last.select("window_start", "r.window_end", "event_type", "r.requests", "r.rows", "r.mean_value"))
+
+
+@register("K04_windowed_drift", """
+WITH b AS (SELECT event_type AS cat, count(*) AS n_ref FROM events WHERE ts < TIMESTAMP '2024-01-08' GROUP BY 1),
+c AS (SELECT date_trunc('day', ts) AS window_start, event_type AS cat, count(*) AS n_cur FROM events
+      WHERE ts >= TIMESTAMP '2024-01-08' GROUP BY ALL),
+w AS (SELECT DISTINCT window_start FROM c),
+cats AS (SELECT cat FROM b UNION SELECT cat FROM c),
+g AS (SELECT w.window_start, cats.cat, coalesce(c.n_cur, 0) AS o2, coalesce(b.n_ref, 0) AS o1
+      FROM w CROSS JOIN cats LEFT JOIN c ON c.window_start = w.window_start AND c.cat = cats.cat
+      LEFT JOIN b ON b.cat = cats.cat),
+g2 AS (SELECT * FROM g WHERE o1 > 0 OR o2 > 0),
+t AS (SELECT window_start, sum(o1) AS r1, sum(o2) AS r2, count(*) AS k FROM g2 GROUP BY 1),
+e AS (SELECT g2.*, t.r1, t.r2, t.k, t.r1 * (o1 + o2) / (t.r1 + t.r2) AS e1, t.r2 * (o1 + o2) / (t.r1 + t.r2) AS e2
+      FROM g2 JOIN t USING (window_start)),
+y AS (SELECT *, CASE WHEN k = 2 THEN o1 + sign(e1 - o1) * least(0.5, abs(e1 - o1)) ELSE o1 END AS a1,
+                CASE WHEN k = 2 THEN o2 + sign(e2 - o2) * least(0.5, abs(e2 - o2)) ELSE o2 END AS a2 FROM e)
+SELECT window_start, round(CASE WHEN max(k) < 2 THEN 0.0 ELSE sum((a1 - e1) ^ 2 / e1 + (a2 - e2) ^ 2 / e2) END, 6) AS statistic,
+       CAST(max(k) AS BIGINT) AS categories, CAST(max(r2) AS BIGINT) AS n_cur FROM y GROUP BY window_start""")
+def k04(spark, sf):
+    e = table(spark, sf, "events")
+    cut = F.lit("2024-01-08").cast("timestamp_ntz")
+    counts = ST.window_category_counts(e.where(F.col("ts") >= cut), "ts", "event_type", "1 day")
+    r = ST.windowed_chi2(counts, e.where(F.col("ts") < cut), "event_type")
+    return r.select("window_start", F.round("statistic", 6).alias("statistic"), "categories", "n_cur")
+
+
+@register("K05_late_rows")
+def k05(spark, sf):
+    """On-time files first, then a file of rows older than the watermark:
+    the late rows are dropped from the windowed counts and reported from the
+    query progress."""
+    s = ST.stream_scratch(spark, "k05")
+    e = table(spark, sf, "events")
+    cut = F.lit("2024-01-20").cast("timestamp_ntz")
+    e.where(F.col("ts") >= cut).write.mode("append").parquet(s["source"] + "/part=1")
+    src = (spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(s["source"] + "/part=*"))
+    agg = ST.event_time(src, "ts").withWatermark("_et", "1 hour").groupBy(F.window("_et", "1 day"), "event_type").count()
+    q = (agg.writeStream.outputMode("append").format("parquet").option("path", s["sink"])
+         .option("checkpointLocation", s["checkpoint"]).trigger(availableNow=True).start())
+    q.awaitTermination()
+    e.where(F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz")).write.mode("append").parquet(s["source"] + "/part=2")
+    q2 = (agg.writeStream.outputMode("append").format("parquet").option("path", s["sink"])
+          .option("checkpointLocation", s["checkpoint"]).trigger(availableNow=True).start())
+    q2.awaitTermination()
+    dropped = 0
+    for prog in q2.recentProgress:
+        ops = prog.get("stateOperators", []) if isinstance(prog, dict) else (prog.stateOperators or [])
+        for op in ops:
+            n = op.get("numRowsDroppedByWatermark", 0) if isinstance(op, dict) else op.numRowsDroppedByWatermark
+            dropped += int(n or 0)
+    late = e.where(F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz")).count()
+    return spark.createDataFrame([(int(late), int(dropped))], "late_rows long, dropped_by_watermark long")
+
+
+@register("K06_dedupe_stream", "SELECT event_id, ts, event_type, value FROM events")
+def k06(spark, sf):
+    """Every event delivered twice; duplicates within the watermark are dropped."""
+    s = ST.stream_scratch(spark, "k06")
+    schema = _events_to_source(spark, sf, s["source"], copies=2)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(s["source"])
+    ST.run_available_now(ST.dedupe_stream(src, "event_id", "ts", "30 days"), s["sink"], s["checkpoint"])
+    return spark.read.parquet(s["sink"]).select("event_id", "ts", "event_type", "value")
