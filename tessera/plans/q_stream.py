@@ -155,7 +155,7 @@ def k05(spark, sf):
             n = op.get("numRowsDroppedByWatermark", 0) if isinstance(op, dict) else op.numRowsDroppedByWatermark
             dropped += int(n or 0)
     late = e.where(F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz")).count()
-    return spark.createDataFrame([(int(late), int(dropped))], "late_rows long, dropped_by_watermark long")
+    return spark.createDataFrame([(int(late), int(dropped))], "late_rows long, dropped_groups_by_watermark long")
 
 
 @register("K06_dedupe_stream", "SELECT event_id, ts, event_type, value FROM events")
