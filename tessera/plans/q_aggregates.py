@@ -90,6 +90,12 @@ def d07(spark, sf):
         "o_orderdate", "o_orderkey")
 
 
+def lineitem_row_id():
+    """Unique row key of ``lineitem`` (order, line, part and supplier keys):
+    (l_orderkey, l_linenumber) alone repeats in the driver tables."""
+    return F.concat_ws(":", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+
+
 def rule_predictions(spark, sf):
     """Prediction table by rule, no training: label = l_returnflag,
     prediction from l_quantity."""

@@ -9,6 +9,7 @@ from tessera.operators import metrics as M
 from tessera.operators.split import kfold
 from tessera.plans.q_split import _fold_sql, _h
 from tessera.plans.registry import register
+from tessera.plans.q_aggregates import lineitem_row_id
 from tessera.session import table
 
 
@@ -27,34 +28,37 @@ def class_preds(spark, sf):
     li = table(spark, sf, "lineitem")
     q = F.col("l_quantity")
     pred = F.when(q < 17, F.lit("A")).when(q < 34, F.lit("N")).otherwise(F.lit("R"))
-    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"),
+    return li.select(lineitem_row_id().alias("row_id"),
                      F.col("l_returnflag").alias("label"), pred.alias("prediction"),
+                     F.when(F.col("l_orderkey") % 13 == 0, F.lit(None)).otherwise(F.col("l_linestatus")).alias("linestatus"),
                      F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("is_r"),
                      (F.col("l_discount") * 10).alias("score"))
 
 
-def _class_sql(src, group=None):
+def _class_sql(src, group=None, px=""):
+    """CTEs computing the classification metrics of (y, p) rows in ``src``;
+    the last CTE is ``{px}r``.  ``px`` prefixes every CTE name."""
     g = f"{group}, " if group else ""
     gb = f"GROUP BY {group}" if group else ""
     on = f" AND t.{group} = pr.{group}" if group else ""
     gsel = f"coalesce(t.{group}, pr.{group}) AS {group}, " if group else ""
     return f"""
-cm AS (SELECT {g}y, p, count(*) AS n FROM {src} s GROUP BY ALL),
-t AS (SELECT {g}y AS cls, sum(n) AS support, sum(CASE WHEN y = p THEN n ELSE 0 END) AS tp FROM cm GROUP BY ALL),
-pr AS (SELECT {g}p AS cls, sum(n) AS predicted FROM cm GROUP BY ALL),
-c AS (SELECT {gsel}coalesce(t.cls, pr.cls) AS cls, coalesce(support, 0) AS support, coalesce(tp, 0) AS tp,
-             coalesce(predicted, 0) AS predicted FROM t FULL OUTER JOIN pr ON t.cls = pr.cls{on}),
-m AS (SELECT *, CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS prec,
-             CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS rec FROM c),
-f AS (SELECT *, CASE WHEN prec + rec = 0 THEN 0.0 ELSE 2 * prec * rec / (prec + rec) END AS f1 FROM m),
-a AS (SELECT {g}CAST(sum(support) AS DOUBLE) AS n, CAST(sum(tp) AS DOUBLE) AS c, sum(support * prec) AS wp,
+{px}cm AS (SELECT {g}y, p, count(*) AS n FROM {src} s GROUP BY ALL),
+{px}t AS (SELECT {g}y AS cls, sum(n) AS support, sum(CASE WHEN y = p THEN n ELSE 0 END) AS tp FROM {px}cm GROUP BY ALL),
+{px}pr AS (SELECT {g}p AS cls, sum(n) AS predicted FROM {px}cm GROUP BY ALL),
+{px}c AS (SELECT {gsel}coalesce(t.cls, pr.cls) AS cls, coalesce(support, 0) AS support, coalesce(tp, 0) AS tp,
+             coalesce(predicted, 0) AS predicted FROM {px}t t FULL OUTER JOIN {px}pr pr ON t.cls = pr.cls{on}),
+{px}m AS (SELECT *, CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS prec,
+             CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS rec FROM {px}c),
+{px}f AS (SELECT *, CASE WHEN prec + rec = 0 THEN 0.0 ELSE 2 * prec * rec / (prec + rec) END AS f1 FROM {px}m),
+{px}a AS (SELECT {g}CAST(sum(support) AS DOUBLE) AS n, CAST(sum(tp) AS DOUBLE) AS c, sum(support * prec) AS wp,
              sum(support * rec) AS wr, sum(support * f1) AS wf, avg(CASE WHEN support > 0 THEN rec END) AS bal,
              CAST(sum(predicted * support) AS DOUBLE) AS pt, CAST(sum(predicted * predicted) AS DOUBLE) AS pp,
-             CAST(sum(support * support) AS DOUBLE) AS tt FROM f {gb}),
-r AS (SELECT {g}c / n AS accuracy, bal AS balanced_accuracy, wp / n AS precision, wr / n AS recall, wf / n AS f1,
+             CAST(sum(support * support) AS DOUBLE) AS tt FROM {px}f {gb}),
+{px}r AS (SELECT {g}c / n AS accuracy, bal AS balanced_accuracy, wp / n AS precision, wr / n AS recall, wf / n AS f1,
              CASE WHEN pt / (n * n) = 1 THEN 0.0 ELSE (c / n - pt / (n * n)) / (1 - pt / (n * n)) END AS kappa,
              CASE WHEN sqrt((n * n - pp) * (n * n - tt)) = 0 THEN 0.0
-                  ELSE (c * n - pt) / sqrt((n * n - pp) * (n * n - tt)) END AS mcc FROM a)"""
+                  ELSE (c * n - pt) / sqrt((n * n - pp) * (n * n - tt)) END AS mcc FROM {px}a)"""
 
 
 _CLS_SRC = f"(SELECT l_returnflag AS y, {_PRED} AS p FROM lineitem)"
@@ -121,7 +125,7 @@ def m09(spark, sf):
 
 def reg_preds(spark, sf):
     li = table(spark, sf, "lineitem")
-    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"),
+    return li.select(lineitem_row_id().alias("row_id"),
                      (F.col("l_extendedprice") / 1000.0).alias("y"), (F.col("l_quantity") * 1.5).alias("p"))
 
 
@@ -226,7 +230,7 @@ def m18(spark, sf):
 
 
 @register("M20_cv_mean", f"""
-WITH s AS (SELECT (l_orderkey * 10 + l_linenumber) AS row_id, l_returnflag AS y, {_PRED} AS p FROM lineitem),
+WITH s AS (SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id, l_returnflag AS y, {_PRED} AS p FROM lineitem),
 rk AS (SELECT *, row_number() OVER (ORDER BY {_h('row_id', salt='kfold')}, row_id) - 1 AS r0, count(*) OVER () AS nn FROM s),
 fo AS (SELECT y, p, {_fold_sql('r0', 'nn', 5)} AS fold FROM rk),
 {_class_sql('fo', 'fold')}
@@ -253,7 +257,7 @@ def m21(spark, sf):
 
 
 @register("M22_pred_vs_actual", f"""
-SELECT l_orderkey * 10 + l_linenumber AS row_id, round(l_extendedprice / 1000.0, 6) AS y,
+SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id, round(l_extendedprice / 1000.0, 6) AS y,
        round(l_quantity * 1.5, 6) AS p, round(l_extendedprice / 1000.0 - l_quantity * 1.5, 6) AS residual FROM lineitem""")
 def m22(spark, sf):
     r = reg_preds(spark, sf)

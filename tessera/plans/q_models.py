@@ -11,6 +11,7 @@ from tessera.operators.features import FeaturePipeline
 from tessera.operators.split import random_split
 from tessera.plans.models import make_estimator
 from tessera.plans.registry import register
+from tessera.plans.q_aggregates import lineitem_row_id
 from tessera.session import table
 
 
@@ -144,7 +145,7 @@ def l13(spark, sf):
 def lineitem_reg(spark, sf):
     li = table(spark, sf, "lineitem")
     va = VectorAssembler(inputCols=["l_quantity", "l_discount", "l_tax"], outputCol="features")
-    d = va.transform(li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"),
+    d = va.transform(li.select(lineitem_row_id().alias("row_id"),
                                "l_quantity", "l_discount", "l_tax", F.col("l_extendedprice").alias("label")))
     return random_split(d, "row_id", 0.8, seed=42)
 
