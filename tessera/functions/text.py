@@ -67,17 +67,16 @@ def default_stop_words(language: str = "english") -> list[str]:
 def ngrams(tok: Column, n_min: int = 1, n_max: int = 3) -> Column:
     """All n-grams for n in [n_min, n_max], words joined by one space.
 
-    ``tok`` must be a plain column reference (materialise the token array
-    first): an expression captured inside the lambda would be re-evaluated
-    for every position, which is quadratic in the text length."""
-    parts = []
-    for n in range(n_min, n_max + 1):
-        if n == 1:
-            parts.append(tok)
-            continue
-        idx = F.sequence(F.lit(0), F.size(tok) - n)
-        grams = F.transform(idx, lambda i: F.array_join(F.slice(tok, i + 1, n), " "))
-        parts.append(F.when(F.size(tok) >= n, grams).otherwise(F.array().cast("array<string>")))
+    The n-grams of length n are the (n-1)-grams zipped with the token array
+    shifted by n-1: one linear pass per n.  ``tok`` should be a column
+    reference (materialise the token array first)."""
+    size = F.size(tok)
+    grams = {1: tok}
+    for n in range(2, n_max + 1):
+        m = F.greatest(size - F.lit(n - 1), F.lit(0))
+        grams[n] = F.zip_with(F.slice(grams[n - 1], 1, m), F.slice(tok, n, m),
+                              lambda a, b: F.concat(a, F.lit(" "), b))
+    parts = [grams[n] for n in range(n_min, n_max + 1)]
     return F.flatten(F.array(*parts)) if len(parts) > 1 else parts[0]
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import clean_text, ngrams, remove_stop_words, tokens
+from tessera.session import spread
 
 VOCAB_BROADCAST_LIMIT = 1_000_000
 
@@ -33,7 +34,7 @@ def doc_terms(docs: DataFrame, id_col: str, text_col: str, ngram_range=(1, 3), s
     """(id, term) rows, one per n-gram occurrence."""
     text = clean_text(text_col, mode) if clean else F.coalesce(F.col(text_col), F.lit(""))
     tok = remove_stop_words(tokens(text), stop_words)
-    d = docs.select(F.col(id_col), tok.alias("_tok"))
+    d = spread(docs.select(F.col(id_col), F.col(text_col)), id_col).select(F.col(id_col), tok.alias("_tok"))
     grams = ngrams(F.col("_tok"), ngram_range[0], ngram_range[1])
     return d.select(F.col(id_col), F.explode(grams).alias("term"))
 
@@ -54,17 +55,24 @@ def vocabulary(tf: DataFrame, id_col: str, max_features: int | None = 5000) -> D
 
 def tfidf(docs: DataFrame, id_col: str, text_col: str, ngram_range=(1, 3), max_features: int | None = 5000,
           stop_words=None, sublinear_tf: bool = True, clean: bool = True, mode: str = "standard") -> DataFrame:
-    """(id, term, weight) for the vocabulary terms present in each doc."""
-    tf = term_counts(docs, id_col, text_col, ngram_range=ngram_range, stop_words=stop_words, clean=clean,
-                     mode=mode)
+    """(id, term, weight) for the vocabulary terms present in each doc.
+
+    Two passes over the text: the first fixes the vocabulary (top
+    ``max_features`` terms with their document frequency -- a bounded table
+    that is broadcast); the second keeps only vocabulary terms *before*
+    counting, and normalises with a window over the document, so the
+    exploded n-grams are generated twice, not once per consumer."""
+    from pyspark.sql import Window
+    kw = dict(ngram_range=ngram_range, stop_words=stop_words, clean=clean, mode=mode)
     n_docs = docs.select(id_col).count()
-    vocab = vocabulary(tf, id_col, max_features).select("term", "df")
+    vocab = vocabulary(term_counts(docs, id_col, text_col, **kw), id_col, max_features).select("term", "df")
     if max_features and max_features <= VOCAB_BROADCAST_LIMIT:
-        vocab = F.broadcast(vocab)
-    t = tf.join(vocab, "term")
+        spark = docs.sparkSession
+        vocab = F.broadcast(spark.createDataFrame(vocab.collect(), "term string, df long"))  # <= max_features rows
+    terms = doc_terms(docs, id_col, text_col, **kw)
+    t = terms.join(vocab, "term").groupBy(id_col, "term", "df").agg(F.count(F.lit(1)).alias("tf"))
     tfw = (F.lit(1.0) + F.log(F.col("tf"))) if sublinear_tf else F.col("tf").cast("double")
     idf = F.log((F.lit(1.0) + F.lit(float(n_docs))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     t = t.withColumn("_w", tfw * idf)
-    norms = t.groupBy(id_col).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    t = t.join(norms, id_col)
-    return t.select(id_col, "term", (F.col("_w") / F.col("_norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
+    return t.select(id_col, "term", (F.col("_w") / norm).alias("weight"))

@@ -73,3 +73,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     of executors; never ``localCheckpoint``)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-spread ``df`` over the cluster when it arrives in fewer
+    partitions than there are task slots (e.g. one large row group) and the
+    next step is heavy per-row work.  With many input splits -- the normal
+    case on a cluster -- it is a no-op, so no shuffle is added."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots, *keys) if keys else df.repartition(slots)
