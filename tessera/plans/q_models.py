@@ -212,3 +212,183 @@ def l39(spark, sf):
     ev = [float(x) for x in m.explainedVariance]
     proj = m.transform(d).select("vec_id", vector_to_array("pca").alias("components"))
     return proj.withColumn("explained_variance", F.array(*[F.lit(x) for x in ev]))
+
+
+# ------------------------------------------------------------ compositions
+from tessera.plans import ensembles as EN  # noqa: E402
+
+
+def _split_prepared(spark, sf):
+    data, fitted = _prepared(spark, sf)
+    return data.where("is_train").drop("is_train"), data.where("NOT is_train").drop("is_train"), fitted
+
+
+def _dt(seed, depth=3):
+    return make_estimator("classification", "decision_tree", {"max_depth": depth}, seed=seed)
+
+
+@register("L06_adaboost")
+def l06(spark, sf):
+    """SAMME with depth-1 trees, 5 rounds."""
+    tr, te, _ = _split_prepared(spark, sf)
+    model = EN.fit_adaboost(lambda r: _dt(42 + r, 1), tr, n_rounds=5, n_classes=2)
+    return EN.adaboost_predict(model, te).select("doc_id", "label", "prediction")
+
+
+@register("L11_bernoulli_nb")
+def l11(spark, sf):
+    from pyspark.ml.feature import Binarizer
+    tr, te, _ = _split_prepared(spark, sf)
+    b = Binarizer(threshold=0.0, inputCol="features", outputCol="bin")
+    m = make_estimator("classification", "bernoulli_nb", features="bin").fit(b.transform(tr))
+    return m.transform(b.transform(te)).select("doc_id", "label", "prediction")
+
+
+@register("L12_ridge_classifier")
+def l12(spark, sf):
+    """Ridge regression on a +-1 target; the sign is the class."""
+    tr, te, _ = _split_prepared(spark, sf)
+    pm = tr.withColumn("pm", F.when(F.col("label") > 0, 1.0).otherwise(-1.0))
+    m = make_estimator("classification", "ridge_classifier", label="pm").fit(pm)
+    return m.transform(te).select("doc_id", "label", F.when(F.col("prediction") > 0, 1.0).otherwise(0.0).alias("prediction"))
+
+
+@register("L14_bagging")
+def l14(spark, sf):
+    tr, te, _ = _split_prepared(spark, sf)
+    members = EN.fit_bagging(lambda s: _dt(s), tr, "doc_id", n_estimators=3)
+    return EN.bagging_predict(members, te).select("doc_id", "label", "prediction")
+
+
+@register("L15_voting")
+def l15(spark, sf):
+    """Hard and soft votes of logistic regression, a tree and naive Bayes."""
+    tr, te, _ = _split_prepared(spark, sf)
+    members = [make_estimator("classification", "logistic_regression").fit(tr), _dt(42).fit(tr),
+               make_estimator("classification", "naive_bayes").fit(tr)]
+    out, names = EN.predict_members(members, te, keep_prob=True)
+    out = EN.vote(out, names, name="hard")
+    out = EN.soft_vote(out, [f"{n}_prob" for n in names], name="soft")
+    return out.select("doc_id", "label", "hard", "soft")
+
+
+@register("L16_stacking")
+def l16(spark, sf):
+    tr, te, _ = _split_prepared(spark, sf)
+    makes = [lambda s: make_estimator("classification", "logistic_regression"), lambda s: _dt(s)]
+    model = EN.fit_stacking(makes, lambda: make_estimator("classification", "logistic_regression"), tr, "doc_id")
+    return EN.stacking_predict(model, te).select("doc_id", "label", "prediction")
+
+
+@register("L21_ransac")
+def l21(spark, sf):
+    li = table(spark, sf, "lineitem").select(lineitem_row_id().alias("row_id"), "l_quantity", "l_discount",
+                                             (F.col("l_extendedprice") / 1000.0).alias("y"))
+    final, va, n_in = EN.fit_ransac(li, ["l_quantity", "l_discount"], "y", "row_id", n_candidates=8)
+    return final.transform(va.transform(li)).select("row_id", "y", "prediction").withColumn(
+        "best_inliers", F.lit(n_in))
+
+
+@register("L26_bagging_regressor")
+def l26(spark, sf):
+    d = lineitem_reg(spark, sf)
+    members = EN.fit_bagging(lambda s: make_estimator("regression", "decision_tree", {"max_depth": 5}, seed=s),
+                             d.where("is_train").drop("is_train"), "row_id", n_estimators=3)
+    return EN.bagging_predict(members, d.where("NOT is_train"), task="regression").select("row_id", "label", "prediction")
+
+
+@register("L27_time_series_model")
+def l27(spark, sf):
+    """Gradient boosting on the time-series feature table (series id one-hot)."""
+    from tessera.operators.timeseries import ts_features
+    from tessera.plans.q_windows import daily_event_totals
+    f = ts_features(daily_event_totals(spark, sf), "day", "total", id_col="day", series_cols=["event_type"])
+    feats = ["dayofweek", "dayofmonth", "lag_1", "lag_2", "lag_3", "lag_4", "lag_5", "rolling_mean_1", "rolling_std_1"]
+    d = VectorAssembler(inputCols=feats, outputCol="features").transform(f.withColumn("label", F.col("total")))
+    cut = F.lit("2024-01-24").cast("timestamp_ntz")
+    m = make_estimator("time_series", "xgboost_ts", {"n_estimators": 10}).fit(d.where(F.col("day") < cut))
+    return m.transform(d.where(F.col("day") >= cut)).select("event_type", "day", "label", "prediction")
+
+
+@register("L28_ranking")
+def l28(spark, sf):
+    """Pointwise ranking: a regressor on order attributes, NDCG per customer."""
+    from tessera.operators.metrics import ndcg
+    o = table(spark, sf, "orders").select(
+        "o_orderkey", "o_custkey", (F.col("o_totalprice") / 100000.0).alias("label"),
+        F.substring("o_orderpriority", 1, 1).cast("double").alias("prio"),
+        F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("done"),
+        F.month("o_orderdate").cast("double").alias("month"))
+    d = VectorAssembler(inputCols=["prio", "done", "month"], outputCol="features").transform(o)
+    d = d.withColumn("is_train", hash_below_col("o_orderkey", 0.8))
+    m = make_estimator("ranking", "random_forest", {"n_estimators": 10}).fit(d.where("is_train"))
+    return ndcg(m.transform(d.where("NOT is_train")), "label", "prediction", query_cols=["o_custkey"])
+
+
+def hash_below_col(id_col, frac):
+    from tessera.functions.hashing import hash_below, hash_hex
+    return hash_below(hash_hex(id_col, seed=42, salt="split"), frac)
+
+
+@register("L29_multi_label")
+def l29(spark, sf):
+    """Binary relevance over (quality, toxic); predictions assembled to an array."""
+    lab = table(spark, sf, "labels")
+    doc = table(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source")
+    d = lab.join(doc, "doc_id")
+    fitted = FeaturePipeline().fit(d.drop("quality", "toxic"))
+    x = fitted.transform(d)
+    x = x.withColumn("is_train", hash_below_col("doc_id", 0.8))
+    out = x.where("NOT is_train")
+    for t in ("quality", "toxic"):
+        m = make_estimator("classification", "logistic_regression", label=t).fit(
+            x.where("is_train").withColumn(t, F.col(t).cast("double")))
+        out = m.transform(out).withColumnRenamed("prediction", f"pred_{t}").drop("rawPrediction", "probability")
+    return out.select("doc_id", "quality", "toxic", F.array("pred_quality", "pred_toxic").alias("predictions"))
+
+
+@register("L34_birch")
+def l34(spark, sf):
+    r = EN.birch_like(part_points(spark, sf), ["x", "y"], k=5, cell=0.05)
+    return r.select("p_partkey", "prediction")
+
+
+@register("L35_spectral")
+def l35(spark, sf):
+    """kNN affinity graph (exact E07 join) -> power iteration clustering."""
+    from pyspark.ml.clustering import PowerIterationClustering
+    nn = embeddings_knn(spark, sf, k=5)
+    g = nn.select(F.col("query_id").alias("src"), F.col("neighbor_id").alias("dst"),
+                  F.exp(-F.col("distance") * F.col("distance")).alias("weight"))
+    pic = PowerIterationClustering(k=10, maxIter=20, weightCol="weight", srcCol="src", dstCol="dst")
+    return pic.assignClusters(g)
+
+
+def planted_outliers(spark, sf):
+    li = table(spark, sf, "lineitem")
+    boost = F.when(F.col("l_orderkey") % 997 == 0, 20.0).otherwise(1.0)
+    return li.select(lineitem_row_id().alias("row_id"), (F.col("l_quantity") * boost).alias("q"),
+                     (F.col("l_extendedprice") / 1000.0 * boost).alias("p"), "l_discount",
+                     F.when(F.col("l_orderkey") % 997 == 0, 1).otherwise(0).alias("truth"))
+
+
+@register("L36_isolation_forest")
+def l36(spark, sf):
+    from tessera.operators.metrics import anomaly_metrics
+    d = planted_outliers(spark, sf)
+    scored = EN.isolation_forest(d, ["q", "p", "l_discount"], "row_id", n_trees=50, contamination=0.01)
+    return anomaly_metrics(scored.join(d.select("row_id", "truth"), "row_id"), "truth", "prediction")
+
+
+@register("L38_elliptic_envelope")
+def l38(spark, sf):
+    from tessera.operators.metrics import anomaly_metrics
+    d = planted_outliers(spark, sf)
+    r = EN.elliptic_envelope(d, ["q", "p", "l_discount"], contamination=0.01)
+    return anomaly_metrics(r, "truth", "prediction")
+
+
+@register("L40_truncated_svd")
+def l40(spark, sf):
+    s = EN.truncated_svd(embedding_vectors(spark, sf), "features", k=5)
+    return spark.createDataFrame([(i + 1, v) for i, v in enumerate(s)], "component int, singular_value double")
