@@ -325,3 +325,54 @@ def birch_like(df: DataFrame, features_cols, k: int, cell: float, seed: int = 42
     va = VectorAssembler(inputCols=cols, outputCol="features")
     km = KMeans(k=k, seed=seed, weightCol="_n").fit(va.transform(micro))
     return km.transform(va.transform(df))
+
+
+def fit_adaboost_r2(make, df: DataFrame, n_rounds: int = 5, checkpoint_every: int = 3):
+    """L24 AdaBoost.R2 (linear loss): per round a weighted regressor; the
+    largest error and the weighted mean loss are two numbers per round; the
+    weights are multiplied by beta^(1 - loss) in an expression."""
+    d = df.withColumn("_aw", F.lit(1.0))
+    models, alphas = [], []
+    for r in range(n_rounds):
+        est = make(r)
+        est.setWeightCol("_aw")
+        m = est.fit(d)
+        p = m.transform(d).withColumn("_err", F.abs(F.col("prediction") - F.col("label")))
+        dmax = p.agg(F.max("_err")).first()[0] or 0.0
+        if dmax <= 0:
+            models.append(m)
+            alphas.append(1.0)
+            break
+        p = p.withColumn("_loss", F.col("_err") / F.lit(dmax))
+        a = p.agg((F.sum(F.col("_aw") * F.col("_loss")) / F.sum("_aw")).alias("l")).first()["l"]
+        if a >= 0.5:
+            if not models:
+                models.append(m)
+                alphas.append(1.0)
+            break
+        beta = max(a / (1 - a), 1e-12)
+        models.append(m)
+        alphas.append(math.log(1 / beta))
+        d = p.select(*df.columns, (F.col("_aw") * F.pow(F.lit(beta), 1 - F.col("_loss"))).alias("_aw"))
+        if (r + 1) % checkpoint_every == 0:
+            d = cut_lineage(d)
+    return models, alphas
+
+
+def weighted_median(pred_cols, weights) -> "F.Column":
+    """Per row: the smallest member prediction whose cumulative weight reaches
+    half of the total (members sorted by prediction)."""
+    half = float(sum(weights)) / 2.0
+    arr = F.array_sort(F.array(*[F.struct(F.col(c).alias("p"), F.lit(float(w)).alias("w"))
+                                 for c, w in zip(pred_cols, weights)]))
+    init = F.struct(F.lit(0.0).alias("cum"), F.lit(None).cast("double").alias("med"))
+    res = F.aggregate(arr, init, lambda acc, s: F.struct(
+        (acc["cum"] + s["w"]).alias("cum"),
+        F.when(acc["med"].isNull() & (acc["cum"] + s["w"] >= F.lit(half)), s["p"]).otherwise(acc["med"]).alias("med")))
+    return res["med"]
+
+
+def adaboost_r2_predict(model, df: DataFrame) -> DataFrame:
+    models, alphas = model
+    out, names = predict_members(models, df)
+    return out.withColumn("prediction", weighted_median(names, alphas))

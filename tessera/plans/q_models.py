@@ -392,3 +392,11 @@ def l38(spark, sf):
 def l40(spark, sf):
     s = EN.truncated_svd(embedding_vectors(spark, sf), "features", k=5)
     return spark.createDataFrame([(i + 1, v) for i, v in enumerate(s)], "component int, singular_value double")
+
+
+@register("L24_adaboost_r2")
+def l24(spark, sf):
+    d = lineitem_reg(spark, sf)
+    model = EN.fit_adaboost_r2(lambda r: make_estimator("regression", "decision_tree", {"max_depth": 3}, seed=42 + r),
+                               d.where("is_train").drop("is_train"), n_rounds=4)
+    return EN.adaboost_r2_predict(model, d.where("NOT is_train")).select("row_id", "label", "prediction")
