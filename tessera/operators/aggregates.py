@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.ordering import prefix_sums
+from tessera.session import cut_lineage
 
 
 def value_counts(df: DataFrame, col: str, name: str = "count") -> DataFrame:
@@ -39,6 +40,7 @@ def exact_quantiles(df: DataFrame, col: str, probs, group_cols=(), name: str = "
     v = F.col(col).cast("double")
     vc = (df.select(*groups, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
           .groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_n")))
+    vc = cut_lineage(vc)  # value counts feed four consumers
     cum = prefix_sums(vc, "_v", ["_n"], partition_cols=groups)
     tot = vc.groupBy(*groups).agg(F.sum("_n").alias("_N"))
     probs_arr = F.array(*[F.lit(float(p)) for p in probs])

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.pvalues import chi2_sf, ks_2samp_p
 from tessera.operators.ordering import prefix_sums
+from tessera.session import cut_lineage
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType, T.BooleanType)
@@ -67,7 +68,9 @@ def numeric_value_counts(ref: DataFrame, cur: DataFrame, cols: list[str]) -> Dat
 
 def ks_statistics(ref: DataFrame, cur: DataFrame, cols: list[str]) -> DataFrame:
     """column, n_ref, n_cur, statistic (max |F_ref - F_cur|), reference_mean, current_mean."""
-    counts = numeric_value_counts(ref, cur, cols)
+    # several consumers read the distinct-value table: materialise it once
+    # (far smaller than the rows) instead of rescanning per consumer
+    counts = cut_lineage(numeric_value_counts(ref, cur, cols))
     sizes = counts.groupBy("column").agg(
         F.sum("n1").alias("n_ref"), F.sum("n2").alias("n_cur"),
         (F.sum(F.col("v") * F.col("n1")) / F.sum("n1")).alias("reference_mean"),

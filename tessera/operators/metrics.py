@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.ordering import prefix_sums
+from tessera.session import cut_lineage
 
 EPS64 = 2.220446049250313e-16
 # Metrics where lower is better (negated into a score).
@@ -81,7 +82,7 @@ def roc_auc(df: DataFrame, label: str, score: str, group_cols=(), positive=1) ->
     """Binary ROC-AUC by the rank-sum rule with tie-averaged ranks:
     sum over distinct scores of pos_s * (neg_below_s + neg_s / 2) / (P * N)."""
     g = list(group_cols)
-    sc = _score_counts(df, label, score, g, positive)
+    sc = cut_lineage(_score_counts(df, label, score, g, positive))
     cum = prefix_sums(sc, "_s", ["_neg"], partition_cols=g)
     below = F.col("_neg_cum") - F.col("_neg")
     a = cum.groupBy(*g).agg(F.sum(F.col("_pos") * (below + F.col("_neg") / 2.0)).alias("_u"),
@@ -106,7 +107,7 @@ def roc_auc_ovr(df: DataFrame, label: str, prob_cols: dict, group_cols=()) -> Da
 def roc_curve(df: DataFrame, label: str, score: str, group_cols=(), positive=1) -> DataFrame:
     """One point per distinct threshold: fpr, tpr of score >= threshold."""
     g = list(group_cols)
-    sc = _score_counts(df, label, score, g, positive).withColumn("_neg_s", -F.col("_s"))
+    sc = cut_lineage(_score_counts(df, label, score, g, positive).withColumn("_neg_s", -F.col("_s")))
     cum = prefix_sums(sc, "_neg_s", ["_pos", "_neg"], partition_cols=g)
     tot = sc.groupBy(*g).agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
     j = cum.join(F.broadcast(tot), g) if g else with_bounded(cum, tot)
@@ -183,7 +184,7 @@ def _tie_dcg(df: DataFrame, group_cols, score: str, rel: str, name: str) -> Data
     g = list(group_cols)
     t = df.groupBy(*g, F.col(score).cast("double").alias("_s")).agg(
         F.count(F.lit(1)).alias("_m"), F.sum(F.col(rel).cast("double")).alias("_g"))
-    t = t.withColumn("_neg_s", -F.col("_s"))
+    t = cut_lineage(t.withColumn("_neg_s", -F.col("_s")))
     cum = prefix_sums(t, "_neg_s", ["_m"], partition_cols=g)
     first = F.col("_m_cum") - F.col("_m") + 1
     disc = F.aggregate(F.sequence(first, F.col("_m_cum")), F.lit(0.0),
