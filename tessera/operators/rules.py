@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 RULE_COLUMNS = ["antecedent", "consequent", "support", "confidence", "lift"]
 BROADCAST_ITEM_LIMIT = 200_000
+WIDE_ITEM_LIMIT = 10_000
 
 
 def binarize_columns(df: DataFrame, cols) -> DataFrame:
@@ -23,8 +24,13 @@ def binarize_columns(df: DataFrame, cols) -> DataFrame:
 
 def binarize(long: DataFrame, basket_col: str, item_col: str) -> DataFrame:
     """F01 (long -> wide): one 0/1 column per distinct item.  Items are
-    collected to name the columns (bounded by the item vocabulary)."""
-    items = sorted(r[0] for r in long.select(item_col).distinct().collect())
+    collected to name the columns, so the vocabulary is checked first; large
+    vocabularies stay in the long form (``pair_rules`` needs no wide frame)."""
+    vocab = long.select(item_col).distinct()
+    n_items = vocab.count()
+    if n_items > WIDE_ITEM_LIMIT:
+        raise ValueError(f"{n_items} items: too many columns for a wide frame; use the long form")
+    items = sorted(r[0] for r in vocab.collect())
     wide = (long.select(basket_col, item_col).distinct().groupBy(basket_col)
             .pivot(item_col, items).agg(F.count(F.lit(1))))
     return wide.select(basket_col, *[F.when(F.col(i) > 0, 1).otherwise(0).alias(i) for i in items])
