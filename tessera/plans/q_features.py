@@ -133,7 +133,7 @@ def h12(spark, sf):
     return w.select("doc_id", "quality", _r6("weight"))
 
 
-@register("H11_feature_pipeline")
+@register("H11_fit_transform_features")
 def h11(spark, sf):
     """Fit on the 80% train split, transform everything: vector width and label."""
     tr = _train(spark, sf)

@@ -94,7 +94,7 @@ def a14(spark, sf):
     return _decoded(TL.recent(log, "timestamp_utc", days=7, as_of="2024-01-31", date_col="date"))
 
 
-@register("A15_pipeline_save_load")
+@register("A15_model_save_load")
 def a15(spark, sf):
     """Fit a Spark ML pipeline, save it to the shared folder, load it back and score."""
     from pyspark.ml import Pipeline, PipelineModel
