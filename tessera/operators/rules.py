@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage
+
 RULE_COLUMNS = ["antecedent", "consequent", "support", "confidence", "lift"]
 BROADCAST_ITEM_LIMIT = 200_000
 WIDE_ITEM_LIMIT = 10_000
@@ -72,6 +74,8 @@ def pair_rules(baskets: DataFrame, basket_col: str = "basket", item_col: str = "
     first ``max_rules`` kept."""
     b = baskets.select(F.col(basket_col).cast("string").alias("basket"),
                        F.col(item_col).cast("string").alias("item")).where(F.col("item").isNotNull()).distinct()
+    # five consumers (counts, supports, pruning, both join sides): materialise once
+    b = cut_lineage(b)
     n = n_baskets if n_baskets is not None else b.select("basket").distinct().count()
     spark = baskets.sparkSession
     if not n:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import shared_dir
+from tessera.session import cut_lineage, shared_dir
 
 
 def score(df: DataFrame, model, label_dict: DataFrame | None = None, keep=()) -> DataFrame:
@@ -76,6 +76,8 @@ def windowed_chi2(counts: DataFrame, baseline: DataFrame, cat_col: str) -> DataF
     baseline (Yates with two categories), the same statistic as C06."""
     base = baseline.groupBy(F.coalesce(F.col(cat_col).cast("string"), F.lit("__nan__")).alias("category")).agg(
         F.count(F.lit(1)).alias("n_ref"))
+    # both tables are windows x categories small and read by several branches
+    base, counts = cut_lineage(base), cut_lineage(counts)
     windows = counts.select("window_start").distinct()
     # every category of either side appears in every window (zero counts kept)
     cats = base.select("category").unionByName(counts.select("category")).distinct()
