@@ -38,7 +38,9 @@ def main():
     lines = ["# Plan audit", "", f"Final (post-AQE) physical plans of the headline queries at `{os.path.basename(sf)}`.",
              "`single_partition` counts `Exchange SinglePartition` nodes: they appear only where a global",
              "aggregate merges its partial results (one row per partition) or where bounded tables",
-             "(bucket totals, one row per column / class / cluster) are cumulated, never above raw rows.", "",
+             "(bucket totals, one row per column / class / cluster) are cumulated, never above raw rows.",
+             "A scan count of 0 means the query reads a table materialised in the shared checkpoint folder",
+             "(`ExistingRDD`); the raw files were scanned once, by the job that wrote it.", "",
              "| query | scans | exchanges | single-partition | broadcast joins | sort-merge joins | windows | pushed filters |",
              "|---|---|---|---|---|---|---|---|"]
     for name in HEADLINE:
