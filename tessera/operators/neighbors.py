@@ -146,36 +146,73 @@ def local_outlier_factor(neighbors: DataFrame, k: int) -> DataFrame:
     return lof.select("query_id", "lrd", (F.col("_m") / F.col("lrd")).alias("lof"))
 
 
-def radius_pairs(points: DataFrame, id_col: str, x: str, y: str, eps: float) -> DataFrame:
-    """E08 (2-D): pairs (a, b) with distance <= eps, self pairs included, by a
-    grid-cell equi-join: one side is copied to its 9 neighbouring cells."""
-    cells = points.select(F.col(id_col).alias("_id"), F.col(x).cast("double").alias("_x"),
-                          F.col(y).cast("double").alias("_y"))
-    cells = cells.withColumns({"_cx": F.floor(F.col("_x") / eps).cast("long"),
-                               "_cy": F.floor(F.col("_y") / eps).cast("long")})
-    offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+def _subcells(points: DataFrame, id_col: str, x: str, y: str, eps: float) -> DataFrame:
+    side = eps / math.sqrt(2.0)  # any two points of one sub-cell are within eps
+    return points.select(F.col(id_col).alias("_id"), F.col(x).cast("double").alias("_x"),
+                         F.col(y).cast("double").alias("_y")).withColumns(
+        {"_cx": F.floor(F.col("_x") / side).cast("long"), "_cy": F.floor(F.col("_y") / side).cast("long")})
+
+
+_CROSS_OFFSETS = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3) if (dx, dy) != (0, 0)]
+
+
+def _cross_pairs(cells: DataFrame, eps: float) -> DataFrame:
+    """Pairs (a, b) in *different* sub-cells within eps: each point probes the
+    24 sub-cells that can hold a neighbour (side eps/sqrt(2), so two cells
+    away at most)."""
+    offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in _CROSS_OFFSETS])
     probe = cells.select(F.col("_id").alias("a"), F.col("_x").alias("ax"), F.col("_y").alias("ay"),
                          F.explode(offs).alias("_o"), "_cx", "_cy").select(
         "a", "ax", "ay", (F.col("_cx") + F.col("_o.dx")).alias("_cx"), (F.col("_cy") + F.col("_o.dy")).alias("_cy"))
     build = cells.select(F.col("_id").alias("b"), F.col("_x").alias("bx"), F.col("_y").alias("by"), "_cx", "_cy")
-    j = probe.join(build, ["_cx", "_cy"])
     dist = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2)
-    return j.where(dist <= F.lit(eps)).select("a", "b", dist.alias("distance"))
+    return probe.join(build, ["_cx", "_cy"]).where(dist <= F.lit(eps)).select("a", "b", dist.alias("distance"))
+
+
+def radius_pairs(points: DataFrame, id_col: str, x: str, y: str, eps: float) -> DataFrame:
+    """E08 (2-D): all pairs (a, b) with distance <= eps, self pairs included.
+    Use ``radius_counts`` when only neighbour counts are needed: it never
+    enumerates pairs inside a sub-cell."""
+    cells = _subcells(points, id_col, x, y, eps)
+    a = cells.select(F.col("_id").alias("a"), "_cx", "_cy")
+    b = cells.select(F.col("_id").alias("b"), "_cx", "_cy")
+    same = a.join(b, ["_cx", "_cy"]).select("a", "b")
+    cross = _cross_pairs(cells, eps).select("a", "b")
+    return same.unionByName(cross)
+
+
+def radius_counts(points: DataFrame, id_col: str, x: str, y: str, eps: float) -> DataFrame:
+    """E08 (2-D) neighbour counts within eps, self included: the sub-cell
+    population is added by aggregation (no pairs, so a point mass holding a
+    third of the table costs one grouped count), and only cross-cell
+    candidates are compared."""
+    cells = _subcells(points, id_col, x, y, eps)
+    same = cells.groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("_n_same"))
+    own = cells.join(same, ["_cx", "_cy"]).select(F.col("_id").alias("id"), "_n_same")
+    cross = _cross_pairs(cells, eps).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("_n_cross"))
+    out = own.join(cross, "id", "left")
+    return out.select("id", (F.col("_n_same") + F.coalesce("_n_cross", F.lit(0))).alias("n_neighbors"))
 
 
 def dbscan(points: DataFrame, id_col: str, x: str, y: str, eps: float, min_samples: int = 5,
            max_iter: int = 100) -> DataFrame:
     """Core points have >= min_samples neighbours within eps (self
-    included); clusters are connected components of core-core edges found by
-    iterative min-label propagation (lineage cut each round in the shared
-    checkpoint folder); border points take the smallest label of a core
+    included, counted by ``radius_counts``).  Clusters are connected
+    components of the core graph: core points sharing a sub-cell are linked
+    through a star to the sub-cell's smallest core id (never all pairs), core
+    points in different sub-cells by their cross-cell pairs; components come
+    from iterative min-label propagation (lineage cut each round in the shared
+    checkpoint folder).  Border points take the smallest label of a core
     neighbour; noise is -1.  Cluster label = smallest core id in it."""
-    pairs = radius_pairs(points, id_col, x, y, eps)
-    pairs = cut_lineage(pairs)
-    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    core = counts.where(F.col("n") >= min_samples).select(F.col("a").alias("id"))
-    edges = (pairs.join(core.withColumnRenamed("id", "a"), "a").join(core.withColumnRenamed("id", "b"), "b")
-             .where(F.col("a") != F.col("b")).select("a", "b"))
+    cells = cut_lineage(_subcells(points, id_col, x, y, eps))
+    counts = radius_counts(points, id_col, x, y, eps)
+    core = counts.where(F.col("n_neighbors") >= min_samples).select("id")
+    core_cells = cells.join(core.withColumnRenamed("id", "_id"), "_id")
+    hub = core_cells.groupBy("_cx", "_cy").agg(F.min("_id").alias("_hub"))
+    star = core_cells.join(hub, ["_cx", "_cy"]).where(F.col("_id") != F.col("_hub")).select(
+        F.col("_id").alias("a"), F.col("_hub").alias("b"))
+    core_cross = (_cross_pairs(core_cells, eps).select("a", "b"))
+    edges = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(core_cross)
     edges = cut_lineage(edges)
     labels = core.select("id", F.col("id").alias("label"))
     for _ in range(max_iter):
@@ -188,8 +225,13 @@ def dbscan(points: DataFrame, id_col: str, x: str, y: str, eps: float, min_sampl
         labels = new
         if changed == 0:
             break
-    border = (pairs.join(labels.select(F.col("id").alias("b"), F.col("label").alias("_lb")), "b")
-              .groupBy("a").agg(F.min("_lb").alias("_bl")))
+    # border points: smallest label among core neighbours (same sub-cell by aggregate, other cells by pairs)
+    lab = labels.select(F.col("id").alias("_id"), F.col("label").alias("_lb"))
+    same_min = cells.join(lab, "_id").groupBy("_cx", "_cy").agg(F.min("_lb").alias("_sm"))
+    same_b = cells.join(same_min, ["_cx", "_cy"]).select(F.col("_id").alias("id"), "_sm")
+    cross_b = (_cross_pairs(cells, eps).join(lab.withColumnRenamed("_id", "b"), "b")
+               .groupBy(F.col("a").alias("id")).agg(F.min("_lb").alias("_cm")))
     allp = points.select(F.col(id_col).alias("id"))
-    out = allp.join(labels, "id", "left").join(border.withColumnRenamed("a", "id"), "id", "left")
-    return out.select("id", F.coalesce("label", "_bl", F.lit(-1)).cast("long").alias("cluster"))
+    out = allp.join(labels, "id", "left").join(same_b, "id", "left").join(cross_b, "id", "left")
+    border = F.least("_sm", "_cm")
+    return out.select("id", F.coalesce("label", border, F.lit(-1)).cast("long").alias("cluster"))

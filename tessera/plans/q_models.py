@@ -86,8 +86,8 @@ WITH {_PTS_SQL}
 SELECT a.p_partkey, CAST(count(*) AS BIGINT) AS n_neighbors FROM pts a JOIN pts b
   ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.02 GROUP BY a.p_partkey""")
 def e08(spark, sf):
-    pairs = NB.radius_pairs(part_points(spark, sf), "p_partkey", "x", "y", 0.02)
-    return pairs.groupBy(F.col("a").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n_neighbors"))
+    c = NB.radius_counts(part_points(spark, sf), "p_partkey", "x", "y", 0.02)
+    return c.select(F.col("id").alias("p_partkey"), F.col("n_neighbors").cast("long"))
 
 
 @register("L32_dbscan")
