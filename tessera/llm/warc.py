@@ -57,13 +57,8 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
         ((F.min("size") == F.max("size")) & (F.min("check") == F.max("check"))).alias("same")), "warc-stored")
     if not stored.filter(~F.col("same")).isEmpty():
         raise ValueError("two different payloads have the same digest")
-    # one row that holds each payload: the first id's, or any where all ids are null
-    owners = stored.select(F.col("first").alias("record_id"), "digest")
-    holds = rows.withColumn("digest", F.sha2("payload", 256))
-    named = holds.join(owners.filter("record_id is not null"), ["record_id", "digest"], "left_semi")
-    unnamed = holds.filter("record_id is null").join(owners.filter("record_id is null").select("digest"), "digest", "left_semi")
-    (named.select("digest", "payload").unionByName(unnamed.select("digest", "payload"))
-     .dropDuplicates(["digest"]).write.parquet(f"{path}/payloads"))
+    # equal addresses hold equal payloads, so any row's will do: copies go before the shuffle
+    (rows.select(F.sha2("payload", 256).alias("digest"), "payload").dropDuplicates(["digest"]).write.parquet(f"{path}/payloads"))
     revisit = (F.col("size") >= min_revisit) & F.col("first").isNotNull() & ~F.col("record_id").eqNullSafe(F.col("first"))
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
     (facts.join(stored.select("digest", "first"), "digest")
