@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, token_archive, warc
+from tessera.llm import decontaminate, fingerprint, packing, token_archive, warc
 from tessera.llm.common import documents, ensure_checkpoint_dir, importable, shared_dir, table
 
 #: Vocabulary file of the token queries.
@@ -22,6 +22,23 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of the benchmark, by document and item."""
+    return decontaminate.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, its edited text's, and their likenesses."""
+    docs = documents(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))
+    rows = fingerprint.with_next(fingerprint.with_fingerprint(docs, "text", "bins"), "doc_id", ["text", "bins"])
+    rows = rows.withColumn("edited", fingerprint.edited_text("text", "next_text"))
+    rows = fingerprint.with_fingerprint(
+        rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "edited", "bins", "next_bins"), "edited", "edited_bins")
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+                       fingerprint.as_hex(F.col("bins")).alias("fingerprint"), fingerprint.as_hex(F.col("edited_bins")).alias("edited_fingerprint"),
+                       fingerprint.likeness("bins", "edited_bins").alias("near_edited"), fingerprint.likeness("bins", "next_bins").alias("near_next"))
+
+
 def op5_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's ids written to the Huffman archive and read back."""
     path = shared_dir(spark, "token-archive")
@@ -56,11 +73,13 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_spaced_seeds": op1_spaced_seeds,
+    "op3_fingerprint": op3_fingerprint,
     "op5_token_archive": op5_token_archive,
     "op9_warc_archive": op9_warc_archive,
     "op10_best_two_fit": op10_best_two_fit,
 }
-SQL: dict[str, str] = {"op9_warc_archive": SQL_WARC.strip()}
+SQL: dict[str, str] = {"op1_spaced_seeds": decontaminate.leak_sql().strip(), "op9_warc_archive": SQL_WARC.strip()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
