@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, fingerprint, packing, token_archive, warc
+from tessera.llm import decontaminate, fingerprint, packing, sharding, token_archive, warc
 from tessera.llm.common import documents, ensure_checkpoint_dir, importable, shared_dir, table
 
 #: Vocabulary file of the token queries.
@@ -39,6 +39,13 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
                        fingerprint.likeness("bins", "edited_bins").alias("near_edited"), fingerprint.likeness("bins", "next_bins").alias("near_next"))
 
 
+def op4_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 8 shards, equal texts together; row counts at most one apart."""
+    nodes, links = sharding.text_nodes(documents(spark, sf_dir))
+    return (sharding.shard_rows(nodes, links, 8)
+            .select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")))
+
+
 def op5_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's ids written to the Huffman archive and read back."""
     path = shared_dir(spark, "token-archive")
@@ -75,6 +82,7 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spaced_seeds": op1_spaced_seeds,
     "op3_fingerprint": op3_fingerprint,
+    "op4_label_shards": op4_label_shards,
     "op5_token_archive": op5_token_archive,
     "op9_warc_archive": op9_warc_archive,
     "op10_best_two_fit": op10_best_two_fit,
