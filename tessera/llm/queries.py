@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, fingerprint, packing, sharding, token_archive, warc
+from tessera.llm import decontaminate, fingerprint, packing, quality, sharding, token_archive, toxicity, warc
 from tessera.llm.common import documents, ensure_checkpoint_dir, importable, shared_dir, table
 
 #: Vocabulary file of the token queries.
@@ -53,6 +53,23 @@ def op5_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_archive.read_token_archive(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def held_out() -> Column:
+    """Rows whose labels are never learned from."""
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+
+def op7_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text, learned from positive and unlabelled ones."""
+    scored = quality.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"), held_out=held_out())
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_pattern_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text by the weighted grammar."""
+    scored = toxicity.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"), held_out=held_out())
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to the archive; its headers joined with the verified payloads."""
     path = shared_dir(spark, "warc")
@@ -84,6 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprint": op3_fingerprint,
     "op4_label_shards": op4_label_shards,
     "op5_token_archive": op5_token_archive,
+    "op7_positive_unlabelled": op7_positive_unlabelled,
+    "op8_pattern_grammar": op8_pattern_grammar,
     "op9_warc_archive": op9_warc_archive,
     "op10_best_two_fit": op10_best_two_fit,
 }
