@@ -11,16 +11,25 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-#: Words remembered by one Python worker (about 100 bytes each).
-CACHE_WORDS = 600_000
-_SPACE = re.compile(r"\s")
+#: Words remembered by one Python worker (about 200 bytes each).
+CACHE_WORDS = 900_000
+#: Marks that may end a word; a run of them is a piece of its own.
+_ENDS = ".,;:!?%$&*#|)"
 #: A space at the start, or one that no non-space follows: not a piece's start.
 _ODD = re.compile(r"\A | (?!\S)")
-_NEWLINE_MARK = "\n"
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that byte-level BPE writes for a byte: printable bytes stand for
+    themselves, the others take the code points from 256 on, in order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return {b: b if b in plain else next(others) for b in range(256)}
 
 
 @lru_cache(maxsize=4)
@@ -38,6 +47,38 @@ def shape(path: str) -> tuple[int, bool]:
     return top + 1, bool(split)
 
 
+class _Words(dict):
+    """Ids of words, each after ``before`` (a space or nothing), found when first asked for.
+
+    A word of (Latin) letters is one piece and goes straight to the model; marks
+    behind it are another piece, and so is a line break between two such words.
+    Everything else is encoded as a text."""
+
+    def __init__(self, owner: Encoder, before: str):
+        super().__init__()
+        self.owner, self.before = owner, before
+
+    def _plain(self, word: str) -> bytes | None:
+        base = word.rstrip(_ENDS)
+        if not base.isalpha() or not (base.isascii() or max(base) < "\u0250"):
+            return None
+        if len(base) == len(word):
+            piece = (self.before + base).encode().decode("latin-1").translate(self.owner.letters)
+            return array(self.owner.code, [x.id for x in self.owner.tokenize(piece)]).tobytes()
+        return self[base] + self.owner.piece(word[len(base):])
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self._plain(word) if word else None
+        if ids is None and "\n" in word:
+            head, _, tail = word.partition("\n")
+            if head and tail[:1].isalpha() and head[-1:].strip() and (first := self._plain(head)) is not None:
+                ids = first + self.owner.piece("\n") + self.owner.bare[tail]
+        if ids is None:
+            ids = self.owner.whole(self.before + word)
+        self[word] = ids
+        return ids
+
+
 class Encoder:
     """Texts to little-endian unsigned ids; one for each worker and tokenizer."""
 
@@ -45,55 +86,40 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.dtype, self.most, self.words = np.dtype(dtype), cache_words, {}
+        self.dtype, self.most = np.dtype(dtype), cache_words
+        self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         self.split = shape(path)[1]
-        mark = self.tok.encode(_NEWLINE_MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
-
-    def _many(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes()
-                for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, missing: list[str]) -> None:
-        """Encode ``missing`` words, each with a space before it, in one call:
-        a line break between them is a piece and an id of its own."""
-        words, size = self.words, self.dtype.itemsize
-        plain, rest = [], []
-        for w in missing:
-            (rest if _SPACE.search(w) or self.mark is None else plain).append(w)
-        if plain:
-            joined = self.tok.encode_batch_fast([_NEWLINE_MARK + " " + "\n ".join(plain)], add_special_tokens=False)[0]
-            ids = np.array(joined.ids, dtype=self.dtype)
-            cut = np.flatnonzero(ids == self.mark)
-            if len(cut) == len(plain):
-                flat, ends = ids.tobytes(), np.append(cut[1:], len(ids)) * size
-                for w, a, b in zip(plain, ((cut + 1) * size).tolist(), ends.tolist(), strict=True):
-                    words[w] = flat[a:b]
-            else:
-                rest += plain
-        if rest:
-            words.update(zip(rest, self._many([" " + w for w in rest]), strict=True))
+        self.letters, self.pieces = _byte_letters(), {}
+        self.tokenize = self.tok.model.tokenize
+        self.spaced, self.bare = _Words(self, " "), _Words(self, "")
+
+    def whole(self, text: str) -> bytes:
+        """The ids of a text, by the tokenizer itself."""
+        ids = self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return array(self.code, ids).tobytes()
+
+    def piece(self, text: str) -> bytes:
+        """The ids of a mark or line break."""
+        found = self.pieces.get(text)
+        if found is None:
+            found = self.pieces[text] = self.whole(text)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
-        out: list[bytes] = [b""] * len(texts)
-        pieces = {}
-        for i, t in enumerate(texts):
-            if self.split and t and not _ODD.search(t):
-                pieces[i] = t.split(" ")
-        whole = [i for i in range(len(texts)) if i not in pieces and texts[i]]
-        for i, b in zip(whole, self._many([texts[i] for i in whole]), strict=True):
-            out[i] = b
-        seen: set[str] = set()
-        for p in pieces.values():
-            seen.update(p[1:])
-        if len(self.words) + len(seen) > self.most:
-            self.words.clear()
-        self._learn([w for w in seen if w not in self.words])
-        get = self.words.__getitem__
-        firsts = self._many([p[0] for p in pieces.values()])
-        for (i, p), head in zip(pieces.items(), firsts, strict=True):
-            out[i] = head + b"".join(map(get, p[1:]))
+        out = []
+        for t in texts:
+            if len(self.spaced) + len(self.bare) > self.most:
+                self.spaced.clear()
+                self.bare.clear()
+                self.pieces.clear()
+            if not t:
+                out.append(b"")
+            elif not self.split or _ODD.search(t):
+                out.append(self.whole(t))
+            else:
+                words = t.split(" ")
+                out.append(self.bare[words[0]] + b"".join(map(self.spaced.__getitem__, words[1:])))
         return out
 
 
