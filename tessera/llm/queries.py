@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, fingerprint, packing, quality, sharding, token_archive, toxicity, warc
+from tessera.llm import decontaminate, fingerprint, packing, pii, quality, sharding, token_archive, toxicity, warc
 from tessera.llm.common import documents, ensure_checkpoint_dir, importable, shared_dir, table
 
 #: Vocabulary file of the token queries.
@@ -53,6 +53,17 @@ def op5_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_archive.read_token_archive(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text: counts and digest of the plain spans, and all spans."""
+    found = pii.find_pii(documents(spark, sf_dir))
+    plain = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("plain", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return (found.withColumn("plain", plain)
+            .select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(joined("plain"), 256).alias("base_sha256"),
+                    joined("spans").alias("spans"), (F.size("spans") - F.size("plain")).cast("long").alias("n_added")))
+
+
 def held_out() -> Column:
     """Rows whose labels are never learned from."""
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -101,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprint": op3_fingerprint,
     "op4_label_shards": op4_label_shards,
     "op5_token_archive": op5_token_archive,
+    "op6_deobfuscation": op6_deobfuscation,
     "op7_positive_unlabelled": op7_positive_unlabelled,
     "op8_pattern_grammar": op8_pattern_grammar,
     "op9_warc_archive": op9_warc_archive,
