@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, fingerprint, packing, pii, quality, sharding, token_archive, toxicity, warc
+from tessera.llm import decontaminate, fingerprint, ngram_join, packing, pii, quality, sharding, token_archive, toxicity, warc
 from tessera.llm.common import documents, ensure_checkpoint_dir, importable, shared_dir, table
 
 #: Vocabulary file of the token queries.
@@ -27,6 +27,11 @@ def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op2_partition_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingles have a similarity of 0.85 or more."""
+    return ngram_join.join(documents(spark, sf_dir), n=4, num=85, den=100).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, its edited text's, and their likenesses."""
     docs = documents(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))
@@ -109,6 +114,7 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spaced_seeds": op1_spaced_seeds,
+    "op2_partition_join": op2_partition_join,
     "op3_fingerprint": op3_fingerprint,
     "op4_label_shards": op4_label_shards,
     "op5_token_archive": op5_token_archive,
