@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -272,3 +273,17 @@ def scorer(insults: dict[str, str], weights: np.ndarray):
                 x = _features(np.array([found.counts(t or "") for t in part.column(1).to_pylist()]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))))], names=["doc_id", "score"])
     return run
+
+
+def rejects(text: Column, insults: dict[str, str], weights: np.ndarray, threshold: float) -> Column:
+    """Whether a text's score reaches ``threshold``; false for a null text without matches."""
+    holder: list[Matcher] = []
+
+    @F.pandas_udf("boolean")
+    def run(texts):  # noqa: ANN001, ANN202
+        if not holder:
+            holder.append(Matcher(insults))
+        x = _features(np.array([holder[0].counts(t or "") for t in texts], dtype=np.int64).reshape(len(texts), len(MARKED)))
+        return pd.Series(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))) >= threshold)
+
+    return run(text)
