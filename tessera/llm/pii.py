@@ -118,12 +118,17 @@ class Rewritten:
         if not found:
             return self
         parts, edits, at, shift, k = [], [], 0, 0, 0
-        old = self.edits
+        old = list(self.edits)
         for a, b, new in found:
             while k < len(old) and old[k][1] <= a:
                 edits.append((old[k][0] + shift, old[k][1] + shift, *old[k][2:]))
                 k += 1
+            if k < len(old) and old[k][0] < a:  # what is left of an edit stands for all of its source
+                edits.append((old[k][0] + shift, a + shift, *old[k][2:]))
             while k < len(old) and old[k][0] < b:
+                if old[k][1] > b:
+                    old[k] = (b, *old[k][1:])
+                    break
                 k += 1
             parts += (self.text[at:a], new)
             edits.append((a + shift, a + shift + len(new), *self.source(a, b)))
@@ -155,9 +160,9 @@ _FORMS = {**_other_forms(), **LOOK_ALIKES, **SIGNS, **dict.fromkeys(HIDDEN, "")}
 _FORM = re.compile("[" + "".join(map(re.escape, sorted(_FORMS))) + "]")
 _SPELLED = re.compile(r"(?<![A-Za-z])(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)(?![A-Za-z])", re.I)
 _GAP = re.compile(r"[ ,-]{1,3}\Z")
-_HINT = re.compile(r"dot|[\[({<]\s{0,2}\.|[\[({<]\s{0,2}at\b|[\[({<]\s{0,2}@|\(a\)|plus", re.I)
+_HINT = re.compile(r"dot|[\[({<]\s{0,2}\.|[\[({<]\s{0,2}at\b|[\[({<]\s{0,2}@|plus", re.I)
 # word characters on both sides keep a rewriting inside an address
-_AT = re.compile(r"(?<=[A-Za-z0-9_%+-])\s{0,2}[\[({<]\s{0,2}(?:at|@|a)\s{0,2}[\])}>]\s{0,2}(?=[A-Za-z0-9])", re.I)
+_AT = re.compile(r"(?<=[A-Za-z0-9_%+-])\s{0,2}[\[({<]\s{0,2}(?:at|@)\s{0,2}[\])}>]\s{0,2}(?=[A-Za-z0-9])", re.I)
 _DOT = re.compile(r"(?<=[A-Za-z0-9_-])\s{0,2}[\[({<]\s{0,2}(?:dot|\.)\s{0,2}[\])}>]\s{0,2}(?=[A-Za-z0-9])", re.I)
 #: "name at host dot tld" without brackets: only whole, with a top domain of letters.
 _WORDS = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9_%+-]{1,64}(?:(?: dot |\.)[A-Za-z0-9_%+-]{1,64}){0,4}(?P<at> at |@)"

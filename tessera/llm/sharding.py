@@ -4,8 +4,8 @@ Documents that share a group are linked (a star around the group, never all
 pairs).  Every linked document starts in a shard by its hash; in each round
 Spark joins the links with the shards, counts each group by shard, and a document
 asks for the shard that holds most of its neighbours and has room.  Requests are
-admitted up to the room that the shard's quota leaves, neighbours together, so
-groups gather and no shard grows over its share.  Documents without links then
+admitted up to the room that the shard's quota leaves, whole neighbourhoods and
+large ones first, so groups gather and no shard grows over its share.  Documents without links then
 fill what is left, which makes the sizes exact: row counts at most one apart.
 
 Groups may hold any share of the rows: they are counted with partial sums and
@@ -16,6 +16,9 @@ rows; a null id is kept.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,18 +56,27 @@ def propagate(links: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataF
             *[F.sum((F.col("shard") == s).cast("long")).alias(f"n{s}") for s in range(shards)])
         scores = (links.join(held, "group").groupBy("node")
                   .agg(*[F.sum(f"n{s}").alias(f"n{s}") for s in range(shards)], F.min("group").alias("group")))
-        allowed = [(F.col("shard") == s) | F.lit(room[s] > 0) for s in range(shards)]
+        own = [F.col("shard") == s for s in range(shards)]
+        # a shard that has room for all the neighbours it lacks, if there is one, or for some
+        counts = [F.col(f"n{s}") for s in range(shards)]
+        fits = [F.lit(room[s]) >= F.col("total") - counts[s] for s in range(shards)]
+        allowed = [own[s] | F.when(F.col("whole"), fits[s]).otherwise(F.lit(room[s] > 0)) for s in range(shards)]
         turn = F.pmod(F.xxhash64("group"), F.lit(shards))
-        asked = materialise(scores.join(state, "node").select(
-            "node", "group", "shard", _best([F.col(f"n{s}") for s in range(shards)], allowed, turn).alias("to")), "shard-requests")
-        wants = asked.filter("to != shard").select("node", "group", "to")
+        joined = scores.join(state, "node").withColumn("total", sum(counts[1:], counts[0])).withColumn("whole", reduce(or_, fits))
+        asked = materialise(joined.select("node", "group", "shard", "total", "whole", _best(counts, allowed, turn).alias("to")), "shard-requests")
+        wants = asked.filter("to != shard").select("node", "group", "to", "whole", (-F.col("total")).alias("small"))
         n_wants = {r["to"]: r["n"] for r in wants.groupBy("to").agg(F.count(F.lit(1)).alias("n")).collect()}
         if not n_wants:
             break
-        limit = F.element_at(F.create_map(*[F.lit(x) for s in range(shards) for x in (s, max(0, room[s]))]), F.col("to"))
         if any(n > room[s] for s, n in n_wants.items()):
-            wants = dense_position(wants, ["to"], ["group", "node"], "place", "shard-places").filter(F.col("place") < limit)
-        moves = wants.select("node", "to")
+            # large neighbourhoods first; what fits as a whole is not admitted in part
+            limit = F.element_at(F.create_map(*[F.lit(x) for s in range(shards) for x in (s, max(0, room[s]))]), F.col("to"))
+            placed = materialise(dense_position(wants, ["to"], ["small", "group", "node"], "place", "shard-places"), "shard-places")
+            ends = placed.groupBy("to", "group").agg(F.max("place").alias("end"))
+            wants = placed.join(ends, ["to", "group"]).filter(F.when(F.col("whole"), F.col("end")).otherwise(F.col("place")) < limit)
+        moves = materialise(wants.select("node", "to"), "shard-moves")
+        if moves.isEmpty():
+            break
         state = materialise(asked.select("node", "shard").join(moves, "node", "left")
                             .select("node", F.coalesce("to", "shard").alias("shard")), "shards")
     return state
