@@ -17,8 +17,9 @@ of least cost, given how many sets the band holds.  A set near the lower end of
 its band is indexed under the band below too.
 
 *Links.*  Sets that share a signature are candidates, but a bucket is never
-expanded into all its pairs: each set is compared with the bucket's smallest id
-first, which gathers copies; only pairs of a bucket that this left in different
+expanded into all its pairs: each set is compared with the smallest id of one
+bucket, then with the set of each bucket that has the fewest shingles of its own,
+which gathers copies; only pairs of a bucket that this left in different
 components are compared, and only if the shingles they share with other
 components at all could suffice.  Buckets too large for a task are compared in
 blocks.  Components come from pointer jumping and alternating stars; nothing of
@@ -400,7 +401,26 @@ def join(docs: DataFrame, *, n: int = NGRAM, num: int = NUM, den: int = DEN, id_
     # shingles that some other component has: an upper bound of any overlap
     able = materialise(held.select("rep", "set").mapInArrow(_token_rows, "rep long, token int").join(tokens, "token", "left_semi")
                        .groupBy("rep").agg(F.count(F.lit(1)).alias("c")).join(nodes, "rep").filter(F.col("c") * den >= F.col("size") * num), "join-able")
-    rest = left.select("sig", "rep").join(able, "rep")
+    rest = materialise(left.select("sig", "rep").join(able, "rep"), "join-rest")
+    of = label.select("node", "label")
+    top = lambda c: (of.withColumnRenamed("node", c).withColumnRenamed("label", f"{c}_top"))
+
+    def between(links: DataFrame) -> DataFrame:
+        """Links as pairs of the stars' components."""
+        return (links.join(top("a"), "a", "left").join(top("b"), "b", "left")
+                .select(F.coalesce("a_top", "a").alias("a"), F.coalesce("b_top", "b").alias("b")).filter("a <> b"))
+
+    # each bucket's set with the smallest share of shingles of its own is the likeliest original: all others against it
+    mid = rest.groupBy("sig").agg(
+        F.max(F.struct((F.col("c") / F.col("size")).alias("share"), (-F.col("rep")).alias("hub"), "comp", "size", "c")).alias("hub"),
+        F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("sig", "hub")
+    most = F.least("c", "hub.c")
+    closer = (rest.join(mid, "sig").filter(F.col("comp") != F.col("hub.comp"))
+              .filter(most * den >= (F.col("size") + F.col("hub.size") - most) * num)
+              .select(F.col("rep").alias("b"), (-F.col("hub.hub")).alias("a")).distinct())
+    gathered = materialise(verified(materialise(closer, "join-stars"), sets, num, den), "join-links")
+    merged = components(between(gathered)).select(F.col("node").alias("comp"), "label")
+    rest = materialise(rest.join(merged, "comp", "left").withColumn("comp", F.coalesce("label", "comp")).drop("label"), "join-rest")
     blocks = rest.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     cells = (rest.join(blocks.select("sig", "blocks"), "sig").withColumn("block", block)
@@ -408,16 +428,10 @@ def join(docs: DataFrame, *, n: int = NGRAM, num: int = NUM, den: int = DEN, id_
              .select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "comp", "size", "c", "block"))
     pairs = (cells.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
              .mapInArrow(_cross(num, den), "a long, b long").distinct())
-    links = verified(materialise(pairs, "join-pairs"), sets, num, den)
-    of = label.select("node", "label")
-    top = lambda c: (of.withColumnRenamed("node", c).withColumnRenamed("label", f"{c}_top"))
-    between = (links.join(top("a"), "a", "left").join(top("b"), "b", "left")
-               .select(F.coalesce("a_top", "a").alias("a"), F.coalesce("b_top", "b").alias("b")).filter("a <> b"))
+    links = gathered.unionByName(verified(materialise(pairs, "join-pairs"), sets, num, den))
     # texts that share an id are one document
     same_id = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")
-    same_id = (same_id.join(top("a"), "a", "left").join(top("b"), "b", "left")
-               .select(F.coalesce("a_top", "a").alias("a"), F.coalesce("b_top", "b").alias("b")).filter("a <> b"))
-    merged = components(between.unionByName(same_id))
+    merged = components(between(links.unionByName(same_id)))
     final = member.groupBy("doc_id").agg(F.min("rep").alias("class_id"))
     final = (final.join(of.select(F.col("node").alias("class_id"), "label"), "class_id", "left").withColumn("mid", F.coalesce("label", "class_id"))
              .join(merged.select(F.col("node").alias("mid"), F.col("label").alias("last")), "mid", "left")
