@@ -1,6 +1,6 @@
 """Deterministic hash randomness (primitive P2).
 
-``substr(md5(concat_ws(':', key..., seed, salt)), 1, 8)`` is a uniform 32-bit
+``substr(md5(concat_ws(':', key..., seed, salt)), 1, 15)`` is a uniform 60-bit
 hex string that any SQL engine with ``md5`` reproduces.  A row's draw depends
 only on its key, the seed and a salt -- never on partitioning -- unlike
 ``rand(seed)`` or ``randomSplit``.
@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TWO_32 = 4294967296.0
+#: Hex digits of a draw; 60 bits keep a threshold exact for any row count.
+DIGITS = 15
+TWO_60 = 2.0 ** 60
 
 
 def _as_col(c) -> Column:
@@ -21,26 +23,26 @@ def _as_col(c) -> Column:
 def hash_hex(*keys, seed=0, salt: str = "") -> Column:
     parts = [_as_col(k).cast("string") for k in keys]
     parts += [F.lit(str(seed)), F.lit(str(salt))]
-    return F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8)
+    return F.substring(F.md5(F.concat_ws(":", *parts)), 1, DIGITS)
 
 
 def hash_uniform(*keys, seed=0, salt: str = "") -> Column:
     """Uniform double in [0, 1) from the hex draw."""
-    return F.conv(hash_hex(*keys, seed=seed, salt=salt), 16, 10).cast("double") / F.lit(TWO_32)
+    return F.conv(hash_hex(*keys, seed=seed, salt=salt), 16, 10).cast("double") / F.lit(TWO_60)
 
 
 def hash_normal(*keys, seed=0, salt: str = "") -> Column:
     """Standard normal draw by Box-Muller on two independent hash uniforms."""
     u1 = hash_uniform(*keys, seed=seed, salt=f"{salt}#u1")
     u2 = hash_uniform(*keys, seed=seed, salt=f"{salt}#u2")
-    u1 = F.greatest(u1, F.lit(1.0 / TWO_32))
+    u1 = F.greatest(u1, F.lit(1.0 / TWO_60))
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(6.283185307179586) * u2)
 
 
 def hex_threshold(fraction: float) -> str:
-    """Hex string t with P(hash_hex < t) == fraction (to 2^-32)."""
-    t = int(round(min(max(fraction, 0.0), 1.0) * TWO_32))
-    return "100000000" if t >= TWO_32 else f"{t:08x}"
+    """Hex string t with P(hash_hex < t) == fraction (to 2^-60), for a fraction below 1."""
+    t = min(int(round(min(max(fraction, 0.0), 1.0) * TWO_60)), int(TWO_60) - 1)
+    return f"{t:0{DIGITS}x}"
 
 
 def hash_below(hex_col: Column, fraction: float) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.ordering import prefix_sums
+from tessera.operators.ordering import null_safe_join, prefix_sums
 from tessera.session import cut_lineage
 
 
@@ -55,7 +55,7 @@ def exact_quantiles(df: DataFrame, col: str, probs, group_cols=(), name: str = "
     key = groups if groups else None
     cond = (F.col("r") > F.col("_n_cum") - F.col("_n")) & (F.col("r") <= F.col("_n_cum"))
     if key:
-        j = cum.join(F.broadcast(ranks), on=key, how="inner").where(cond)
+        j = null_safe_join(cum, ranks, key).where(cond)
     else:
         j = cum.withColumn("_k", F.lit(0)).join(
             F.broadcast(ranks.withColumn("_k", F.lit(0))), on="_k", how="inner").where(cond)

@@ -208,17 +208,19 @@ class FeaturePipeline:
     Column kinds: numeric types -> median + scaler; strings with at most
     ``low_card`` distinct values -> mode + one-hot; other strings -> mode +
     ordinal; constant columns dropped; booleans and datetimes dropped (as in
-    the reference); the date column and the target are never features."""
+    the reference); the date column, the target and row ids (``id_col``) are never features."""
 
     def __init__(self, target: str | None = None, text_cols=(), date_col: str | None = None,
-                 scaler: str = "standard", low_card: int = 15, encode_target: bool | None = None):
+                 scaler: str = "standard", low_card: int = 15, encode_target: bool | None = None,
+                 id_col: str | tuple[str, ...] = ()):
         self.target, self.text_cols, self.date_col = target, list(text_cols), date_col
+        self.id_cols = [id_col] if isinstance(id_col, str) else list(id_col)
         self.scaler_kind, self.low_card = scaler, low_card
         self.encode_target = encode_target
 
     def fit(self, df: DataFrame) -> FittedFeatures:
         types = {f.name: f.dataType for f in df.schema.fields}
-        skip = {self.target, self.date_col, *self.text_cols}
+        skip = {self.target, self.date_col, *self.text_cols, *self.id_cols}
         cand = [c for c in df.columns if c not in skip]
         num = [c for c in cand if isinstance(types[c], NUMERIC)]
         cat = [c for c in cand if isinstance(types[c], T.StringType)]

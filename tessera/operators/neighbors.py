@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import connected_components
 from tessera.session import cut_lineage
 
 KNN_SCHEMA = "query_id long, neighbor_id long, rank int, distance double"
@@ -194,15 +195,13 @@ def radius_counts(points: DataFrame, id_col: str, x: str, y: str, eps: float) ->
     return out.select("id", (F.col("_n_same") + F.coalesce("_n_cross", F.lit(0))).alias("n_neighbors"))
 
 
-def dbscan(points: DataFrame, id_col: str, x: str, y: str, eps: float, min_samples: int = 5,
-           max_iter: int = 100) -> DataFrame:
+def dbscan(points: DataFrame, id_col: str, x: str, y: str, eps: float, min_samples: int = 5) -> DataFrame:
     """Core points have >= min_samples neighbours within eps (self
     included, counted by ``radius_counts``).  Clusters are connected
     components of the core graph: core points sharing a sub-cell are linked
     through a star to the sub-cell's smallest core id (never all pairs), core
     points in different sub-cells by their cross-cell pairs; components come
-    from iterative min-label propagation (lineage cut each round in the shared
-    checkpoint folder).  Border points take the smallest label of a core
+    from alternating stars, run until they converge.  Border points take the smallest label of a core
     neighbour; noise is -1.  Cluster label = smallest core id in it."""
     cells = cut_lineage(_subcells(points, id_col, x, y, eps))
     counts = radius_counts(points, id_col, x, y, eps)
@@ -212,19 +211,8 @@ def dbscan(points: DataFrame, id_col: str, x: str, y: str, eps: float, min_sampl
     star = core_cells.join(hub, ["_cx", "_cy"]).where(F.col("_id") != F.col("_hub")).select(
         F.col("_id").alias("a"), F.col("_hub").alias("b"))
     core_cross = (_cross_pairs(core_cells, eps).select("a", "b"))
-    edges = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(core_cross)
-    edges = cut_lineage(edges)
-    labels = core.select("id", F.col("id").alias("label"))
-    for _ in range(max_iter):
-        nb = edges.join(labels.select(F.col("id").alias("b"), F.col("label").alias("_lb")), "b").groupBy("a").agg(
-            F.min("_lb").alias("_m"))
-        new = labels.join(nb.withColumnRenamed("a", "id"), "id", "left").select(
-            "id", F.least("label", F.coalesce("_m", "label")).alias("label"))
-        new = cut_lineage(new)
-        changed = new.join(labels.withColumnRenamed("label", "_old"), "id").where(F.col("label") != F.col("_old")).count()
-        labels = new
-        if changed == 0:
-            break
+    found = connected_components(star.unionByName(core_cross))
+    labels = cut_lineage(core.join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label")))
     # border points: smallest label among core neighbours (same sub-cell by aggregate, other cells by pairs)
     lab = labels.select(F.col("id").alias("_id"), F.col("label").alias("_lb"))
     same_min = cells.join(lab, "_id").groupBy("_cx", "_cy").agg(F.min("_lb").alias("_sm"))

@@ -31,6 +31,20 @@ def _cols(cs) -> list[str]:
     return [cs] if isinstance(cs, str) else list(cs)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with null equal to null, keeping the left key columns.
+    A plain equi-join would silently drop every row whose group key is null."""
+    keys = _cols(keys)
+    if not keys:
+        raise ValueError("null_safe_join needs at least one key")
+    named = right.select(*[F.col(k).alias(f"_rk_{i}") for i, k in enumerate(keys)],
+                         *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_rk_{i}"))
+    return left.join(named, on, how).drop(*[f"_rk_{i}" for i in range(len(keys))])
+
+
 def hash_rank(df: DataFrame, hex_col: str, tie_cols, group_cols=(), name: str = "rank",
               digits: int = 4) -> DataFrame:
     """1-based row number within ``group_cols`` ordered by (hex_col, tie_cols).
@@ -51,7 +65,7 @@ def hash_rank(df: DataFrame, hex_col: str, tie_cols, group_cols=(), name: str =
     # buckets x groups rows; without groups it is at most 16^digits rows (65 536).
     if not groups:
         off = F.broadcast(off)
-    out = d.join(off, on=[*groups, b], how="inner")
+    out = null_safe_join(d, off, [*groups, b])
     return out.withColumn(name, (F.col("_off") + F.col("_local")).cast("long")).drop(b, "_local", "_off")
 
 
@@ -66,7 +80,7 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols, partition_cols=(), buck
     # one row per partition group
     v = F.col(order_col).cast("double")
     if parts:
-        d = df.join(F.broadcast(bounds), on=parts, how="inner")
+        d = null_safe_join(df, bounds, parts)
         bcol = F.col("_bounds")
     else:
         # a single list of (buckets - 1) numbers: inline it as a literal
@@ -84,8 +98,8 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols, partition_cols=(), buck
     for s in sums:
         tot = tot.withColumn(f"_o_{s}", F.coalesce(F.sum(f"_t_{s}").over(wb), F.lit(0)))
     tot = tot.select(*parts, "_bk", *[f"_o_{s}" for s in sums])
-    # at most buckets x partition groups rows
-    d = d.join(F.broadcast(tot), on=[*parts, "_bk"], how="inner")
+    # without groups at most ``buckets`` rows; with groups the planner decides
+    d = null_safe_join(d, tot if parts else F.broadcast(tot), [*parts, "_bk"])
     for s in sums:
         d = d.withColumn(f"{s}{suffix}", F.col(f"_o_{s}") + F.col(f"_l_{s}"))
     return d.drop("_bk", *[f"_l_{s}" for s in sums], *[f"_o_{s}" for s in sums])
@@ -110,7 +124,7 @@ def range_rank(df: DataFrame, order_cols, group_cols=(), name: str = "rank",
     # at most (groups + partitions) rows; without groups, one per partition.
     if not groups:
         stats = F.broadcast(stats)
-    out = r.join(stats, on=[*groups, "_pid"], how="inner")
+    out = null_safe_join(r, stats, [*groups, "_pid"])
     return (out.withColumn(name, (F.col("_off") + F.col("_pos") - F.col("_first") + 1).cast("long"))
             .drop("_pos", "_pid", "_first", "_off"))
 
@@ -123,7 +137,7 @@ def group_count(df: DataFrame, group_cols=(), name: str = "_group_n") -> DataFra
         n = df.count()
         return df.withColumn(name, F.lit(n).cast("long"))
     counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias(name))
-    return df.join(counts, on=groups, how="inner")
+    return null_safe_join(df, counts, groups)
 
 
 def lit_col(c) -> Column:
@@ -177,7 +191,7 @@ def running_agg(df: DataFrame, group_cols, rank_col: str, value_col: str, fn: st
     tot = d.groupBy(*groups, "_blk").agg(agg(value_col).alias("_bt"))
     tot = tot.withColumn("_prev", agg("_bt").over(
         Window.partitionBy(*groups).orderBy("_blk").rowsBetween(UNB, -1))).drop("_bt")
-    d = d.join(tot, on=[*groups, "_blk"], how="inner")
+    d = null_safe_join(d, tot, [*groups, "_blk"])
     if fn == "sum":
         combined = F.coalesce(F.col("_prev"), F.lit(0)) + F.coalesce(F.col("_local"), F.lit(0))
         combined = F.when(F.col("_prev").isNull() & F.col("_local").isNull(), F.lit(None)).otherwise(combined)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.hashing import hash_below, hash_hex, hash_uniform
+from tessera.functions.hashing import DIGITS, hash_below, hash_hex, hash_uniform
 from tessera.operators.ordering import group_count, hash_rank, range_rank
 from tessera.operators.profile import TRAIN_WORDS, apply_schema
 
@@ -170,7 +170,7 @@ def monte_carlo_splits(df: DataFrame, id_col: str, n_iter: int, fraction: float,
     expanded to its n_iter memberships (no join)."""
     d = df.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))))
     h = F.substring(F.md5(F.concat_ws(":", F.col(id_col).cast("string"),
-                                      (F.lit(seed) + F.col("iteration")).cast("string"), F.lit("split"))), 1, 8)
+                                      (F.lit(seed) + F.col("iteration")).cast("string"), F.lit("split"))), 1, DIGITS)
     from tessera.functions.hashing import hex_threshold
     flag = F.lit(True) if fraction >= 1 else (F.lit(False) if fraction <= 0 else h < F.lit(hex_threshold(fraction)))
     return d.withColumn(SPLIT_COL, flag)
@@ -190,10 +190,12 @@ def hash_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame
 
 
 def poisson_weights(df: DataFrame, id_col: str, fraction: float = 1.0, seed: int = 42,
-                    name: str = "weight", max_k: int = 20) -> DataFrame:
+                    name: str = "weight") -> DataFrame:
     """Bootstrap as a Poisson(fraction) copy count per row by inverse CDF
-    of the row's draw (deterministic, no shuffle)."""
+    of the row's draw (deterministic, no shuffle).  The largest count follows
+    from the fraction: its tail beyond that is below one draw in 2^60."""
     import math
+    max_k = math.ceil(fraction + 12 * math.sqrt(fraction) + 20)
     u = hash_uniform(id_col, seed=seed, salt="boot")
     cdf, p, expr = 0.0, math.exp(-fraction), None
     branches = []

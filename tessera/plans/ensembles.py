@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.hashing import hash_below, hash_hex
+from tessera.functions.hashing import DIGITS, hash_below, hash_hex, hex_threshold
 from tessera.operators.split import kfold, poisson_weights
 from tessera.session import cut_lineage
 
@@ -194,7 +194,7 @@ def isolation_forest(df: DataFrame, feature_cols, id_col: str, n_trees: int = 50
     memb = df.select(id_col, *[F.col(c).cast("double") for c in cols]).withColumn(
         "tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
     samp = memb.where(F.substring(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.col("tree").cast("string"),
-                                                    F.lit(str(seed)))), 1, 8) < F.lit(f"{int(frac * 2**32) if frac < 1 else 2**32 - 1:08x}"))
+                                                    F.lit(str(seed)))), 1, DIGITS) < F.lit(hex_threshold(frac)))
     max_depth = int(math.ceil(math.log2(max(sample_size, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

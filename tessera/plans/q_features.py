@@ -137,7 +137,7 @@ def h12(spark, sf):
 def h11(spark, sf):
     """Fit on the 80% train split, transform everything: vector width and label."""
     tr = _train(spark, sf)
-    fitted = FE.FeaturePipeline(target="p_brand", scaler="standard").fit(tr.where("is_train").drop("is_train"))
+    fitted = FE.FeaturePipeline(target="p_brand", scaler="standard", id_col="p_partkey").fit(tr.where("is_train").drop("is_train"))
     out = fitted.transform(part_nulls(spark, sf))
     from pyspark.ml.functions import vector_to_array
     return out.select("p_partkey", "label", F.size(vector_to_array("features")).alias("n_features"))

@@ -105,7 +105,7 @@ def doc_quality_frame(spark, sf):
 
 def _prepared(spark, sf):
     d = random_split(doc_quality_frame(spark, sf), "doc_id", 0.8, seed=42)
-    fitted = FeaturePipeline(target="quality").fit(d.where("is_train").drop("is_train"))
+    fitted = FeaturePipeline(target="quality", id_col="doc_id").fit(d.where("is_train").drop("is_train"))
     return fitted.transform(d), fitted
 
 
@@ -336,7 +336,7 @@ def l29(spark, sf):
     lab = table(spark, sf, "labels")
     doc = table(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source")
     d = lab.join(doc, "doc_id")
-    fitted = FeaturePipeline().fit(d.drop("quality", "toxic"))
+    fitted = FeaturePipeline(id_col="doc_id").fit(d.drop("quality", "toxic"))
     x = fitted.transform(d)
     x = x.withColumn("is_train", hash_below_col("doc_id", 0.8))
     out = x.where("NOT is_train")

@@ -14,7 +14,7 @@ from tessera.session import table
 
 
 def _h(col, seed=42, salt="split"):
-    return f"substr(md5(concat_ws(':', CAST({col} AS VARCHAR), '{seed}', '{salt}')), 1, 8)"
+    return f"substr(md5(concat_ws(':', CAST({col} AS VARCHAR), '{seed}', '{salt}')), 1, 15)"
 
 
 @register("G01_random_split", f"""
@@ -125,7 +125,7 @@ def g09(spark, sf):
 
 @register("G10_monte_carlo", f"""
 SELECT doc_id, CAST(i AS INTEGER) AS iteration,
-       substr(md5(concat_ws(':', CAST(doc_id AS VARCHAR), CAST(42 + i AS VARCHAR), 'split')), 1, 8) < '{hex_threshold(0.8)}' AS is_train
+       substr(md5(concat_ws(':', CAST(doc_id AS VARCHAR), CAST(42 + i AS VARCHAR), 'split')), 1, 15) < '{hex_threshold(0.8)}' AS is_train
 FROM labels, (SELECT unnest(range(0, 5)) AS i) its""")
 def g10(spark, sf):
     return S.monte_carlo_splits(table(spark, sf, "labels"), "doc_id", 5, 0.8, seed=42).select(
@@ -148,7 +148,7 @@ def _poisson_case(u, lam=1.0, max_k=20):
 
 
 @register("G13_bootstrap_weights", f"""
-SELECT doc_id, CAST({_poisson_case("CAST('0x' || " + _h('doc_id', salt='boot') + " AS BIGINT) / 4294967296.0")} AS INTEGER) AS weight
+SELECT doc_id, CAST({_poisson_case("CAST('0x' || " + _h('doc_id', salt='boot') + " AS BIGINT) / 1152921504606846976.0")} AS INTEGER) AS weight
 FROM labels""")
 def g13(spark, sf):
     return S.poisson_weights(table(spark, sf, "labels"), "doc_id", 1.0, seed=42).select("doc_id", "weight")

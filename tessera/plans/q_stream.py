@@ -20,7 +20,7 @@ def k01(spark, sf):
     lab = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
     doc = table(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source")
     train = doc.join(lab, "doc_id")
-    fitted = FeaturePipeline(target="quality").fit(train)
+    fitted = FeaturePipeline(target="quality", id_col="doc_id").fit(train)
     model = make_estimator("classification", "logistic_regression").fit(fitted.transform(train))
     scored = ST.score(fitted.transform(doc.withColumn("quality", F.lit(None).cast("string"))), model,
                       fitted.label_dict)

@@ -52,7 +52,7 @@ def n03(spark, sf):
 def _fit_on_train(spark, sf):
     raw = random_split(doc_quality_frame(spark, sf), "doc_id", 0.8, seed=42)
     from tessera.operators.features import FeaturePipeline
-    fitted = FeaturePipeline(target="quality").fit(raw.where(SPLIT_COL).drop(SPLIT_COL))
+    fitted = FeaturePipeline(target="quality", id_col="doc_id").fit(raw.where(SPLIT_COL).drop(SPLIT_COL))
     model = _rf(42).fit(fitted.transform(raw.where(SPLIT_COL).drop(SPLIT_COL)))
     return raw.where(~F.col(SPLIT_COL)).drop(SPLIT_COL), fitted, model
 

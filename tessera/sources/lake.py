@@ -27,10 +27,22 @@ class LakeError(ValueError):
     pass
 
 
-def slugify_name(value: str) -> str:
-    """Dataset folder name: letters, digits, '-' and '_' kept, others -> '_'."""
-    cleaned = "".join(ch if ch.isalnum() or ch in "-_" else "_" for ch in value.strip())
-    return cleaned.strip("_") or "dataset"
+_UNSAFE = re.compile(r"[^\w-]")
+
+
+def slugify_name(value: str, default: str = "dataset") -> str:
+    """I14 for a folder name: anything but a word character or '-' becomes '_',
+    underscores at either end go, and nothing left means ``default``."""
+    return re.sub(_UNSAFE, "_", value.strip()).strip("_") or default
+
+
+def version_key(name: str) -> tuple[str, int, str]:
+    """Sort key of a version name: its stamp, then the counter of saves within
+    the same stamp as a number, so save 10 follows save 9."""
+    stamp = re.match(r"v_\d{8}_\d{6}", name)
+    rest = name[stamp.end():] if stamp else name
+    counter = re.match(r"_(\d+)(?=\.|\Z)", rest)
+    return (stamp.group() if stamp else name, int(counter.group(1)) if counter else 1, name)
 
 
 class Lake:
@@ -81,17 +93,42 @@ class Lake:
             w.format(fmt).save(f"{d}/{name}")
         return name
 
+    def save_file(self, source: str, dataset: str, version: str | None = None) -> str:
+        """A07 for an upload: copy one raw file (csv, json, parquet, text, zip) as a version."""
+        src = self._Path(source)
+        fmt = src.getName().rsplit(".", 1)[-1].lower()
+        fmt = "text" if fmt == "txt" else fmt
+        if fmt not in FORMATS:
+            raise LakeError(f"unsupported format {fmt}")
+        d = self._dataset_dir(dataset)
+        version = self._check(version or dt.datetime.utcnow().strftime("v_%Y%m%d_%H%M%S"))
+        name, n = f"{version}.{fmt}", 1
+        while self._exists(f"{d}/{name}"):
+            n += 1
+            name = f"{version}_{n}.{fmt}"
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        util = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil
+        util.copy(src.getFileSystem(conf), src, self._fs, self._Path(f"{d}/{name}"), False, conf)
+        return name
+
     # -- catalog
     def _list_dirs(self, path: str):
         if not self._exists(path):
             return []
         return [s for s in self._fs.listStatus(self._Path(path)) if s.isDirectory()]
 
+    def _list_versions(self, path: str):
+        """Versions are folders that Spark wrote and single files of a known format."""
+        if not self._exists(path):
+            return []
+        return [s for s in self._fs.listStatus(self._Path(path))
+                if s.isDirectory() or s.getPath().getName().rsplit(".", 1)[-1] in FORMATS]
+
     def catalog(self) -> DataFrame:
         rows = []
         for ds in self._list_dirs(self.base):
             dname = ds.getPath().getName()
-            for v in self._list_dirs(ds.getPath().toString()):
+            for v in self._list_versions(ds.getPath().toString()):
                 vname = v.getPath().getName()
                 fmt = vname.rsplit(".", 1)[-1] if "." in vname else "parquet"
                 rows.append((dname, vname, v.getPath().toString(), fmt,
@@ -104,8 +141,9 @@ class Lake:
                       if s.getPath().getName() not in HIDDEN_DATASETS)
 
     def list_versions(self, dataset: str) -> list[str]:
-        """Newest first (string order of the version stamp)."""
-        return sorted((s.getPath().getName() for s in self._list_dirs(self._dataset_dir(dataset))), reverse=True)
+        """Newest first: by version stamp, then by save within the stamp."""
+        return sorted((s.getPath().getName() for s in self._list_versions(self._dataset_dir(dataset))),
+                      key=version_key, reverse=True)
 
     def version_info(self, dataset: str, version: str) -> dict:
         c = self.catalog().where((F.col("dataset") == slugify_name(dataset)) & (F.col("version") == version)).collect()
@@ -137,9 +175,7 @@ class Lake:
             opts.update(options)
             df = r.options(**opts).csv(path)
         elif fmt == "json":
-            df = r.options(**options).json(path)
-            if df.columns == ["_corrupt_record"]:  # not JSON lines: one array document
-                df = self.spark.read.options(multiLine=True, **options).json(path)
+            df = self._load_json(r, path, options)
         elif fmt == "text":
             df = r.text(path).withColumnRenamed("value", "text")
         elif fmt == "zip":
@@ -150,6 +186,15 @@ class Lake:
             df = df.toDF(*names)
         return df.limit(limit) if limit else df
 
+    def _load_json(self, reader, path: str, options: dict) -> DataFrame:
+        """JSON lines first; if any line that is not blank fails to parse on
+        its own, the files hold array documents."""
+        lines = self.spark.read.text(path).where(F.trim("value") != "")
+        alone = F.trim("value").startswith("{") & F.trim("value").endswith("}")
+        if lines.where(~alone).isEmpty():
+            return reader.options(**options).json(path)
+        return reader.options(multiLine=True, **options).json(path)
+
     # -- delete
     def delete(self, dataset: str, version: str) -> bool:
         d = self._dataset_dir(dataset)
