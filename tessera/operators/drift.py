@@ -96,7 +96,7 @@ def category_counts(ref: DataFrame, cur: DataFrame, cols: list[str]) -> DataFram
 def chi2_statistics(ref: DataFrame, cur: DataFrame, cols: list[str]) -> DataFrame:
     """column, categories_compared, n_ref, n_cur, statistic (chi-square of the
     2 x k table; Yates when k = 2; 0 when a side is empty or k = 1)."""
-    cc = category_counts(ref, cur, cols)
+    cc = cut_lineage(category_counts(ref, cur, cols))  # feeds the totals and the terms
     tot = cc.groupBy("column").agg(
         F.sum("n_ref").alias("r1"), F.sum("n_cur").alias("r2"),
         F.count(F.lit(1)).alias("categories_compared"))

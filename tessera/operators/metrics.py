@@ -41,10 +41,13 @@ def class_table(df: DataFrame, label: str, prediction: str, group_cols=()) -> Da
     g = list(group_cols)
     y, p = F.col(label).cast("string"), F.col(prediction).cast("string")
     cm = df.groupBy(*g, y.alias("_y"), p.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    t = cm.groupBy(*g, F.col("_y").alias("cls")).agg(
-        F.sum("_n").alias("support"), F.sum(F.when(F.col("_y") == F.col("_p"), F.col("_n")).otherwise(0)).alias("tp"))
-    pr = cm.groupBy(*g, F.col("_p").alias("cls")).agg(F.sum("_n").alias("predicted"))
-    return t.join(pr, on=[*g, "cls"], how="full").fillna(0, ["support", "tp", "predicted"])
+    # each cell counts for its true class and for its predicted one; one pass, null classes included
+    zero = F.lit(0).cast("long")
+    tp = F.when(F.col("_y") == F.col("_p"), F.col("_n")).otherwise(zero)
+    side = lambda c, s, p, t: F.struct(F.col(c).alias("cls"), s.alias("support"), p.alias("predicted"), t.alias("tp"))
+    cells = cm.select(*g, F.explode(F.array(side("_y", F.col("_n"), zero, tp), side("_p", zero, F.col("_n"), zero))).alias("_c"))
+    return cells.groupBy(*g, F.col("_c.cls").alias("cls")).agg(
+        F.sum("_c.support").alias("support"), F.sum("_c.tp").alias("tp"), F.sum("_c.predicted").alias("predicted"))
 
 
 def classification_metrics(df: DataFrame, label: str, prediction: str, group_cols=()) -> DataFrame:

@@ -85,8 +85,10 @@ def pair_rules(baskets: DataFrame, basket_col: str = "basket", item_col: str = "
     min_count = max(1, math.ceil(min_support * n - 1e-9))
     pc = pair_counts(b, min_count=min_count)
     sup = item_supports(b, n).select("item", "support")
-    both = pc.select(F.col("a").alias("antecedent"), F.col("b").alias("consequent"), "n_ab").unionByName(
-        pc.select(F.col("b").alias("antecedent"), F.col("a").alias("consequent"), "n_ab"))
+    # both directions of a counted pair, without counting pairs twice
+    both = pc.select(F.explode(F.array(
+        F.struct(F.col("a").alias("antecedent"), F.col("b").alias("consequent")),
+        F.struct(F.col("b").alias("antecedent"), F.col("a").alias("consequent")))).alias("_p"), "n_ab").select("_p.*", "n_ab")
     sa = sup.select(F.col("item").alias("antecedent"), F.col("support").alias("s_a"))
     sb = sup.select(F.col("item").alias("consequent"), F.col("support").alias("s_b"))
     r = both.join(sa, "antecedent").join(sb, "consequent")

@@ -29,19 +29,34 @@ def effective_max_features(max_features: int, n_text_cols: int) -> int:
     return max_features
 
 
-def doc_terms(docs: DataFrame, id_col: str, text_col: str, ngram_range=(1, 3), stop_words=None,
+def doc_grams(docs: DataFrame, id_col: str, text_col: str, ngram_range=(1, 3), stop_words=None,
               clean: bool = True, mode: str = "standard") -> DataFrame:
-    """(id, term) rows, one per n-gram occurrence."""
+    """(id, _grams): the n-grams of each document, one per occurrence."""
     text = clean_text(text_col, mode) if clean else F.coalesce(F.col(text_col), F.lit(""))
     tok = remove_stop_words(tokens(text), stop_words)
     d = spread(docs.select(F.col(id_col), F.col(text_col)), id_col).select(F.col(id_col), tok.alias("_tok"))
-    grams = ngrams(F.col("_tok"), ngram_range[0], ngram_range[1])
-    return d.select(F.col(id_col), F.explode(grams).alias("term"))
+    return d.select(F.col(id_col), ngrams(F.col("_tok"), ngram_range[0], ngram_range[1]).alias("_grams"))
+
+
+def doc_terms(docs: DataFrame, id_col: str, text_col: str, **kw) -> DataFrame:
+    """(id, term) rows, one per n-gram occurrence."""
+    return doc_grams(docs, id_col, text_col, **kw).select(F.col(id_col), F.explode("_grams").alias("term"))
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str, **kw) -> DataFrame:
-    """Long count vectors (id, term, tf)."""
-    return doc_terms(docs, id_col, text_col, **kw).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """Long count vectors (id, term, tf).
+
+    A document is one row, so its terms are counted inside the row, as the
+    lengths of equal runs of its sorted n-grams; nothing is shuffled."""
+    d = doc_grams(docs, id_col, text_col, **kw).select(F.col(id_col), F.sort_array("_grams").alias("_g"))
+    positions = F.when(F.size("_g") > 0, F.sequence(F.lit(0), F.size("_g") - 1)).otherwise(F.array().cast("array<int>"))
+    first = F.filter(positions, lambda i: (i == 0) | (F.get("_g", i) != F.get("_g", i - 1)))
+    d = d.select(id_col, "_g", first.alias("_s"))
+    runs = F.transform("_s", lambda x, j: F.struct(
+        F.get("_g", x).alias("term"), (F.coalesce(F.get("_s", j + 1), F.size("_g")) - x).cast("long").alias("tf")))
+    # an outer generator: for an inner one the optimiser would push a size filter below the
+    # steps above and compute them again inside it
+    return d.select(F.col(id_col), F.inline_outer(runs)).where(F.col("term").isNotNull())
 
 
 def vocabulary(tf: DataFrame, id_col: str, max_features: int | None = 5000) -> DataFrame:
@@ -57,11 +72,10 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str, ngram_range=(1, 3), max_f
           stop_words=None, sublinear_tf: bool = True, clean: bool = True, mode: str = "standard") -> DataFrame:
     """(id, term, weight) for the vocabulary terms present in each doc.
 
-    Two passes over the text: the first fixes the vocabulary (top
-    ``max_features`` terms with their document frequency -- a bounded table
-    that is broadcast); the second keeps only vocabulary terms *before*
-    counting, and normalises with a window over the document, so the
-    exploded n-grams are generated twice, not once per consumer."""
+    Two passes over the text, both counting inside the row: the first fixes
+    the vocabulary (top ``max_features`` terms with their document frequency
+    -- a bounded table that is broadcast) with one shuffle on the term; the
+    second looks terms up and shuffles only the vocabulary's, for the norm."""
     from pyspark.sql import Window
     kw = dict(ngram_range=ngram_range, stop_words=stop_words, clean=clean, mode=mode)
     n_docs = docs.select(id_col).count()
@@ -69,8 +83,7 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str, ngram_range=(1, 3), max_f
     if max_features and max_features <= VOCAB_BROADCAST_LIMIT:
         spark = docs.sparkSession
         vocab = F.broadcast(spark.createDataFrame(vocab.collect(), "term string, df long"))  # <= max_features rows
-    terms = doc_terms(docs, id_col, text_col, **kw)
-    t = terms.join(vocab, "term").groupBy(id_col, "term", "df").agg(F.count(F.lit(1)).alias("tf"))
+    t = term_counts(docs, id_col, text_col, **kw).join(vocab, "term")
     tfw = (F.lit(1.0) + F.log(F.col("tf"))) if sublinear_tf else F.col("tf").cast("double")
     idf = F.log((F.lit(1.0) + F.lit(float(n_docs))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     t = t.withColumn("_w", tfw * idf)
