@@ -8,8 +8,8 @@ that reads every clause once.  A text's score weighs its marked matches; a word
 alone has no score of its own outside its clause.
 
 Insults are learned: words and word beginnings that texts labelled toxic have and
-others lack, picked greedily by the toxic texts that they alone explain, so that
-words which copies merely share are not taken up.  The weights of marked matches
+others lack, picked greedily by the toxic texts that no other explains (or one
+other, for frequent ones), so that words which copies merely share are not taken up.  The weights of marked matches
 are fitted by logistic regression that is drawn to the prior weights below.  Both
 use a sample of labelled texts bounded by ``SAMPLE``.
 
@@ -181,6 +181,12 @@ def patterns(text: str) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in range(STEM, STEM + 4) if len(w) > k}
 
 
+def _kin(p: str, q: str) -> bool:
+    """Whether two patterns match a word in common by construction."""
+    a, b = p.rstrip("*"), q.rstrip("*")
+    return a == b or (p.endswith("*") and b.startswith(a)) or (q.endswith("*") and a.startswith(b))
+
+
 def learn_insults(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, str]:
     """Patterns that explain the toxic texts of ``sample`` (text, y), with their
     symbols: each is in enough of those that no earlier pattern explains, an insult
@@ -226,6 +232,17 @@ def learn_insults(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, st
             chosen[best] = symbol
             explained |= rows
             left = {p: r for p, rs in left.items() if len(r := rs - rows) >= support}
+        if symbol == "i":
+            # insults that mostly keep company with another one: a second explanation, for many more texts
+            times = Counter(i for p in chosen for i in rows_of[p])
+            left = {p: r for p in allowed if not any(_kin(p, c) for c in chosen)
+                    and len(r := {i for i in rows_of[p] if times[i] < 2}) >= 5 * support}
+            while left:
+                best = max(left, key=lambda p: (len(left[p]), not p.endswith("*"), len(p), p))
+                del left[best]
+                chosen[best] = symbol
+                times.update(rows_of[best])
+                left = {p: r for p, rs in left.items() if not _kin(p, best) and len(r := {i for i in rs if times[i] < 2}) >= 5 * support}
     return chosen
 
 
