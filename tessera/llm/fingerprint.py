@@ -53,7 +53,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str, shingle: int = SHINGLE)
     shingles = F.when(n >= shingle, rolling).when(n > 0, whole).otherwise(F.array().cast("array<bigint>"))
     marks = _constants([((i + 1) << _LOW) - 1 for i in range(BINS)])
     # with one mark behind each bin's hashes, the first value of every bin is its minimum, or the mark
-    ordered = hashed.select(*keep, F.array_sort(F.concat(shingles, marks)).alias("__s"))
+    ordered = hashed.select(*keep, F.sort_array(F.concat(shingles, marks)).alias("__s"))
     first = ordered.select(*keep, F.filter("__s", lambda x, i: (i == 0) | (
         F.shiftright(x, _LOW) != F.shiftright(F.get(F.col("__s"), i - 1), _LOW))).alias("__d"))
     full = first.select(*keep, "__d", F.filter("__d", lambda x: x.bitwiseAND(_EMPTY) != _EMPTY).alias("__f"))

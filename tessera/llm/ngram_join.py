@@ -20,8 +20,8 @@ its band is indexed under the band below too.
 expanded into all its pairs: each set is compared with the smallest id of one
 bucket, then with the set of each bucket that has the fewest shingles of its own,
 which gathers copies; only pairs of a bucket that this left in different
-components are compared, and only if the shingles they share with other
-components at all could suffice.  Buckets too large for a task are compared in
+components are compared, and only if neither the shingles they share with other
+components at all nor the sizes of their classes of shingles rule a link out.  Buckets too large for a task are compared in
 blocks.  Components come from pointer jumping and alternating stars; nothing of
 them passes through the driver.
 
@@ -48,6 +48,8 @@ NGRAM, NUM, DEN = 4, 85, 100
 CACHE_WORDS, CACHE_SETS = 400_000, 200_000
 #: Chance that two unrelated sets share a given shingle, for the cost of a segment.
 SHARED = 0.02
+#: Classes of shingles whose counts bound an overlap.
+CLASSES = 128
 #: Sets of a bucket that one task compares at most; larger ones are cut into blocks.
 BLOCK = 4_000
 
@@ -283,10 +285,21 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(low)], names=["rep", "token"])
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, set) to (rep, sketch): how many shingles each of CLASSES classes holds."""
+    for batch in batches:
+        out = []
+        for x in batch.column(1):
+            at = (np.frombuffer(x.as_buffer(), _U) % _U(CLASSES)).astype(np.int64)
+            out.append(np.minimum(np.bincount(at, minlength=CLASSES), 65_535).astype("<u2").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["rep", "sketch"])
+
+
 def _cross(num: int, den: int):
     """Rows sorted by cell (sig, i, j): pairs of different components, one of
-    block i and one of block j, that could be similar."""
-    def pairs(rows: np.ndarray, i: int, j: int) -> np.ndarray:
+    block i and one of block j, that could be similar: neither the shingles they
+    share with other components nor the counts of their classes rule it out."""
+    def pairs(rows: np.ndarray, sketch: np.ndarray, i: int, j: int) -> np.ndarray:
         rep, comp, n, c, block = rows.T
         out = []
         first = np.flatnonzero(block == i)
@@ -295,8 +308,12 @@ def _cross(num: int, den: int):
             y = second[k + 1:] if i == j else second
             most = np.minimum(c[x], c[y])
             ok = (comp[y] != comp[x]) & (most * den >= (n[x] + n[y] - most) * num)
-            if ok.any():
-                hit = y[ok]
+            hit = y[ok]
+            if len(hit):
+                both = np.minimum(sketch[x], sketch[hit]).sum(axis=1, dtype=np.int64)
+                both = np.where(np.maximum(n[x], n[hit]) > 65_535, n[hit], both)  # a class may be full
+                hit = hit[both * den >= (n[x] + n[hit] - both) * num]
+            if len(hit):
                 out.append(np.stack([np.minimum(rep[x], rep[hit]), np.maximum(rep[x], rep[hit])], axis=1))
         return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
@@ -306,22 +323,26 @@ def _cross(num: int, den: int):
         def given(found: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
+        def closed() -> np.ndarray:
+            return pairs(np.concatenate([r for r, _ in held]), np.concatenate([s for _, s in held]), key[1], key[2])
+
         for batch in batches:
+            if not batch.num_rows:
+                continue
             rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(8)], axis=1)
-            cuts = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
-            for part in np.split(rows, cuts):
-                if not len(part):
-                    continue
-                now = tuple(part[0, :3])
+            sketch = np.frombuffer(b"".join(batch.column(8).to_pylist()), "<u2").reshape(-1, CLASSES)
+            cuts = [0, *(np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1).tolist(), len(rows)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                now = tuple(rows[a, :3])
                 if now != key and held:
-                    found = pairs(np.concatenate(held), key[1], key[2])
+                    found = closed()
                     held = []
                     if len(found):
                         yield given(found)
                 key = now
-                held.append(part[:, 3:])
+                held.append((rows[a:b, 3:], sketch[a:b]))
         if held:
-            found = pairs(np.concatenate(held), key[1], key[2])
+            found = closed()
             if len(found):
                 yield given(found)
     return run
@@ -423,9 +444,10 @@ def join(docs: DataFrame, *, n: int = NGRAM, num: int = NUM, den: int = DEN, id_
     rest = materialise(rest.join(merged, "comp", "left").withColumn("comp", F.coalesce("label", "comp")).drop("label"), "join-rest")
     blocks = rest.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    cells = (rest.join(blocks.select("sig", "blocks"), "sig").withColumn("block", block)
+    sketch = sets.join(able.select("rep"), "rep").mapInArrow(_sketches, "rep long, sketch binary")
+    cells = (rest.join(blocks.select("sig", "blocks"), "sig").join(sketch, "rep").withColumn("block", block)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "comp", "size", "c", "block"))
+             .select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "comp", "size", "c", "block", "sketch"))
     pairs = (cells.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
              .mapInArrow(_cross(num, den), "a long, b long").distinct())
     links = gathered.unionByName(verified(materialise(pairs, "join-pairs"), sets, num, den))
