@@ -8,6 +8,8 @@ extra trees are random forests without bootstrap, kernel SVMs are not built.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.ml import classification as C
 from pyspark.ml import clustering as K
 from pyspark.ml import regression as R
@@ -34,11 +36,19 @@ CLUSTERERS = {"kmeans": "kmeans", "agglomerative": "bisecting", "gaussian_mixtur
 
 
 def _depth(params, default=5):
-    return min(int(params.get("max_depth", default) or default), MAX_DEPTH)
+    asked = int(params.get("max_depth", default) or default)
+    if asked > MAX_DEPTH:
+        warnings.warn(f"max_depth {asked} is beyond Spark's limit; {MAX_DEPTH} is used", stacklevel=3)
+    return min(asked, MAX_DEPTH)
 
 
 def make_estimator(task: str, name: str, params: dict | None = None, features: str = "features",
-                   label: str = "label", seed: int = 42, weight_col: str | None = None):
+                   label: str = "label", seed: int = 42, weight_col: str | None = None, n_classes: int = 2):
+    """The estimator of a model name.  With more than two classes, families that
+    Spark fits for two only (boosting, linear SVM) become one-vs-rest."""
+    if task == "classification" and n_classes > 2 and CLASSIFIERS.get(name) in ("gbt", "svc"):
+        one = make_estimator(task, name, params, features, label, seed, weight_col)
+        return C.OneVsRest(classifier=one, featuresCol=features, labelCol=label, parallelism=2)
     p = dict(params or {})
     if task == "classification":
         fam = CLASSIFIERS.get(name)

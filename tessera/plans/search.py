@@ -19,6 +19,26 @@ from pyspark.sql import functions as F
 
 # Search presets (trials per model, folds).
 PRESETS = {"test": (1, 2), "fast": (15, 3), "medium": (40, 5), "high": (100, 5), "custom": (20, 5)}
+# Names of model compositions and of neural models.
+ENSEMBLES = ("custom_voting", "custom_stacking", "custom_bagging", "voting_ensemble", "stacking_ensemble")
+NEURAL = ("mlp",)
+
+
+def keep_candidates(names, mode: str = "both", deep_learning: bool = True, ensembles: bool = True, manual=()) -> list[str]:
+    """The candidates that a search may try.  ``mode`` is ``single`` (no
+    compositions), ``ensemble_only`` or ``both`` (compositions if ``ensembles``);
+    names picked by hand always stay."""
+    if mode not in ("single", "ensemble_only", "both"):
+        raise ValueError(f"unknown ensemble mode {mode}")
+    composed = {"single": (False,), "ensemble_only": (True,), "both": (False, True) if ensembles else (False,)}[mode]
+    allowed = lambda n: (n in ENSEMBLES) in composed and (deep_learning or n not in NEURAL)
+    return [n for n in names if n in set(manual) or allowed(n)]
+
+
+def with_preset_folds(df: DataFrame, preset: str, id_col: str, label: str | None = None, seed: int = 42) -> DataFrame:
+    """The preset's number of (stratified) folds as column ``fold``."""
+    from tessera.operators.split import stratified_kfold
+    return stratified_kfold(df, PRESETS[preset][1], id_col, label, seed)
 
 
 def random_param_maps(estimator, space: dict, n: int, seed: int = 42):
@@ -66,18 +86,27 @@ class SearchResult:
 
 
 def search(data: DataFrame, task: str, candidates: dict, metric: str, fold_col: str = "fold",
-           n_trials: int = 5, seed: int = 42, manual: dict | None = None, parallelism: int = 2) -> SearchResult:
+           n_trials: int | None = None, seed: int = 42, manual: dict | None = None, parallelism: int = 2,
+           preset: str = "custom", mode: str = "both", deep_learning: bool = True) -> SearchResult:
     """Per model, manual parameter maps first, then random maps;
     k-fold selection on ``fold_col``; the best (model, params) is refitted on
-    all rows.  ``candidates``: name -> (estimator, space)."""
+    all rows.  ``candidates``: name -> (estimator, space), filtered by
+    ``keep_candidates`` (models with manual parameters stay).  The preset gives
+    the trials unless ``n_trials`` does; a model without a space is one trial."""
     spark = data.sparkSession
+    n_trials = PRESETS[preset][0] if n_trials is None else n_trials
+    names = keep_candidates(candidates, mode, deep_learning, manual=manual or ())
+    if not names:
+        raise ValueError("no candidate is left to search")
+    candidates = {n: candidates[n] for n in names}
     ev = evaluator_for(task, metric)
     larger = ev.isLargerBetter()
+    n_folds = int(data.agg(F.max(fold_col)).first()[0]) + 1
     rows, best = [], None
     for name, (est, space) in candidates.items():
         maps = [dict((est.getParam(k), v) for k, v in (manual or {}).get(name, {}).items())] if manual and name in manual else []
         maps += random_param_maps(est, space, n_trials, seed) if space else [{}]
-        cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
+        cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col, numFolds=n_folds,
                             parallelism=parallelism, seed=seed)
         m = cv.fit(data)
         for i, (pm, score) in enumerate(zip(maps, m.avgMetrics)):
