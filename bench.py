@@ -21,6 +21,7 @@ HEADLINE = [
     "G03_chronological_split", "G09_time_series_split", "H04_robust_scale", "I07_tfidf", "J04_ts_features",
     "J06_running_best", "M01_classification_metrics", "M05_roc_auc", "M14_ndcg", "M16_cluster_separation",
     "E07_knn_join", "L37_local_outlier_factor", "K03_telemetry_windows", "K04_windowed_drift", "O11_leaderboard",
+    "F05_fpgrowth_itemsets", "L02_random_forest", "L32_dbscan", "O04_model_selection",
 ]
 
 

@@ -40,9 +40,14 @@ def hash_normal(*keys, seed=0, salt: str = "") -> Column:
 
 
 def hex_threshold(fraction: float) -> str:
-    """Hex string t with P(hash_hex < t) == fraction (to 2^-60), for a fraction below 1."""
-    t = min(int(round(min(max(fraction, 0.0), 1.0) * TWO_60)), int(TWO_60) - 1)
-    return f"{t:0{DIGITS}x}"
+    """Hex string t with P(hash_hex < t) == fraction (to 2^-60).  Strings compare
+    from the left, so zeros at the end go, down to eight digits; a fraction of 1
+    is one digit longer and no draw's bound (``hash_below`` never asks)."""
+    if fraction >= 1.0:
+        return "1" + "0" * 8
+    t = min(int(round(max(fraction, 0.0) * TWO_60)), int(TWO_60) - 1)
+    digits = f"{t:0{DIGITS}x}"
+    return digits[:8] + digits[8:].rstrip("0")
 
 
 def hash_below(hex_col: Column, fraction: float) -> Column:

@@ -90,7 +90,17 @@ def e08(spark, sf):
     return c.select(F.col("id").alias("p_partkey"), F.col("n_neighbors").cast("long"))
 
 
-@register("L32_dbscan")
+@register("L32_dbscan", f"""
+WITH RECURSIVE {_PTS_SQL},
+e AS (SELECT a.p_partkey AS a, b.p_partkey AS b FROM pts a JOIN pts b
+      ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.02),
+core AS (SELECT a AS id FROM e GROUP BY a HAVING count(*) >= 5),
+ce AS (SELECT e.a, e.b FROM e JOIN core u ON e.a = u.id JOIN core v ON e.b = v.id),
+r AS (SELECT id, id AS root FROM core UNION SELECT ce.b, r.root FROM r JOIN ce ON r.id = ce.a),
+lab AS (SELECT id, min(root) AS label FROM r GROUP BY id),
+border AS (SELECT e.a AS id, min(lab.label) AS label FROM e JOIN lab ON e.b = lab.id GROUP BY e.a)
+SELECT p.p_partkey AS id, CAST(coalesce(lab.label, border.label, -1) AS BIGINT) AS cluster
+FROM pts p LEFT JOIN lab ON p.p_partkey = lab.id LEFT JOIN border ON p.p_partkey = border.id""")
 def l32(spark, sf):
     return NB.dbscan(part_points(spark, sf), "p_partkey", "x", "y", eps=0.02, min_samples=5)
 

@@ -14,7 +14,7 @@ from tessera.plans.q_models import _prepared, doc_quality_frame
 from tessera.plans.q_split import _h
 from tessera.plans.registry import register
 from tessera.plans.q_aggregates import lineitem_row_id
-from tessera.session import table
+from tessera.session import cut_lineage, table
 
 
 def _r6(c):
@@ -27,19 +27,19 @@ def _rf(seed):
 
 def _data(spark, sf):
     d, fitted = _prepared(spark, sf)
-    return d.drop(SPLIT_COL), fitted
+    return cut_lineage(d.drop(SPLIT_COL)), fitted  # read by every fit
 
 
 @register("N01_seed_stability")
 def n01(spark, sf):
     d, _ = _data(spark, sf)
-    return N.seed_stability(_rf, d, "classification", "doc_id", n_iterations=3)
+    return N.seed_stability(_rf, d, "classification", "doc_id", n_iterations=10)
 
 
 @register("N02_split_stability")
 def n02(spark, sf):
     d, _ = _data(spark, sf)
-    return N.split_stability(_rf, d, "classification", "doc_id", n_splits=3)
+    return N.split_stability(_rf, d, "classification", "doc_id", n_splits=10)
 
 
 @register("N03_param_stability")
@@ -150,17 +150,20 @@ def n10(spark, sf):
 @register("N11_study_summary")
 def n11(spark, sf):
     d, _ = _data(spark, sf)
-    return N.summary(N.seed_stability(_rf, d, "classification", "doc_id", 3))
+    return N.summary(N.seed_stability(_rf, d, "classification", "doc_id", 10))
 
 
 @register("O03_random_param_maps")
 def o03(spark, sf):
+    """Random maps, each fitted on the training split and scored on the rest."""
     est = make_estimator("classification", "logistic_regression")
     maps = SE.random_param_maps(est, {"regParam": ("log", 1e-4, 1.0), "elasticNetParam": ("float", 0.0, 1.0)}, 5)
-    d, _ = _data(spark, sf)
-    rows = [(i, float(m[est.getParam("regParam")]), float(m[est.getParam("elasticNetParam")])) for i, m in enumerate(maps)]
-    return spark.createDataFrame(rows, "trial int, regParam double, elasticNetParam double").withColumn(
-        "rows_seen", F.lit(d.count()))
+    d = cut_lineage(random_split(_data(spark, sf)[0], "doc_id", 0.8, seed=42))
+    train, test = d.where(SPLIT_COL), d.where(~F.col(SPLIT_COL))
+    ev = SE.evaluator_for("classification", "accuracy")
+    rows = [(i, float(m[est.getParam("regParam")]), float(m[est.getParam("elasticNetParam")]),
+             float(ev.evaluate(est.copy(m).fit(train).transform(test)))) for i, m in enumerate(maps)]
+    return spark.createDataFrame(rows, "trial int, regParam double, elasticNetParam double, score double")
 
 
 @register("O04_model_selection")
