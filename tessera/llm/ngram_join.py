@@ -406,7 +406,8 @@ def join(docs: DataFrame, *, n: int = NGRAM, num: int = NUM, den: int = DEN, id_
             .groupBy("rep").agg(F.max(F.struct("n", (-F.col("hub")).alias("hub"))).alias("best"))
             .select(F.col("rep").alias("b"), (-F.col("best.hub")).alias("a")))
     best = materialise(best, "join-stars")
-    wanted = materialise(best.select(F.col("b").alias("doc_id")).union(best.select("a")).distinct(), "join-wanted")
+    # every set of a shared bucket, also one that is the hub of all its buckets and that no set picked
+    wanted = materialise(starred.select(F.col("rep").alias("doc_id")).distinct(), "join-wanted")
     sets = materialise(rows.join(bounded(wanted, wanted.count()), "doc_id", "left_semi").mapInArrow(_sets(n), "rep long, set binary")
                        .dropDuplicates(["rep", "set"]), "join-sets")
     label = roots(verified(best, sets, num, den).select(F.col("b").alias("node"), F.col("a").alias("parent")))

@@ -100,6 +100,18 @@ def test_similar_sets_share_a_signature(band):
             assert of(x) & of(y)
 
 
+def test_originals_with_the_largest_id_link_all_their_copies(spark):
+    """Two edited copies that share no bucket with each other are both hubs; the original picks one only."""
+    rng = random.Random(7)
+    rows = []
+    for g in range(60):
+        x = words(rng, 16, 10**6).split()
+        rows += [(3 * g, " ".join([*x[:-1], f"last{g}"])), (3 * g + 1, " ".join([f"first{g}", *x[1:]])), (3 * g + 2, " ".join(x))]
+    expected = brute(rows)
+    assert {c for _, _, c in expected} == {3 * g for g in range(60)}
+    assert got(J.join(frame(spark, rows))) == expected
+
+
 def test_shared_rows_across_batches():
     import pyarrow as pa
     rng = random.Random(6)
