@@ -2,6 +2,8 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+
 from tessera.llm import queries as Q
 from tessera.llm import sharding as S
 
@@ -55,6 +57,31 @@ def test_all_rows_linked(spark):
     balanced(shards(frame(spark, rows)))
 
 
+@pytest.mark.parametrize("alone", [0, 8])
+def test_groups_gather_when_few_or_no_rows_are_free(spark, alone):
+    rng = random.Random(4)
+    texts = [words(rng, 8, 10**6) for _ in range(alone)]
+    for k, n in ((2, 100), (5, 40)):
+        texts += [t for t in (words(rng, 8, 10**6) for _ in range(n)) for _ in range(k)]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    found = shards(frame(spark, rows))
+    balanced(found)
+    text = dict(rows)
+    where = defaultdict(set)
+    for r in found:
+        where[text[r.doc_id]].add(r.shard)
+    # 140 groups; a shard's quota is not a sum of their sizes, so a few are split
+    assert sum(len(v) > 1 for v in where.values()) <= 8
+
+
+def test_neighbourhoods_that_overlap_are_all_placed(spark):
+    rng = random.Random(5)
+    links = spark.createDataFrame([(v, g) for v in range(60) for g in rng.sample(range(12), 2)], "node long, group long")
+    found = S.shard_rows(spark.range(64).withColumnRenamed("id", "node"), links).collect()
+    assert Counter(r.shard for r in found) == dict.fromkeys(range(8), 8)
+
+
 def test_odd_rows(spark, odd, odd_rows, none):
     found = shards(odd)
     assert len(found) == len(odd_rows)
