@@ -160,7 +160,7 @@ _FORMS = {**_other_forms(), **LOOK_ALIKES, **SIGNS, **dict.fromkeys(HIDDEN, "")}
 _FORM = re.compile("[" + "".join(map(re.escape, sorted(_FORMS))) + "]")
 _SPELLED = re.compile(r"(?<![A-Za-z])(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)(?![A-Za-z])", re.I)
 _GAP = re.compile(r"[ ,-]{1,3}\Z")
-_HINT = re.compile(r"dot|[\[({<]\s{0,2}\.|[\[({<]\s{0,2}at\b|[\[({<]\s{0,2}@|plus", re.I)
+_HINT = re.compile(r"dot|point|[\[({<]\s{0,2}\.|[\[({<]\s{0,2}at\b|[\[({<]\s{0,2}@|plus", re.I)
 # word characters on both sides keep a rewriting inside an address
 _AT = re.compile(r"(?<=[A-Za-z0-9_%+-])\s{0,2}[\[({<]\s{0,2}(?:at|@)\s{0,2}[\])}>]\s{0,2}(?=[A-Za-z0-9])", re.I)
 _DOT = re.compile(r"(?<=[A-Za-z0-9_-])\s{0,2}[\[({<]\s{0,2}(?:dot|\.)\s{0,2}[\])}>]\s{0,2}(?=[A-Za-z0-9])", re.I)

@@ -46,6 +46,7 @@ def test_base_spans_equal_the_patterns(letters):
     ("card four zero four one 8949 7460 8795", "card", "four zero four one 8949 7460 8795"),
     ("call plus 1 nine eight eight five five five two four eight five ok", "phone", "plus 1 nine eight eight five five five two four eight five"),
     ("host 42 dot 144 dot 35 dot 254 up", "ip", "42 dot 144 dot 35 dot 254"),
+    ("host 42 point 144 point 35 point 254 up", "ip", "42 point 144 point 35 point 254"),
 ])
 def test_disguises_map_back_to_the_source(text, kind, hidden):
     base = pii.base_spans(text)
@@ -54,6 +55,14 @@ def test_disguises_map_back_to_the_source(text, kind, hidden):
     assert hidden not in pii.redact(text)
 
 
+@pytest.mark.parametrize(("pattern", "text"), [
+    (pii._AT, "bob[at]x"), (pii._AT, "bob { @ } x"), (pii._DOT, "x(dot)com"), (pii._DOT, "x< . >com"), (pii._WORDS, "bob at x dot com"),
+    (pii._NUMBER_DOT, "4 dot 2"), (pii._NUMBER_DOT, "4 Point 2"), (pii._PLUS, "plus 1")])
+def test_each_rewriting_pattern_alone_passes_the_hint(pattern, text):
+    assert pattern.search(text)
+    assert pii._HINT.search(text) and pii.rewritten(text).text != text
+
+
 @pytest.mark.parametrize("text", ["look at the dot matrix dot com", "one two three", "we met at ten", "Le prix est é ü ß ñ", "nineteen at noon", "a (a) b.c"])
 def test_clean_texts_stay(text):
     assert pii.ordered([*pii.base_spans(text), *pii.added_spans(text, [])]) == []
