@@ -5,7 +5,9 @@ text as it stands (``base`` spans).  Then the text is rewritten by a chain of
 transducers - look-alike letters and digits, spelled digits, at/dot disguises -
 each of which maps every character of its output to the source characters it
 stands for.  What the same patterns find in the rewritten text, over at least one
-rewritten character, is mapped back and added; base spans always stay.
+rewritten character, is mapped back and added; base spans always stay.  Spelled
+digits are read twice, by themselves and together with the written digits beside
+them; where the readings overlap, the longer span stays.
 
 Spans are code points of the source, end exclusive.  Patterns are linear in the
 text: each can start at one place of a run only.  Null and empty texts have no
@@ -160,6 +162,8 @@ _FORMS = {**_other_forms(), **LOOK_ALIKES, **SIGNS, **dict.fromkeys(HIDDEN, "")}
 _FORM = re.compile("[" + "".join(map(re.escape, sorted(_FORMS))) + "]")
 _SPELLED = re.compile(r"(?<![A-Za-z])(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)(?![A-Za-z])", re.I)
 _GAP = re.compile(r"[ ,-]{1,3}\Z")
+_MEMBER = re.compile(rf"(?P<spelled>{_SPELLED.pattern})|(?P<written>[0-9]+)|(?<![A-Za-z])(?:dot|point|plus)(?![A-Za-z])|\.", re.I)
+_BETWEEN = re.compile(r"[ ,-]{0,3}\Z")
 _HINT = re.compile(r"dot|point|[\[({<]\s{0,2}\.|[\[({<]\s{0,2}at\b|[\[({<]\s{0,2}@|plus", re.I)
 # word characters on both sides keep a rewriting inside an address
 _AT = re.compile(r"(?<=[A-Za-z0-9_%+-])\s{0,2}[\[({<]\s{0,2}(?:at|@)\s{0,2}[\])}>]\s{0,2}(?=[A-Za-z0-9])", re.I)
@@ -178,8 +182,7 @@ def look_alikes(text: Rewritten) -> Rewritten:
 
 
 def spelled_digits(text: Rewritten) -> Rewritten:
-    """Runs of at least three digits of which some are spelled; what separates
-    spelled digits goes."""
+    """Runs of at least three spelled digits; what separates them goes."""
     t = text.text
     found: list[tuple[int, int, str]] = []
     run: list[tuple[int, int, str]] = []
@@ -197,6 +200,34 @@ def spelled_digits(text: Rewritten) -> Rewritten:
     return text.replaced(found)
 
 
+def mixed_digits(text: Rewritten) -> Rewritten:
+    """Runs of at least three digits of which some are spelled, also with written
+    digits and dot, point or plus between; what separates a spelled digit from
+    another digit goes, and what separates single written ones."""
+    t = text.text
+    found: list[tuple[int, int, str]] = []
+    #: (start, end, digits, whether spelled); words and signs have no digits
+    run: list[tuple[int, int, str, bool]] = []
+
+    def close() -> None:
+        if any(x[3] for x in run) and sum(len(x[2]) for x in run) >= 3:
+            for (a, b, digits, spelled), after in zip(run, [*run[1:], None], strict=True):
+                joined = after and digits and after[2] and (spelled or after[3] or len(digits) == len(after[2]) == 1)
+                if spelled:
+                    found.append((a, after[0] if joined else b, digits))
+                elif joined and b < after[0]:
+                    found.append((b, after[0], ""))
+        run.clear()
+
+    for m in _MEMBER.finditer(t):
+        if run and not _BETWEEN.match(t[run[-1][1]: m.start()]):
+            close()
+        spelled = m["spelled"] is not None
+        run.append((*m.span(), DIGITS[m.group().lower()] if spelled else m["written"] or "", spelled))
+    close()
+    return text.replaced(found)
+
+
 def address_words(text: Rewritten) -> Rewritten:
     """at/dot disguises: in brackets, or as words of a whole address."""
     text = text.replaced([(*m.span(), "@") for m in _AT.finditer(text.text)])
@@ -213,13 +244,13 @@ def address_words(text: Rewritten) -> Rewritten:
     return text.replaced([(*m.span(), "+") for m in _PLUS.finditer(text.text)])
 
 
-def rewritten(source: str) -> Rewritten:
+def rewritten(source: str, digits: Callable[[Rewritten], Rewritten] = spelled_digits) -> Rewritten:
     """The whole chain; parts of it that have nothing to do are skipped."""
     text = Rewritten(source)
     if not source.isascii() and _FORM.search(source):
         text = look_alikes(text)
     if _SPELLED.search(text.text):
-        text = spelled_digits(text)
+        text = digits(text)
     if _HINT.search(text.text):
         text = address_words(text)
     return text
@@ -232,17 +263,22 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans that only the rewritten text shows; none overlaps a base span of its kind."""
     view = rewritten(text)
-    if not view.edits:
-        return []
+    views = [view] if view.edits else []
+    if _SPELLED.search(text) or not text.isascii():
+        mixed = rewritten(text, mixed_digits)
+        if mixed.edits and mixed.text != view.text:
+            views.append(mixed)
     out = []
-    for kind, find in FINDERS.items():
+    for kind, find in FINDERS.items() if views else ():
         taken = sorted((a, b) for k, a, b in base if k == kind)
-        for start, end in find(view.text):
-            if view.touches(start, end):
-                a, b = view.source(start, end)
-                i = bisect_left(taken, (b, 0)) - 1
-                if i < 0 or taken[i][1] <= a:
-                    out.append((kind, a, b))
+        found = {v.source(start, end) for v in views for start, end in find(v.text) if v.touches(start, end)}
+        # longest first if there are two readings
+        for a, b in sorted(found, key=lambda s: (s[0] - s[1], s)):
+            i = bisect_left(taken, (b, 0))
+            if not i or taken[i - 1][1] <= a:
+                out.append((kind, a, b))
+                if len(views) > 1:
+                    taken.insert(i, (a, b))
     return out
 
 

@@ -55,6 +55,22 @@ def test_disguises_map_back_to_the_source(text, kind, hidden):
     assert hidden not in pii.redact(text)
 
 
+@pytest.mark.parametrize(("text", "kind", "hidden"), [
+    ("host one nine two dot one six eight dot zero dot one up", "ip", "one nine two dot one six eight dot zero dot one"),
+    ("host one 9 two point 1 six 8 dot 0 dot one up", "ip", "one 9 two point 1 six 8 dot 0 dot one"),
+    ("host four.five.six.seven up", "ip", "four.five.six.seven"),
+    ("call +1 nine 8 eight five 5 five two four 8 five ok", "phone", "+1 nine 8 eight five 5 five two four 8 five"),
+    ("call plus 1 nine 8 eight five 5 five two four 8 five ok", "phone", "plus 1 nine 8 eight five 5 five two four 8 five"),
+    ("call +1 nine eight eight 5 five five two four 8 five ok", "phone", "+1 nine eight eight 5 five five two four 8 five"),
+    ("card 4 zero 4 one 8 nine 4 nine 7 four 6 zero 8 seven 9 five ok", "card", "4 zero 4 one 8 nine 4 nine 7 four 6 zero 8 seven 9 five"),
+    # what runs of spelled digits alone show stays, though the word before would spoil it
+    ("no one 4041 8949 7460 eight seven nine five ok", "card", "4041 8949 7460 eight seven nine five"),
+])
+def test_spelled_and_written_digits_mixed(text, kind, hidden):
+    assert [text[a:b] for k, a, b in pii.added_spans(text, pii.base_spans(text)) if k == kind] == [hidden]
+    assert hidden not in pii.redact(text)
+
+
 @pytest.mark.parametrize(("pattern", "text"), [
     (pii._AT, "bob[at]x"), (pii._AT, "bob { @ } x"), (pii._DOT, "x(dot)com"), (pii._DOT, "x< . >com"), (pii._WORDS, "bob at x dot com"),
     (pii._NUMBER_DOT, "4 dot 2"), (pii._NUMBER_DOT, "4 Point 2"), (pii._PLUS, "plus 1")])
