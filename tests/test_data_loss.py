@@ -94,3 +94,12 @@ def test_files_as_versions(spark, tmp_path):
     lines = spark.createDataFrame([('{"a": 1}',), ('{"a": 2}',)], "value string")
     lines.write.text(f"{lake.base}/lines/v_20240101_000000.json")
     assert lake.load("lines").count() == 2
+
+
+def test_late_rows_are_all_rows_before_the_cut(spark, sf):
+    import __spark_entry__ as entry
+    got = entry.queries()["K05_late_rows"](spark, sf).first()
+    late = spark.read.parquet(f"{sf}/events.parquet").where("ts < timestamp_ntz '2024-01-20'")
+    assert got.late_rows == late.count()
+    # each window and type is dropped once at least
+    assert late.groupBy(F.to_date("ts"), "event_type").count().count() <= got.dropped_groups_by_watermark <= got.late_rows
