@@ -118,17 +118,20 @@ def n06(spark, sf):
 @register("N08_general_check")
 def n08(spark, sf):
     d, _ = _data(spark, sf)
-    runs = N.seed_stability(_rf, d, "classification", "doc_id", 2).unionByName(
-        N.split_stability(_rf, d, "classification", "doc_id", 2))
+    runs = N.seed_stability(_rf, d, "classification", "doc_id").unionByName(
+        N.split_stability(_rf, d, "classification", "doc_id"))
     return N.summary(runs)
 
 
 @register("N09_text_typos")
 def n09(spark, sf):
-    """Typos over whole documents: length before and after, letters changed."""
-    d = table(spark, sf, "documents")
-    t = d.select("doc_id", "text", N.typo_text("text", "doc_id", 0.1).alias("noisy"))
-    return t.select("doc_id", F.length("text").alias("n_before"), F.length("noisy").alias("n_after"))
+    """Typos over whole documents: a text model's metrics on clean and noisy texts."""
+    texts = table(spark, sf, "documents").select("doc_id", "text")
+    labels = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
+    d = random_split(labels.join(texts, "doc_id"), "doc_id", 0.8, seed=42)
+    est = make_estimator("classification", "logistic_regression", seed=42)
+    model = N.text_model(est, "quality", "text").fit(d.where(SPLIT_COL))
+    return N.text_robustness(model, d.where(~F.col(SPLIT_COL)), "classification", "doc_id", ["text"])
 
 
 @register("N10_kfold_test")

@@ -174,6 +174,29 @@ def typo_text(col: str, id_col: str, p: float = 0.1, seed: int = 42):
     return F.array_join(F.transform(chars, step), "")
 
 
+def text_model(estimator, target: str, text_col: str, buckets: int = 1 << 16):
+    """An unfitted pipeline for N09: hashed word weights of a text, then ``estimator``."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, SQLTransformer, StringIndexer
+    return Pipeline(stages=[
+        SQLTransformer(statement=f"SELECT *, coalesce(`{text_col}`, '') AS _text FROM __THIS__"),
+        StringIndexer(inputCol=target, outputCol="label", handleInvalid="keep", stringOrderType="alphabetAsc"),
+        RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"\s+"),
+        HashingTF(inputCol="_words", outputCol="_counts", numFeatures=buckets),
+        IDF(inputCol="_counts", outputCol="features"), estimator])
+
+
+def text_robustness(model, raw_test: DataFrame, task: str, id_col: str, text_cols, p: float = 0.1,
+                    n_iterations: int = 3, seed: int = 42) -> DataFrame:
+    """Metrics of a fitted text model on clean texts (iteration -1) and on
+    texts with typos, drawn anew for each iteration.  One scoring job."""
+    d = raw_test.withColumn("iteration", F.explode(F.sequence(F.lit(-1), F.lit(n_iterations - 1))))
+    draw = F.lit(seed) + F.col("iteration")
+    d = d.withColumns({c: F.when((F.col("iteration") < 0) | F.col(c).isNull(), F.col(c)).otherwise(typo_text(c, id_col, p, draw))
+                       for c in text_cols})
+    return _tag(_metrics(model.transform(d), task, ["iteration"]), "typos", param=p)
+
+
 def summary(study: DataFrame) -> DataFrame:
     """D03 per (study, metric)."""
     return summarize(study, "metric", "value", ["study"])

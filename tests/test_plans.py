@@ -51,3 +51,31 @@ def test_drift_uses_bounded_broadcasts(spark, sf):
     schemas = [x.split("ReadSchema: ")[1] for x in p.split(", ") if "ReadSchema: " in x]
     assert schemas and all("user_id" not in s and "props" not in s for s in schemas)
     assert any("PushedFilters: [IsNotNull(ts), LessThan(ts," in x for x in p.split("\n"))
+
+
+def test_general_check_runs_ten_iterations_of_each_study(spark, monkeypatch):
+    """Fits are left out: only the number of fits is looked at."""
+    from tessera.plans import q_studies as Q
+    from tessera.plans import studies as N
+    fits = []
+    monkeypatch.setattr(Q, "_data", lambda *_: (spark.createDataFrame([(i, 0.0) for i in range(20)], "doc_id long, label double"), None))
+    monkeypatch.setattr(N, "_metrics", lambda pred, *_, **__: spark.createDataFrame([("accuracy", 1.0)], "metric string, value double"))
+
+    class Model:
+        def fit(self, df):
+            fits.append(1)
+            return self
+
+        def transform(self, df):
+            return df
+    monkeypatch.setattr(Q, "_rf", lambda seed: Model())
+    Q.n08(spark, None)
+    assert len(fits) == 20
+
+
+def test_typos_are_scored_by_a_text_model(spark, sf):
+    import __spark_entry__ as entry
+    rows = entry.queries()["N09_text_typos"](spark, sf).collect()
+    accuracy = {r["iteration"]: r["value"] for r in rows if r["metric"] == "accuracy"}
+    assert sorted(accuracy) == [-1, 0, 1, 2] and all(0 <= v <= 1 for v in accuracy.values())
+    assert {r["param"] for r in rows} == {"0.1"}
