@@ -5,12 +5,15 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.session import ensure_checkpoint_dir, shared_dir, table
 
-__all__ = ["BROADCAST_ROWS", "bounded", "dense_position", "documents", "ensure_checkpoint_dir",
+__all__ = ["BROADCAST_ROWS", "bounded", "by_size", "dense_position", "documents", "ensure_checkpoint_dir",
            "importable", "materialise", "shared_dir", "table"]
 
 #: A side is broadcast only after a count shows at most this many rows.
@@ -75,7 +78,13 @@ def dense_position(df: DataFrame, group: list[str], order: list[str], out: str,
             .select(*df.columns, out))
 
 
-def slices(total: int, step: int) -> Iterator[tuple[int, int]]:
-    """Consecutive (start, end) of at most ``step`` rows."""
-    for a in range(0, total, step):
-        yield a, min(total, a + step)
+def by_size(batch: pa.RecordBatch, column: int = 1, rows: int = 500, most_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of an Arrow batch with about ``most_bytes`` of the text ``column`` at most
+    (a longer text alone), so that few texts are Python strings at a time."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+    a = 0
+    while a < len(sizes):
+        upto = np.cumsum(sizes[a: a + rows])
+        n = max(1, int(np.searchsorted(upto, most_bytes, side="right")))
+        yield batch.slice(a, n)
+        a += n

@@ -14,7 +14,8 @@ are compared in full.
 
 Everything is a DataFrame expression.  Items that repeat a text count under their
 smallest id.  Null and empty texts hold no words and leak nothing; repeated
-documents are reported once for each id; empty tables give no rows.
+documents are reported once for each id; texts of any length are read whole; empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded
+from tessera.llm.common import BROADCAST_ROWS, bounded
 
 WINDOW, TOLERANCE, MIN_WORDS = 13, 2, 5
 #: Positions that a seed selects.  Fixed values; lossless for 2 substitutions in 13 words.
@@ -45,10 +46,14 @@ def _seeds(h: str, at: str, masks: tuple[tuple[int, ...], ...]) -> Column:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", doc_text: str = "text",
           item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, tolerance: int = TOLERANCE,
-          min_words: int = MIN_WORDS, masks: tuple[tuple[int, ...], ...] = MASKS) -> DataFrame:
+          min_words: int = MIN_WORDS, masks: tuple[tuple[int, ...], ...] = MASKS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row for each document and item that overlap: doc_id, item_id,
     item_words, matched_words (most agreeing words in one alignment), doc_word
-    (where the first window starts)."""
+    (where the first window starts).
+
+    Up to ``broadcast_rows`` benchmark seeds travel to the documents.  Beyond that the
+    positions of the documents are shuffled by seed, without their words; the hits
+    fetch the words again."""
     items = (benchmark.select(F.col(item_id).alias("item_id"), word_hashes(F.col(item_text)).alias("item_h"))
              .filter(F.size("item_h") >= min_words)
              .groupBy("item_h").agg(F.min("item_id").alias("item_id")))
@@ -63,8 +68,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", doc_
     seeds = exploded(items, "item_h", "item_id").select("seed", "item_id", F.col("at").alias("item_at"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_text).alias("copy"), word_hashes(F.col(doc_text)).alias("h"))
     n_seeds, n_items = seeds.count(), items.count()
-    hits = (exploded(rows, "h", "doc_id", "copy").join(bounded(seeds, n_seeds), "seed")
-            .select("doc_id", "copy", "item_id", "h", (F.col("at") - F.col("item_at")).alias("shift")))
+    carried = ["h"] if n_seeds <= broadcast_rows else []
+    hits = (exploded(rows, "h", "doc_id", "copy").select("doc_id", "copy", *carried, "at", "seed")
+            .join(bounded(seeds, n_seeds, broadcast_rows), "seed")
+            .select("doc_id", "copy", "item_id", *carried, (F.col("at") - F.col("item_at")).alias("shift")))
+    if not carried:
+        words = rows.dropDuplicates(["doc_id", "copy"]).select(F.col("doc_id").alias("__d"), F.col("copy").alias("__c"), "h")
+        hits = hits.distinct().join(words, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("copy") == F.col("__c"))).drop("__d", "__c")
     # the document's words beside the item: from where either begins to where either ends
     sized = items.select("item_id", "item_h", F.size("item_h").alias("item_words"))
     beside = (hits.join(bounded(sized, n_items), "item_id")

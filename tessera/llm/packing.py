@@ -104,14 +104,14 @@ def places(patterns: list[tuple[dict[int, int], int]]) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
-def _pieces(tokenizer: str, end_id: int, capacity: int):
+def _pieces(tokenizer: str, end_id: int, capacity: int, cache_bytes: int):
     dtype = tokens.id_type(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        enc, end = tokens.encoder(tokenizer, dtype), np.array([end_id], dtype).tobytes()
+        enc, end = tokens.encoder(tokenizer, dtype, cache_bytes), np.array([end_id], dtype).tobytes()
         width = np.dtype(dtype).itemsize
         seen = [0] * (capacity + 1)
         for batch in batches:
@@ -136,14 +136,15 @@ def _pieces(tokenizer: str, end_id: int, capacity: int):
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, *, capacity: int = CAPACITY,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = tokens.CACHE_BYTES) -> DataFrame:
     """One row for each piece: (doc_id, piece, start, length, ids, sequence_id,
-    offset); ``ids`` are little-endian unsigned 32-bit."""
+    offset); ``ids`` are little-endian unsigned 32-bit.  A worker remembers the ids of
+    words up to ``cache_bytes``."""
     spark = docs.sparkSession
     dtype = tokens.id_type(tokenizer)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # part and nth number the pieces of a length; the written table fixes both
-    pieces = materialise(rows.mapInArrow(_pieces(tokenizer, end_id, capacity), PIECES), "pieces")
+    pieces = materialise(rows.mapInArrow(_pieces(tokenizer, end_id, capacity, cache_bytes), PIECES), "pieces")
     counts = materialise(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     by_length = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     table = spark.sparkContext.broadcast(places(best_two_fit(by_length, capacity)))

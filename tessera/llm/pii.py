@@ -23,6 +23,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from tessera.llm.common import by_size
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -299,8 +302,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            for part in by_size(batch):
                 out = []
                 for t in part.column(1).to_pylist():
                     t = t or ""
@@ -329,8 +331,13 @@ def redact(text: str) -> str:
 
 def redact_column(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span of ``text_col`` redacted; null stays null."""
-    @F.pandas_udf("string")
-    def run(texts):  # noqa: ANN001, ANN202
-        return texts.map(lambda t: None if t is None else redact(t))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in by_size(batch, at):
+                texts = [None if t is None else redact(t) for t in part.column(at).to_pylist()]
+                yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
-    return docs.withColumn(text_col, run(F.col(text_col)))
+    return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, StructType(
+        [StructField(f.name, StringType() if f.name == text_col else f.dataType) for f in docs.schema]))

@@ -1,4 +1,4 @@
-"""Whole-text tokenisation inside Arrow batches, with a bounded cache by word.
+"""Whole-text tokenisation inside Arrow batches, with a cache by word of bounded bytes.
 
 A byte-level BPE tokenizer first splits a text before every space that a
 non-space follows, and then merges bytes inside each piece alone.  The ids of a
@@ -16,8 +16,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words remembered by one Python worker (about 200 bytes each).
-CACHE_WORDS = 900_000
+#: Bytes of words that one Python worker remembers, and what an entry takes besides its letters and ids.
+CACHE_BYTES, ENTRY = 160_000_000, 190
 #: Marks that may end a word; a run of them is a piece of its own.
 _ENDS = ".,;:!?%$&*#|)"
 #: A space at the start, or one that no non-space follows: not a piece's start.
@@ -52,11 +52,19 @@ class _Words(dict):
 
     A word of (Latin) letters is one piece and goes straight to the model; marks
     behind it are another piece, and so is a line break between two such words.
-    Everything else is encoded as a text."""
+    Everything else is encoded as a text.
+
+    Words live in two generations: when the younger one is full it becomes the elder,
+    and the elder is forgotten but for the words asked for since."""
 
     def __init__(self, owner: Encoder, before: str):
         super().__init__()
         self.owner, self.before = owner, before
+        self.elder: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        self.elder = dict(self)
+        self.clear()
 
     def _plain(self, word: str) -> bytes | None:
         base = word.rstrip(_ENDS)
@@ -68,7 +76,9 @@ class _Words(dict):
         return self[base] + self.owner.piece(word[len(base):])
 
     def __missing__(self, word: str) -> bytes:
-        ids = self._plain(word) if word else None
+        ids = self.elder.get(word)
+        if ids is None:
+            ids = self._plain(word) if word else None
         if ids is None and "\n" in word:
             head, _, tail = word.partition("\n")
             if head and tail[:1].isalpha() and head[-1:].strip() and (first := self._plain(head)) is not None:
@@ -76,17 +86,18 @@ class _Words(dict):
         if ids is None:
             ids = self.owner.whole(self.before + word)
         self[word] = ids
+        self.owner.held += ENTRY + 2 * len(word) + len(ids)
         return ids
 
 
 class Encoder:
     """Texts to little-endian unsigned ids; one for each worker and tokenizer."""
 
-    def __init__(self, path: str, dtype: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, dtype: str, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.dtype, self.most = np.dtype(dtype), cache_words
+        self.dtype, self.most, self.held = np.dtype(dtype), cache_bytes // 2, 0  # for each generation
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         self.split = shape(path)[1]
         self.letters, self.pieces = _byte_letters(), {}
@@ -109,10 +120,11 @@ class Encoder:
         """The ids of each text as bytes."""
         out = []
         for t in texts:
-            if len(self.spaced) + len(self.bare) > self.most:
-                self.spaced.clear()
-                self.bare.clear()
+            if self.held > self.most:
+                self.spaced.age()
+                self.bare.age()
                 self.pieces.clear()
+                self.held = 0
             if not t:
                 out.append(b"")
             elif not self.split or _ODD.search(t):
@@ -123,10 +135,10 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, dtype: str) -> Encoder:
-    """This worker's encoder."""
-    return Encoder(path, dtype)
+@lru_cache(maxsize=1)
+def encoder(path: str, dtype: str, cache_bytes: int = CACHE_BYTES) -> Encoder:
+    """This worker's encoder; another one replaces it."""
+    return Encoder(path, dtype, cache_bytes)
 
 
 def id_type(path: str) -> str:

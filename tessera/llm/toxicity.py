@@ -26,17 +26,18 @@ from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import by_size, materialise
 
 #: Most labelled texts of either class that patterns and weights are learned from.
 SAMPLE = 6_000
 #: Most patterns considered, those in most toxic texts first.
 CANDIDATES = 5_000
+#: Patterns that a task counts before it gives the counts out; the shuffle adds them up.
+COUNTED = 60_000
 #: Share of clean texts that may hold an insult, and a weak one, relative to the share of toxic ones.
 IMPURITY, WEAK_IMPURITY = 0.02, 0.25
 #: Shortest word beginning that may be a pattern.
@@ -196,13 +197,22 @@ def learn_insults(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, st
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: list[Counter] = [Counter(), Counter()]
+
+        def given() -> pa.RecordBatch:
+            names = list(by[1].keys() | by[0].keys())
+            out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([by[1][p] for p in names], pa.int64()),
+                                              pa.array([by[0][p] for p in names], pa.int64())], names=["pattern", "toxic", "clean"])
+            by[0].clear()
+            by[1].clear()
+            return out
+
         for batch in batches:
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by[y].update(patterns(t))
-        # a pattern that no toxic text of this part has can only rule itself out
-        names = list(by[1].keys() | by[0].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([by[1][p] for p in names], pa.int64()),
-                                          pa.array([by[0][p] for p in names], pa.int64())], names=["pattern", "toxic", "clean"])
+            for part in by_size(batch, 0):
+                for t, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    by[y].update(patterns(t))
+                    if len(by[0]) + len(by[1]) > COUNTED:
+                        yield given()
+        yield given()
 
     counts = (sample.select("text", "y").mapInArrow(count, "pattern string, toxic long, clean long").groupBy("pattern")
               .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -213,7 +223,7 @@ def learn_insults(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, st
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[index[p] for p in patterns(t) if p in index] for t in batch.column(0).to_pylist()]
+            found = [[index[p] for p in patterns(t) if p in index] for part in by_size(batch, 0) for t in part.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], names=["found"])
 
     rows_of: dict[str, set[int]] = {p: set() for p in index}
@@ -273,34 +283,36 @@ def fit(rows: DataFrame, labels: DataFrame, *, label: str = "toxic", held_out: C
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Matcher(insults)
         for batch in batches:
-            x = [found.counts(t) for t in batch.column(0).to_pylist()]
+            x = [found.counts(t) for part in by_size(batch, 0) for t in part.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64())), batch.column(1)], names=["x", "y"])
 
     seen_rows = texts.select("text", "y").mapInArrow(counted, "x array<long>, y int").collect()  # at most 2 * sample short rows
     return insults, fit_weights(np.array([r["x"] for r in seen_rows]), np.array([r["y"] for r in seen_rows], dtype=np.float64))
 
 
+def _scores(found: Matcher, texts: pa.Array, weights: np.ndarray) -> np.ndarray:
+    x = np.array([found.counts(t or "") for t in texts.to_pylist()], dtype=np.int64).reshape(len(texts), len(MARKED))
+    return 1 / (1 + np.exp(-np.clip(_features(x) @ weights, -30, 30)))
+
+
 def scorer(insults: dict[str, str], weights: np.ndarray):
     """Arrow batches of (doc_id, text) to (doc_id, score)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Matcher(insults)
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                x = _features(np.array([found.counts(t or "") for t in part.column(1).to_pylist()]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))))], names=["doc_id", "score"])
+            for part in by_size(batch):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_scores(found, part.column(1), weights))], names=["doc_id", "score"])
     return run
 
 
-def rejects(text: Column, insults: dict[str, str], weights: np.ndarray, threshold: float) -> Column:
-    """Whether a text's score reaches ``threshold``; false for a null text without matches."""
-    holder: list[Matcher] = []
+def keep_below(docs: DataFrame, insults: dict[str, str], weights: np.ndarray, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores below ``threshold``, whole; a null text counts as an empty one."""
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("boolean")
-    def run(texts):  # noqa: ANN001, ANN202
-        if not holder:
-            holder.append(Matcher(insults))
-        x = _features(np.array([holder[0].counts(t or "") for t in texts], dtype=np.int64).reshape(len(texts), len(MARKED)))
-        return pd.Series(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))) >= threshold)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Matcher(insults)
+        for batch in batches:
+            for part in by_size(batch, at):
+                yield part.filter(pa.array(_scores(found, part.column(at), weights) < threshold))
 
-    return run(text)
+    return docs.mapInArrow(run, docs.schema)

@@ -63,16 +63,23 @@ def test_leaks_equal_brute_force(spark):
     assert len(expected) > 20
 
 
-def test_shuffled_seeds_find_the_same(spark, monkeypatch):
-    """Beyond the broadcast bound the seeds are joined by shuffle."""
-    from tessera.llm import common
+def test_shuffled_seeds_find_the_same(spark, capsys):
+    """Beyond the broadcast bound positions are shuffled by seed, without the words of their documents."""
     rng = random.Random(2)
-    items = [(1, words(rng, 30))]
-    docs = frame(spark, [(1, words(rng, 10) + " " + items[0][1]), (2, words(rng, 50))])
-    bench = frame(spark, items, "item_id long, text string")
+    items = [(1, words(rng, 30)), (2, words(rng, 14))]
+    rows = [(1, words(rng, 10) + " " + items[0][1]), (2, words(rng, 50)), (3, words(rng, 5_000) + " " + items[1][1] + " " + items[0][1])]
+    rows += [rows[0], (None, rows[0][1]), (1, items[1][1])]
+    docs, bench = frame(spark, rows), frame(spark, items, "item_id long, text string")
     expected = got(D.leaks(docs, bench))
-    monkeypatch.setattr(common.bounded, "__defaults__", (0,))
-    assert got(D.leaks(docs, bench)) == expected and len(expected) == 1
+    few = D.leaks(docs, bench, broadcast_rows=0)
+    assert got(few) == expected and len(expected) == 5
+    few.explain("formatted")
+    plan = capsys.readouterr().out
+    by_seed = [x for x in plan.split("\n\n") if "hashpartitioning(seed" in x]
+    assert by_seed
+    for node in by_seed:
+        names = node.split("Input")[1].split("\n")[0]
+        assert "h#" not in names and "item_h#" not in names
 
 
 def test_odd_rows(spark, odd, odd_rows, none):

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as C
 import numpy as np
 from pyspark.sql import functions as F
@@ -6,7 +8,7 @@ import __spark_entry__ as E
 from tessera.llm import pii, queries, toxicity
 from tessera.session import table
 
-from .conftest import CLASHES
+from .conftest import CLASHES, frame, words
 from .test_decontaminate import brute as leaks
 from .test_ngram_join import brute as links
 from .test_packing import check, tokenizer  # noqa: F401
@@ -62,15 +64,30 @@ def test_run_is_the_chain_of_stages(spark, sf):
 def test_odd_rows(spark, odd, none, sf):
     odd = odd.drop("item_id").withColumn("item_id", F.lit(1))
     for docs in (odd, none):
+        left = docs
         for name, stage in C.STAGES[:-1]:
             out = stage(spark, docs, sf)
             assert out.columns == docs.columns, name
             out.collect()
+            left = stage(spark, left, sf)
+        packed = C.pack_sequences(spark, left, sf)
+        assert packed.filter("piece = 0").count() == left.count()
     kept = {r.doc_id for r in C.drop_near_duplicates(spark, odd, sf).collect()}
     assert {0, 1, 2, 3, None, 7} <= kept and 2**40 not in kept and 5 not in kept
     assert set(CLASHES) <= set(odd.columns)
 
 
+def test_rows_without_or_with_shared_ids_are_judged_alike(spark, sf):
+    rng = random.Random(8)
+    base, other = words(rng, 50), words(rng, 50)
+    leak = table(spark, sf, "benchmark").filter("size(split(text, ' ')) > 14").first().text
+    rows = [(None, base), (4, base), (4, base), (9, base + " end"), (None, other), (None, other), (6, leak), (None, leak), (6, "clean words " + other[:40])]
+    docs = frame(spark, rows)
+    assert rows_of(C.drop_near_duplicates(spark, docs, sf)) == sorted([(4, base), (None, other), (6, leak), (6, "clean words " + other[:40])], key=str)
+    left = rows_of(C.drop_leaks(spark, docs, sf))
+    assert left == sorted([r for r in rows if r[1] != leak], key=str)
+
+
 def test_entry_has_every_query():
     names = E.queries()
     for n in range(1, 11):

@@ -66,7 +66,7 @@ def test_cached_encoding_equals_the_library(tokenizer):
     parts = ["a", "The", " ", "  ", "\n", "\t", "é", "ß", "日本", "🙂", "'s", "don't", "12", "3.5", "!!", "<|endoftext|>", " ", "　", "\x1c",
              "\x85", "x|", ".\n", "#", "word.", "\r\n"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(15))) for _ in range(5000)]
-    enc = tokens.Encoder(Q.tokenizer_path(), "<u2", cache_words=500)
+    enc = tokens.Encoder(Q.tokenizer_path(), "<u2", cache_bytes=200_000)
     expected = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(b, "<u2").tolist() for b in enc.encode(texts)] == expected
 
