@@ -22,13 +22,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, ngram_join, packing, pii, queries, toxicity
-from tessera.llm.common import ensure_checkpoint_dir, importable, shared_dir, table
+from tessera.llm.common import ensure_checkpoint_dir, importable, materialise, shared_dir, table
 
 #: A document whose score reaches this is rejected.
 TOXIC = 0.5
 #: Words of a shingle and similarity of near duplicates (num / den).
 SHINGLE, NUM, DEN = 5, 80, 100
 CAPACITY = 1024
+#: Bytes of words a packing worker remembers: the workers have served the other stages before.
+CACHE_BYTES = 32_000_000
+#: Number of a row within a stage that drops rows.
+ROW = "__row"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,23 +40,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     insults, weights = toxicity.fit(rows, table(spark, sf_dir, "labels"), held_out=queries.held_out())
-    return docs.filter(~toxicity.rejects(F.col("text").cast("string"), insults, weights, TOXIC))
+    return toxicity.keep_below(docs, insults, weights, TOXIC)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number ``__row`` for each row, fixed by the written table."""
+    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near duplicates."""
+    """One document of each component of near duplicates: that with the smallest id
+    (a null id after all others), of equal ids any one."""
     importable(spark)
-    found = ngram_join.join(docs, n=SHINGLE, num=NUM, den=DEN)
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
-    return kept
+    rows = numbered(docs)
+    found = ngram_join.join(rows.select(F.col(ROW).alias("doc_id"), "text"), n=SHINGLE, num=NUM, den=DEN)
+    member = (rows.select(ROW, F.col("doc_id").alias("__id"))
+              .join(found.select(F.col("doc_id").alias(ROW), F.col("component_id").alias("__component")), ROW))
+    first = member.groupBy("__component").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", ROW)).alias("__first"))
+    return rows.join(first.select(F.col(f"__first.{ROW}").alias(ROW)), ROW, "left_semi").drop(ROW)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    rows = numbered(docs)
+    found = decontaminate.leaks(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(found.select(F.col("doc_id").alias(ROW)).distinct(), ROW, "left_anti").drop(ROW)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +76,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of each document, with its sequence and place there."""
     importable(spark)
-    packed = packing.pack(docs, queries.tokenizer_path(), queries.END_ID, capacity=CAPACITY)
+    packed = packing.pack(docs, queries.tokenizer_path(), queries.END_ID, capacity=CAPACITY, cache_bytes=CACHE_BYTES)
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
