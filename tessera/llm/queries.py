@@ -8,18 +8,21 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, fingerprint, ngram_join, packing, pii, quality, sharding, token_archive, toxicity, warc
+from tessera.llm import (conversation_repair, cross_tokens, decontaminate, fingerprint, ngram_join, packing, pii, quality, sharding, token_archive,
+                         topk_search, toxicity, warc)
 from tessera.llm.common import documents, ensure_checkpoint_dir, importable, shared_dir, table
 
 #: Vocabulary file of the token queries.
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
+#: The model that the alignment sets beside it.
+OTHER_VOCABULARY = "piece_bpe_32k.model"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +115,21 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op11_lightest_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after the damage, its cheapest repair and the repaired text's digest."""
+    return conversation_repair.report(table(spark, sf_dir, "conversations"))
+
+
+def op12_sorted_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best vectors of every fiftieth one by integer inner product."""
+    return topk_search.search(table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
+
+
+def op13_merge_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's alignment of two tokenizers and its links' counts in the corpus."""
+    return cross_tokens.describe(documents(spark, sf_dir), tokenizer_path(), tokenizer_path(OTHER_VOCABULARY))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spaced_seeds": op1_spaced_seeds,
     "op2_partition_join": op2_partition_join,
@@ -123,8 +141,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pattern_grammar": op8_pattern_grammar,
     "op9_warc_archive": op9_warc_archive,
     "op10_best_two_fit": op10_best_two_fit,
+    "op11_lightest_repair": op11_lightest_repair,
+    "op12_sorted_lists": op12_sorted_lists,
+    "op13_merge_path": op13_merge_path,
 }
-SQL: dict[str, str] = {"op1_spaced_seeds": decontaminate.leak_sql().strip(), "op9_warc_archive": SQL_WARC.strip()}
+SQL: dict[str, str] = {"op1_spaced_seeds": decontaminate.leak_sql().strip(), "op9_warc_archive": SQL_WARC.strip(),
+                       "op12_sorted_lists": topk_search.search_sql().strip()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

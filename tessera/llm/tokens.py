@@ -91,12 +91,14 @@ class _Words(dict):
 
 
 class Encoder:
-    """Texts to little-endian unsigned ids; one for each worker and tokenizer."""
+    """Texts to little-endian unsigned ids; one for each worker and tokenizer.  With
+    ``plain_specials`` the strings of special tokens are ordinary text."""
 
-    def __init__(self, path: str, dtype: str, cache_bytes: int = CACHE_BYTES):
+    def __init__(self, path: str, dtype: str, cache_bytes: int = CACHE_BYTES, plain_specials: bool = False):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = plain_specials
         self.dtype, self.most, self.held = np.dtype(dtype), cache_bytes // 2, 0  # for each generation
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         self.split = shape(path)[1]
@@ -120,11 +122,7 @@ class Encoder:
         """The ids of each text as bytes."""
         out = []
         for t in texts:
-            if self.held > self.most:
-                self.spaced.age()
-                self.bare.age()
-                self.pieces.clear()
-                self.held = 0
+            self._forget()
             if not t:
                 out.append(b"")
             elif not self.split or _ODD.search(t):
@@ -134,11 +132,41 @@ class Encoder:
                 out.append(self.bare[words[0]] + b"".join(map(self.spaced.__getitem__, words[1:])))
         return out
 
+    def encode_spaced(self, texts: list[str]) -> list[bytes]:
+        """The ids of a space and each text as bytes; an empty text has none."""
+        out = []
+        for t in texts:
+            self._forget()
+            if not t:
+                out.append(b"")
+            elif not self.split or _ODD.search(t):
+                out.append(self.whole(" " + t))
+            else:
+                out.append(b"".join(map(self.spaced.__getitem__, t.split(" "))))
+        return out
+
+    def _forget(self) -> None:
+        if self.held > self.most:
+            self.spaced.age()
+            self.bare.age()
+            self.pieces.clear()
+            self.held = 0
+
 
 @lru_cache(maxsize=1)
-def encoder(path: str, dtype: str, cache_bytes: int = CACHE_BYTES) -> Encoder:
+def encoder(path: str, dtype: str, cache_bytes: int = CACHE_BYTES, plain_specials: bool = False) -> Encoder:
     """This worker's encoder; another one replaces it."""
-    return Encoder(path, dtype, cache_bytes)
+    return Encoder(path, dtype, cache_bytes, plain_specials)
+
+
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes that each id of a byte-level vocabulary stands for."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    back = {v: k for k, v in _byte_letters().items()}
+    out = {i: bytes(map(back.__getitem__, map(ord, t))) if all(ord(c) in back for c in t) else t.encode() for t, i in spec["model"]["vocab"].items()}
+    out |= {a["id"]: a["content"].encode() for a in spec.get("added_tokens", [])}
+    return [out.get(i, b"") for i in range(max(out, default=-1) + 1)]
 
 
 def id_type(path: str) -> str:
