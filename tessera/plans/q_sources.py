@@ -43,6 +43,47 @@ def a03(spark, sf):
     return lake.load("events").select("event_id", "user_id", "event_type", "value", "props")
 
 
+@register("A03_mixed_json", """
+SELECT event_id, user_id, event_type, value, props FROM events
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL FROM (SELECT min(event_id) FROM events) WHERE EXISTS (SELECT 1 FROM events)""")
+def a03_mixed(spark, sf):
+    """JSON lines of which one is cut, beside files that are arrays, in one version."""
+    lake = _lake(spark)
+    path = f"{lake.base}/mixed/v_20240101_000000.json"
+    events = table(spark, sf, "events").drop("ts")
+    line = F.to_json(F.struct(*events.columns)).alias("value")
+    first = events.agg(F.min("event_id").alias("event_id"))
+    cut = events.join(F.broadcast(first), "event_id", "left_semi").select(F.substring(F.to_json(F.struct(*events.columns)), 1, 20).alias("value"))
+    events.where("event_id % 2 = 0").select(line).unionByName(cut).write.mode("append").text(path)
+
+    def as_array(batches):
+        import pyarrow as pa
+        before = "["
+        for batch in batches:
+            rows = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_pydict({"value": [(before if k == 0 else ",") + r for k, r in enumerate(rows)]})
+            before = "," if rows else before
+        yield pa.RecordBatch.from_pydict({"value": ["]" if before == "," else "[]"]})
+
+    events.where("event_id % 2 <> 0 or event_id is null").select(line).mapInArrow(as_array, "value string").write.mode("append").text(path)
+    return lake.load("mixed").select("event_id", "user_id", "event_type", "value", "props")
+
+
+@register("A02_csv_encodings", """
+SELECT 'latin-1' AS encoding, key, label FROM (SELECT p_partkey AS key, concat(p_name, ' é', p_brand) AS label FROM part)
+UNION ALL SELECT 'cp1252', p_partkey, concat(p_name, ' é', p_brand) FROM part
+UNION ALL SELECT 'utf-16', p_partkey, concat(p_name, ' é', p_brand) FROM part""")
+def a02_encodings(spark, sf):
+    """The same table through files of three encodings."""
+    lake = _lake(spark)
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.concat("p_name", F.lit(" é"), "p_brand").alias("label"))
+    out = []
+    for name, charset in (("latin-1", "ISO-8859-1"), ("cp1252", "ISO-8859-1"), ("utf-16", "UTF-16")):
+        lake.save(rows, f"parts {name}", fmt="csv", encoding=charset)
+        out.append(lake.load(f"parts {name}", encoding=name).select(F.lit(name).alias("encoding"), "key", "label"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @register("A04_read_parquet", "SELECT * FROM lineitem")
 def a04(spark, sf):
     """A04 + A07: save a version, then load the latest one."""

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 FORMATS = ("parquet", "csv", "json", "text", "zip")
 # Dataset folders hidden from listings.
 HIDDEN_DATASETS = ("monitoring",)
-# CSV encodings offered for uploads.
-CSV_ENCODINGS = ("utf-8", "latin-1", "iso-8859-1", "cp1252", "utf-16", "ascii")
+# CSV encodings offered for uploads, and Spark's names of them.
+CSV_ENCODINGS = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1", "iso-8859-1": "ISO-8859-1", "cp1252": "windows-1252",
+                 "utf-16": "UTF-16", "ascii": "US-ASCII"}
 
 
 class LakeError(ValueError):
@@ -167,15 +168,16 @@ class Lake:
     def load(self, dataset: str, version: str = "latest", limit: int | None = None, schema=None,
              names=None, **options) -> DataFrame:
         path, fmt = self.resolve(dataset, version)
-        r = self.spark.read
-        if schema is not None:
-            r = r.schema(schema)
+        reader = lambda: self.spark.read if schema is None else self.spark.read.schema(schema)
+        r = reader()
         if fmt == "csv":
             opts = {"header": True, "inferSchema": schema is None}
             opts.update(options)
+            if "encoding" in opts:
+                opts.update(self._encoding(opts["encoding"]))
             df = r.options(**opts).csv(path)
         elif fmt == "json":
-            df = self._load_json(r, path, options)
+            df = self._load_json(reader, path, options)
         elif fmt == "text":
             df = r.text(path).withColumnRenamed("value", "text")
         elif fmt == "zip":
@@ -186,14 +188,49 @@ class Lake:
             df = df.toDF(*names)
         return df.limit(limit) if limit else df
 
+    def _encoding(self, name: str) -> dict:
+        """The reader options of an encoding.  A byte-order mark settles UTF-16 for a
+        whole file, so such files are read unsplit."""
+        found = CSV_ENCODINGS.get(name.lower())
+        if found is None:
+            raise LakeError(f"unsupported encoding {name}; known: {', '.join(CSV_ENCODINGS)}")
+        if found == "windows-1252":
+            # a charset of the Java platform beyond the ones that Spark lists itself
+            self.spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        return {"encoding": found} | ({"multiLine": True} if found == "UTF-16" else {})
+
+    def _json_files(self, path: str) -> dict[str, list[str]]:
+        """Files by kind: ``array`` (begins with ``[``), ``lines`` (some line is an object
+        by itself) or ``object`` (one over many lines).  One row for each file comes to
+        the driver, as its readers need their paths anyway."""
+        line = F.trim("value")
+        lines = (self.spark.read.text(path)
+                 .select(line.alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                         F.monotonically_increasing_id().alias("nth"))
+                 .where("line <> ''"))
+        alone = F.col("line").startswith("{") & F.col("line").endswith("}")
+        files = lines.groupBy("file").agg(F.min_by(F.substring("line", 1, 1), F.struct("start", "nth")).alias("first"),
+                                          F.max(alone).alias("any_alone")).collect()
+        kinds: dict[str, list[str]] = {"lines": [], "array": [], "object": []}
+        for r in sorted(files, key=lambda r: r["file"]):
+            kinds["array" if r["first"] == "[" else "lines" if r["any_alone"] else "object"].append(r["file"])
+        return kinds
+
     def _load_json(self, reader, path: str, options: dict) -> DataFrame:
-        """JSON lines first; if any line that is not blank fails to parse on
-        its own, the files hold array documents."""
-        lines = self.spark.read.text(path).where(F.trim("value") != "")
-        alone = F.trim("value").startswith("{") & F.trim("value").endswith("}")
-        if lines.where(~alone).isEmpty():
-            return reader.options(**options).json(path)
-        return reader.options(multiLine=True, **options).json(path)
+        """JSON lines, or a document that is an array, decided file by file.  A line
+        (or an object over many lines) that does not parse is a row of nulls, or raises
+        with ``mode="FAILFAST"``; an array that does not parse raises, for its rows cannot
+        be told apart."""
+        how = {"lines": {}, "object": {"multiLine": True}, "array": {"multiLine": True, "mode": "FAILFAST"}}
+        kinds = self._json_files(path)
+        # a fresh reader for each kind: options stay with a reader
+        read = [reader().options(**{**options, **how[kind]}).json(files) for kind, files in kinds.items() if files]
+        if not read:
+            return reader().options(**options).json(path)
+        df = read[0]
+        for other in read[1:]:
+            df = df.unionByName(other, allowMissingColumns=True)
+        return df if "columnNameOfCorruptRecord" in options else df.drop("_corrupt_record")
 
     # -- delete
     def delete(self, dataset: str, version: str) -> bool:
@@ -209,7 +246,7 @@ class Lake:
 
 def zip_members(spark: SparkSession, path: str) -> DataFrame:
     """One row per archive member name, archives read as binary files
-    and listed inside the executors."""
+    and listed inside the executors.  An archive that cannot be read raises."""
     import io
     import zipfile
 
@@ -224,8 +261,8 @@ def zip_members(spark: SparkSession, path: str) -> DataFrame:
                         for n in z.namelist():
                             out_p.append(p)
                             out_m.append(n)
-                except zipfile.BadZipFile:
-                    continue
+                except zipfile.BadZipFile as e:
+                    raise LakeError(f"not a zip archive: {p}") from e
             yield pd.DataFrame({"path": out_p, "archive_member": out_m})
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
     return raw.select("path", "content").mapInPandas(members, "path string, archive_member string")

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.split import chronological_split, exact_split, kfold, random_split, stratified_kfold
 from tessera.session import shared_dir
-from tessera.sources.lake import Lake, LakeError
+from tessera.sources.lake import Lake, LakeError, slugify_name, version_key, zip_members
 
 
 def _ids(df):
@@ -63,3 +63,60 @@ def test_zip_members(spark, tmp_path):
         z.writestr("d/y.csv", "2")
     got = sorted(r["archive_member"] for r in zip_members(spark, str(tmp_path)).collect())
     assert got == ["d/y.csv", "x.txt"]
+
+
+def _lake_of(spark, tmp_path, files):
+    folder = tmp_path / "lake" / "mixed" / "v_20240101_000000.json"
+    folder.mkdir(parents=True)
+    for name, text in files.items():
+        (folder / name).write_text(text)
+    return Lake(spark, str(tmp_path / "lake"))
+
+
+def test_json_keeps_every_line_beside_a_bad_one(spark, tmp_path):
+    lines = [f'{{"a": {k}, "b": "x{k}"}}' for k in range(1000)]
+    lines[500] = lines[500][:8]
+    lake = _lake_of(spark, tmp_path, {"one.json": "\n".join(lines) + "\n", "two.json": '\n [{"a": 5000},\n{"a": 5001, "c": true}\n]\n',
+                                      "three.json": '{\n  "a": 6000\n}\n', "blank.json": "\n\n"})
+    rows = lake.load("mixed").collect()
+    assert len(rows) == 1003
+    assert sorted(r.a for r in rows if r.a is not None) == [*range(500), *range(501, 1000), 5000, 5001, 6000]
+    assert [(r.a, r.b, r.c) for r in rows if r.a is None] == [(None, None, None)]
+    assert {r.a: r.c for r in rows}[5001] is True
+
+
+def test_json_can_raise_on_a_bad_line(spark, tmp_path):
+    lake = _lake_of(spark, tmp_path, {"one.json": '{"a": 1}\n{"a": \n'})
+    with pytest.raises(Exception, match="(?i)malformed"):
+        lake.load("mixed", mode="FAILFAST").collect()
+
+
+def test_broken_array_raises(spark, tmp_path):
+    lake = _lake_of(spark, tmp_path, {"one.json": '[{"a": 1},\n{"a": 2'})
+    with pytest.raises(Exception, match="(?i)malformed"):
+        lake.load("mixed").collect()
+
+
+def test_unreadable_zip_raises(spark, tmp_path):
+    (tmp_path / "bad.zip").write_bytes(b"no archive")
+    with pytest.raises(Exception, match="not a zip archive"):
+        zip_members(spark, str(tmp_path)).collect()
+
+
+def test_encodings(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    for name, text in (("cp1252", "a,b\n1,€ “q”\n"), ("latin-1", "a,b\n1,é\n"), ("utf-16", "a,b\n1,é漢\n"), ("utf-8", "a,b\n1,é漢\n")):
+        (tmp_path / f"{name}.csv").write_bytes(text.encode(name))
+        lake.save_file(str(tmp_path / f"{name}.csv"), f"in {name}")
+        assert [tuple(r) for r in lake.load(f"in {name}", encoding=name).collect()] == [(1, text.split(",")[-1].strip())]
+    with pytest.raises(LakeError, match="unsupported encoding"):
+        lake.load("in utf-8", encoding="klingon")
+
+
+def test_version_info(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    name = lake.save(spark.range(3), "my data")
+    info = lake.version_info("my data", name)
+    assert (info["dataset"], info["version"], info["format"]) == ("my_data", name, "parquet")
+    with pytest.raises(LakeError):
+        lake.version_info("my data", "v_1")
