@@ -17,9 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.text import default_stop_words
 from tessera.operators.aggregates import exact_quantiles
+from tessera.operators.joins import checked_broadcast
 from tessera.operators.ordering import range_rank
 from tessera.operators.profile import NUMERIC, distinct_counts
+from tessera.operators.tfidf import effective_max_features, fit_terms
 
 DICT_BROADCAST_LIMIT = 1_000_000
 
@@ -135,7 +138,7 @@ def label_encode(df: DataFrame, col: str, dictionary: DataFrame, out: str = "lab
 
 def label_decode(df: DataFrame, col: str, dictionary: DataFrame, out: str) -> DataFrame:
     """H08 inverse."""
-    d = F.broadcast(dictionary.select(F.col("index").alias("_i"), F.col("value").alias(out)))
+    d = checked_broadcast(dictionary.select(F.col("index").alias("_i"), F.col("value").alias(out)), DICT_BROADCAST_LIMIT)
     return df.join(d, F.col(col).cast("int") == F.col("_i"), "left").drop("_i")
 
 
@@ -144,7 +147,7 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     tot = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k")).first()
     w = counts.select(label, (F.lit(float(tot["_n"])) / (F.lit(float(tot["_k"])) * F.col("_nc"))).alias(out))
-    return df.join(F.broadcast(w), label, "left")
+    return df.join(F.broadcast(w) if tot["_k"] <= DICT_BROADCAST_LIMIT else w, label, "left")
 
 
 @dataclass
@@ -160,7 +163,8 @@ class FittedFeatures:
     scaler: ScalerStats
     target: str | None
     label_dict: DataFrame | None
-    vocab: dict
+    label_size: int | None = None
+    text_models: dict = field(default_factory=dict)
 
     def feature_names(self) -> list[str]:
         """Names in assembly order: numeric, one-hot, ordinal, text terms."""
@@ -168,8 +172,8 @@ class FittedFeatures:
         for c, cats in self.low_card.items():
             names += [f"{c}_{v}" for v in cats]
         names += list(self.high_card)
-        for c in self.text_cols:
-            names += [f"{c}__{t}" for t in self.vocab.get(c, [])]
+        for c, model in self.text_models.items():
+            names += [f"{c}__{t}" for t in model.terms] or [f"{c}__"]
         return names
 
     def transform(self, df: DataFrame, assemble_vector: bool = True) -> DataFrame:
@@ -184,22 +188,27 @@ class FittedFeatures:
             d = ordinal_encode(d, c, dic, out=f"{c}__ord", size=self.high_sizes.get(c))
             d = d.withColumn(c, F.col(f"{c}__ord").cast("double")).drop(f"{c}__ord")
         if self.target and self.label_dict is not None:
-            d = label_encode(d, self.target, self.label_dict, "label")
+            d = label_encode(d, self.target, self.label_dict, "label", self.label_size)
         elif self.target:
             d = d.withColumn("label", F.col(self.target).cast("double"))
+        for c, model in self.text_models.items():
+            d = model.vectors(d, c, f"{c}__terms")
         if assemble_vector:
-            d = assemble(d, self)
+            d = assemble(d, self).drop(*[f"{c}__terms" for c in self.text_models])
         return d
 
 
 def assemble(df: DataFrame, fitted: FittedFeatures, out: str = "features") -> DataFrame:
-    """``VectorAssembler`` over numeric, one-hot and ordinal columns
-    (text features are joined separately as TF-IDF weights)."""
-    from pyspark.ml.feature import VectorAssembler
+    """``VectorAssembler`` over numeric, one-hot and ordinal columns and the
+    sparse term vectors of the text columns, in that order; sparse where that is shorter."""
+    from pyspark.ml.feature import VectorAssembler, VectorSizeHint
     cols = list(fitted.numeric)
     for c, cats in fitted.low_card.items():
         cols += [f"{c}_{v}" for v in cats]
     cols += list(fitted.high_card)
+    for c, model in fitted.text_models.items():
+        cols.append(f"{c}__terms")
+        df = VectorSizeHint(inputCol=cols[-1], size=max(1, len(model.terms)), handleInvalid="optimistic").transform(df)
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep").transform(df)
 
 
@@ -208,15 +217,33 @@ class FeaturePipeline:
     Column kinds: numeric types -> median + scaler; strings with at most
     ``low_card`` distinct values -> mode + one-hot; other strings -> mode +
     ordinal; constant columns dropped; booleans and datetimes dropped (as in
-    the reference); the date column, the target and row ids (``id_col``) are never features."""
+    the reference); the date column, the target and row ids (``id_col``) are never features.
+
+    Each of ``text_cols`` is cleaned (null: empty) and becomes a sparse vector of the
+    terms that the training rows hold: ``vectorizer`` "tfidf" or "count", or
+    "passthrough", which leaves the column as it is.  With more text columns each keeps
+    fewer terms (``effective_max_features``).  ``stop_words`` names a language or is None."""
 
     def __init__(self, target: str | None = None, text_cols=(), date_col: str | None = None,
                  scaler: str = "standard", low_card: int = 15, encode_target: bool | None = None,
-                 id_col: str | tuple[str, ...] = ()):
+                 id_col: str | tuple[str, ...] = (), vectorizer: str = "tfidf", ngram_range=(1, 3), max_features: int = 5000,
+                 stop_words: str | None = None, sublinear_tf: bool = True, cleaning_mode: str = "standard"):
+        if vectorizer not in ("tfidf", "count", "passthrough"):
+            raise ValueError(f"unknown vectorizer {vectorizer!r}")
         self.target, self.text_cols, self.date_col = target, list(text_cols), date_col
         self.id_cols = [id_col] if isinstance(id_col, str) else list(id_col)
         self.scaler_kind, self.low_card = scaler, low_card
         self.encode_target = encode_target
+        self.vectorizer, self.max_features = vectorizer, max_features
+        self.text_options = dict(ngram_range=ngram_range, stop_words=default_stop_words(stop_words) if stop_words else None,
+                                 sublinear_tf=sublinear_tf, mode=cleaning_mode)
+
+    def fit_text(self, df: DataFrame) -> dict:
+        """A fitted vocabulary for each text column."""
+        if self.vectorizer == "passthrough":
+            return {}
+        most = effective_max_features(self.max_features, len(self.text_cols))
+        return {c: fit_terms(df, c, most, self.vectorizer, **self.text_options) for c in self.text_cols}
 
     def fit(self, df: DataFrame) -> FittedFeatures:
         types = {f.name: f.dataType for f in df.schema.fields}
@@ -239,12 +266,13 @@ class FeaturePipeline:
             low_cats[c] = sorted(r[0] for r in filled.select(F.col(c).cast("string")).distinct().collect()
                                  if r[0] is not None)
         high_dicts = {c: category_dictionary(filled, c) for c in high}
-        label_dict = None
+        label_dict = label_size = None
         if self.target:
             enc = self.encode_target
             if enc is None:
                 enc = isinstance(types[self.target], T.StringType)
             if enc:
                 label_dict = category_dictionary(df, self.target)
+                label_size = label_dict.count()
         return FittedFeatures(num, low_cats, high_dicts, {c: dc[c] for c in high}, self.text_cols, medians, modes,
-                              sc, self.target, label_dict, {})
+                              sc, self.target, label_dict, label_size, self.fit_text(df))

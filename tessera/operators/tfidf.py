@@ -11,8 +11,12 @@ not a drop-in.
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import clean_text, ngrams, remove_stop_words, tokens
 from tessera.session import spread
@@ -68,21 +72,88 @@ def vocabulary(tf: DataFrame, id_col: str, max_features: int | None = 5000) -> D
     return v
 
 
+@dataclass
+class TermModel:
+    """A fitted vocabulary with its idf, applied inside each row.
+
+    Terms are looked up by the JVM's ``CountVectorizerModel`` (a hash table that is
+    broadcast once; at most ``max_features`` terms), and the weights are array
+    expressions over its sparse counts: applying it shuffles nothing."""
+    terms: list[str]
+    idf: list[float]
+    ngram_range: tuple[int, int] = (1, 3)
+    stop_words: list[str] | None = None
+    clean: bool = True
+    mode: str = "standard"
+    weighting: str = "tfidf"
+    sublinear_tf: bool = True
+
+    def sparse(self, df: DataFrame, text_col: str, out: str) -> DataFrame:
+        """``df`` with ``out``: struct(indices, values), indices ascending."""
+        if not self.terms:
+            return df.withColumn(out, F.struct(F.array().cast("array<int>").alias("indices"), F.array().cast("array<double>").alias("values")))
+        from pyspark.ml.feature import CountVectorizerModel
+        grams, tok, tf = f"__{out}_grams", f"__{out}_tok", f"__{out}_tf"
+        text = clean_text(text_col, self.mode) if self.clean else F.coalesce(F.col(text_col), F.lit(""))
+        d = df.withColumn(tok, remove_stop_words(tokens(text), self.stop_words))
+        d = d.withColumn(grams, ngrams(F.col(tok), *self.ngram_range))
+        counter = CountVectorizerModel.from_vocabulary(self.terms, inputCol=grams, outputCol=tf)
+        d = counter.transform(d).drop(grams, tok)
+        found = F.unwrap_udt(tf)
+        d = d.withColumn(tf, F.struct(found["indices"].alias("indices"), found["values"].alias("values")))
+        if self.weighting == "count":
+            return d.withColumnRenamed(tf, out)
+        # one constant array, folded when planned
+        idf = F.split(F.lit(" ".join(map(repr, self.idf))), " ").cast("array<double>")
+        term_weight = (lambda n: F.lit(1.0) + F.log(n)) if self.sublinear_tf else (lambda n: n)
+        raw = F.zip_with(F.col(tf)["values"], F.col(tf)["indices"], lambda n, i: term_weight(n) * F.get(idf, i))
+        d = d.withColumn(tf, F.struct(F.col(tf)["indices"].alias("indices"), raw.alias("values")))
+        norm = F.sqrt(F.aggregate(F.col(tf)["values"], F.lit(0.0), lambda a, w: a + w * w))
+        d = d.withColumn(tf, F.struct(F.col(tf)["indices"].alias("indices"), F.col(tf)["values"].alias("values"), norm.alias("norm")))
+        unit = F.transform(F.col(tf)["values"], lambda w: w / F.col(tf)["norm"])
+        return d.withColumn(out, F.struct(F.col(tf)["indices"].alias("indices"), unit.alias("values"))).drop(tf)
+
+    def vectors(self, df: DataFrame, text_col: str, out: str) -> DataFrame:
+        """``df`` with the weights as an ML sparse vector."""
+        from pyspark.ml.linalg import VectorUDT
+        d = self.sparse(df, text_col, out)
+        # the vector type's own layout, read back as that type
+        plain = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(max(1, len(self.terms))).alias("size"),
+                         F.col(out)["indices"].alias("indices"), F.col(out)["values"].alias("values"))
+        return d.withColumn(out, F.from_json(F.to_json(F.struct(plain.alias("v"))), T.StructType([T.StructField("v", VectorUDT())]))["v"])
+
+
+def fit_terms(docs: DataFrame, text_col: str, max_features: int = 5000, weighting: str = "tfidf", sublinear_tf: bool = True,
+              ngram_range=(1, 3), stop_words=None, clean: bool = True, mode: str = "standard") -> TermModel:
+    """The vocabulary of a text column with its smooth idf: one pass that counts inside
+    the row and shuffles on the term; at most ``max_features`` rows reach the driver."""
+    kw = dict(ngram_range=ngram_range, stop_words=stop_words, clean=clean, mode=mode)
+    rows = docs.select(F.lit(0).alias("_id"), text_col)
+    n_docs = docs.count()
+    found = vocabulary(term_counts(rows, "_id", text_col, **kw), "_id", max_features).orderBy(F.desc("total"), "term").collect()
+    idf = [math.log((1.0 + n_docs) / (1.0 + r["df"])) + 1.0 for r in found]
+    return TermModel([r["term"] for r in found], idf, tuple(ngram_range), stop_words, clean, mode, weighting, sublinear_tf)
+
+
 def tfidf(docs: DataFrame, id_col: str, text_col: str, ngram_range=(1, 3), max_features: int | None = 5000,
           stop_words=None, sublinear_tf: bool = True, clean: bool = True, mode: str = "standard") -> DataFrame:
     """(id, term, weight) for the vocabulary terms present in each doc.
 
-    Two passes over the text, both counting inside the row: the first fixes
-    the vocabulary (top ``max_features`` terms with their document frequency
-    -- a bounded table that is broadcast) with one shuffle on the term; the
-    second looks terms up and shuffles only the vocabulary's, for the norm."""
-    from pyspark.sql import Window
+    Two passes over the text, both counting inside the row: the first fixes the
+    vocabulary (top ``max_features`` terms with their document frequency, a bounded
+    table) with one shuffle on the term; the second looks terms up and weighs them in
+    the row (``TermModel``).  Without a bound on the vocabulary the second pass is a
+    join on the term and a window on the id."""
     kw = dict(ngram_range=ngram_range, stop_words=stop_words, clean=clean, mode=mode)
+    if max_features and max_features <= VOCAB_BROADCAST_LIMIT:
+        model = fit_terms(docs, text_col, max_features, "tfidf", sublinear_tf, **kw)
+        d = model.sparse(spread(docs.select(id_col, text_col), id_col), text_col, "_x")
+        name = F.split(F.lit("\x01".join(model.terms)), "\x01")
+        weights = F.zip_with(F.col("_x")["indices"], F.col("_x")["values"], lambda i, w: F.struct(F.get(name, i).alias("term"), w.alias("weight")))
+        return d.select(F.col(id_col), F.inline(weights))
+    from pyspark.sql import Window
     n_docs = docs.select(id_col).count()
     vocab = vocabulary(term_counts(docs, id_col, text_col, **kw), id_col, max_features).select("term", "df")
-    if max_features and max_features <= VOCAB_BROADCAST_LIMIT:
-        spark = docs.sparkSession
-        vocab = F.broadcast(spark.createDataFrame(vocab.collect(), "term string, df long"))  # <= max_features rows
     t = term_counts(docs, id_col, text_col, **kw).join(vocab, "term")
     tfw = (F.lit(1.0) + F.log(F.col("tf"))) if sublinear_tf else F.col("tf").cast("double")
     idf = F.log((F.lit(1.0) + F.lit(float(n_docs))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.hashing import hex_threshold
+from tessera.functions.hashing import hash_below, hash_hex, hex_threshold
 from tessera.operators import features as FE
 from tessera.operators.split import random_split
 from tessera.plans.q_split import _h
+from tessera.plans.q_text import grams_sql, tokens_sql
 from tessera.plans.registry import register
 from tessera.session import table
 
@@ -141,3 +142,58 @@ def h11(spark, sf):
     out = fitted.transform(part_nulls(spark, sf))
     from pyspark.ml.functions import vector_to_array
     return out.select("p_partkey", "label", F.size(vector_to_array("features")).alias("n_features"))
+
+
+def vector_rows(df, names, *keys):
+    """(keys..., feature, value) of the entries of ``features`` that are not zero."""
+    v = F.unwrap_udt("features")
+    # a dense vector has no indices
+    at = F.when(v["type"] == 0, v["indices"]).otherwise(F.sequence(F.lit(0), F.size(v["values"]) - 1))
+    name = F.split(F.lit("\x01".join(names)), "\x01")
+    rows = F.zip_with(at, v["values"], lambda i, x: F.struct(F.get(name, i).alias("feature"), x.alias("value")))
+    return df.select(*keys, F.inline(rows)).where("value <> 0").select(*keys, "feature", _r6("value"))
+
+
+_DOCS = "SELECT doc_id, lang, n_chars, text FROM documents"
+_TEXT_SQL = f"""
+WITH d AS (SELECT doc_id, lang, n_chars, {tokens_sql('text')} AS tok, {{train}} AS is_train FROM documents),
+{grams_sql('d', ['doc_id', 'is_train'], 3)},
+tf AS (SELECT doc_id, is_train, term, count(*) AS tf FROM g GROUP BY ALL),
+v AS (SELECT term, sum(tf) AS total, count(*) AS df FROM tf WHERE is_train GROUP BY term ORDER BY total DESC, term LIMIT 5000),
+n AS (SELECT count(*) AS n, avg(n_chars) AS m, stddev_pop(n_chars) AS s FROM d WHERE is_train),
+w AS (SELECT tf.doc_id, tf.term, (1 + ln(tf.tf)) * (ln((1 + n.n) / (1 + v.df)) + 1) AS w FROM tf JOIN v USING (term), n),
+f AS (SELECT doc_id, 'text__' || term AS feature, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS value FROM w
+      UNION ALL SELECT doc_id, 'n_chars', (n_chars - m) / CASE WHEN s = 0 THEN 1 ELSE s END FROM d, n
+      UNION ALL SELECT doc_id, 'lang_' || lang, 1.0 FROM d WHERE lang IN (SELECT lang FROM d WHERE is_train))
+"""
+
+
+def _doc_features(spark, sf, train=None):
+    d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars", "text")
+    fitted = FE.FeaturePipeline(text_cols=["text"], id_col="doc_id").fit(d if train is None else d.where(train))
+    return fitted, fitted.transform(d)
+
+
+@register("H09_assemble_text", _TEXT_SQL.replace("{train}", "true") + "SELECT doc_id, feature, round(value, 6) AS value FROM f WHERE value <> 0")
+def h09(spark, sf):
+    """Numeric, one-hot and text features in one vector, as its entries."""
+    fitted, out = _doc_features(spark, sf)
+    return vector_rows(out, fitted.feature_names(), "doc_id")
+
+
+@register("H10_feature_names", _TEXT_SQL.replace("{train}", "true") + """
+SELECT CAST(row_number() OVER (ORDER BY kind, total DESC, name) - 1 AS INTEGER) AS position, name
+FROM (SELECT 0 AS kind, 0 AS total, 'n_chars' AS name UNION ALL SELECT DISTINCT 1, 0, 'lang_' || lang FROM d
+      UNION ALL SELECT 2, total, 'text__' || term FROM v)""")
+def h10(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars", "text")
+    names = FE.FeaturePipeline(text_cols=["text"], id_col="doc_id").fit(d).feature_names()
+    return spark.createDataFrame(list(enumerate(names)), "position int, name string")
+
+
+@register("H11_text_fit_transform", _TEXT_SQL.replace("{train}", f"{_h('doc_id')} < '{hex_threshold(0.8)}'") + """
+SELECT doc_id, feature, round(value, 6) AS value FROM f WHERE value <> 0""")
+def h11_text(spark, sf):
+    """Fitted on four fifths of the documents, applied to all."""
+    fitted, out = _doc_features(spark, sf, hash_below(hash_hex("doc_id", seed=42, salt="split"), 0.8))
+    return vector_rows(out, fitted.feature_names(), "doc_id")

@@ -1,5 +1,7 @@
 import math
 
+import numpy as np
+
 import pytest
 
 from tessera.operators import metrics as M
@@ -75,3 +77,39 @@ def test_rolling_std_and_lags(spark):
     assert out[5]["rolling_mean_1"] == pytest.approx(mean)
     assert out[5]["rolling_std_1"] == pytest.approx(math.sqrt(sum((v - mean) ** 2 for v in vals) / 2))
     assert out[2]["rolling_mean_1"] is None
+
+
+def test_text_columns_are_features(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from tessera.operators.features import FeaturePipeline
+    rows = [(1, "Red apple, red pie", 2.0, "x"), (2, "green apple", 4.0, "y"), (3, None, None, "x"), (4, "", 6.0, "y")]
+    df = spark.createDataFrame(rows, "id long, text string, size double, kind string")
+    fitted = FeaturePipeline(text_cols=["text"], id_col="id", ngram_range=(1, 1)).fit(df)
+    assert fitted.feature_names() == ["size", "kind_x", "kind_y", "text__apple", "text__red", "text__green", "text__pie"]
+    got = {r[0]: r[1] for r in fitted.transform(df).select("id", vector_to_array("features")).collect()}
+    idf = {"apple": np.log(5 / 3) + 1, "red": np.log(5 / 2) + 1, "green": np.log(5 / 2) + 1, "pie": np.log(5 / 2) + 1}
+    one = np.array([idf["apple"], (1 + np.log(2)) * idf["red"], 0, idf["pie"]])
+    assert np.allclose(got[1][3:], one / np.linalg.norm(one))
+    assert got[3][3:] == [0, 0, 0, 0] and got[4][3:] == [0, 0, 0, 0]
+    unseen = spark.createDataFrame([(9, "blue apple", 1.0, "z")], df.schema)
+    assert np.allclose(fitted.transform(unseen).select(vector_to_array("features")).first()[0][1:], [0, 0, 1, 0, 0, 0])
+    counts = FeaturePipeline(text_cols=["text"], id_col="id", vectorizer="count", ngram_range=(1, 1)).fit(df).transform(df)
+    assert counts.where("id = 1").select(vector_to_array("features")).first()[0][3:] == [1, 2, 0, 1]
+    plain = FeaturePipeline(text_cols=["text"], id_col="id", vectorizer="passthrough").fit(df)
+    assert plain.feature_names() == ["size", "kind_x", "kind_y"] and "text" in plain.transform(df).columns
+
+
+def test_more_text_columns_keep_fewer_terms():
+    from tessera.operators.tfidf import effective_max_features
+    assert [effective_max_features(5000, n) for n in (1, 2, 3, 4)] == [5000, 3000, 3000, 2000]
+    assert effective_max_features(100, 4) == 100
+
+
+def test_empty_vocabulary(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from tessera.operators.features import FeaturePipeline
+    df = spark.createDataFrame([(1, None, 1.0), (2, "", 2.0)], "id long, text string, size double")
+    out = FeaturePipeline(text_cols=["text"], id_col="id").fit(df).transform(df)
+    assert [r[0][1:] for r in out.select(vector_to_array("features")).collect()] == [[0.0], [0.0]]
