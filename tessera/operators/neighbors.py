@@ -2,16 +2,19 @@
 
 Exact k-nearest neighbours never materialise all (query, reference) pairs:
 
-* small reference side (rows x dims x 8 bytes under ``broadcast_bytes``,
-  checked with a count): it is broadcast once and each query partition runs a
-  vectorised numpy kernel in ``mapInPandas`` that keeps only the top k;
-* otherwise both sides are cut into blocks that fit the same budget; every
-  (query block, reference block) cell is a cogroup computed by the same
-  kernel, and the final top k per query is taken over at most
-  blocks x k candidates.
+* pivots (a bounded sample of the reference rows) cut the reference into the cells
+  of their nearest pivot, a row for each of which, its size and radius, comes to the
+  driver.  A query's distances to the pivots bound its k-th neighbour from above and
+  the rows of a cell from below (triangle and bisector bounds, which hold for every
+  metric), so a query visits only the cells that can still hold a neighbour;
+* a cell larger than ``block_rows`` is cut into blocks and the queries of a block into
+  groups of about ``query_rows``; a (block, group) is a task's work whatever the
+  tables' sizes.  Its kernel keeps one distance matrix of bounded size at a time, and
+  the final top k per query is taken over k candidates of each block it visited.
 
 Distances are computed from coordinate differences (not the |q|^2 + |r|^2 -
-2 q.r shortcut) so they agree with a plain SQL evaluation.
+2 q.r shortcut) so they agree with a plain SQL evaluation.  Rows without an id or a
+vector take no part.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,85 +30,127 @@ from tessera.operators.graph import connected_components
 from tessera.session import cut_lineage
 
 KNN_SCHEMA = "query_id long, neighbor_id long, rank int, distance double"
-BROADCAST_BYTES = 256 * 1024 * 1024
-QUERY_CHUNK = 64
-
-
-def _metric_dist(diff: np.ndarray, metric: str, p: float) -> np.ndarray:
-    if metric == "manhattan":
-        return np.abs(diff).sum(axis=-1)
-    if metric == "minkowski" and p != 2:
-        return (np.abs(diff) ** p).sum(axis=-1) ** (1.0 / p)
-    return np.sqrt((diff * diff).sum(axis=-1))
-
-
-def _topk_kernel(qids, qx, rids, rx, k, exclude_self, metric, p):
-    out_q, out_r, out_k, out_d = [], [], [], []
-    if len(rids) == 0 or len(qids) == 0:
-        return out_q, out_r, out_k, out_d
-    for s in range(0, len(qids), QUERY_CHUNK):
-        qb, qi = qx[s:s + QUERY_CHUNK], qids[s:s + QUERY_CHUNK]
-        d = _metric_dist(qb[:, None, :] - rx[None, :, :], metric, p)
+BLOCK_ROWS, QUERY_ROWS = 4096, 1024
+#: Most pivots; their coordinates and pairwise bounds travel to every task.
+PIVOTS = 512
+#: Bytes of one distance matrix.
+MATRIX_BYTES = 16 << 20
+#: Relative slack of the bounds, far above the rounding of the distances.
+SLACK = 1e-9
+
+
+def distances(a: np.ndarray, b: np.ndarray, metric: str, p: float) -> np.ndarray:
+    """All distances of two sets of points, one coordinate at a time."""
+    out = np.zeros((len(a), len(b)))
+    for x, y in zip(a.T, b.T, strict=True):
+        diff = np.abs(x[:, None] - y[None, :])
+        out += diff if metric == "manhattan" else diff * diff if metric != "minkowski" or p == 2 else diff ** p
+    return out if metric == "manhattan" else np.sqrt(out) if metric != "minkowski" or p == 2 else out ** (1.0 / p)
+
+
+def _topk_kernel(qids: np.ndarray, qx: np.ndarray, rids: np.ndarray, rx: np.ndarray, k: int, exclude_self: bool, metric: str, p: float) -> pa.Table:
+    """The k nearest of ``rx`` for each row of ``qx``, ties by id."""
+    parts: list[tuple[np.ndarray, ...]] = []
+    step = max(1, MATRIX_BYTES // (8 * max(1, len(rids))))
+    for s in range(0, len(qids), step):
+        d = distances(qx[s:s + step], rx, metric, p)
         if exclude_self:
-            d = np.where(qi[:, None] == rids[None, :], np.inf, d)
-        for row in range(len(qi)):
-            order = np.lexsort((rids, d[row]))
-            kept = [j for j in order[:k + 1] if np.isfinite(d[row, j])][:k]
-            for rank, j in enumerate(kept, start=1):
-                out_q.append(int(qi[row]))
-                out_r.append(int(rids[j]))
-                out_k.append(rank)
-                out_d.append(float(d[row, j]))
-    return out_q, out_r, out_k, out_d
-
-
-def _frame(q, r, k, d):
-    return pd.DataFrame({"query_id": pd.Series(q, dtype="int64"), "neighbor_id": pd.Series(r, dtype="int64"),
-                         "rank": pd.Series(k, dtype="int32"), "distance": pd.Series(d, dtype="float64")})
+            d[qids[s:s + step, None] == rids[None, :]] = np.inf
+        if len(rids) > k:
+            row, col = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1, None])  # ties included
+        else:
+            row, col = (x.ravel() for x in np.indices(d.shape))
+        found = d[row, col]
+        row, col, found = (x[np.isfinite(found)] for x in (row, col, found))
+        order = np.lexsort((rids[col], found, row))
+        row, col, found = row[order], col[order], found[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row, side="left") + 1
+        keep = rank <= k
+        parts.append((qids[s:s + step][row[keep]], rids[col[keep]], rank[keep], found[keep]))
+    cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0)] * 4
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.float64())
+    return pa.table({n: pa.array(c.astype(t.to_pandas_dtype())) for n, c, t in
+                     zip(("query_id", "neighbor_id", "rank", "distance"), cols, types, strict=True)})
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), dim)
+
+
+def _nearest(pivots: np.ndarray, metric: str, p: float):
+    """(_id, _x) with the cell of the nearest pivot and the distance to it."""
+    def run(batches):
+        for b in batches:
+            d = distances(_matrix(b.column(1), pivots.shape[1]), pivots, metric, p)
+            cell = d.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])],
+                                             names=["_id", "_x", "_cell", "_d"])
+    return run
+
+
+def visits(d: np.ndarray, cells: np.ndarray, sizes: np.ndarray, radii: np.ndarray, k: int) -> np.ndarray:
+    """Which cells each query must visit, from its distances ``d`` to all pivots: those
+    whose nearest possible row is no farther than a distance within which k rows lie."""
+    far = d[:, cells] + radii  # no row of a cell is farther
+    order = np.argsort(far, axis=1)
+    enough = (np.cumsum(sizes[order], axis=1) >= k).argmax(axis=1)
+    rows = np.arange(len(d))
+    bound = np.where(sizes.sum() >= k, far[rows, order[rows, enough]], np.inf)
+    near = np.maximum(d[:, cells] - radii, (d[:, cells] - d.min(axis=1, keepdims=True)) / 2)
+    return near <= bound[:, None] * (1 + SLACK) + SLACK
 
 
 def knn(queries: DataFrame, reference: DataFrame, k: int = 5, qid: str = "id", rid: str = "id",
         qvec: str = "vector", rvec: str = "vector", exclude_self: bool = False, metric: str = "euclidean",
-        p: float = 2.0, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+        p: float = 2.0, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, neighbor_id, rank, distance), exactly k rows per query
     (fewer if the reference is smaller), ties broken by neighbour id."""
-    spark = queries.sparkSession
-    q = queries.select(F.col(qid).cast("long").alias("_id"), F.col(qvec).cast("array<double>").alias("_x"))
-    r = reference.select(F.col(rid).cast("long").alias("_id"), F.col(rvec).cast("array<double>").alias("_x"))
-    n_r = r.count()
-    first = r.select(F.size("_x")).first()
-    dim = first[0] if first else 0
-    if n_r * max(dim, 1) * 8 <= broadcast_bytes:
-        rows = r.collect()  # size checked above
-        rids = np.array([x["_id"] for x in rows], dtype=np.int64)
-        rx = np.array([x["_x"] for x in rows], dtype=np.float64).reshape(len(rows), dim)
-        bc = spark.sparkContext.broadcast((rids, rx))
-
-        def run(batches):
-            rids_, rx_ = bc.value
-            for b in batches:
-                qx = np.array(b["_x"].tolist(), dtype=np.float64).reshape(len(b), dim)
-                yield _frame(*_topk_kernel(b["_id"].to_numpy(np.int64), qx, rids_, rx_, k, exclude_self, metric, p))
-        return q.mapInPandas(run, KNN_SCHEMA)
-    # grid of blocks, each side cut to the same byte budget
-    n_q = q.count()
-    b_r = max(1, math.ceil(n_r * dim * 8 / broadcast_bytes))
-    b_q = max(1, math.ceil(n_q * dim * 8 / broadcast_bytes))
-    qg = q.withColumn("_qb", F.pmod(F.xxhash64("_id"), F.lit(b_q))).withColumn(
-        "_rb", F.explode(F.sequence(F.lit(0), F.lit(b_r - 1))))
-    rg = r.withColumn("_rb", F.pmod(F.xxhash64("_id"), F.lit(b_r))).withColumn(
-        "_qb", F.explode(F.sequence(F.lit(0), F.lit(b_q - 1))))
-
-    def cell(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if qp.empty or rp.empty:
-            return _frame([], [], [], [])
-        qx = np.array(qp["_x"].tolist(), dtype=np.float64).reshape(len(qp), dim)
-        rx = np.array(rp["_x"].tolist(), dtype=np.float64).reshape(len(rp), dim)
-        return _frame(*_topk_kernel(qp["_id"].to_numpy(np.int64), qx, rp["_id"].to_numpy(np.int64), rx, k,
-                                    exclude_self, metric, p))
-    cand = qg.groupBy("_qb", "_rb").cogroup(rg.groupBy("_qb", "_rb")).applyInPandas(cell, KNN_SCHEMA)
+    def points(df: DataFrame, id_col: str, vec: str) -> DataFrame:
+        return df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).cast("array<double>").alias("_x")).where("_id is not null and _x is not null")
+
+    q, r = points(queries, qid, qvec), points(reference, rid, rvec)
+    facts = r.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_x")).alias("dim")).first()
+    n_r, dim, n_q = facts["n"], facts["dim"] or 0, q.count()
+    n_pivots = min(PIVOTS, math.ceil(n_r / block_rows))
+    sample = r.orderBy(F.xxhash64("_id"), "_id").limit(max(1, n_pivots)).collect()  # at most PIVOTS rows
+    pivots = np.unique(np.array([x["_x"] for x in sample], dtype=np.float64).reshape(len(sample), dim), axis=0)
+    if not len(pivots):
+        return queries.sparkSession.createDataFrame([], KNN_SCHEMA)
+    cell_schema = "_id long, _x array<double>, _cell int, _d double"
+    placed = cut_lineage(r.mapInArrow(_nearest(pivots, metric, p), cell_schema))
+    by_cell = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_d").alias("radius")).orderBy("_cell").collect()  # a row per pivot
+    cells, sizes, radii = (np.array([x[c] for x in by_cell]) for c in ("_cell", "n", "radius"))
+    blocks = {int(c): math.ceil(n / block_rows) for c, n in zip(cells, sizes, strict=True)}
+    need = k + bool(exclude_self)
+    prune = metric != "minkowski" or p >= 1  # below 1 it is no metric
+
+    def target(batches):
+        for b in batches:
+            d = distances(_matrix(b.column(1), dim), pivots, metric, p)
+            go = visits(d, cells, sizes, radii, need) if prune else np.ones((len(d), len(cells)), bool)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([cells[x].tolist() for x in go], pa.list_(pa.int32()))], names=["_id", "_x", "_cells"])
+
+    n_blocks = F.create_map(*[F.lit(int(v)) for c in blocks.items() for v in c])
+    groups = max(1, math.ceil(n_q / query_rows))
+    rg = placed.select("_cell", F.pmod(F.xxhash64("_id"), n_blocks[F.col("_cell")]).cast("int").alias("_block"),
+                       F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_group"), "_id", "_x")
+    qg = (q.mapInArrow(target, "_id long, _x array<double>, _cells array<int>").select("_id", "_x", F.explode("_cells").alias("_cell"))
+          .select("_cell", F.explode(F.sequence(F.lit(0), n_blocks[F.col("_cell")] - 1)).alias("_block"),
+                  F.pmod(F.xxhash64("_id"), F.lit(groups)).cast("int").alias("_group"), "_id", "_x"))
+
+    def cell(qp: pa.Table, rp: pa.Table) -> pa.Table:
+        ids = [t.column("_id").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for t in (qp, rp)]
+        if not len(ids[0]) or not len(ids[1]):
+            return _topk_kernel(np.zeros(0, np.int64), np.zeros((0, dim)), np.zeros(0, np.int64), np.zeros((0, dim)), k, exclude_self, metric, p)
+        return _topk_kernel(ids[0], _matrix(qp.column("_x"), dim), ids[1], _matrix(rp.column("_x"), dim), k, exclude_self, metric, p)
+
+    keys = ("_cell", "_block", "_group")
+    found = qg.groupBy(*keys).cogroup(rg.groupBy(*keys)).applyInArrow(cell, KNN_SCHEMA)
+    if sum(blocks.values()) == 1:
+        return found
     w = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .withColumn("rank", F.col("rank").cast("int")))
 
 

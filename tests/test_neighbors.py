@@ -1,7 +1,10 @@
 import math
 import random
 
-from tessera.operators.neighbors import dbscan, knn, radius_counts
+import numpy as np
+import pytest
+
+from tessera.operators.neighbors import dbscan, distances, knn, radius_counts, visits
 
 
 def _points():
@@ -52,11 +55,69 @@ def test_radius_counts_and_dbscan_match_brute_force(spark):
     assert got == labels
 
 
-def test_knn_grid_path_equals_broadcast_path(spark):
-    random.seed(5)
-    rows = [(i, [random.random() for _ in range(4)]) for i in range(120)]
+def _brute_knn(queries, reference, k, exclude_self, dist):
+    out = []
+    for a, x in queries:
+        near = sorted((dist(x, y), b) for b, y in reference if not (exclude_self and a == b))[:k]
+        out += [(a, n + 1, b, round(d, 9)) for n, (d, b) in enumerate(near)]
+    return sorted(out)
+
+
+def _knn_rows(df):
+    return sorted((r["query_id"], r["rank"], r["neighbor_id"], round(r["distance"], 9)) for r in df.collect())
+
+
+METRICS = {"euclidean": math.dist, "manhattan": lambda x, y: sum(abs(a - b) for a, b in zip(x, y)),
+           "minkowski": lambda x, y: sum(abs(a - b) ** 3 for a, b in zip(x, y)) ** (1 / 3)}
+
+
+@pytest.mark.parametrize("metric", METRICS)
+def test_knn_equals_brute_force(spark, metric):
+    rng = random.Random(5)
+    rows = [(i, [rng.random() for _ in range(4)]) for i in range(120)] + [(500 + i, [0.5] * 4) for i in range(40)]  # a point mass ties
+    df = spark.createDataFrame([*rows, (900, None), (None, [0.1] * 4)], "id long, v array<double>").repartition(3)
+    expected = _brute_knn(rows, rows, 3, True, METRICS[metric])
+    for sizes in ({}, {"block_rows": 7, "query_rows": 20}, {"block_rows": 30, "query_rows": 1000}):
+        got = knn(df, df, k=3, qvec="v", rvec="v", exclude_self=True, metric=metric, p=3.0, **sizes)
+        assert _knn_rows(got) == expected
+    few = spark.createDataFrame(rows[:2], "id long, v array<double>")
+    assert _knn_rows(knn(few, few, k=3, qvec="v", rvec="v")) == _brute_knn(rows[:2], rows[:2], 3, False, math.dist)
+    assert knn(df, few.limit(0), k=3, qvec="v", rvec="v").count() == 0
+
+
+def test_below_one_minkowski_is_not_pruned(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.random() for _ in range(3)]) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, v array<double>")
-    a = knn(df, df, k=3, qvec="v", rvec="v", exclude_self=True)
-    b = knn(df, df, k=3, qvec="v", rvec="v", exclude_self=True, broadcast_bytes=1000)  # forces the block grid
-    key = lambda r: (r["query_id"], r["rank"])
-    assert sorted((key(r), r["neighbor_id"]) for r in a.collect()) == sorted((key(r), r["neighbor_id"]) for r in b.collect())
+    got = knn(df, df, k=2, qvec="v", rvec="v", metric="minkowski", p=0.5, block_rows=10, query_rows=30)
+    assert _knn_rows(got) == _brute_knn(rows, rows, 2, False, lambda x, y: sum(abs(a - b) ** 0.5 for a, b in zip(x, y)) ** 2)
+
+
+def test_pivots_prune_most_blocks():
+    """Rows in groups: a query visits few cells, and none of those it skips holds a neighbour."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(0, 10, (20, 8))
+    ref = np.repeat(centres, 50, axis=0) + rng.normal(0, 0.3, (1000, 8))
+    q = centres[rng.integers(0, 20, 100)] + rng.normal(0, 0.3, (100, 8))
+    pivots = ref[rng.permutation(1000)[:64]]
+    cell = distances(ref, pivots, "euclidean", 2).argmin(axis=1)
+    cells = np.unique(cell)
+    sizes = np.array([(cell == c).sum() for c in cells])
+    radii = np.array([distances(ref[cell == c], pivots[c:c + 1], "euclidean", 2).max() for c in cells])
+    go = visits(distances(q, pivots, "euclidean", 2), cells, sizes, radii, 5)
+    assert go.mean() < 0.25
+    nearest = distances(q, ref, "euclidean", 2).argsort(axis=1)[:, :5]
+    assert all(go[i, np.searchsorted(cells, cell[j])] for i in range(100) for j in nearest[i])
+
+
+def test_kernel_keeps_its_matrix_bounded(monkeypatch):
+    import tessera.operators.neighbors as N
+    rng = np.random.default_rng(2)
+    x = rng.random((300, 3))
+    whole = N._topk_kernel(np.arange(300), x, np.arange(300), x, 4, True, "euclidean", 2.0)
+    shapes = []
+    plain = N.distances
+    monkeypatch.setattr(N, "distances", lambda a, b, m, p: shapes.append((len(a), len(b))) or plain(a, b, m, p))
+    monkeypatch.setattr(N, "MATRIX_BYTES", 8 * 300 * 11)
+    assert N._topk_kernel(np.arange(300), x, np.arange(300), x, 4, True, "euclidean", 2.0).equals(whole)
+    assert max(a for a, _ in shapes) == 11
