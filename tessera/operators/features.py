@@ -11,9 +11,10 @@ into an ML vector with ``VectorAssembler`` for the estimators.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +23,7 @@ from tessera.operators.aggregates import exact_quantiles
 from tessera.operators.joins import checked_broadcast
 from tessera.operators.ordering import range_rank
 from tessera.operators.profile import NUMERIC, distinct_counts
-from tessera.operators.tfidf import effective_max_features, fit_terms
+from tessera.operators.tfidf import TermModel, effective_max_features, fit_terms
 
 DICT_BROADCAST_LIMIT = 1_000_000
 
@@ -198,6 +199,31 @@ class FittedFeatures:
         return d
 
 
+    def save(self, path: str) -> None:
+        """The statistics as one JSON row, each dictionary as a table."""
+        from dataclasses import asdict
+        spark = (self.label_dict or next(iter(self.high_card.values()), None))
+        spark = spark.sparkSession if spark is not None else SparkSession.getActiveSession()
+        plain = {f: getattr(self, f) for f in ("numeric", "low_card", "high_sizes", "text_cols", "medians", "modes", "target", "label_size")}
+        plain |= {"scaler": asdict(self.scaler), "text_models": {c: asdict(m) for c, m in self.text_models.items()},
+                  "high_card": list(self.high_card), "label": self.label_dict is not None}
+        spark.createDataFrame([(json.dumps(plain),)], "facts string").write.parquet(f"{path}/facts")
+        for n, d in enumerate(self.high_card.values()):
+            d.write.parquet(f"{path}/dictionary-{n}")
+        if self.label_dict is not None:
+            self.label_dict.write.parquet(f"{path}/labels")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FittedFeatures:
+        """What ``save`` wrote."""
+        plain = json.loads(spark.read.parquet(f"{path}/facts").first()["facts"])
+        plain["scaler"] = ScalerStats(**plain["scaler"])
+        plain["text_models"] = {c: TermModel(**m) for c, m in plain["text_models"].items()}
+        plain["high_card"] = {c: spark.read.parquet(f"{path}/dictionary-{n}") for n, c in enumerate(plain["high_card"])}
+        plain["label_dict"] = spark.read.parquet(f"{path}/labels") if plain.pop("label") else None
+        return cls(**plain)
+
+
 def assemble(df: DataFrame, fitted: FittedFeatures, out: str = "features") -> DataFrame:
     """``VectorAssembler`` over numeric, one-hot and ordinal columns and the
     sparse term vectors of the text columns, in that order; sparse where that is shorter."""

@@ -4,27 +4,57 @@ stream result is compared with the same SQL as the batch form."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
-from tessera.plans.registry import register
+from tessera.plans.registry import register, registry_sql
 from tessera.session import table
 from tessera.sources import telemetry as TL
 from tessera.streaming import telemetry as ST
 
 
-@register("K01_batch_scoring")
-def k01(spark, sf):
-    """Fit on labelled documents, score every document: one row out per row in."""
+def _fitted(spark, sf):
+    """A feature pipeline and a classifier of document quality."""
     from tessera.operators.features import FeaturePipeline
     from tessera.plans.models import make_estimator
     lab = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
     doc = table(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source")
     train = doc.join(lab, "doc_id")
     fitted = FeaturePipeline(target="quality", id_col="doc_id").fit(train)
-    model = make_estimator("classification", "logistic_regression").fit(fitted.transform(train))
-    scored = ST.score(fitted.transform(doc.withColumn("quality", F.lit(None).cast("string"))), model,
-                      fitted.label_dict)
-    return scored.select("doc_id", "predicted_label")
+    return fitted, make_estimator("classification", "logistic_regression").fit(fitted.transform(train))
+
+
+def _scored(fitted, model, docs):
+    rows = docs.select("doc_id", "n_chars", "lang", "source", F.lit(None).cast("string").alias("quality"))
+    return ST.score(fitted.transform(rows), model, fitted.label_dict).select("doc_id", "predicted_label")
+
+
+@register("K01_batch_scoring")
+def k01(spark, sf):
+    """Fit on labelled documents, score every document: one row out per row in."""
+    fitted, model = _fitted(spark, sf)
+    return _scored(fitted, model, table(spark, sf, "documents"))
+
+
+@register("K02_stream_model", "SELECT doc_id, TRUE AS equals_batch FROM documents")
+def k02_model(spark, sf):
+    """A fitted pipeline, saved and loaded again (A15), scores documents that arrive as
+    a stream; each prediction beside that of the batch (K01)."""
+    from pyspark.ml.classification import LogisticRegressionModel
+    fitted, model = _fitted(spark, sf)
+    s = ST.stream_scratch(spark, "k02-model")
+    fitted.save(s["source"] + "-features")
+    model.write().save(s["source"] + "-model")
+    fitted = type(fitted).load(spark, s["source"] + "-features")
+    model = LogisticRegressionModel.load(s["source"] + "-model")
+    docs = table(spark, sf, "documents")
+    docs.select("doc_id", "n_chars", "lang", "source").repartition(4, "doc_id").write.parquet(s["source"])
+    schema = spark.read.parquet(s["source"]).schema
+    ST.score_stream(spark, s["source"], schema, lambda stream: _scored(fitted, model, stream), s["sink"], s["checkpoint"], partition_by=())
+    streamed = spark.read.parquet(s["sink"]).select("doc_id", F.col("predicted_label").alias("streamed"))
+    batch = _scored(fitted, model, docs)
+    return batch.join(streamed, "doc_id").select("doc_id", F.col("predicted_label").eqNullSafe(F.col("streamed")).alias("equals_batch"))
 
 
 _LOG_SQL = """SELECT event_id, ts AS timestamp_utc, event_type AS model_version, CAST(1 AS BIGINT) AS row_count,
@@ -130,32 +160,71 @@ def k04(spark, sf):
     return r.select("window_start", F.round("statistic", 6).alias("statistic"), "categories", "n_cur")
 
 
-@register("K05_late_rows")
+_K04_STREAM_SQL = """
+WITH r AS (SELECT min(value) AS lo, max(value) AS hi FROM events WHERE ts < TIMESTAMP '2024-01-08' AND NOT isnan(value)),
+v AS (SELECT date_trunc('day', ts) AS window_start, ts < TIMESTAMP '2024-01-08' AS old,
+             greatest(-1, least(30, floor((value - lo) / CASE WHEN hi = lo THEN 1 ELSE (hi - lo) / 30 END))) AS bin
+      FROM events, r WHERE value IS NOT NULL AND NOT isnan(value)),
+c AS (SELECT window_start, bin, count(*) AS n FROM v WHERE NOT old GROUP BY ALL),
+b AS (SELECT bin, count(*) AS n FROM v WHERE old GROUP BY ALL),
+g AS (SELECT w.window_start, k.bin, coalesce(c.n, 0) AS n2, coalesce(b.n, 0) AS n1
+      FROM (SELECT DISTINCT window_start FROM c) w CROSS JOIN (SELECT unnest(range(-1, 31)) AS bin) k
+      LEFT JOIN c ON c.window_start = w.window_start AND c.bin = k.bin LEFT JOIN b ON b.bin = k.bin),
+f AS (SELECT window_start, sum(n1) OVER p / sum(n1) OVER a AS f1, sum(n2) OVER p / sum(n2) OVER a AS f2, sum(n2) OVER a AS n_cur
+      FROM g WINDOW p AS (PARTITION BY window_start ORDER BY bin), a AS (PARTITION BY window_start)),
+chi AS ({chi})
+SELECT window_start, 'value' AS "column", 'ks' AS test, round(max(abs(f1 - f2)), 6) AS statistic, CAST(max(n_cur) AS BIGINT) AS n_cur FROM f GROUP BY 1
+UNION ALL SELECT window_start, 'event_type', 'chi2', statistic, n_cur FROM chi"""
+
+
+@register("K04_stream_drift", _K04_STREAM_SQL.replace("{chi}", registry_sql("K04_windowed_drift")))
+def k04_stream(spark, sf):
+    """Drift of each day against the first week, kept by micro-batches as files arrive."""
+    s = ST.stream_scratch(spark, "k04")
+    e = table(spark, sf, "events")
+    cut = F.lit("2024-01-08").cast("timestamp_ntz")
+    monitor = ST.DriftMonitor(e.where(F.col("ts") < cut), "ts", numeric=["value"], categorical=["event_type"])
+    # files cut across the days, so that windows are merged from many batches
+    e.where(F.col("ts") >= cut).repartition(6, "event_id").write.parquet(s["source"])
+    src = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(s["source"])
+    monitor.run(src, s["sink"], s["checkpoint"])
+    r = monitor.report(monitor.state(s["sink"]))
+    return r.select("window_start", "column", "test", F.round("statistic", 6).alias("statistic"), "n_cur")
+
+
+@register("K05_late_rows", """
+SELECT count(*) AS late_rows, count(*) AS dropped_rows FROM events
+WHERE ts < TIMESTAMP '2024-01-20' AND ts < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def k05(spark, sf):
     """All events, split at one time: on-time files first, then every earlier row
-    as a file older than the watermark.  The late rows are dropped from the
-    windowed counts and reported from the query progress."""
+    as files older than the watermark.  Late rows are dropped one by one before the
+    windows are counted, and the query's progress says how many."""
     s = ST.stream_scratch(spark, "k05")
     e = table(spark, sf, "events")
     cut = F.lit("2024-01-20").cast("timestamp_ntz")
+
+    def run():
+        src = spark.readStream.schema(e.schema).parquet(s["source"] + "/part=*")
+        # keeping each event once filters rows, where an aggregate alone would count partial groups
+        rows = ST.event_time(src, "ts").withWatermark("_et", "1 hour").dropDuplicatesWithinWatermark(["event_id"])
+        agg = rows.groupBy(F.window("_et", "1 day"), "event_type").count()
+        q = (agg.writeStream.outputMode("append").format("parquet").option("path", s["sink"])
+             .option("checkpointLocation", s["checkpoint"]).trigger(availableNow=True).start())
+        q.awaitTermination()
+        dropped = 0
+        for progress in q.recentProgress:
+            told = progress if isinstance(progress, dict) else json.loads(progress.json)
+            dropped += sum(int(op.get("numRowsDroppedByWatermark") or 0) for op in told.get("stateOperators", []))
+        return dropped
+
     e.where(F.col("ts") >= cut).write.mode("append").parquet(s["source"] + "/part=1")
-    src = (spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(s["source"] + "/part=*"))
-    agg = ST.event_time(src, "ts").withWatermark("_et", "1 hour").groupBy(F.window("_et", "1 day"), "event_type").count()
-    q = (agg.writeStream.outputMode("append").format("parquet").option("path", s["sink"])
-         .option("checkpointLocation", s["checkpoint"]).trigger(availableNow=True).start())
-    q.awaitTermination()
-    e.where(F.col("ts") < cut).write.mode("append").parquet(s["source"] + "/part=2")
-    q2 = (agg.writeStream.outputMode("append").format("parquet").option("path", s["sink"])
-          .option("checkpointLocation", s["checkpoint"]).trigger(availableNow=True).start())
-    q2.awaitTermination()
-    dropped = 0
-    for prog in q2.recentProgress:
-        ops = prog.get("stateOperators", []) if isinstance(prog, dict) else (prog.stateOperators or [])
-        for op in ops:
-            n = op.get("numRowsDroppedByWatermark", 0) if isinstance(op, dict) else op.numRowsDroppedByWatermark
-            dropped += int(n or 0)
-    late = e.where(F.col("ts") < cut).count()
-    return spark.createDataFrame([(int(late), int(dropped))], "late_rows long, dropped_groups_by_watermark long")
+    run()
+    early = e.where(F.col("ts") < cut)
+    early.write.mode("append").parquet(s["source"] + "/part=2")
+    dropped = run()
+    newest = e.agg(F.max("ts").alias("ts")).first()["ts"]
+    late = early.where(F.col("ts") < F.lit(newest) - F.expr("INTERVAL 1 HOUR")).count() if newest is not None else 0
+    return spark.createDataFrame([(int(late), int(dropped))], "late_rows long, dropped_rows long")
 
 
 @register("K06_dedupe_stream", "SELECT event_id, ts, event_type, value FROM events")

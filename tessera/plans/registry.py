@@ -24,6 +24,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def registry_sql(name: str) -> str:
+    """The SQL of a query registered before, for use inside another's."""
+    return _SQL[name]
+
+
 def _load_all() -> None:
     from tessera.plans import (q_drift, q_prep, q_aggregates, q_joins, q_rules,  # noqa: F401
                                q_split, q_features, q_text, q_windows, q_metrics,
