@@ -19,6 +19,8 @@ vector take no part.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 
 import numpy as np
@@ -192,79 +194,173 @@ def local_outlier_factor(neighbors: DataFrame, k: int) -> DataFrame:
     return lof.select("query_id", "lrd", (F.col("_m") / F.col("lrd")).alias("lof"))
 
 
-def _subcells(points: DataFrame, id_col: str, x: str, y: str, eps: float) -> DataFrame:
-    side = eps / math.sqrt(2.0)  # any two points of one sub-cell are within eps
-    return points.select(F.col(id_col).alias("_id"), F.col(x).cast("double").alias("_x"),
-                         F.col(y).cast("double").alias("_y")).withColumns(
-        {"_cx": F.floor(F.col("_x") / side).cast("long"), "_cy": F.floor(F.col("_y") / side).cast("long")})
-
-
-_CROSS_OFFSETS = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3) if (dx, dy) != (0, 0)]
-
-
-def _cross_pairs(cells: DataFrame, eps: float) -> DataFrame:
-    """Pairs (a, b) in *different* sub-cells within eps: each point probes the
-    24 sub-cells that can hold a neighbour (side eps/sqrt(2), so two cells
-    away at most)."""
-    offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in _CROSS_OFFSETS])
-    probe = cells.select(F.col("_id").alias("a"), F.col("_x").alias("ax"), F.col("_y").alias("ay"),
-                         F.explode(offs).alias("_o"), "_cx", "_cy").select(
-        "a", "ax", "ay", (F.col("_cx") + F.col("_o.dx")).alias("_cx"), (F.col("_cy") + F.col("_o.dy")).alias("_cy"))
-    build = cells.select(F.col("_id").alias("b"), F.col("_x").alias("bx"), F.col("_y").alias("by"), "_cx", "_cy")
-    dist = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2)
-    return probe.join(build, ["_cx", "_cy"]).where(dist <= F.lit(eps)).select("a", "b", dist.alias("distance"))
-
-
-def radius_pairs(points: DataFrame, id_col: str, x: str, y: str, eps: float) -> DataFrame:
-    """E08 (2-D): all pairs (a, b) with distance <= eps, self pairs included.
-    Use ``radius_counts`` when only neighbour counts are needed: it never
-    enumerates pairs inside a sub-cell."""
-    cells = _subcells(points, id_col, x, y, eps)
-    a = cells.select(F.col("_id").alias("a"), "_cx", "_cy")
-    b = cells.select(F.col("_id").alias("b"), "_cx", "_cy")
-    same = a.join(b, ["_cx", "_cy"]).select("a", "b")
-    cross = _cross_pairs(cells, eps).select("a", "b")
-    return same.unionByName(cross)
-
-
-def radius_counts(points: DataFrame, id_col: str, x: str, y: str, eps: float) -> DataFrame:
-    """E08 (2-D) neighbour counts within eps, self included: the sub-cell
-    population is added by aggregation (no pairs, so a point mass holding a
-    third of the table costs one grouped count), and only cross-cell
-    candidates are compared."""
-    cells = _subcells(points, id_col, x, y, eps)
-    same = cells.groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("_n_same"))
-    own = cells.join(same, ["_cx", "_cy"]).select(F.col("_id").alias("id"), "_n_same")
-    cross = _cross_pairs(cells, eps).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("_n_cross"))
-    out = own.join(cross, "id", "left")
-    return out.select("id", (F.col("_n_same") + F.coalesce("_n_cross", F.lit(0))).alias("n_neighbors"))
-
-
-def dbscan(points: DataFrame, id_col: str, x: str, y: str, eps: float, min_samples: int = 5) -> DataFrame:
-    """Core points have >= min_samples neighbours within eps (self
-    included, counted by ``radius_counts``).  Clusters are connected
-    components of the core graph: core points sharing a sub-cell are linked
-    through a star to the sub-cell's smallest core id (never all pairs), core
-    points in different sub-cells by their cross-cell pairs; components come
-    from alternating stars, run until they converge.  Border points take the smallest label of a core
-    neighbour; noise is -1.  Cluster label = smallest core id in it."""
-    cells = cut_lineage(_subcells(points, id_col, x, y, eps))
-    counts = radius_counts(points, id_col, x, y, eps)
-    core = counts.where(F.col("n_neighbors") >= min_samples).select("id")
-    core_cells = cells.join(core.withColumnRenamed("id", "_id"), "_id")
-    hub = core_cells.groupBy("_cx", "_cy").agg(F.min("_id").alias("_hub"))
-    star = core_cells.join(hub, ["_cx", "_cy"]).where(F.col("_id") != F.col("_hub")).select(
-        F.col("_id").alias("a"), F.col("_hub").alias("b"))
-    core_cross = (_cross_pairs(core_cells, eps).select("a", "b"))
-    found = connected_components(star.unionByName(core_cross))
-    labels = cut_lineage(core.join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label")))
-    # border points: smallest label among core neighbours (same sub-cell by aggregate, other cells by pairs)
-    lab = labels.select(F.col("id").alias("_id"), F.col("label").alias("_lb"))
-    same_min = cells.join(lab, "_id").groupBy("_cx", "_cy").agg(F.min("_lb").alias("_sm"))
-    same_b = cells.join(same_min, ["_cx", "_cy"]).select(F.col("_id").alias("id"), "_sm")
-    cross_b = (_cross_pairs(cells, eps).join(lab.withColumnRenamed("_id", "b"), "b")
-               .groupBy(F.col("a").alias("id")).agg(F.min("_lb").alias("_cm")))
-    allp = points.select(F.col(id_col).alias("id"))
-    out = allp.join(labels, "id", "left").join(same_b, "id", "left").join(cross_b, "id", "left")
-    border = F.least("_sm", "_cm")
-    return out.select("id", F.coalesce("label", border, F.lit(-1)).cast("long").alias("cluster"))
+#: Pairs of points that two cells may have between them and still be compared one by one.
+SMALL = 4096
+#: Halvings of a cell's side, after which what is undecided is compared one by one.
+DEEPEST = 40
+
+
+def _points(points: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
+    """(id, x): rows whose coordinates are all finite numbers."""
+    x = [F.col(c).cast("double") for c in cols]
+    fit = F.lit(True)
+    for c in x:
+        fit = fit & c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return points.where(fit).select(F.col(id_col).alias("id"), F.array(*x).alias("x"))
+
+
+def _key(x, side: float):
+    return F.transform(x, lambda v: F.floor(v / F.lit(side)).cast("long"))
+
+
+def _boxes(points: DataFrame, side: float, dims: int) -> DataFrame:
+    """(key, n, low, high): the cells of a grid with the box around their points."""
+    x = [F.col("x")[k] for k in range(dims)]
+    return points.groupBy(_key(F.col("x"), side).alias("key")).agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.min(c) for c in x]).alias("low"), F.array(*[F.max(c) for c in x]).alias("high"))
+
+
+def _offsets(dims: int) -> list[list[int]]:
+    """Steps from a cell to the others whose boxes come within eps (side eps / sqrt(dims))."""
+    reach = range(-math.ceil(math.sqrt(dims)), math.ceil(math.sqrt(dims)) + 1)
+    return [list(o) for o in itertools.product(reach, repeat=dims) if any(o) and sum(max(0, abs(v) - 1) ** 2 for v in o) <= dims]
+
+
+def _side(eps: float, dims: int) -> float:
+    return eps / math.sqrt(dims)  # any two points of one cell are within eps
+
+
+def within(left: DataFrame, right: DataFrame, dims: int, eps: float, once: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What lies within ``eps`` of each other in different cells of two sets of points
+    (id, x): (whole cells, single pairs).
+
+    Pairs of cells are judged by the least and the greatest distance of the boxes around
+    their points: too far, wholly within, or neither.  What is neither is halved in each
+    dimension and judged again, until a pair has at most ``SMALL`` pairs of points, which
+    are compared.  So two dense cells cost the pairs of points near the distance ``eps``
+    and not their product.
+
+    Whole cells: (level, a, b, n_b, root_a, root_b), where ``a`` and ``b`` are keys of the
+    grid of that level and the roots those of the first.  Single pairs: (id_a, id_b,
+    root_a, root_b).  With ``once`` a pair of first cells is settled by its first find."""
+    side = _side(eps, dims)
+    a, b = _boxes(left, side, dims), _boxes(right, side, dims)
+    steps = F.array(*[F.array(*[F.lit(int(v)).cast("long") for v in o]) for o in _offsets(dims)])
+
+    def side_of(boxes: DataFrame, name: str) -> DataFrame:
+        return boxes.select(F.col("key").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "low", "high")])
+
+    near = a.select("*", F.explode(steps).alias("o")).select(F.zip_with("key", "o", lambda k, o: k + o).alias("b"), *[F.col(c) for c in a.columns])
+    pairs = near.select("b", F.col("key").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("n", "low", "high")]).join(side_of(b, "b"), "b")
+    pairs = pairs.withColumns({"root_a": F.col("a"), "root_b": F.col("b")})
+    cells, single, level = [], [], 0
+    norm = lambda parts: F.sqrt(sum(parts[1:], parts[0]))
+    sq = lambda v: v * v
+    while True:
+        gap = [F.greatest(F.lit(0.0), F.col("b_low")[k] - F.col("a_high")[k], F.col("a_low")[k] - F.col("b_high")[k]) for k in range(dims)]
+        span = [F.greatest(F.col("b_high")[k] - F.col("a_low")[k], F.col("a_high")[k] - F.col("b_low")[k]) for k in range(dims)]
+        judged = cut_lineage(pairs.where(norm([sq(v) for v in gap]) <= F.lit(eps))
+                             .select("root_a", "root_b", "a", "b", "a_n", "b_n", (norm([sq(v) for v in span]) <= F.lit(eps)).alias("whole")))
+        cells.append(judged.where("whole").select(F.lit(level).alias("level"), "a", "b", F.col("b_n").alias("n_b"), "root_a", "root_b"))
+        rest = judged.where("not whole")
+        if once:
+            rest = rest.join(judged.where("whole").select("root_a", "root_b").distinct(), ["root_a", "root_b"], "left_anti")
+        few = F.lit(level >= DEEPEST) | (F.col("a_n") * F.col("b_n") <= SMALL)
+        here = side / 2 ** level
+        keyed = lambda d, n: d.select(_key(F.col("x"), here).alias(n), F.col("id").alias(f"id_{n}"), F.col("x").alias(f"x_{n}"))
+        compared = rest.where(few).select("root_a", "root_b", "a", "b").join(keyed(left, "a"), "a").join(keyed(right, "b"), "b")
+        dist = norm([sq(F.col("x_a")[k] - F.col("x_b")[k]) for k in range(dims)])
+        single.append(compared.where(dist <= F.lit(eps)).select("id_a", "id_b", "root_a", "root_b"))
+        open_ = rest.where(~few)
+        if level >= DEEPEST or open_.isEmpty():
+            break
+        level += 1
+
+        def children(points: DataFrame, name: str) -> DataFrame:
+            """The cells of the next grid below the undecided ones."""
+            parents = open_.select(F.col(name).alias("parent")).distinct()
+            inside = points.withColumn("parent", _key(F.col("x"), side / 2 ** (level - 1))).join(parents, "parent", "left_semi")
+            return (side_of(_boxes(inside, side / 2 ** level, dims), name)
+                    .withColumn("parent", F.transform(name, lambda v: F.shiftright(v, 1))))
+
+        up = open_.select("root_a", "root_b", F.col("a").alias("pa"), F.col("b").alias("pb"))
+        pairs = (up.join(children(left, "a").withColumnRenamed("parent", "pa"), "pa")
+                 .join(children(right, "b").withColumnRenamed("parent", "pb"), "pb").drop("pa", "pb"))
+    return functools.reduce(DataFrame.unionByName, cells), functools.reduce(DataFrame.unionByName, single)
+
+
+def _each_level(cells: DataFrame, points: DataFrame, side: float, value, name: str) -> DataFrame:
+    """(id, name): ``value`` over the whole cells that a point's cell of their level is paired with."""
+    cells = cut_lineage(cells.groupBy("level", "a").agg(value.alias(name)))
+    levels = sorted(r[0] for r in cells.select("level").distinct().collect())  # at most DEEPEST
+    out = None
+    for level in levels:
+        found = (points.select("id", _key(F.col("x"), side / 2 ** level).alias("a"))
+                 .join(cells.where(F.col("level") == level).select("a", name), "a").select("id", name))
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else points.sparkSession.createDataFrame([], f"id {points.schema['id'].dataType.simpleString()}, {name} long")
+
+
+def radius_pairs(points: DataFrame, id_col: str, cols: list[str], eps: float) -> DataFrame:
+    """All pairs (a, b) with distance <= eps, self pairs included.  The result has
+    a row for each; use ``radius_counts`` where only their number is needed."""
+    p, dims = cut_lineage(_points(points, id_col, cols)), len(cols)
+    side = _side(eps, dims)
+    keyed = p.select("id", _key(F.col("x"), side).alias("key"))
+    same = keyed.select(F.col("id").alias("a"), "key").join(keyed.select(F.col("id").alias("b"), "key"), "key").select("a", "b")
+    cells, single = within(p, p, dims, eps)
+    out = same.unionByName(single.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    for level in sorted(r[0] for r in cells.select("level").distinct().collect()):
+        at = p.select("id", _key(F.col("x"), side / 2 ** level).alias("key"))
+        whole = cells.where(F.col("level") == level).select(F.col("a").alias("ka"), F.col("b").alias("kb"))
+        out = out.unionByName(whole.join(at.select(F.col("id").alias("a"), F.col("key").alias("ka")), "ka")
+                              .join(at.select(F.col("id").alias("b"), F.col("key").alias("kb")), "kb").select("a", "b"))
+    return out
+
+
+def radius_counts(points: DataFrame, id_col: str, cols: list[str], eps: float) -> DataFrame:
+    """E08 neighbour counts within eps in any number of columns, self included: a cell's
+    own points and those of cells wholly within reach are added as numbers, and only
+    points near the distance ``eps`` are compared (``within``).  The number of cells
+    around a cell grows with the columns (24 for two, 124 for three, over 2000 from five on)."""
+    return _radius_counts(cut_lineage(_points(points, id_col, cols)), len(cols), eps)
+
+
+def _radius_counts(p: DataFrame, dims: int, eps: float) -> DataFrame:
+    side = _side(eps, dims)
+    own = _boxes(p, side, dims).select(F.lit(0).alias("level"), F.col("key").alias("a"), F.col("n").alias("n_b"))
+    cells, single = within(p, p, dims, eps)
+    whole = _each_level(own.unionByName(cells.select("level", "a", "n_b")), p, side, F.sum("n_b"), "n")
+    ones = single.groupBy(F.col("id_a").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return whole.unionByName(ones).groupBy("id").agg(F.sum("n").cast("long").alias("n_neighbors"))
+
+
+def dbscan(points: DataFrame, id_col: str, cols: list[str], eps: float, min_samples: int = 5) -> DataFrame:
+    """Core points have >= min_samples neighbours within eps (self included,
+    counted by ``radius_counts``).  All core points of a cell are in one cluster, and two
+    cells are linked by the first find of ``within``, so clusters are components of
+    cells; they come from alternating stars, run until they converge.  Border points take
+    the smallest label of a core neighbour; noise, and a point without finite
+    coordinates, is -1.  Cluster label = smallest core id in it."""
+    p, dims = cut_lineage(_points(points, id_col, cols)), len(cols)
+    side = _side(eps, dims)
+    counts = _radius_counts(p, dims, eps)
+    flagged = cut_lineage(p.join(counts, "id").select("id", "x", (F.col("n_neighbors") >= min_samples).alias("core")))
+    core, other = flagged.where("core").select("id", "x"), flagged.where("not core").select("id", "x")
+    hubs = core.groupBy(_key(F.col("x"), side).alias("key")).agg(F.min("id").alias("hub"))
+    cells, single = within(core, core, dims, eps, once=True)
+    linked = cells.select("root_a", "root_b").unionByName(single.select("root_a", "root_b")).distinct()
+    edges = (linked.join(hubs.select(F.col("key").alias("root_a"), F.col("hub").alias("a")), "root_a")
+             .join(hubs.select(F.col("key").alias("root_b"), F.col("hub").alias("b")), "root_b").select("a", "b"))
+    found = connected_components(edges)
+    label = cut_lineage(hubs.join(found.select(F.col("id").alias("hub"), F.col("label").alias("found")), "hub", "left")
+                        .select("key", F.coalesce("found", "hub").alias("label")))
+    of_cell = lambda d: d.select("id", _key(F.col("x"), side).alias("key")).join(label, "key").select("id", "label")
+    # border points: the label of their own cell's core points, of cells wholly within reach, and of single core neighbours
+    cells, single = within(other, core, dims, eps)
+    named = label.select(F.col("key").alias("root_b"), "label")
+    whole = _each_level(cells.join(named, "root_b").select("level", "a", "label"), other, side, F.min("label"), "label")
+    near = single.join(named, "root_b").select(F.col("id_a").alias("id"), "label")
+    border = of_cell(other).unionByName(whole).unionByName(near).groupBy("id").agg(F.min("label").alias("label"))
+    out = points.select(F.col(id_col).alias("id")).join(of_cell(core).unionByName(border), "id", "left")
+    return out.select("id", F.coalesce("label", F.lit(-1)).cast("long").alias("cluster"))

@@ -86,7 +86,7 @@ WITH {_PTS_SQL}
 SELECT a.p_partkey, CAST(count(*) AS BIGINT) AS n_neighbors FROM pts a JOIN pts b
   ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.02 GROUP BY a.p_partkey""")
 def e08(spark, sf):
-    c = NB.radius_counts(part_points(spark, sf), "p_partkey", "x", "y", 0.02)
+    c = NB.radius_counts(part_points(spark, sf), "p_partkey", ["x", "y"], 0.02)
     return c.select(F.col("id").alias("p_partkey"), F.col("n_neighbors").cast("long"))
 
 
@@ -102,7 +102,39 @@ border AS (SELECT e.a AS id, min(lab.label) AS label FROM e JOIN lab ON e.b = la
 SELECT p.p_partkey AS id, CAST(coalesce(lab.label, border.label, -1) AS BIGINT) AS cluster
 FROM pts p LEFT JOIN lab ON p.p_partkey = lab.id LEFT JOIN border ON p.p_partkey = border.id""")
 def l32(spark, sf):
-    return NB.dbscan(part_points(spark, sf), "p_partkey", "x", "y", eps=0.02, min_samples=5)
+    return NB.dbscan(part_points(spark, sf), "p_partkey", ["x", "y"], eps=0.02, min_samples=5)
+
+
+def customer_points(spark, sf):
+    c = table(spark, sf, "customer")
+    return c.select("c_custkey", (F.col("c_acctbal") / 11000.0).alias("x"), (F.col("c_nationkey") / 25.0).alias("y"),
+                    ((F.col("c_custkey") * 37 % 101) / 101.0).alias("z"))
+
+
+_PTS3_SQL = """pts AS (SELECT c_custkey, c_acctbal / 11000.0 AS x, c_nationkey / 25.0 AS y, (c_custkey * 37 % 101) / 101.0 AS z FROM customer)"""
+_NEAR3 = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 0.06"
+
+
+@register("E08_radius_three_columns", f"""
+WITH {_PTS3_SQL}
+SELECT a.c_custkey, CAST(count(*) AS BIGINT) AS n_neighbors FROM pts a JOIN pts b ON {_NEAR3} GROUP BY a.c_custkey""")
+def e08_three(spark, sf):
+    c = NB.radius_counts(customer_points(spark, sf), "c_custkey", ["x", "y", "z"], 0.06)
+    return c.select(F.col("id").alias("c_custkey"), "n_neighbors")
+
+
+@register("L32_dbscan_three_columns", f"""
+WITH RECURSIVE {_PTS3_SQL},
+e AS (SELECT a.c_custkey AS a, b.c_custkey AS b FROM pts a JOIN pts b ON {_NEAR3}),
+core AS (SELECT a AS id FROM e GROUP BY a HAVING count(*) >= 4),
+ce AS (SELECT e.a, e.b FROM e JOIN core u ON e.a = u.id JOIN core v ON e.b = v.id),
+r AS (SELECT id, id AS root FROM core UNION SELECT ce.b, r.root FROM r JOIN ce ON r.id = ce.a),
+lab AS (SELECT id, min(root) AS label FROM r GROUP BY id),
+border AS (SELECT e.a AS id, min(lab.label) AS label FROM e JOIN lab ON e.b = lab.id GROUP BY e.a)
+SELECT p.c_custkey AS id, CAST(coalesce(lab.label, border.label, -1) AS BIGINT) AS cluster
+FROM pts p LEFT JOIN lab ON p.c_custkey = lab.id LEFT JOIN border ON p.c_custkey = border.id""")
+def l32_three(spark, sf):
+    return NB.dbscan(customer_points(spark, sf), "c_custkey", ["x", "y", "z"], eps=0.06, min_samples=4)
 
 
 # ---------------------------------------------------------------- classifiers

@@ -42,7 +42,7 @@ def test_null_strata_are_split(with_nulls):
 
 def test_dbscan_chain_is_one_cluster(spark):
     points = spark.createDataFrame([(i, float(i), 0.0) for i in range(500)], "id long, x double, y double")
-    out = neighbors.dbscan(points, "id", "x", "y", eps=1.1, min_samples=2)
+    out = neighbors.dbscan(points, "id", ["x", "y"], eps=1.1, min_samples=2)
     assert [r["cluster"] for r in out.select("cluster").distinct().collect()] == [0]
 
 

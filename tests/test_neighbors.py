@@ -49,9 +49,9 @@ def test_radius_counts_and_dbscan_match_brute_force(spark):
     pts = _points()
     df = spark.createDataFrame(pts, "id long, x double, y double")
     counts, labels = _brute(pts, 0.05, 5)
-    got = {r["id"]: r["n_neighbors"] for r in radius_counts(df, "id", "x", "y", 0.05).collect()}
+    got = {r["id"]: r["n_neighbors"] for r in radius_counts(df, "id", ["x", "y"], 0.05).collect()}
     assert got == counts
-    got = {r["id"]: r["cluster"] for r in dbscan(df, "id", "x", "y", 0.05, 5).collect()}
+    got = {r["id"]: r["cluster"] for r in dbscan(df, "id", ["x", "y"], 0.05, 5).collect()}
     assert got == labels
 
 
@@ -121,3 +121,38 @@ def test_kernel_keeps_its_matrix_bounded(monkeypatch):
     monkeypatch.setattr(N, "MATRIX_BYTES", 8 * 300 * 11)
     assert N._topk_kernel(np.arange(300), x, np.arange(300), x, 4, True, "euclidean", 2.0).equals(whole)
     assert max(a for a, _ in shapes) == 11
+
+
+def _brute_counts(points, eps):
+    return {a: sum(math.dist(x, y) <= eps for _, y in points) for a, x in points}
+
+
+@pytest.mark.parametrize("dims", [1, 3, 4])
+def test_radius_in_any_number_of_columns(spark, monkeypatch, dims):
+    import tessera.operators.neighbors as N
+    rng = random.Random(dims)
+    points = [(i, [rng.random() for _ in range(dims)]) for i in range(250)] + [(900 + i, [0.25] * dims) for i in range(30)]
+    cols = [f"c{k}" for k in range(dims)]
+    df = spark.createDataFrame([(i, *x) for i, x in points] + [(5000, *[None] * dims), (5001, *[float("nan")] * dims)], ["id", *cols])
+    eps = 0.05 if dims == 1 else 0.3
+    expected = _brute_counts(points, eps)
+    for small in (1, 50, 4096):  # few pairs compared one by one: cells are halved further
+        monkeypatch.setattr(N, "SMALL", small)
+        got = {r["id"]: r["n_neighbors"] for r in radius_counts(df, "id", cols, eps).collect()}
+        assert got == expected
+    pairs = {(r["a"], r["b"]) for r in N.radius_pairs(df, "id", cols, eps).collect()}
+    assert pairs == {(a, b) for a, x in points for b, y in points if math.dist(x, y) <= eps}
+
+
+def test_dense_adjacent_cells_finish(spark):
+    """Two adjacent cells of 10 000 points each: cells wholly within reach are added as numbers."""
+    rng = random.Random(7)
+    side = 1 / math.sqrt(2)
+    points = [(i, (i % 2 + rng.random()) * side, rng.random() * side) for i in range(20_000)]
+    df = spark.createDataFrame(points, "id long, x double, y double")
+    got = {r["id"]: r["n_neighbors"] for r in radius_counts(df, "id", ["x", "y"], 1.0).collect()}
+    xy = np.array([p[1:] for p in points])
+    for i in range(0, 20_000, 997):
+        assert got[i] == int((np.sqrt(((xy - xy[i]) ** 2).sum(axis=1)) <= 1.0).sum())
+    labels = {r["cluster"] for r in dbscan(df, "id", ["x", "y"], 1.0, 5).collect()}
+    assert labels == {0}
