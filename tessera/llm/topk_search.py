@@ -288,9 +288,9 @@ def search(vectors: DataFrame, *, every: int = EVERY, k: int = K, scale: int = S
 def search_sql(every: int = EVERY, k: int = K, scale: int = SCALE) -> str:
     """DuckDB: every query against every row."""
     return f"""
-WITH v AS (SELECT vec_id, row_number() OVER () AS rn, list_transform(embedding, x -> floor({scale} * CAST(x AS DOUBLE))) AS e
+WITH v AS (SELECT vec_id, row_number() OVER () AS rn, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS e
            FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
 p AS (SELECT q.rn, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
       FROM v q JOIN v c ON q.rn <> c.rn WHERE q.vec_id % {every} = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY rn ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM p)
