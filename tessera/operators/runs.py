@@ -3,12 +3,12 @@ job views (J05-J10, O08-O16)."""
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.operators.ordering import range_rank, running_agg
+from tessera.session import cut_lineage
 
 RUN_SCHEMA = ("run_id bigint, experiment string, model string, trial int, score double, "
               "start_time timestamp_ntz, duration double, status string, params map<string,string>, "
@@ -32,32 +32,52 @@ def running_best(runs: DataFrame, model_cols, trial_col: str, score_col: str) ->
     return d.withColumn("best_so_far", F.greatest(F.col("best_before"), F.col(score_col))).drop("_imp_rank", "_last_imp")
 
 
+def _taken(keys: int, min_improvement: float):
+    """Records (keys..., trial, score) sorted by keys and trial to those that move the
+    best: a scan that carries one number from batch to batch."""
+    def run(batches):
+        now, best = None, None
+        for b in batches:
+            cols = [c.to_pylist() for c in b.columns]
+            keep = []
+            for k, row in enumerate(zip(*cols, strict=True)):
+                if best is None or row[:keys] != now:
+                    now, best = row[:keys], row[-1]
+                    keep.append(k)
+                elif row[-1] > best + min_improvement:
+                    best = row[-1]
+                    keep.append(k)
+            yield b.take(pa.array(keep, pa.int64()))
+    return run
+
+
 def early_stop_trace(runs: DataFrame, model_cols, trial_col: str, score_col: str,
                      min_improvement: float = 1e-4, rounds: int = 10) -> DataFrame:
     """J06 exact rule: best moves only when score > best + min_improvement;
-    trials after ``rounds`` non-improving trials are flagged as stopped.  The
-    rule is path-dependent (no associative prefix form), so each model's
-    trials -- bounded by the search budget -- are scanned in one pandas call."""
+    trials after ``rounds`` non-improving trials are flagged as stopped.
+
+    A score that is no record of its model cannot move the best (a record that was
+    passed over lies within min_improvement of it), so ``running_agg`` first cuts each
+    series to its records.  Only these are scanned, in order and with one carried
+    number, whatever their count; all else are running maxima along the trials."""
     model_cols = list(model_cols)
-    out_schema = T.StructType(runs.select(*model_cols, trial_col, score_col).schema.fields + [
-        T.StructField("best_so_far", T.DoubleType()), T.StructField("without_improvement", T.LongType()),
-        T.StructField("stopped", T.BooleanType())])
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(trial_col)
-        best, waits, stopped = float("-inf"), 0, False
-        b_out, w_out, s_out = [], [], []
-        for s in pdf[score_col].tolist():
-            stopped = stopped or waits >= rounds
-            if s is not None and s == s and s > best + min_improvement:
-                best, waits = s, 0
-            else:
-                waits += 1
-            b_out.append(best if best != float("-inf") else None)
-            w_out.append(waits)
-            s_out.append(stopped)
-        return pdf.assign(best_so_far=b_out, without_improvement=w_out, stopped=s_out)
-    return runs.select(*model_cols, trial_col, score_col).groupBy(*model_cols).applyInPandas(scan, out_schema)
+    score = F.col(score_col).cast("double")
+    d = runs.select(*model_cols, trial_col, score_col).withColumn("_s", F.when(~F.isnan(score) & (score > float("-inf")), score))
+    d = cut_lineage(running_agg(d, model_cols, trial_col, "_s", "max", name="_before", inclusive=False))
+    records = d.where("_s > _before or (_before is null and _s is not null)").select(*model_cols, trial_col, "_s")
+    ordered = (records.repartition(*model_cols) if model_cols else records.coalesce(1)).sortWithinPartitions(*model_cols, trial_col)
+    taken = ordered.mapInArrow(_taken(len(model_cols), min_improvement), records.schema)
+    taken = taken.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(model_cols)], F.col(trial_col).alias("_t"), F.col("_s").alias("_best"))
+    same = F.col(trial_col) == F.col("_t")
+    for i, c in enumerate(model_cols):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    d = cut_lineage(d.join(taken, same, "left").select(*model_cols, trial_col, score_col, "_best", "_t"))
+    d = running_agg(d, model_cols, trial_col, "_best", "max", name="best_so_far")
+    d = running_agg(d, model_cols, trial_col, "_t", "max", name="_last")
+    d = d.withColumn("without_improvement", (F.col(trial_col) - F.coalesce("_last", F.lit(0))).cast("long"))
+    d = running_agg(d, model_cols, trial_col, "without_improvement", "max", name="_waited", inclusive=False)
+    return d.select(*model_cols, trial_col, score_col, "best_so_far", "without_improvement",
+                    (F.coalesce("_waited", F.lit(0)) >= rounds).alias("stopped"))
 
 
 def best_per_group(runs: DataFrame, group_cols, score_col: str, id_col: str, keep_cols) -> DataFrame:

@@ -90,11 +90,31 @@ def f04(spark, sf):
     return s.select(F.col("rule_count").cast("long"), _r6("avg_confidence"), _r6("avg_lift"), _r6("rule_score"))
 
 
-@register("F05_fpgrowth_itemsets")
+_SETS_SQL = f"""
+WITH RECURSIVE b AS ({_OB}), n AS (SELECT count(DISTINCT basket) AS n FROM b),
+s AS (SELECT basket, item AS itemset, item AS last FROM b
+      UNION ALL SELECT s.basket, s.itemset || ',' || b.item, b.item FROM s JOIN b ON s.basket = b.basket AND b.item > s.last),
+f AS (SELECT itemset, count(*) AS freq FROM s GROUP BY itemset HAVING count(*) >= 0.0005 * (SELECT n FROM n) - 1e-9)
+"""
+
+
+@register("F05_fpgrowth_itemsets", _SETS_SQL + "SELECT itemset, CAST(freq AS BIGINT) AS freq FROM f")
 def f05(spark, sf):
     """Itemsets of any length; its pair rules must equal F02's (tested)."""
-    items, rules = R.fpgrowth_rules(order_brand_baskets(spark, sf), min_support=0.0005, min_confidence=0.01)
-    return items.select(F.array_join(F.array_sort("items"), ",").alias("itemset"), F.col("freq").cast("long"))
+    items = R.itemsets(order_brand_baskets(spark, sf), min_support=0.0005)
+    return items.select(F.array_join("items", ",").alias("itemset"), F.col("freq").cast("long"))
+
+
+@register("F05_itemset_rules", _SETS_SQL + """
+, r AS (SELECT string_split(itemset, ',') AS items, freq FROM f),
+x AS (SELECT items, freq, unnest(items) AS c FROM r WHERE len(items) > 1)
+SELECT array_to_string(list_filter(x.items, lambda i: i <> x.c), ',') AS antecedent, x.c AS consequent,
+       round(x.freq / a.freq, 6) AS confidence, round((x.freq / a.freq) / (k.freq / n.n), 6) AS lift
+FROM x JOIN f a ON a.itemset = array_to_string(list_filter(x.items, lambda i: i <> x.c), ',') JOIN f k ON k.itemset = x.c, n
+WHERE x.freq / a.freq >= 0.1""")
+def f05_rules(spark, sf):
+    _, rules = R.itemset_rules(order_brand_baskets(spark, sf), min_support=0.0005, min_confidence=0.1)
+    return rules.select(F.array_join("antecedent", ",").alias("antecedent"), F.col("consequent")[0].alias("consequent"), _r6("confidence"), _r6("lift"))
 
 
 @register("E06_cooccurrence", """

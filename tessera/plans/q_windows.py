@@ -110,10 +110,23 @@ def j06(spark, sf):
                      "trials_without_improvement", _r6("best_so_far"))
 
 
-@register("J06_early_stop_trace")
+@register("J06_early_stop_trace", f"""
+WITH RECURSIVE t AS (SELECT experiment, model, score, CAST(row_number() OVER (PARTITION BY experiment, model ORDER BY start_time, run_id) AS BIGINT) AS trial
+           FROM {_RUNS_SQL} r),
+c AS (SELECT experiment, model, min(trial) AS trial, arg_min(score, trial) AS score FROM t WHERE score IS NOT NULL GROUP BY ALL
+      UNION ALL
+      SELECT c.experiment, c.model, min(t.trial), arg_min(t.score, t.trial) FROM c JOIN t
+      ON t.experiment = c.experiment AND t.model = c.model AND t.trial > c.trial AND t.score > c.score + 0.0001 GROUP BY c.experiment, c.model),
+l AS (SELECT t.experiment, t.model, t.trial, t.score, max(c.score) OVER w AS best_so_far, coalesce(max(c.trial) OVER w, 0) AS last
+      FROM t LEFT JOIN c ON t.experiment = c.experiment AND t.model = c.model AND t.trial = c.trial
+      WINDOW w AS (PARTITION BY t.experiment, t.model ORDER BY t.trial))
+SELECT experiment, model, trial, round(score, 6) AS score, round(best_so_far, 6) AS best_so_far, trial - last AS without_improvement,
+       coalesce(max(trial - last) OVER (PARTITION BY experiment, model ORDER BY trial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 10 AS stopped
+FROM l""")
 def j06e(spark, sf):
-    """Exact 1e-4 improvement rule with a 10-round stop (per model, pandas scan)."""
-    return RU.early_stop_trace(numbered_runs(spark, sf), ["experiment", "model"], "trial", "score")
+    """Exact 1e-4 improvement rule with a 10-round stop."""
+    r = RU.early_stop_trace(numbered_runs(spark, sf), ["experiment", "model"], "trial", "score")
+    return r.select("experiment", "model", F.col("trial").cast("long"), _r6("score"), _r6("best_so_far"), "without_improvement", "stopped")
 
 
 @register("J07_best_per_model", f"""

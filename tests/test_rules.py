@@ -1,7 +1,11 @@
+import itertools
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators.rules import fpgrowth_rules, pair_rules, rule_summary, wide_to_long
+from tessera.operators.rules import itemset_rules, itemsets, pair_counts, pair_rules, rule_summary, wide_to_long
 
 BASKETS = {"milk": [1, 1, 0, 1, 0, 1], "bread": [1, 1, 1, 0, 1, 1], "eggs": [0, 1, 0, 0, 1, 1],
            "butter": [1, 0, 1, 1, 0, 1]}
@@ -30,11 +34,54 @@ def test_empty_rules_summary(spark):
     assert (s["rule_count"], s["avg_confidence"], s["avg_lift"], s["rule_score"]) == (0, 0.0, 0.0, 0.0)
 
 
-def test_fpgrowth_pairs_equal_pair_rules(spark):
+def test_itemset_pairs_equal_pair_rules(spark):
     long = wide_to_long(_wide(spark), "id", list(BASKETS))
     ours = {(r["antecedent"], r["consequent"]): round(r["confidence"], 9)
             for r in pair_rules(long, min_support=0.3, min_confidence=0.2, min_lift=0.0, max_rules=None).collect()}
-    _, fp = fpgrowth_rules(long, min_support=0.3, min_confidence=0.2)
+    _, fp = itemset_rules(long, min_support=0.3, min_confidence=0.2)
     theirs = {(r["antecedent"][0], r["consequent"][0]): round(r["confidence"], 9)
               for r in fp.where(F.size("antecedent") == 1).collect()}
     assert ours == theirs
+
+
+def _hot_baskets(seed=1):
+    """A basket with a third of all rows beside small ones."""
+    rng = random.Random(seed)
+    rows = [(f"b{k}", f"i{rng.randrange(40):02d}") for k in range(60) for _ in range(4)]
+    return rows + [("hot", f"i{k:02d}") for k in range(120)] + [(None, "i01"), ("b1", None)]
+
+
+def _sets(rows, least, longest=9):
+    by = {}
+    for b, i in rows:
+        if b is not None and i is not None:
+            by.setdefault(b, set()).add(i)
+    count = Counter(c for items in by.values() for k in range(1, longest + 1) if k <= 2 or len(items) < 20 for c in itertools.combinations(sorted(items), k))
+    return {c: n for c, n in count.items() if n >= least}
+
+
+@pytest.mark.parametrize("block", [256, 7, 1])
+def test_large_baskets_are_joined_in_blocks(spark, block):
+    rows = _hot_baskets()
+    df = spark.createDataFrame(rows, "basket string, item string").repartition(3)
+    got = {(r.a, r.b): r.n_ab for r in pair_counts(df, block=block).collect()}
+    assert got == {c: n for c, n in _sets(rows, 1, 2).items() if len(c) == 2}
+
+
+def test_hot_basket_is_spread_over_tasks(spark):
+    """No join key holds more than one pair of blocks of the hot basket."""
+    import tessera.operators.rules as R
+    df = spark.createDataFrame(_hot_baskets(), "basket string, item string")
+    blocked = R._blocked(R._frequent(df, 1), 16)
+    assert {r.basket: r.blocks for r in blocked.where("blocks > 1").select("basket", "blocks").distinct().collect()} == {"hot": 8}
+
+
+@pytest.mark.parametrize("block", [256, 5])
+def test_itemsets_equal_brute_force(spark, block):
+    rng = random.Random(3)
+    rows = [(f"b{k}", f"i{rng.randrange(8)}") for k in range(80) for _ in range(5)]
+    df = spark.createDataFrame(rows, "basket string, item string")
+    got = {tuple(r["items"]): r.freq for r in itemsets(df, min_support=0.1, block=block).collect()}
+    assert got == _sets(rows, 8) and max(map(len, got)) >= 3
+    assert {tuple(r["items"]) for r in itemsets(df, min_support=0.1, max_items=2).collect()} == {c for c in got if len(c) <= 2}
+    assert itemsets(df.limit(0)).count() == 0
