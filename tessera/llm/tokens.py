@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Bytes of words that one Python worker remembers, and what an entry takes besides its letters and ids.
-CACHE_BYTES, ENTRY = 160_000_000, 190
+CACHE_BYTES, ENTRY = 200_000_000, 190
 #: Marks that may end a word; a run of them is a piece of its own.
 _ENDS = ".,;:!?%$&*#|)"
 #: A space at the start, or one that no non-space follows: not a piece's start.
