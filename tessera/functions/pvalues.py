@@ -11,53 +11,66 @@ import numpy as np
 def ks_2samp_exact_p(d: float, n1: int, n2: int) -> float:
     """Two-sided exact p of the two-sample KS statistic ``d``: the share of
     monotone lattice paths from (0,0) to (n1,n2) that leave the band
-    |i/n1 - j/n2| < d.  Rows are rescaled as they go so nothing overflows."""
+    |i/n1 - j/n2| < d.
+
+    The paths that leave are counted themselves, by the first point outside: paths that
+    stay inside up to the step before it, times all ways on from there.  Every term is
+    positive, so a small p keeps its digits where 1 minus the paths inside would lose
+    them.  Rows are rescaled as they go so nothing overflows."""
     if n1 <= 0 or n2 <= 0:
         return float("nan")
     m, n = (n1, n2) if n1 >= n2 else (n2, n1)
-    # stay inside while |i/m - j/n| < d  <=>  |i*n - j*m| < d*m*n (with a
+    # inside while |i/m - j/n| < d  <=>  |i*n - j*m| < d*m*n (with a
     # small tolerance so that paths exactly at distance d count as outside)
     lim = d * m * n - 1e-7 * max(1.0, d * m * n)
-    row = np.zeros(n + 1)
-    j = np.arange(n + 1)
-    inside0 = np.abs(0 * n - j * m) < lim
-    # first row: prefix of consecutive inside points
-    row[0] = 1.0
-    for k in range(1, n + 1):
-        row[k] = row[k - 1] if inside0[k] else 0.0
-    log_scale = 0.0
-    for i in range(1, m + 1):
-        inside = np.abs(i * n - j * m) < lim
-        idx = np.nonzero(inside)[0]
-        new = np.zeros(n + 1)
-        if idx.size:
-            lo, hi = idx[0], idx[-1]
-            new[lo:hi + 1] = np.cumsum(row[lo:hi + 1])
-        s = new.max()
-        if s <= 0:
-            return 1.0
-        new /= s
-        log_scale += math.log(s)
-        row = new
-    if row[n] <= 0:
+    if lim <= 0:
         return 1.0
-    log_inside = math.log(row[n]) + log_scale
-    log_total = math.lgamma(m + n + 1) - math.lgamma(m + 1) - math.lgamma(n + 1)
-    p = 1.0 - math.exp(log_inside - log_total)
-    return float(min(1.0, max(0.0, p)))
+    log_fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, m + n + 1)))])
 
+    def ways(i, j):
+        """log of the number of paths from (i, j) to the end."""
+        return log_fact[m - i + n - j] - log_fact[m - i] - log_fact[n - j]
 
-def kolmogorov_sf(lam: float, terms: int = 100) -> float:
-    """Q_KS(lambda) = 2 * sum_{k>=1} (-1)^(k-1) exp(-2 k^2 lambda^2)."""
+    # the inside of row i is j = first..last
+    rows = np.arange(m + 1)
+    first = np.maximum(0, np.floor((rows * n - lim) / m).astype(int) + 1)
+    last = np.minimum(n, np.ceil((rows * n + lim) / m).astype(int) - 1)
+    total, terms, scale = ways(0, 0), [], 0.0
+    row = np.zeros(n + 2)  # scaled paths to (i, j) that never left
+    row[0] = 1.0
+    for i in range(m + 1):
+        lo, hi = first[i], last[i]
+        if i:
+            below = np.zeros(n + 2)
+            below[lo:hi + 1] = row[lo:hi + 1]
+            row = below
+        row[lo:hi + 1] = np.cumsum(row[lo:hi + 1])
+        top = row[lo:hi + 1].max() if hi >= lo else 0.0
+        if top <= 0:
+            break
+        row[lo:hi + 1] /= top
+        scale += math.log(top)
+        if hi < n and row[hi] > 0:  # a step beyond the last
+            terms.append(math.log(row[hi]) + scale + ways(i, hi + 1))
+        if i < m:  # steps down to a point before the next row's first
+            j = np.arange(lo, min(hi + 1, first[i + 1]))
+            j = j[row[j] > 0]
+            terms.extend((np.log(row[j]) + scale + ways(i + 1, j)).tolist())
+    return float(min(1.0, math.fsum(math.exp(t - total) for t in terms)))
+
+
+def kolmogorov_sf(lam: float) -> float:
+    """Survival function of the Kolmogorov distribution.  From 1 on
+    2 * sum_{k>=1} (-1)^(k-1) exp(-2 k^2 lambda^2); below, where that series converges
+    slowly, 1 minus its theta-function transform
+    sqrt(2 pi) / lambda * sum_{k>=1} exp(-(2k-1)^2 pi^2 / (8 lambda^2))."""
     if lam <= 0:
         return 1.0
-    s = 0.0
-    for k in range(1, terms + 1):
-        t = math.exp(-2.0 * k * k * lam * lam)
-        s += t if k % 2 else -t
-        if t < 1e-17:
-            break
-    return float(min(1.0, max(0.0, 2.0 * s)))
+    if lam < 1:
+        base = -math.pi ** 2 / (8 * lam * lam)
+        inside = math.fsum(math.exp(base * (2 * k - 1) ** 2) for k in range(1, 6))
+        return float(min(1.0, max(0.0, 1.0 - math.sqrt(2 * math.pi) / lam * inside)))
+    return float(2.0 * math.fsum((1 if k % 2 else -1) * math.exp(-2.0 * k * k * lam * lam) for k in range(1, 20)))
 
 
 def ks_2samp_p(d: float, n1: int, n2: int, exact_limit: int = 10000) -> tuple[float, str]:

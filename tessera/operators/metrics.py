@@ -97,17 +97,38 @@ def roc_auc(df: DataFrame, label: str, score: str, group_cols=(), positive=1) ->
                     .otherwise(F.col("_u") / (F.col("_P") * F.col("_N"))).alias("roc_auc"))
 
 
-def roc_auc_ovr(df: DataFrame, label: str, prob_cols: dict, group_cols=()) -> DataFrame:
-    """M05 multiclass: macro average of one-vs-rest AUCs; ``prob_cols`` maps
-    class value -> probability column."""
-    parts = []
-    for cls, col in prob_cols.items():
-        a = roc_auc(df.withColumn("_is", (F.col(label) == F.lit(cls)).cast("int")), "_is", col, group_cols)
-        parts.append(a)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy(*group_cols).agg(F.avg("roc_auc").alias("roc_auc"))
+def class_probabilities(df: DataFrame, label: str, probs: str, classes, keep=()) -> DataFrame:
+    """(keep..., class, is_class, p): a row for each class of each row of ``df``, whose
+    array ``probs`` holds the probabilities in the order of ``classes``."""
+    y = F.col(label).cast("string")
+    cells = [F.struct(F.lit(str(c)).alias("class"), F.coalesce((y == F.lit(str(c))), F.lit(False)).cast("int").alias("is_class"),
+                      F.col(probs)[k].cast("double").alias("p")) for k, c in enumerate(classes)]
+    return df.select(*keep, F.inline(F.array(*cells)))
+
+
+def roc_auc_ovr(df: DataFrame, label: str, probs: str, classes, group_cols=()) -> DataFrame:
+    """M05 multiclass: macro average of the one-vs-rest AUCs, all classes in one job;
+    a class without positives or negatives has no AUC and no say."""
+    g = list(group_cols)
+    each = roc_auc(class_probabilities(df, label, probs, classes, g), "is_class", "p", [*g, "class"])
+    return each.groupBy(*g).agg(F.avg("roc_auc").alias("roc_auc"))
+
+
+def log_loss_classes(df: DataFrame, label: str, probs: str, classes, group_cols=(), eps: float = EPS64) -> DataFrame:
+    """M07 multiclass: -mean(ln p of the true class), p as its share of the row's
+    clipped probabilities; rows of an unknown class are left out."""
+    clip = F.transform(F.col(probs), lambda p: F.least(F.greatest(p.cast("double"), F.lit(eps)), F.lit(1 - eps)))
+    total = F.aggregate(clip, F.lit(0.0), lambda a, p: a + p)
+    at = F.array_position(F.array(*[F.lit(str(c)) for c in classes]), F.col(label).cast("string"))
+    p = F.when(at > 0, F.element_at(clip, at.cast("int"))) / total
+    return df.groupBy(*group_cols).agg((-F.avg(F.log(p))).alias("log_loss"))
+
+
+def brier_classes(df: DataFrame, label: str, probs: str, classes, group_cols=()) -> DataFrame:
+    """M08 multiclass: the mean over classes of each class's mean((p - is_class)^2)."""
+    g = list(group_cols)
+    d = F.col("p") - F.col("is_class")
+    return class_probabilities(df, label, probs, classes, g).groupBy(*g).agg(F.avg(d * d).alias("brier"))
 
 
 def roc_curve(df: DataFrame, label: str, score: str, group_cols=(), positive=1) -> DataFrame:
@@ -373,12 +394,23 @@ def orient_score(metric: str, value, task: str):
     return v
 
 
+def explained_variance(eigenvalues, total: float) -> dict[str, float]:
+    """Variance along the kept components, summed, and its share of all variance."""
+    kept = float(sum(eigenvalues))
+    return {"explained_variance": kept, "explained_variance_ratio": kept / total if total else 0.0}
+
+
 def evaluate(pred: DataFrame, task: str, label: str | None, prediction: str, score: str | None = None,
-             group_cols=()) -> DataFrame:
-    """Long metric table for a task: (group..., metric, value)."""
+             group_cols=(), probs: str | None = None, classes=()) -> DataFrame:
+    """Long metric table for a task: (group..., metric, value).  ``score`` is the
+    probability of class 1; with ``probs``, an array over ``classes``, come the AUC one
+    against the rest, the log loss and the Brier score of all classes."""
     g = list(group_cols)
     if task == "classification":
         wide = classification_metrics(pred, label, prediction, g)
+        for f in (roc_auc_ovr, log_loss_classes, brier_classes) if probs else ():
+            more = f(pred, label, probs, classes, g)
+            wide = wide.join(more, g, "left") if g else with_bounded(wide, more)
         if score:
             auc = roc_auc(pred, label, score, g)
             wide = wide.join(auc, g, "left") if g else with_bounded(wide, auc)

@@ -9,15 +9,18 @@ on the driver and cut lineage in the shared checkpoint folder.
 
 from __future__ import annotations
 
+import functools
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.hashing import DIGITS, hash_below, hash_hex, hex_threshold
+from tessera.functions.hashing import hash_below, hash_hex
 from tessera.operators.split import kfold, poisson_weights
 from tessera.session import cut_lineage
 
@@ -191,10 +194,10 @@ def isolation_forest(df: DataFrame, feature_cols, id_col: str, n_trees: int = 50
     n = df.count()
     frac = min(1.0, sample_size / max(n, 1))
     cols = list(feature_cols)
-    memb = df.select(id_col, *[F.col(c).cast("double") for c in cols]).withColumn(
-        "tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-    samp = memb.where(F.substring(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.col("tree").cast("string"),
-                                                    F.lit(str(seed)))), 1, DIGITS) < F.lit(hex_threshold(frac)))
+    # a row's trees are picked inside the row, so only the trees' samples are ever made
+    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
+                     lambda t: F.shiftrightunsigned(F.xxhash64(F.col(id_col), t, F.lit(seed)), 4) < F.lit(int(frac * (1 << 60))))
+    samp = df.select(id_col, *[F.col(c).cast("double") for c in cols], F.explode(trees).alias("tree"))
     max_depth = int(math.ceil(math.log2(max(sample_size, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -268,49 +271,130 @@ def isolation_forest(df: DataFrame, feature_cols, id_col: str, n_trees: int = 50
     return scored.withColumn("prediction", F.when(F.col("score") > F.lit(thr), -1).otherwise(1))
 
 
-def elliptic_envelope(df: DataFrame, feature_cols, contamination: float = 0.05, steps: int = 3) -> DataFrame:
-    """Robust mean / covariance by concentration steps -- each step is
-    one aggregate (mean and covariance of the closest h rows, dims^2
-    numbers) and a Mahalanobis expression; outliers are the farthest
-    ``contamination`` share."""
+def _mahalanobis(cols, mu: np.ndarray, inv: np.ndarray):
+    diffs = [F.col(c) - F.lit(float(m)) for c, m in zip(cols, mu, strict=True)]
+    terms = [diffs[i] * diffs[j] * F.lit(float(inv[i, j]) * (1 if i == j else 2)) for i in range(len(cols)) for j in range(i, len(cols))]
+    return functools.reduce(lambda a, b: a + b, terms)
+
+
+def _means(df: DataFrame, cols, parts: list) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Mean and covariance of the rows of each condition of ``parts``, in one pass."""
+    aggs = []
+    for s, keep in enumerate(parts):
+        x = [F.when(keep, F.col(c).cast("double")) for c in cols]
+        aggs += [F.avg(v).alias(f"m_{s}_{i}") for i, v in enumerate(x)]
+        aggs += [F.covar_pop(x[i], x[j]).alias(f"c_{s}_{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]
+    r = df.agg(*aggs).first()
+    out = []
+    for s in range(len(parts)):
+        cov = np.zeros((len(cols), len(cols)))
+        for i in range(len(cols)):
+            for j in range(i, len(cols)):
+                cov[i, j] = cov[j, i] = r[f"c_{s}_{i}_{j}"] or 0.0
+        out.append((np.array([r[f"m_{s}_{i}"] or 0.0 for i in range(len(cols))]), cov))
+    return out
+
+
+def elliptic_envelope(df: DataFrame, feature_cols, contamination: float = 0.05, starts: int = 10, support: float | None = None,
+                      id_col: str | None = None, seed: int = 42, finalists: int = 3, most_steps: int = 30) -> DataFrame:
+    """Robust mean and covariance (minimum covariance determinant).
+
+    ``starts`` random subsets (rows by a hash of ``id_col``, or of the features) are
+    refined together: each step finds, in one pass, for every start the distance within
+    which the closest ``support`` of the rows lie, and in another the mean and covariance
+    of these.  After two steps the ``finalists`` of the least determinants go on until none
+    falls any more (at most ``most_steps``).  The least determinant wins; its cut is exact.  Outliers are the farthest
+    ``contamination`` share.  Rows with a null feature get no distance and count as
+    inliers."""
     from tessera.operators.aggregates import exact_quantiles
-    cols = list(feature_cols)
-    p = len(cols)
-    d = df.withColumn("_keep", F.lit(True))
-    h_frac = (1.0 + p + 1) / 2.0
+    cols, p = list(feature_cols), len(list(feature_cols))
+    df = cut_lineage(df)  # read by every step
     n = df.count()
-    support = max(h_frac / n, 0.5)
-    for _ in range(steps + 1):
-        kept = d.where("_keep")
-        aggs = [F.avg(c).alias(f"m_{c}") for c in cols]
-        aggs += [F.covar_pop(a, b).alias(f"c_{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
-        r = kept.agg(*aggs).first()
-        mu = np.array([r[f"m_{c}"] for c in cols])
-        cov = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i, p):
-                cov[i, j] = cov[j, i] = r[f"c_{i}_{j}"]
-        inv = np.linalg.pinv(cov)
-        diffs = [F.col(c) - F.lit(float(mu[i])) for i, c in enumerate(cols)]
-        maha = None
-        for i in range(p):
-            for j in range(p):
-                t = diffs[i] * diffs[j] * F.lit(float(inv[i, j]))
-                maha = t if maha is None else maha + t
-        d = d.withColumn("mahalanobis", maha)
-        cut = exact_quantiles(d, "mahalanobis", [support]).first()["value"]
-        d = d.withColumn("_keep", F.col("mahalanobis") <= F.lit(cut))
+    if support is None:
+        support = min(1.0, max((n + p + 1) / 2.0 / max(n, 1), 0.5))
+    key = F.col(id_col) if id_col else F.struct(*cols)
+    # about 20 rows for each column begin a start
+    first = min(1.0, 20.0 * (p + 1) / max(n, 1))
+    now = _means(df, cols, [F.shiftrightunsigned(F.xxhash64(key, F.lit(s), F.lit(seed)), 4) < F.lit(int(first * (1 << 60))) for s in range(starts)])
+    det = [np.inf] * starts
+    moving = list(range(starts))
+    for step in range(most_steps):
+        if step == 2:
+            moving = sorted(moving, key=lambda s: (det[s], s))[:finalists]
+        inv = {s: np.linalg.pinv(now[s][1]) for s in moving}
+        dist = {s: _mahalanobis(cols, now[s][0], inv[s]) for s in moving}
+        cuts = df.agg(*[F.percentile_approx(dist[s], support, 2_000).alias(f"q{s}") for s in moving]).first()
+        after = _means(df, cols, [dist[s] <= F.lit(cuts[f"q{s}"]) for s in moving])
+        still = []
+        for s, found in zip(moving, after, strict=True):
+            new = float(np.linalg.det(found[1]))
+            if new < det[s] * (1 - 1e-4):
+                now[s], det[s] = found, new
+                still.append(s)
+        moving = still
+        if not moving:
+            break
+    best = min(range(starts), key=lambda s: (det[s], s))
+    d = df.withColumn("mahalanobis", _mahalanobis(cols, now[best][0], np.linalg.pinv(now[best][1])))
     thr = exact_quantiles(d, "mahalanobis", [1 - contamination]).first()["value"]
-    return d.drop("_keep").withColumn("prediction", F.when(F.col("mahalanobis") > F.lit(thr), -1).otherwise(1))
-
-
-def truncated_svd(df: DataFrame, features: str, k: int = 5):
-    """Uncentred SVD of the feature rows with ``RowMatrix.computeSVD``."""
-    from pyspark.mllib.linalg import Vectors as MV
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    rows = df.select(features).rdd.map(lambda r: MV.dense(r[0].toArray()))
-    svd = RowMatrix(rows).computeSVD(k, computeU=False)
-    return [float(x) for x in svd.s.toArray()]
+    return d.withColumn("prediction", F.when(F.col("mahalanobis") > F.lit(thr), -1).otherwise(1))
+
+
+@dataclass
+class Components:
+    """Directions of the rows of a table: ``vectors`` has one in each row, ``values``
+    the variance (or squared length) along each, ``total`` that along all."""
+    mean: np.ndarray
+    vectors: np.ndarray
+    values: np.ndarray
+    total: float
+
+    def project(self, df: DataFrame, features: str, out: str) -> DataFrame:
+        """``df`` with ``out``, the row's coordinates along the directions, as an expression."""
+        x = F.transform(F.col(features), lambda v: v.cast("double"))
+        shift = self.vectors @ self.mean
+        dot = lambda w: F.aggregate(F.zip_with(x, F.array(*[F.lit(float(c)) for c in w]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        return df.withColumn(out, F.array(*[dot(w) - F.lit(float(b)) for w, b in zip(self.vectors, shift, strict=True)]))
+
+
+def gram_components(df: DataFrame, features: str, k: int | None = None, centred: bool = False) -> Components:
+    """The first ``k`` components of an array column.
+
+    Every task adds up its rows' sums and products (dims squared numbers), these are
+    added over the tasks, and the driver takes the eigenvectors of the one matrix.
+    ``centred`` gives principal components (sample covariance), else those of the
+    uncentred SVD.  The largest entry of a direction is positive.  Rows with a null or
+    without an array take no part."""
+    rows = df.where(F.col(features).isNotNull() & F.forall(features, lambda v: v.isNotNull())).select(F.transform(F.col(features), lambda v: v.cast("double")).alias("x"))
+    dims = rows.agg(F.max(F.size("x")).alias("d")).first()["d"] or 0
+
+    def add(batches):
+        n, total, gram = 0, np.zeros(dims), np.zeros((dims, dims))
+        for b in batches:
+            flat = b.column(0).flatten().to_numpy(zero_copy_only=False)
+            x = flat.reshape(b.num_rows, dims)
+            n, total, gram = n + len(x), total + x.sum(axis=0), gram + x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1 + dims + dims * dims)), pa.array(np.concatenate([[float(n)], total, gram.ravel()]))], names=["at", "v"])
+
+    sums = rows.mapInArrow(add, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()  # 1 + dims + dims squared numbers
+    flat = np.zeros(1 + dims + dims * dims)
+    for r in sums:
+        flat[r["at"]] = r["v"]
+    n, mean, gram = flat[0], flat[1:1 + dims] / max(flat[0], 1), flat[1 + dims:].reshape(dims, dims)
+    if centred:
+        gram = (gram - n * np.outer(mean, mean)) / max(n - 1, 1)
+    values, vectors = np.linalg.eigh(gram)
+    order = np.argsort(-values, kind="stable")[:k]
+    vectors = vectors[:, order].T
+    for v in vectors:
+        if len(v) and v[np.argmax(np.abs(v))] < 0:
+            v *= -1
+    return Components(mean if centred else np.zeros(dims), vectors, np.maximum(values[order], 0), float(np.trace(gram)))
+
+
+def truncated_svd(df: DataFrame, features: str, k: int = 5) -> Components:
+    """Uncentred SVD of an array column; singular values are the roots of ``values``."""
+    return gram_components(df, features, k)
 
 
 def birch_like(df: DataFrame, features_cols, k: int, cell: float, seed: int = 42):

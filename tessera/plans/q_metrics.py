@@ -104,6 +104,54 @@ def m08(spark, sf):
     return _round_all(M.brier(class_preds(spark, sf), "is_r", "score"))
 
 
+CLASSES = ("A", "N", "R")
+_PROBS = """(SELECT l_returnflag AS y, a / (a + n + r) AS pa, n / (a + n + r) AS pn, r / (a + n + r) AS pr FROM
+  (SELECT l_returnflag, 0.1 + CAST(l_discount AS DOUBLE) AS a, 0.1 + CAST(l_tax AS DOUBLE) AS n, 0.1 + CAST(l_quantity AS DOUBLE) / 50 AS r FROM lineitem) w)"""
+
+
+def class_probs(spark, sf):
+    """Three classes with an array of probabilities."""
+    w = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("label"), (0.1 + F.col("l_discount").cast("double")).alias("a"),
+                                            (0.1 + F.col("l_tax").cast("double")).alias("n"), (0.1 + F.col("l_quantity").cast("double") / 50).alias("r"))
+    total = F.col("a") + F.col("n") + F.col("r")
+    return w.select("label", F.array(*[F.col(c) / total for c in "anr"]).alias("probs"))
+
+
+@register("M05_roc_auc_ovr", f"""
+WITH s AS (SELECT unnest(['A', 'N', 'R']) AS cls, y, unnest([pa, pn, pr]) AS s FROM {_PROBS} b),
+c AS (SELECT cls, s, count(*) FILTER (WHERE y = cls) AS pos, count(*) FILTER (WHERE y <> cls) AS neg FROM s GROUP BY cls, s),
+k AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY cls ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c),
+u AS (SELECT cls, sum(pos * (below + neg / 2.0)) / nullif(sum(pos) * sum(neg), 0) AS auc FROM k GROUP BY cls)
+SELECT round(avg(auc), 6) AS roc_auc FROM u""")
+def m05_ovr(spark, sf):
+    return _round_all(M.roc_auc_ovr(class_probs(spark, sf), "label", "probs", CLASSES))
+
+
+@register("M07_log_loss_classes", f"""
+SELECT round(-avg(ln(CASE y WHEN 'A' THEN pa WHEN 'N' THEN pn WHEN 'R' THEN pr END / (pa + pn + pr))), 6) AS log_loss FROM {_PROBS} b""")
+def m07_classes(spark, sf):
+    return _round_all(M.log_loss_classes(class_probs(spark, sf), "label", "probs", CLASSES))
+
+
+@register("M08_brier_classes", f"""
+SELECT round(avg(((pa - (y = 'A')::INT) ^ 2 + (pn - (y = 'N')::INT) ^ 2 + (pr - (y = 'R')::INT) ^ 2) / 3), 6) AS brier FROM {_PROBS} b""")
+def m08_classes(spark, sf):
+    return _round_all(M.brier_classes(class_probs(spark, sf), "label", "probs", CLASSES))
+
+
+@register("M19_explained_variance", """
+WITH x AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+s AS (SELECT i, var_samp(CAST(v AS DOUBLE)) AS s FROM x GROUP BY i)
+SELECT round(sum(s), 6) AS explained_variance, 1.0 AS explained_variance_ratio FROM s""")
+def m19(spark, sf):
+    """All components together explain all variance."""
+    from tessera.plans.ensembles import gram_components
+    e = table(spark, sf, "embeddings")
+    found = gram_components(e, "embedding", centred=True)
+    row = M.explained_variance(found.values, found.total)
+    return _round_all(spark.createDataFrame([tuple(row.values())], "explained_variance double, explained_variance_ratio double"))
+
+
 @register("M09_multilabel_metrics", """
 WITH d AS (SELECT l.quality, l.toxic, CASE WHEN d.n_chars > 500 THEN 1 ELSE 0 END AS pq,
                   CASE WHEN d.source = 'src0' THEN 1 ELSE 0 END AS pt FROM labels l JOIN documents d USING (doc_id)),

@@ -426,14 +426,43 @@ def l36(spark, sf):
 def l38(spark, sf):
     from tessera.operators.metrics import anomaly_metrics
     d = planted_outliers(spark, sf)
-    r = EN.elliptic_envelope(d, ["q", "p", "l_discount"], contamination=0.01)
+    r = EN.elliptic_envelope(d, ["q", "p", "l_discount"], contamination=0.01, id_col="row_id")
     return anomaly_metrics(r, "truth", "prediction")
 
 
+@register("L36_scored_rows")
+def l36_rows(spark, sf):
+    """The score and verdict of every row."""
+    return EN.isolation_forest(planted_outliers(spark, sf), ["q", "p", "l_discount"], "row_id", n_trees=50, contamination=0.01)
+
+
+@register("L38_scored_rows")
+def l38_rows(spark, sf):
+    r = EN.elliptic_envelope(planted_outliers(spark, sf), ["q", "p", "l_discount"], contamination=0.01, id_col="row_id")
+    return r.select("row_id", "mahalanobis", "prediction")
+
+
 @register("L40_truncated_svd")
 def l40(spark, sf):
-    s = EN.truncated_svd(embedding_vectors(spark, sf), "features", k=5)
-    return spark.createDataFrame([(i + 1, v) for i, v in enumerate(s)], "component int, singular_value double")
+    s = EN.truncated_svd(table(spark, sf, "embeddings"), "embedding", k=5)
+    return spark.createDataFrame([(i + 1, float(v) ** 0.5) for i, v in enumerate(s.values)], "component int, singular_value double")
+
+
+@register("L40_projected_rows", """
+SELECT vec_id, 64 AS n, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) AS squared_length FROM embeddings""")
+def l40_rows(spark, sf):
+    """Every row along all directions: a rotation keeps its length."""
+    e = table(spark, sf, "embeddings")
+    found = EN.truncated_svd(e, "embedding", k=None)
+    d = found.project(e, "embedding", "z")
+    return d.select("vec_id", F.size("z").alias("n"), F.round(F.aggregate("z", F.lit(0.0), lambda a, v: a + v * v), 6).alias("squared_length"))
+
+
+@register("L40_trace", """
+SELECT round(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) AS squared_singular_values FROM embeddings""")
+def l40_trace(spark, sf):
+    found = EN.truncated_svd(table(spark, sf, "embeddings"), "embedding", k=None)
+    return spark.createDataFrame([(round(float(sum(found.values)), 4),)], "squared_singular_values double")
 
 
 @register("L24_adaboost_r2")

@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import pytest
@@ -56,3 +57,33 @@ def test_pvalue_helpers():
     assert kolmogorov_sf(1.36) == pytest.approx(0.0494, abs=5e-4)
     assert chi2_sf(3.841458820694124, 1) == pytest.approx(0.05, rel=1e-9)
     assert chi2_sf(7.333333333333333, 2) == pytest.approx(math.exp(-7.333333333333333 / 2), rel=1e-12)
+
+
+def test_exact_p_keeps_small_values():
+    """Counted from the paths that leave the band: no cancellation."""
+    assert ks_2samp_exact_p(1.0, 40, 40) == pytest.approx(2 / math.comb(80, 40), rel=1e-9)
+    assert ks_2samp_exact_p(1.0, 100, 60) == pytest.approx(2 / math.comb(160, 60), rel=1e-9)
+    assert ks_2samp_exact_p(0.0, 5, 7) == 1.0
+
+
+def test_exact_p_equals_all_paths():
+    for m, n in ((1, 1), (3, 2), (4, 4), (5, 3), (6, 4)):
+        paths = list(itertools.combinations(range(m + n), m))
+        reach = []
+        for p in paths:
+            i = j = 0
+            worst = 0
+            for k in range(m + n):
+                i, j = (i + 1, j) if k in p else (i, j + 1)
+                worst = max(worst, abs(i * n - j * m))
+            reach.append(worst)
+        for w in range(m * n + 1):
+            assert ks_2samp_exact_p(w / (m * n), m, n) == pytest.approx(sum(x >= w for x in reach) / len(paths), rel=1e-9)
+
+
+def test_kolmogorov_limits():
+    assert kolmogorov_sf(0.01) == 1.0
+    assert kolmogorov_sf(0.3) == pytest.approx(0.9999906941986655, rel=1e-9)
+    # both series meet at 1
+    assert kolmogorov_sf(1 - 1e-12) == pytest.approx(kolmogorov_sf(1.0), rel=1e-9)
+    assert kolmogorov_sf(3.0) == pytest.approx(2 * math.exp(-18), rel=1e-9)

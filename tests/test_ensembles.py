@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,3 +45,54 @@ def test_ransac_ignores_outliers(spark):
     final, _, n_in = EN.fit_ransac(df, ["x"], "y", "id", n_candidates=6, threshold=0.5)
     assert final.coefficients[0] == pytest.approx(2.0, rel=1e-6)
     assert n_in >= 195
+
+
+def test_envelope_stands_a_fifth_of_outliers(spark):
+    """A tight cloud of outliers that drags a plain mean and covariance along."""
+    rng = np.random.default_rng(4)
+    good = rng.normal(0, 1, (800, 2)) @ np.array([[2.0, 1.2], [0.0, 0.7]])
+    bad = rng.normal(0, 0.1, (200, 2)) + [12.0, -9.0]
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.vstack([good, bad]))]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    out = EN.elliptic_envelope(df, ["x", "y"], contamination=0.2, id_col="id")
+    flagged = {r["id"] for r in out.where("prediction = -1").collect()}
+    assert len(flagged & set(range(800, 1000))) >= 198 and len(flagged) <= 210
+    iso = EN.isolation_forest(df, ["x", "y"], "id", n_trees=40, contamination=0.2)
+    assert iso.count() == 1000 and set(iso.columns) == {"id", "score", "prediction"}
+    assert iso.where("prediction = -1").count() <= 200
+
+
+def test_components_equal_numpy(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (200, 6)) * [5, 4, 3, 2, 1, 0.5] + 1.5
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(999, None)], "id long, v array<double>").repartition(4)
+    svd = EN.truncated_svd(df, "v", 3)
+    u, s, vt = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(np.sqrt(svd.values), s[:3])
+    got = {r["id"]: r["z"] for r in svd.project(df.where("v is not null"), "v", "z").collect()}
+    assert np.allclose(np.abs([got[i] for i in range(200)]), np.abs(x @ vt[:3].T))
+    pca = EN.gram_components(df, "v", 2, centred=True)
+    cov = np.cov(x.T)
+    assert np.allclose(pca.values, np.sort(np.linalg.eigvalsh(cov))[::-1][:2]) and pca.total == pytest.approx(np.trace(cov))
+    from tessera.operators.metrics import explained_variance
+    assert explained_variance(pca.values, pca.total)["explained_variance_ratio"] == pytest.approx(sum(pca.values) / np.trace(cov))
+
+
+def test_three_class_metrics(spark):
+    from tessera.operators import metrics as M
+    rng = np.random.default_rng(6)
+    p = rng.dirichlet([1, 1, 1], 60).round(2) + 0.01
+    p /= p.sum(axis=1, keepdims=True)
+    y = rng.integers(0, 3, 60)
+    df = spark.createDataFrame([("abc"[c], [float(v) for v in r]) for c, r in zip(y, p)], "y string, p array<double>")
+    classes = ["a", "b", "c"]
+    ll = M.log_loss_classes(df, "y", "p", classes).first()[0]
+    assert ll == pytest.approx(-np.log(p[np.arange(60), y]).mean())
+    assert M.brier_classes(df, "y", "p", classes).first()[0] == pytest.approx(np.mean([((p[:, k] - (y == k)) ** 2).mean() for k in range(3)]))
+    auc = []
+    for k in range(3):
+        a, b = p[y == k, k], p[y != k, k]
+        auc.append(((a[:, None] > b).sum() + 0.5 * (a[:, None] == b).sum()) / (len(a) * len(b)))
+    assert M.roc_auc_ovr(df, "y", "p", classes).first()[0] == pytest.approx(np.mean(auc))
+    long = {r["metric"]: r["value"] for r in M.evaluate(df.withColumn("prediction", F.lit("a")), "classification", "y", "prediction", probs="p", classes=classes).collect()}
+    assert long["log_loss"] == pytest.approx(ll) and long["roc_auc"] == pytest.approx(np.mean(auc))
