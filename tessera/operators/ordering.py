@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from tessera.session import cut_lineage
 
 UNB = Window.unboundedPreceding
+#: Bounds of all groups together up to which they are broadcast.
+BOUNDS_BROADCAST = 2_000_000
 
 
 def _cols(cs) -> list[str]:
@@ -79,8 +81,12 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols, partition_cols=(), buck
         F.percentile_approx(F.col(order_col).cast("double"), probs, accuracy).alias("_bounds"))
     # one row per partition group
     v = F.col(order_col).cast("double")
+    few = False
     if parts:
-        d = null_safe_join(df, bounds, parts)
+        # a list of bounds for each group: counted, and sent to the rows where they are few
+        bounds = cut_lineage(bounds)
+        few = bounds.count() * buckets <= BOUNDS_BROADCAST
+        d = null_safe_join(df, F.broadcast(bounds) if few else bounds, parts)
         bcol = F.col("_bounds")
     else:
         # a single list of (buckets - 1) numbers: inline it as a literal
@@ -98,8 +104,8 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols, partition_cols=(), buck
     for s in sums:
         tot = tot.withColumn(f"_o_{s}", F.coalesce(F.sum(f"_t_{s}").over(wb), F.lit(0)))
     tot = tot.select(*parts, "_bk", *[f"_o_{s}" for s in sums])
-    # without groups at most ``buckets`` rows; with groups the planner decides
-    d = null_safe_join(d, tot if parts else F.broadcast(tot), [*parts, "_bk"])
+    # at most ``buckets`` rows for each group
+    d = null_safe_join(d, F.broadcast(tot) if few or not parts else tot, [*parts, "_bk"])
     for s in sums:
         d = d.withColumn(f"{s}{suffix}", F.col(f"_o_{s}") + F.col(f"_l_{s}"))
     return d.drop("_bk", *[f"_l_{s}" for s in sums], *[f"_o_{s}" for s in sums])

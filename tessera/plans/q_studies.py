@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import metrics as M
-from tessera.operators.split import kfold, random_split, SPLIT_COL
+from tessera.operators.split import SPLIT_COL, kfold, random_split
 from tessera.plans import search as SE
 from tessera.plans import studies as N
 from tessera.plans.models import make_estimator
@@ -134,20 +134,25 @@ def n09(spark, sf):
     return N.text_robustness(model, d.where(~F.col(SPLIT_COL)), "classification", "doc_id", ["text"])
 
 
+@register("N07_calibration_refit")
+def n07_refit(spark, sf):
+    """A model fitted for each fold, scored on the rows it has not seen."""
+    d, _ = _data(spark, sf)
+    return N.calibration_by_fold(_rf, d, "doc_id", n_splits=3)
+
+
 @register("N10_kfold_test")
 def n10(spark, sf):
     """Generic test, k-fold strategy: fit per fold, metrics per fold, mean."""
     d, _ = _data(spark, sf)
-    f = kfold(d, 3, "doc_id")
-    parts = []
-    for k in range(3):
-        m = _rf(42).fit(f.where(F.col("fold") != k))
-        parts.append(M.to_long(M.classification_metrics(m.transform(f.where(F.col("fold") == k)), "label",
-                                                         "prediction")).withColumn("fold", F.lit(k)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return M.cv_mean(out, "fold")
+    long = N.stability_test(_rf, d, "classification", "doc_id", "kfold", n_iterations=3)
+    return M.cv_mean(long.withColumnRenamed("iteration", "fold"), "fold")
+
+
+@register("N10_perturbed_monte_carlo")
+def n10_perturbed(spark, sf):
+    d, _ = _data(spark, sf)
+    return N.stability_test(_rf, d, "classification", "doc_id", "monte_carlo", n_iterations=3, perturbation=0.1)
 
 
 @register("N11_study_summary")

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from tessera.functions.hashing import hash_normal, hash_uniform
 from tessera.operators import metrics as M
 from tessera.operators.aggregates import summarize
-from tessera.operators.split import SPLIT_COL, monte_carlo_splits, random_split, stratified_kfold
+from tessera.operators.joins import checked_broadcast
+from tessera.operators.split import SPLIT_COL, exact_split, kfold, random_split, stratified_kfold, time_series_folds
+from tessera.session import cut_lineage
 
 LONG = ["study", "iteration", "param", "metric", "value"]
 
@@ -72,25 +74,111 @@ def split_stability(make, data: DataFrame, task: str, id_col: str, n_splits: int
 
 def param_stability(estimator, data: DataFrame, task: str, id_col: str, param: str, values, seed: int = 42,
                     test_size: float = 0.2) -> DataFrame:
-    """One fit per parameter value through ``fitMultiple``; values that
-    fail to fit are skipped."""
+    """One fit per parameter value; a value that fails to fit is a row that says why
+    (metric ``error: ...``, no value)."""
     d = random_split(data, id_col, 1 - test_size, seed)
     train, test = d.where(SPLIT_COL), d.where(~F.col(SPLIT_COL))
     p = estimator.getParam(param)
-    maps = [{p: v} for v in values]
-    parts = []
+
+    def one(value):
+        return _metrics(estimator.copy({p: value}).fit(train).transform(test), task, [])
+    return _union([_or_error(data, "hyperparameter", i, v, lambda v=v: one(v)) for i, v in enumerate(values)])
+
+
+def _or_error(data: DataFrame, study: str, iteration: int, param, run) -> DataFrame:
+    """The metrics of ``run``, or one row with the reason why there are none."""
     try:
-        fitted = list(estimator.fitMultiple(train, maps))
-    except Exception:
-        fitted = []
-        for i, m in enumerate(maps):
-            try:
-                fitted.append((i, estimator.copy(m).fit(train)))
-            except Exception:
-                continue
-    for i, model in fitted:
-        parts.append(_tag(_metrics(model.transform(test), task, []), "hyperparameter", i, values[i]))
-    return _union(parts)
+        return _tag(run(), study, iteration, param)
+    except Exception as e:  # any failure of a fit belongs to its row
+        reason = f"error: {str(e).strip().splitlines()[0][:200] if str(e).strip() else type(e).__name__}"
+        empty = data.sparkSession.createDataFrame([(reason, None)], "metric string, value double")
+        return _tag(empty, study, iteration, param)
+
+
+STRATEGIES = ("monte_carlo", "kfold", "stratified_kfold", "time_series_split")
+
+
+def folds(data: DataFrame, task: str, id_col: str, strategy: str = "monte_carlo", n: int = 10, test_size: float = 0.2,
+          seed: int = 42, order_col: str | None = None, label: str = "label"):
+    """(train, test) of each iteration of a split strategy.
+
+    ``monte_carlo`` draws anew with seed + i, by class where every class has two rows;
+    ``stratified_kfold`` is ``kfold`` off classification; ``time_series_split`` needs
+    ``order_col`` and trains on all that lies before each block."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}; known: {', '.join(STRATEGIES)}")
+    if strategy == "monte_carlo":
+        by = None
+        if task == "classification":
+            least = data.groupBy(label).count().agg(F.min("count")).first()[0]
+            by = label if least is not None and least > 1 else None
+        for i in range(n):
+            d = cut_lineage(exact_split(data, id_col, 1 - test_size, seed + i, by))
+            yield d.where(SPLIT_COL).drop(SPLIT_COL), d.where(~F.col(SPLIT_COL)).drop(SPLIT_COL)
+        return
+    if strategy == "time_series_split":
+        if order_col is None:
+            raise ValueError("time_series_split needs order_col")
+        d = cut_lineage(time_series_folds(data, n, order_col, id_col))
+        for i in range(n):
+            one = d.where(F.col("fold") == i).drop("fold")
+            yield one.where("role = 'train'").drop("role"), one.where("role = 'test'").drop("role")
+        return
+    stratified = strategy == "stratified_kfold" and task == "classification"
+    d = cut_lineage(stratified_kfold(data, n, id_col, label, seed) if stratified else kfold(data, n, id_col, True, seed))
+    for i in range(n):
+        yield d.where(F.col("fold") != i).drop("fold"), d.where(F.col("fold") == i).drop("fold")
+
+
+def perturbed(data: DataFrame, id_col: str, features: str, sigma: float, seed: int) -> DataFrame:
+    """``data`` with N(0, sigma) added to every entry of its feature vector, drawn from
+    the row's id and the entry's place."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    def noise(x, i):
+        return x + F.lit(sigma) * hash_normal(id_col, i, seed=seed, salt="perturb")
+    return data.withColumn(features, array_to_vector(F.transform(vector_to_array(features), noise)))
+
+
+def stability_test(make, data: DataFrame, task: str, id_col: str, strategy: str = "monte_carlo", n_iterations: int = 10,
+                   test_size: float = 0.2, perturbation: float = 0.0, seed: int = 42, order_col: str | None = None,
+                   label: str = "label", features: str = "features", transform=None) -> DataFrame:
+    """Fit and score by any split strategy, the test rows' features perturbed if
+    asked.  ``transform`` (P-02) maps the data before it is split.  An iteration that
+    fails is a row that says why."""
+    d = data.transform(transform) if transform else data
+
+    def one(train, test):
+        model = make(seed).fit(train)
+        shaken = perturbed(test, id_col, features, perturbation, seed) if perturbation > 0 else test
+        return _metrics(model.transform(shaken), task, [], label)
+    return _union([_or_error(data, strategy, i, perturbation, lambda a=train, b=test: one(a, b))
+                   for i, (train, test) in enumerate(folds(d, task, id_col, strategy, n_iterations, test_size, seed, order_col, label))])
+
+
+def calibration_by_fold(make, data: DataFrame, id_col: str, n_splits: int = 5, seed: int = 42, label: str = "label") -> DataFrame:
+    """A fit for each stratified fold and the Brier score of its held-out rows (of
+    class 1 with two classes, else the mean over classes): (split, brier_score, error).
+    A model without probabilities gives one row that says so."""
+    from pyspark.ml.functions import vector_to_array
+    spark = data.sparkSession
+    classes = sorted(r[0] for r in data.select(label).distinct().collect() if r[0] is not None)  # the classes of one target
+    rows = []
+    for i, (train, test) in enumerate(folds(data, "classification", id_col, "stratified_kfold", n_splits, seed=seed, label=label)):
+        try:
+            pred = make(seed).fit(train).transform(test)
+            if "probability" not in pred.columns:
+                rows = [(None, None, "the model gives no probabilities")]
+                break
+            pred = pred.withColumn("_p", vector_to_array("probability"))
+            if len(classes) == 2:
+                score = M.brier(pred.withColumn("_p", F.col("_p")[1]).withColumn("_y", (F.col(label) == F.lit(classes[1])).cast("int")), "_y", "_p")
+            else:
+                score = M.brier_classes(pred, label, "_p", classes)
+            rows.append((i, score.first()["brier"], None))
+        except Exception as e:  # a fold that cannot be fitted is a row with the reason
+            rows.append((i, None, str(e).strip().splitlines()[0][:200]))
+    return spark.createDataFrame(rows, "split int, brier_score double, error string")
 
 
 def noise_injection(fitted_features, model, raw_test: DataFrame, task: str, id_col: str, numeric_cols,
@@ -125,7 +213,7 @@ def slice_metrics(pred: DataFrame, slice_col: str, task: str = "classification",
     s = F.coalesce(F.col(slice_col).cast("string"), F.lit("__null__"))
     d = pred.withColumn("slice", s)
     sup = d.groupBy("slice").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_support)
-    per = _metrics(d.join(F.broadcast(sup.select("slice")), "slice"), task, ["slice"], label, prediction)
+    per = _metrics(d.join(checked_broadcast(sup.select("slice")), "slice"), task, ["slice"], label, prediction)
     overall = _metrics(pred, task, [], label, prediction).withColumn("slice", F.lit("OVERALL"))
     out = per.unionByName(overall)
     sup_all = sup.unionByName(pred.agg(F.count(F.lit(1)).alias("support")).withColumn("slice", F.lit("OVERALL")))
