@@ -150,8 +150,13 @@ SIGNS = {"＠": "@", "﹫": "@", "．": ".", "。": ".", "․": ".", "＋": "+",
          " ": " ", " ": " ", " ": " "}
 #: Characters that are not seen.
 HIDDEN = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
-#: Spelled digits.
-DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+#: Spelled digits in English, German, French and Spanish.
+DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+          "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+          "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+          "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9"}
+#: Words for the signs of an address or number in these languages.
+AT_WORDS, DOT_WORDS, PLUS_WORDS = ("at", "arroba", "arobase", "arrobase"), ("dot", "point", "punkt", "punto"), ("plus", "más", "mas")
 
 
 def _other_forms() -> dict[str, str]:
@@ -163,21 +168,34 @@ def _other_forms() -> dict[str, str]:
 
 _FORMS = {**_other_forms(), **LOOK_ALIKES, **SIGNS, **dict.fromkeys(HIDDEN, "")}
 _FORM = re.compile("[" + "".join(map(re.escape, sorted(_FORMS))) + "]")
-_SPELLED = re.compile(r"(?<![A-Za-z])(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)(?![A-Za-z])", re.I)
+_EDGE = "A-Za-zÀ-ÖØ-öø-ÿ"
+
+
+def _one_of(words) -> str:
+    """A pattern for any of some words, those that begin alike together."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(words, key=lambda w: (-len(w), w)):
+        by.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(f"{re.escape(a)}(?:{'|'.join(map(re.escape, rest))})" for a, rest in sorted(by.items())) + ")"
+
+
+_SPELLED = re.compile(rf"(?<![{_EDGE}]){_one_of(DIGITS)}(?![{_EDGE}])", re.I)
+_A, _D, _P = map(_one_of, (AT_WORDS, DOT_WORDS, PLUS_WORDS))
 _GAP = re.compile(r"[ ,-]{1,3}\Z")
-_MEMBER = re.compile(rf"(?P<spelled>{_SPELLED.pattern})|(?P<written>[0-9]+)|(?<![A-Za-z])(?:dot|point|plus)(?![A-Za-z])|\.", re.I)
+_MEMBER = re.compile(rf"(?P<spelled>{_SPELLED.pattern})|(?P<written>[0-9]+)|(?<![{_EDGE}])(?:{_D}|{_P})(?![{_EDGE}])|\.", re.I)
 _BETWEEN = re.compile(r"[ ,-]{0,3}\Z")
-_HINT = re.compile(r"dot|point|[\[({<]\s{0,2}\.|[\[({<]\s{0,2}at\b|[\[({<]\s{0,2}@|plus", re.I)
+_HINT = re.compile(rf"{_D}|[\[({{<]\s{{0,2}}(?:\.|{_A}\b|@)|[\[({{<]a[\])}}>]|{_P} [0-9]", re.I)
 # word characters on both sides keep a rewriting inside an address
-_AT = re.compile(r"(?<=[A-Za-z0-9_%+-])\s{0,2}[\[({<]\s{0,2}(?:at|@)\s{0,2}[\])}>]\s{0,2}(?=[A-Za-z0-9])", re.I)
-_DOT = re.compile(r"(?<=[A-Za-z0-9_-])\s{0,2}[\[({<]\s{0,2}(?:dot|\.)\s{0,2}[\])}>]\s{0,2}(?=[A-Za-z0-9])", re.I)
-#: "name at host dot tld" without brackets: only whole, with a top domain of letters.
-_WORDS = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9_%+-]{1,64}(?:(?: dot |\.)[A-Za-z0-9_%+-]{1,64}){0,4}(?P<at> at |@)"
-                    r"[A-Za-z0-9-]{1,63}(?:(?: dot |\.)[A-Za-z0-9-]{1,63}){0,4}(?: dot )[A-Za-z]{2,24}(?![A-Za-z0-9-])", re.I)
+_AT = re.compile(rf"(?<=[A-Za-z0-9_%+-])\s{{0,2}}[\[({{<]\s{{0,2}}(?:{_A}|@)\s{{0,2}}[\])}}>]\s{{0,2}}(?=[A-Za-z0-9])"
+                 rf"|(?<=[A-Za-z0-9_%+-])[\[({{<]a[\])}}>](?=[A-Za-z0-9])", re.I)  # a single letter only without spaces
+_DOT = re.compile(rf"(?<=[A-Za-z0-9_-])\s{{0,2}}[\[({{<]\s{{0,2}}(?:{_D}|\.)\s{{0,2}}[\])}}>]\s{{0,2}}(?=[A-Za-z0-9])", re.I)
+#: "name at host dot tld" without brackets: only whole, with a top domain of letters, and at most ten labels on either side.
+_WORDS = re.compile(rf"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9_%+-]{{1,64}}(?:(?: {_D} |\.)[A-Za-z0-9_%+-]{{1,64}}){{0,9}}(?P<at> {_A} |@)"
+                    rf"[A-Za-z0-9-]{{1,63}}(?:(?: {_D} |\.)[A-Za-z0-9-]{{1,63}}){{0,9}}(?: {_D} )[A-Za-z]{{2,24}}(?![A-Za-z0-9-])", re.I)
 _ARTICLE = re.compile(r"(?:the|a|an|this|that|my|our|your|his|her|their) ", re.I)
-_SPACED = re.compile(r" (?:dot|at) ", re.I)
-_NUMBER_DOT = re.compile(r"(?<=[0-9]) (?:dot|point) (?=[0-9])", re.I)
-_PLUS = re.compile(r"(?<![A-Za-z])plus (?=[0-9])", re.I)
+_SPACED = re.compile(rf" (?:{_D}|{_A}) ", re.I)
+_NUMBER_DOT = re.compile(rf"(?<=[0-9]) {_D} (?=[0-9])", re.I)
+_PLUS = re.compile(rf"(?<![{_EDGE}]){_P} (?=[0-9])", re.I)
 
 
 def look_alikes(text: Rewritten) -> Rewritten:
@@ -240,7 +258,7 @@ def address_words(text: Rewritten) -> Rewritten:
         if _ARTICLE.match(text.text, m.end("at")):
             continue
         for s in _SPACED.finditer(m.group()):
-            sign = "@" if s.group().strip().lower() == "at" else "."
+            sign = "@" if s.group().strip().lower() in AT_WORDS else "."
             found.append((m.start() + s.start(), m.start() + s.end(), sign))
     text = text.replaced(found)
     text = text.replaced([(*m.span(), ".") for m in _NUMBER_DOT.finditer(text.text)])

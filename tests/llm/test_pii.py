@@ -85,6 +85,35 @@ def test_clean_texts_stay(text):
     assert pii.redact(text) == text
 
 
+_SPELL = {"en": "zero one two three four five six seven eight nine", "de": "null eins zwei drei vier fünf sechs sieben acht neun",
+          "fr": "zéro un deux trois quatre cinq six sept huit neuf", "es": "cero uno dos tres cuatro cinco seis siete ocho nueve"}
+_SIGN = {"en": ("at", "dot", "plus"), "de": ("at", "punkt", "plus"), "fr": ("arobase", "point", "plus"), "es": ("arroba", "punto", "más")}
+
+
+@pytest.mark.parametrize("language", _SPELL)
+def test_planted_disguises_are_found_in_four_languages(language):
+    """Recall over random addresses and numbers in words, and nothing but them."""
+    rng = random.Random(language)
+    digit, (at, dot, plus) = _SPELL[language].split(), _SIGN[language]
+    spell = lambda n: " ".join(digit[int(d)] for d in n)
+    found = total = 0
+    for k in range(120):
+        name, host = ("".join(rng.choice("bcdfghklm") for _ in range(rng.randrange(3, 9))) for _ in range(2))
+        ip = f" {dot} ".join(spell(str(rng.randrange(256))) for _ in range(4))
+        hidden, kind = [(f"{name} {at} {host} {dot} com", "email"), (f"{name}({at}){host}({dot})org", "email"), (f"{name}(a){host}.net", "email"),
+                        (ip, "ip"), (f"{plus} {spell('4' + str(rng.randrange(10**9, 10**10)))}", "phone")][k % 5]
+        text = f"Xyz, {hidden}, xyz."
+        spans = pii.added_spans(text, pii.base_spans(text))
+        total += 1
+        found += any(k_ == kind and text[a:b].strip() == hidden for k_, a, b in spans)
+    assert found / total >= 0.9
+
+
+def test_hosts_of_many_labels():
+    text = "write to a dot b dot c at h1 dot h2 dot h3 dot h4 dot h5 dot h6 dot h7 dot com today"
+    assert [text[a:b] for k, a, b in pii.added_spans(text, [])] == ["a dot b dot c at h1 dot h2 dot h3 dot h4 dot h5 dot h6 dot h7 dot com"]
+
+
 def test_chained_edits_map_to_the_source():
     rng = random.Random(1)
     for _ in range(500):

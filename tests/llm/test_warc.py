@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import duckdb
 import pytest
@@ -61,8 +62,12 @@ def test_records_are_reconstructed(spark, folder):
         body = rest[:-4]
         assert rest.endswith(b"\r\n\r\n") and int(fields["Content-Length"]) == len(body)
         assert "X" not in fields  # a line break in a url does not make a header
-        if fields["WARC-Type"] == "response":
-            assert fields["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(body).hexdigest()
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= fields.keys()  # mandatory
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"]) and fields["Content-Type"] == "application/http;msgtype=response"
+        http, _, payload = body.partition(b"\r\n\r\n")
+        assert http.startswith(b"HTTP/1.1 200 OK\r\n") and f"Content-Length: {len(bytes(r.payload))}" in http.decode().split("\r\n")
+        assert payload == (bytes(r.payload) if fields["WARC-Type"] == "response" else b"")
+        assert fields["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(bytes(r.payload)).hexdigest()
 
 
 def test_a_changed_payload_is_found(spark, folder):
