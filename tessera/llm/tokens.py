@@ -16,8 +16,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Bytes of words that one Python worker remembers, and what an entry takes besides its letters and ids.
-CACHE_BYTES, ENTRY = 200_000_000, 190
+#: Bytes of words that one Python worker remembers, what an entry takes, and the most letters of a word that is kept.
+CACHE_BYTES, ENTRY, LETTERS = 200_000_000, 230, 64
 #: Marks that may end a word; a run of them is a piece of its own.
 _ENDS = ".,;:!?%$&*#|)"
 #: A space at the start, or one that no non-space follows: not a piece's start.
@@ -85,8 +85,8 @@ class _Words(dict):
                 ids = first + self.owner.piece("\n") + self.owner.bare[tail]
         if ids is None:
             ids = self.owner.whole(self.before + word)
-        self[word] = ids
-        self.owner.held += ENTRY + 2 * len(word) + len(ids)
+        if len(word) <= LETTERS:
+            self[word] = ids
         return ids
 
 
@@ -99,7 +99,7 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = plain_specials
-        self.dtype, self.most, self.held = np.dtype(dtype), cache_bytes // 2, 0  # for each generation
+        self.dtype, self.most = np.dtype(dtype), cache_bytes // (2 * ENTRY)  # words of a generation
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         self.split = shape(path)[1]
         self.letters, self.pieces = _byte_letters(), {}
@@ -115,7 +115,9 @@ class Encoder:
         """The ids of a mark or line break."""
         found = self.pieces.get(text)
         if found is None:
-            found = self.pieces[text] = self.whole(text)
+            found = self.whole(text)
+            if len(text) <= LETTERS:
+                self.pieces[text] = found
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -146,11 +148,11 @@ class Encoder:
         return out
 
     def _forget(self) -> None:
-        if self.held > self.most:
+        if len(self.spaced) + len(self.bare) > self.most:
             self.spaced.age()
             self.bare.age()
+        if len(self.pieces) > self.most:
             self.pieces.clear()
-            self.held = 0
 
 
 @lru_cache(maxsize=1)

@@ -89,3 +89,55 @@ def test_clauses_decide_not_words():
     w = toxicity.prior_weights()
     score = lambda t: float((toxicity._features(np.array([found.counts(t)])) @ w)[0])
     assert score("you are an idiot") > score("an idiot") > score("not an idiot") > score("nice words")
+
+
+def test_class_prior_equals_a_plain_search():
+    rng = np.random.default_rng(1)
+    for share in (0.2, 0.5, 0.8):
+        positive = rng.normal(2, 1, 800)
+        unlabelled = np.concatenate([rng.normal(2, 1, int(2000 * share)), rng.normal(-2, 1, 2000 - int(2000 * share))])
+        best = None
+        for q in np.linspace(0.0, 0.9, 46):
+            c = float(np.quantile(positive, q))
+            p = sum(x >= c for x in positive) / 800
+            u = sum(x >= c for x in unlabelled) / 2000
+            slack = (np.log(4 / 0.1) / 2) ** 0.5 * (1 / 800 ** 0.5 + 1 / 2000 ** 0.5)
+            if best is None or (u + slack) / p < best[0]:
+                best = ((u + slack) / p, u / p)
+        found = quality.class_prior(positive, unlabelled)
+        assert found == pytest.approx(min(0.99, max(0.05, best[1])))
+        assert abs(found - share) < 0.06
+
+
+def test_non_negative_risk_is_as_low_as_a_plain_search_finds():
+    """One measure and a constant: the fit against all weights of a grid."""
+    rng = np.random.default_rng(2)
+    prior = 0.4
+    ready = lambda v: np.stack([v, np.ones(len(v))], axis=1)
+    p = ready(rng.normal(1.5, 1, 300))
+    u = ready(np.concatenate([rng.normal(1.5, 1, 240), rng.normal(-1.5, 1, 360)]))
+
+    def risk(w):
+        loss = lambda x, y: np.log1p(np.exp(-y * (x @ w))).mean()
+        return prior * loss(p, 1) + max(0.0, loss(u, -1) - prior * loss(p, -1)) + 0.5e-4 * w @ w
+
+    least = min(risk(np.array([a, b])) for a in np.linspace(-4, 4, 81) for b in np.linspace(-4, 4, 81))
+    w = quality.nn_pu(p, u, prior)
+    assert risk(w) <= least + 0.01 and w[0] > 0
+
+
+def test_measures_equal_plain_counts():
+    text = "One two two  THREE!! a|b\nOne two two\n\nOne two two\nx: 42; " + "w" * 25
+    words = text.split()
+    lines = [x for x in text.split("\n") if x]
+    plain = {"upper": sum(w == w.upper() and w != w.lower() for w in words) / len(words), "digits": sum(c in "0123456789" for c in text) / len(text),
+             "punctuation": sum(c in ".,;:" for c in text) / len(words), "loud": 1 / len(words), "bars": text.count("|") / len(words),
+             "repeated": 1 - len(set(words)) / len(words), "top_word": max(words.count(w) for w in words) / len(words),
+             "distinct": len(set(words)) / len(words), "short_words": sum(len(w) <= 2 for w in words) / len(words),
+             "word_length": sum(map(len, words)) / len(words) / 10, "long_words": sum(len(w) > 20 for w in words) / len(words),
+             "adjacent": sum(a == b for a, b in zip(words, words[1:], strict=False)) / len(words), "lines_repeated": 1 - len(set(lines)) / len(lines),
+             "length": np.log(1 + len(words)) / 10, "bare": 0.0}
+    got = dict(zip(quality.MEASURES, quality.measure(text), strict=True))
+    for name, value in plain.items():
+        assert got[name] == pytest.approx(value), name
+    assert quality.measure("")[-1] == 1.0
