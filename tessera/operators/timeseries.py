@@ -41,8 +41,3 @@ def ts_features(df: DataFrame, order_col: str, target: str, id_col: str, horizon
     if drop_incomplete:
         d = d.dropna("any")
     return d
-
-
-def daily_totals(df: DataFrame, ts_col: str, value_col: str, series_cols=()) -> DataFrame:
-    """Daily sums per series (the usual input of ``ts_features``)."""
-    return df.groupBy(*series_cols, F.to_date(ts_col).alias("day")).agg(F.sum(value_col).alias("total"))

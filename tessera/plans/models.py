@@ -2,12 +2,14 @@
 params) into a Spark ML estimator, used by search, studies and final fits.
 
 Models without a distributed counterpart are re-aimed (see README): the
-several gradient-boosting libraries are one ``GBT*`` family with presets,
-extra trees are random forests without bootstrap, kernel SVMs are not built.
+several gradient-boosting libraries are one ``GBT*`` family, each name with its own
+settings and parameter names (``BOOSTING``); extra trees are random forests without
+bootstrap, kernel SVMs are not built.
 """
 
 from __future__ import annotations
 
+import math
 import warnings
 
 from pyspark.ml import classification as C
@@ -32,7 +34,15 @@ REGRESSORS = {
     "xgboost": "gbt", "lightgbm": "gbt", "catboost": "gbt", "hist_gradient_boosting": "gbt",
 }
 # Clustering model names accepted.
-CLUSTERERS = {"kmeans": "kmeans", "agglomerative": "bisecting", "gaussian_mixture": "gmm", "birch": "kmeans"}
+CLUSTERERS = {"kmeans": "kmeans", "agglomerative": "bisecting", "gaussian_mixture": "gmm"}
+# What the boosting names mean by default (learning rate, depth or leaves, bins), and
+# what they call a setting.  The number of trees is ours for all (30), as each is a pass.
+BOOSTING = {
+    "xgboost": dict(learning_rate=0.3, max_depth=6, bins=256, trees="n_estimators", rate="learning_rate", rows="subsample", columns="colsample_bytree"),
+    "lightgbm": dict(learning_rate=0.1, num_leaves=31, bins=255, trees="n_estimators", rate="learning_rate", rows="bagging_fraction", columns="feature_fraction"),
+    "catboost": dict(learning_rate=0.03, max_depth=6, bins=254, trees="iterations", rate="learning_rate", rows="subsample", columns="rsm", depth="depth"),
+    "hist_gradient_boosting": dict(learning_rate=0.1, num_leaves=31, bins=255, trees="max_iter", rate="learning_rate", leaves="max_leaf_nodes"),
+}
 
 
 def _depth(params, default=5):
@@ -42,6 +52,35 @@ def _depth(params, default=5):
     return min(asked, MAX_DEPTH)
 
 
+def boosting_params(name: str, params: dict) -> dict:
+    """The ``GBT*`` settings of a boosting name: its own parameter names are understood
+    beside the common ones, and a number of leaves is the depth that holds as many."""
+    preset = BOOSTING[name.replace("_ts", "")]
+
+    def asked(role: str, common: str, default):
+        return params.get(preset.get(role, common), params.get(common, default))
+
+    leaves = asked("leaves", "num_leaves", preset.get("num_leaves"))
+    depth = asked("depth", "max_depth", None)
+    if depth is None:
+        depth = preset["max_depth"] if leaves is None else math.ceil(math.log2(max(2, int(leaves))))
+    columns = float(asked("columns", "colsample_bytree", 1.0))
+    return dict(maxIter=int(asked("trees", "n_estimators", 30)), stepSize=float(asked("rate", "learning_rate", preset["learning_rate"])),
+                maxDepth=_depth({"max_depth": depth}), maxBins=int(params.get("max_bin", preset["bins"])),
+                subsamplingRate=float(asked("rows", "subsample", 1.0)),
+                featureSubsetStrategy="all" if columns >= 1 else repr(columns))
+
+
+def regularisation(params: dict, default: float) -> float:
+    """``reg_param`` as it is, or 1 / (C n) for an inverse strength ``C`` over ``n_rows`` rows:
+    Spark divides the loss by the number of rows, a penalty with C does not."""
+    if "C" in params:
+        if not params.get("n_rows"):
+            raise ValueError("C needs n_rows, the number of training rows")
+        return 1.0 / (float(params["C"]) * int(params["n_rows"]))
+    return float(params.get("reg_param", default))
+
+
 def make_estimator(task: str, name: str, params: dict | None = None, features: str = "features",
                    label: str = "label", seed: int = 42, weight_col: str | None = None, n_classes: int = 2):
     """The estimator of a model name.  With more than two classes, families that
@@ -53,7 +92,7 @@ def make_estimator(task: str, name: str, params: dict | None = None, features: s
     if task == "classification":
         fam = CLASSIFIERS.get(name)
         if fam == "lr":
-            kw = dict(regParam=float(p.get("reg_param", 0.0)), elasticNetParam=float(p.get("l1_ratio", 0.0)),
+            kw = dict(regParam=regularisation(p, 0.0), elasticNetParam=float(p.get("l1_ratio", 0.0)),
                       maxIter=int(p.get("max_iter", 100)))
             est = C.LogisticRegression(featuresCol=features, labelCol=label, **kw)
         elif fam in ("rf", "et"):
@@ -65,11 +104,9 @@ def make_estimator(task: str, name: str, params: dict | None = None, features: s
         elif fam == "dt":
             est = C.DecisionTreeClassifier(featuresCol=features, labelCol=label, seed=seed, maxDepth=_depth(p, 6))
         elif fam == "gbt":
-            est = C.GBTClassifier(featuresCol=features, labelCol=label, seed=seed, maxIter=int(p.get("n_estimators", 30)),
-                                  stepSize=float(p.get("learning_rate", 0.1)), maxDepth=_depth(p, 4),
-                                  subsamplingRate=float(p.get("subsample", 1.0)))
+            est = C.GBTClassifier(featuresCol=features, labelCol=label, seed=seed, **boosting_params(name, p))
         elif fam == "svc":
-            est = C.LinearSVC(featuresCol=features, labelCol=label, regParam=float(p.get("reg_param", 0.01)),
+            est = C.LinearSVC(featuresCol=features, labelCol=label, regParam=regularisation(p, 0.01),
                               maxIter=int(p.get("max_iter", 100)))
         elif fam == "gnb":
             est = C.NaiveBayes(featuresCol=features, labelCol=label, modelType="gaussian")
@@ -103,12 +140,12 @@ def make_estimator(task: str, name: str, params: dict | None = None, features: s
         elif fam in ("rf", "et"):
             est = R.RandomForestRegressor(featuresCol=features, labelCol=label, seed=seed,
                                           numTrees=int(p.get("n_estimators", 50)), maxDepth=_depth(p, 8),
-                                          bootstrap=(fam == "rf"))
+                                          bootstrap=(fam == "rf"), featureSubsetStrategy="all" if fam == "et" else "auto",
+                                          maxBins=16 if fam == "et" else 32)
         elif fam == "dt":
             est = R.DecisionTreeRegressor(featuresCol=features, labelCol=label, seed=seed, maxDepth=_depth(p, 6))
         elif fam == "gbt":
-            est = R.GBTRegressor(featuresCol=features, labelCol=label, seed=seed, maxIter=int(p.get("n_estimators", 30)),
-                                 stepSize=float(p.get("learning_rate", 0.1)), maxDepth=_depth(p, 4))
+            est = R.GBTRegressor(featuresCol=features, labelCol=label, seed=seed, **boosting_params(name, p))
         else:
             raise ValueError(f"unknown regressor {name}")
     elif task == "clustering":
@@ -120,6 +157,8 @@ def make_estimator(task: str, name: str, params: dict | None = None, features: s
             est = K.BisectingKMeans(featuresCol=features, k=k, seed=seed)
         elif fam == "gmm":
             est = K.GaussianMixture(featuresCol=features, k=k, seed=seed)
+        elif name == "birch":
+            raise ValueError("birch is no single estimator: use tessera.plans.ensembles.birch_like")
         else:
             raise ValueError(f"unknown clusterer {name}")
     else:

@@ -73,10 +73,10 @@ WITH b AS (SELECT DISTINCT CAST(user_id AS VARCHAR) || '/' || CAST(CAST(ts AS DA
 n AS (SELECT count(DISTINCT basket) AS n FROM b)
 SELECT item, round(count(*) / max(n.n), 6) AS support FROM b, n GROUP BY item""")
 def d05(spark, sf):
-    from tessera.operators.rules import binarize
-    wide = binarize(user_day_baskets(spark, sf), "basket", "item")
-    items = [c for c in wide.columns if c != "basket"]
-    return A.support(wide, items).select("item", _r6("support"))
+    """From the long form: no column is made for an item."""
+    from tessera.operators.rules import item_supports
+    b = user_day_baskets(spark, sf).where("item is not null").distinct()
+    return item_supports(b, b.select("basket").distinct().count()).select("item", _r6("support"))
 
 
 @register("D06_top_k", "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")

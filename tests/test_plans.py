@@ -79,3 +79,28 @@ def test_typos_are_scored_by_a_text_model(spark, sf):
     accuracy = {r["iteration"]: r["value"] for r in rows if r["metric"] == "accuracy"}
     assert sorted(accuracy) == [-1, 0, 1, 2] and all(0 <= v <= 1 for v in accuracy.values())
     assert {r["param"] for r in rows} == {"0.1"}
+
+
+def test_early_stop_equals_a_plain_scan(spark):
+    import random
+
+    from tessera.operators.runs import early_stop_trace
+    rng = random.Random(1)
+    rows = []
+    for model in ("a", "b", None):
+        best = 0.0
+        for t in range(1, 120):
+            best += rng.choice([0, 0, 0, 0.00005, 0.0003])
+            rows.append((model, t, rng.choice([None, float("nan"), best, best - rng.random(), -1.0])))
+    rows += [("up", t, t * 0.00007) for t in range(1, 60)]  # every score is a record
+    got = {(r.model, r.trial): (r.best_so_far, r.without_improvement, r.stopped)
+           for r in early_stop_trace(spark.createDataFrame(rows, "model string, trial long, score double").repartition(4), ["model"], "trial", "score", rounds=7).collect()}
+    for model in {r[0] for r in rows}:
+        best, waits, stopped = None, 0, False
+        for _, t, s in (r for r in rows if r[0] == model):
+            stopped = stopped or waits >= 7
+            if s is not None and s == s and (best is None or s > best + 1e-4):
+                best, waits = s, 0
+            else:
+                waits += 1
+            assert got[model, t] == (best, waits, stopped), (model, t)
