@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Bytes of words that one Python worker remembers, what an entry takes, and the most letters of a word that is kept.
-CACHE_BYTES, ENTRY, LETTERS = 200_000_000, 230, 64
+CACHE_BYTES, ENTRY, LETTERS = 207_000_000, 230, 64
 #: Marks that may end a word; a run of them is a piece of its own.
 _ENDS = ".,;:!?%$&*#|)"
 #: A space at the start, or one that no non-space follows: not a piece's start.
@@ -52,19 +52,11 @@ class _Words(dict):
 
     A word of (Latin) letters is one piece and goes straight to the model; marks
     behind it are another piece, and so is a line break between two such words.
-    Everything else is encoded as a text.
-
-    Words live in two generations: when the younger one is full it becomes the elder,
-    and the elder is forgotten but for the words asked for since."""
+    Everything else is encoded as a text."""
 
     def __init__(self, owner: Encoder, before: str):
         super().__init__()
         self.owner, self.before = owner, before
-        self.elder: dict[str, bytes] = {}
-
-    def age(self) -> None:
-        self.elder = dict(self)
-        self.clear()
 
     def _plain(self, word: str) -> bytes | None:
         base = word.rstrip(_ENDS)
@@ -76,9 +68,7 @@ class _Words(dict):
         return self[base] + self.owner.piece(word[len(base):])
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.elder.get(word)
-        if ids is None:
-            ids = self._plain(word) if word else None
+        ids = self._plain(word) if word else None
         if ids is None and "\n" in word:
             head, _, tail = word.partition("\n")
             if head and tail[:1].isalpha() and head[-1:].strip() and (first := self._plain(head)) is not None:
@@ -99,7 +89,7 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = plain_specials
-        self.dtype, self.most = np.dtype(dtype), cache_bytes // (2 * ENTRY)  # words of a generation
+        self.dtype, self.most = np.dtype(dtype), cache_bytes // ENTRY  # words
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         self.split = shape(path)[1]
         self.letters, self.pieces = _byte_letters(), {}
@@ -149,8 +139,8 @@ class Encoder:
 
     def _forget(self) -> None:
         if len(self.spaced) + len(self.bare) > self.most:
-            self.spaced.age()
-            self.bare.age()
+            self.spaced.clear()
+            self.bare.clear()
         if len(self.pieces) > self.most:
             self.pieces.clear()
 
