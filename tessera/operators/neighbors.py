@@ -318,49 +318,239 @@ def radius_pairs(points: DataFrame, id_col: str, cols: list[str], eps: float) ->
     return out
 
 
+#: Distinct points aimed at in a leaf, the fewest, and most halvings that make the leaves.
+LEAF_ROWS, FEWEST_ROWS, DEEPEST_LEAF = 16384, 1024, 12
+#: Points drawn for each leaf to place the cuts.
+DRAWN = 32
+#: Most points of the other side that one task takes beside a leaf.
+BESIDE_ROWS = 1 << 20
+#: Points in a block of the kernels, and distances they keep at a time.
+MICRO, AT_ONCE = 64, 1 << 20
+#: A label above all others.
+NONE = 2 ** 63 - 1
+
+
+def _cuts(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Halving planes (dimension, value) of a complete binary tree over a sample, node i above 2i+1 and 2i+2."""
+    dim, value = np.zeros(2 ** depth - 1, np.int64), np.zeros(2 ** depth - 1)
+    below = {0: sample}
+    for i in range(2 ** depth - 1):
+        x = below.pop(i)
+        if len(x):
+            dim[i] = np.argmax(x.max(axis=0) - x.min(axis=0))
+            value[i] = np.median(x[:, dim[i]])
+        right = x[:, dim[i]] > value[i]
+        below[2 * i + 1], below[2 * i + 2] = x[~right], x[right]
+    return dim, value
+
+
+def _place(cuts: tuple[np.ndarray, np.ndarray], dims: int):
+    dim, value = cuts
+
+    def run(batches):
+        for b in batches:
+            x = _matrix(b.column("x"), dims)
+            at, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+            for _ in range(len(dim).bit_length()):
+                at = 2 * at + 1 + (x[rows, dim[at]] > value[at])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array((at - len(dim)).astype(np.int32))], names=[*b.schema.names, "leaf"])
+    return run
+
+
+def _leaves(points: DataFrame, dims: int) -> DataFrame:
+    """``points`` (x, ...) with ``leaf``: about equal shares of space cut at the medians of
+    a bounded sample.  The sample only steers the cuts; every point gets its leaf."""
+    n = points.count()
+    rows = min(LEAF_ROWS, max(FEWEST_ROWS, n // 32))
+    depth = min(DEEPEST_LEAF, max(0, math.ceil(math.log2(max(1, n / rows)))))
+    drawn = points.where(F.pmod(F.xxhash64("x"), F.lit(max(1, n // (DRAWN * 2 ** depth)))) == 0).select("x").collect() if depth else []
+    cuts = _cuts(np.array([r["x"] for r in drawn], np.float64).reshape(len(drawn), dims), depth)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema) + ", leaf int"
+    return cut_lineage(points.mapInArrow(_place(cuts, dims), schema))
+
+
+class _Blocks:
+    """Points in blocks of at most ``MICRO`` near ones, with the box around each."""
+
+    def __init__(self, x: np.ndarray, value: np.ndarray):
+        order, todo, cuts = np.arange(len(x)), [(0, len(x))], []
+        while todo:
+            s, e = todo.pop()
+            if e - s <= MICRO:
+                cuts.append(s)
+                continue
+            part, half = x[order[s:e]], (e - s) // 2
+            wide = np.argmax(part.max(axis=0) - part.min(axis=0))
+            order[s:e] = order[s:e][np.argpartition(part[:, wide], half)]
+            todo += [(s, s + half), (s + half, e)]
+        self.starts = np.array(sorted(cuts))
+        self.ends = np.append(self.starts[1:], len(x))
+        self.order, self.x, self.value = order, x[order], value[order]
+        self.low, self.high = (f.reduceat(self.x, self.starts, axis=0) for f in (np.minimum, np.maximum))
+
+
+def _length(parts: list[np.ndarray]) -> np.ndarray:
+    out = parts[0] * parts[0]
+    for v in parts[1:]:
+        out = out + v * v
+    return np.sqrt(out)
+
+
+def _near(a: _Blocks, b: _Blocks, eps: float):
+    """For each block of ``a``: (its slice, blocks of ``b`` wholly within ``eps``, [(rows of
+    ``b`` compared one by one, which are within ``eps``: a row for each point of the block)])."""
+    dims, sizes = a.x.shape[1], b.ends - b.starts
+    for low, high, s, e in zip(a.low, a.high, a.starts, a.ends, strict=True):
+        gap = _length([np.maximum(0.0, np.maximum(b.low[:, k] - high[k], low[k] - b.high[:, k])) for k in range(dims)])
+        span = _length([np.maximum(b.high[:, k] - low[k], high[k] - b.low[:, k]) for k in range(dims)])
+        whole = span <= eps
+        rows = np.nonzero(np.repeat((gap <= eps) & ~whole, sizes))[0]
+
+        def compared(rows=rows, s=s, e=e):
+            step = max(1, AT_ONCE // (e - s))
+            for f in range(0, len(rows), step):
+                some = rows[f:f + step]
+                yield some, _length([a.x[s:e, k, None] - b.x[None, some, k] for k in range(dims)]) <= eps
+        yield slice(s, e), whole, compared()
+
+
+def _counted(a: _Blocks, b: _Blocks, eps: float) -> np.ndarray:
+    """For each point of ``a`` the sum of the values of ``b`` within ``eps``."""
+    out, sums = np.zeros(len(a.x), np.int64), np.add.reduceat(b.value, b.starts)
+    for at, whole, compared in _near(a, b, eps):
+        out[at] += sums[whole].sum()
+        for rows, hit in compared:
+            out[at] += np.rint(hit @ b.value[rows].astype(np.float64)).astype(np.int64)
+    return out
+
+
+def _least(a: _Blocks, b: _Blocks, eps: float) -> np.ndarray:
+    """For each point of ``a`` the smallest value of ``b`` within ``eps``, the largest long without any."""
+    out, least = np.full(len(a.x), NONE), np.minimum.reduceat(b.value, b.starts)
+    for at, whole, compared in _near(a, b, eps):
+        out[at] = np.minimum(out[at], least[whole].min(initial=NONE))
+        for rows, hit in compared:
+            out[at] = np.minimum(out[at], np.where(hit, b.value[rows], NONE).min(axis=1))
+    return out
+
+
+def _linked(a: _Blocks, b: _Blocks, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs of values of points within ``eps``, smaller one first."""
+    names, code = np.unique(b.value, return_inverse=True)
+    sizes, found = b.ends - b.starts, set()
+    for at, whole, compared in _near(a, b, eps):
+        order = np.argsort(a.value[at], kind="stable")
+        mine, starts = np.unique(a.value[at][order], return_index=True)
+        seen = np.zeros((len(mine), len(names)), bool)
+        seen[:, code[np.repeat(whole, sizes)]] = True
+        for rows, hit in compared:
+            for row, some in enumerate(np.logical_or.reduceat(hit[order], starts, axis=0)):
+                seen[row, code[rows[some]]] = True
+        row, col = np.nonzero(seen)
+        found.update((min(p), max(p)) for p in zip(mine[row].tolist(), names[col].tolist()) if p[0] != p[1])
+    u, v = zip(*found, strict=True) if found else ((), ())
+    return np.array(u, np.int64), np.array(v, np.int64)
+
+
+def _beside(left: DataFrame, right: DataFrame, dims: int, eps: float, kernel, schema: str) -> tuple[DataFrame, DataFrame]:
+    """What points (x, value, leaf) of two sets have to do with each other within ``eps``:
+    (pairs of leaves (a, b) wholly within it, what ``kernel`` finds in the others).
+
+    Leaves are judged by the least and the greatest distance of the boxes around their
+    points.  A leaf that is neither too far from another nor wholly within reach meets the
+    other's points within ``eps`` of its box; where these are many they come in shares, so
+    that a task holds a leaf and a bounded share whatever the density."""
+    def boxes(points: DataFrame, name: str) -> DataFrame:
+        x = [F.col("x")[k] for k in range(dims)]
+        return points.groupBy(F.col("leaf").alias(name)).agg(
+            F.count(F.lit(1)).alias(f"{name}_rows"), F.array(*[F.min(c) for c in x]).alias(f"{name}_low"), F.array(*[F.max(c) for c in x]).alias(f"{name}_high"))
+
+    norm = lambda parts: F.sqrt(sum([v * v for v in parts[1:]], parts[0] * parts[0]))
+    al, ah, bl, bh = (lambda k, c=c: F.col(c)[k] for c in ("a_low", "a_high", "b_low", "b_high"))
+    gap = norm([F.greatest(F.lit(0.0), bl(k) - ah(k), al(k) - bh(k)) for k in range(dims)])
+    span = norm([F.greatest(bh(k) - al(k), ah(k) - bl(k)) for k in range(dims)])
+    pairs = cut_lineage(boxes(left, "a").crossJoin(boxes(right, "b")).where(gap <= F.lit(eps)).withColumn("whole", span <= F.lit(eps)))
+    open_ = pairs.where("not whole")
+    shares = open_.groupBy("a").agg(F.ceil(F.sum("b_rows") / F.lit(BESIDE_ROWS)).cast("int").alias("shares"))
+    own = (left.withColumnRenamed("leaf", "a").join(shares, "a")
+           .select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "x", "value"))
+    x = F.col("x")
+    out = norm([F.greatest(F.lit(0.0), x[k] - ah(k), al(k) - x[k]) for k in range(dims)])
+    other = (right.withColumnRenamed("leaf", "b").join(open_.join(shares, "a").select("a", "b", "a_low", "a_high", "shares"), "b").where(out <= F.lit(eps))
+             .select("a", F.pmod(F.xxhash64("x"), F.col("shares")).cast("int").alias("share"), F.col("x").alias("x"), F.col("value").alias("value")))
+
+    def meet(lp: pa.Table, rp: pa.Table) -> pa.Table:
+        if not len(lp) or not len(rp):
+            return kernel(None, None)
+        return kernel(*[_Blocks(_matrix(t.column("x"), dims), t.column("value").combine_chunks().to_numpy(zero_copy_only=False)) for t in (lp, rp)])
+
+    found = own.groupBy("a", "share").cogroup(other.groupBy("a", "share")).applyInArrow(meet, schema)
+    return pairs.where("whole").select("a", "b"), found
+
+
+def _by_point(left: DataFrame, right: DataFrame, dims: int, eps: float, kernel, merge) -> DataFrame:
+    """(x, value): for each point of ``left`` the values of ``right`` within ``eps``, merged."""
+    def rows(a: _Blocks | None, b: _Blocks | None) -> pa.Table:
+        x, value = (np.zeros((0, dims)), np.zeros(0, np.int64)) if a is None else (a.x, kernel(a, b, eps))
+        ends = pa.array(np.arange(0, dims * len(x) + 1, dims, dtype=np.int32))
+        return pa.table({"x": pa.ListArray.from_arrays(ends, pa.array(x.ravel())), "value": pa.array(value)})
+
+    whole, found = _beside(left, right, dims, eps, rows, "x array<double>, value long")
+    of_leaf = whole.join(right.groupBy(F.col("leaf").alias("b")).agg(merge("value").alias("value")), "b").groupBy(F.col("a").alias("leaf")).agg(merge("value").alias("value"))
+    rest = left.select("x", "leaf").join(of_leaf, "leaf").select("x", "value")
+    return found.unionByName(rest).groupBy("x").agg(merge("value").alias("value"))
+
+
+def _distinct_points(p: DataFrame, dims: int) -> DataFrame:
+    """(x, n, leaf): a row for each place with the number of its points."""
+    return _leaves(p.groupBy("x").agg(F.count(F.lit(1)).alias("n")), dims)
+
+
 def radius_counts(points: DataFrame, id_col: str, cols: list[str], eps: float) -> DataFrame:
-    """E08 neighbour counts within eps in any number of columns, self included: a cell's
-    own points and those of cells wholly within reach are added as numbers, and only
-    points near the distance ``eps`` are compared (``within``).  The number of cells
-    around a cell grows with the columns (24 for two, 124 for three, over 2000 from five on)."""
-    return _radius_counts(cut_lineage(_points(points, id_col, cols)), len(cols), eps)
+    """E08 neighbour counts within eps in any number of columns, self included.  Equal
+    points are counted once with their number; leaves of near points wholly within reach of
+    each other are added as numbers, and so are blocks of points inside a task, so only
+    points near the distance ``eps`` are compared (``_beside``, ``_near``)."""
+    p, dims = cut_lineage(_points(points, id_col, cols)), len(cols)
+    return _radius_counts(p, _distinct_points(p, dims), dims, eps)
 
 
-def _radius_counts(p: DataFrame, dims: int, eps: float) -> DataFrame:
-    side = _side(eps, dims)
-    own = _boxes(p, side, dims).select(F.lit(0).alias("level"), F.col("key").alias("a"), F.col("n").alias("n_b"))
-    cells, single = within(p, p, dims, eps)
-    whole = _each_level(own.unionByName(cells.select("level", "a", "n_b")), p, side, F.sum("n_b"), "n")
-    ones = single.groupBy(F.col("id_a").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    return whole.unionByName(ones).groupBy("id").agg(F.sum("n").cast("long").alias("n_neighbors"))
+def _radius_counts(p: DataFrame, places: DataFrame, dims: int, eps: float) -> DataFrame:
+    d = places.select("x", F.col("n").alias("value"), "leaf")
+    found = _by_point(d, d, dims, eps, _counted, F.sum)
+    return p.join(found, "x").groupBy("id").agg(F.sum("value").cast("long").alias("n_neighbors"))
 
 
 def dbscan(points: DataFrame, id_col: str, cols: list[str], eps: float, min_samples: int = 5) -> DataFrame:
-    """Core points have >= min_samples neighbours within eps (self included,
-    counted by ``radius_counts``).  All core points of a cell are in one cluster, and two
-    cells are linked by the first find of ``within``, so clusters are components of
-    cells; they come from alternating stars, run until they converge.  Border points take
-    the smallest label of a core neighbour; noise, and a point without finite
-    coordinates, is -1.  Cluster label = smallest core id in it."""
+    """Core points have >= min_samples neighbours within eps (self included, counted
+    as by ``radius_counts``).  All core points of a grid cell of side eps / sqrt(columns)
+    are in one cluster and stand under its smallest id; cells are linked by core points
+    within eps, and clusters are components of cells from alternating stars, run until they
+    converge.  Border points take the smallest label of a core neighbour; noise, and a
+    point without finite coordinates, is -1.  Cluster label = smallest core id in it."""
     p, dims = cut_lineage(_points(points, id_col, cols)), len(cols)
     side = _side(eps, dims)
-    counts = _radius_counts(p, dims, eps)
-    flagged = cut_lineage(p.join(counts, "id").select("id", "x", (F.col("n_neighbors") >= min_samples).alias("core")))
+    places = _distinct_points(p, dims)
+    flagged = cut_lineage(p.join(_radius_counts(p, places, dims, eps), "id").select("id", "x", (F.col("n_neighbors") >= min_samples).alias("core")))
     core, other = flagged.where("core").select("id", "x"), flagged.where("not core").select("id", "x")
-    hubs = core.groupBy(_key(F.col("x"), side).alias("key")).agg(F.min("id").alias("hub"))
-    cells, single = within(core, core, dims, eps, once=True)
-    linked = cells.select("root_a", "root_b").unionByName(single.select("root_a", "root_b")).distinct()
-    edges = (linked.join(hubs.select(F.col("key").alias("root_a"), F.col("hub").alias("a")), "root_a")
-             .join(hubs.select(F.col("key").alias("root_b"), F.col("hub").alias("b")), "root_b").select("a", "b"))
-    found = connected_components(edges)
-    label = cut_lineage(hubs.join(found.select(F.col("id").alias("hub"), F.col("label").alias("found")), "hub", "left")
-                        .select("key", F.coalesce("found", "hub").alias("label")))
-    of_cell = lambda d: d.select("id", _key(F.col("x"), side).alias("key")).join(label, "key").select("id", "label")
-    # border points: the label of their own cell's core points, of cells wholly within reach, and of single core neighbours
-    cells, single = within(other, core, dims, eps)
-    named = label.select(F.col("key").alias("root_b"), "label")
-    whole = _each_level(cells.join(named, "root_b").select("level", "a", "label"), other, side, F.min("label"), "label")
-    near = single.join(named, "root_b").select(F.col("id_a").alias("id"), "label")
-    border = of_cell(other).unionByName(whole).unionByName(near).groupBy("id").agg(F.min("label").alias("label"))
-    out = points.select(F.col(id_col).alias("id")).join(of_cell(core).unionByName(border), "id", "left")
+    leaf = places.select("x", "leaf")
+    core_places = core.groupBy("x").agg(F.min("id").cast("long").alias("low_id")).withColumn("key", _key(F.col("x"), side)).join(leaf, "x")
+    hubs = core_places.groupBy("key").agg(F.min("low_id").alias("value"))
+    placed = cut_lineage(core_places.join(hubs, "key").select("x", "value", "leaf"))
+
+    def links(a: _Blocks | None, b: _Blocks | None) -> pa.Table:
+        u, v = (np.zeros(0, np.int64),) * 2 if a is None else _linked(a, b, eps)
+        return pa.table({"a": pa.array(u), "b": pa.array(v)})
+
+    whole, found = _beside(placed, placed, dims, eps, links, "a long, b long")
+    of_leaf = lambda n: placed.select(F.col("leaf").alias(n), F.col("value").alias(f"{n}_hub")).distinct()
+    met = whole.join(of_leaf("a"), "a").join(of_leaf("b"), "b").select(F.col("a_hub").alias("a"), F.col("b_hub").alias("b"))
+    components = connected_components(found.unionByName(met))
+    label = F.coalesce("label", "value").alias("value")
+    named = cut_lineage(placed.join(components.withColumnRenamed("id", "value"), "value", "left").select("x", label, "leaf"))
+    edge = other.select("x").distinct().join(leaf, "x").select("x", F.lit(0).cast("long").alias("value"), "leaf")
+    border = _by_point(edge, named, dims, eps, _least, F.min).where(F.col("value") < F.lit(NONE))
+    labels = (core.join(named.select("x", "value"), "x").select("id", F.col("value").alias("label"))
+              .unionByName(other.join(border, "x").groupBy("id").agg(F.min("value").alias("label"))))
+    out = points.select(F.col(id_col).alias("id")).join(labels, "id", "left")
     return out.select("id", F.coalesce("label", F.lit(-1)).cast("long").alias("cluster"))

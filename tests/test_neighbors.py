@@ -156,3 +156,44 @@ def test_dense_adjacent_cells_finish(spark):
         assert got[i] == int((np.sqrt(((xy - xy[i]) ** 2).sum(axis=1)) <= 1.0).sum())
     labels = {r["cluster"] for r in dbscan(df, "id", ["x", "y"], 1.0, 5).collect()}
     assert labels == {0}
+
+
+def test_many_leaves_and_shares_match_brute_force(spark, monkeypatch):
+    """Small leaves, whose other sides come in shares: counts and clusters stay exact."""
+    import tessera.operators.neighbors as N
+    for name, value in (("LEAF_ROWS", 16), ("FEWEST_ROWS", 16), ("BESIDE_ROWS", 32)):
+        monkeypatch.setattr(N, name, value)
+    pts = _points()
+    df = spark.createDataFrame(pts, "id long, x double, y double")
+    counts, labels = _brute(pts, 0.05, 5)
+    assert {r["id"]: r["n_neighbors"] for r in radius_counts(df, "id", ["x", "y"], 0.05).collect()} == counts
+    assert {r["id"]: r["cluster"] for r in dbscan(df, "id", ["x", "y"], 0.05, 5).collect()} == labels
+
+
+def test_dense_points_are_counted_by_blocks():
+    """Of 4000 x 4000 pairs only those near the distance eps are compared; sums, labels and links are exact."""
+    import tessera.operators.neighbors as N
+    rng = np.random.default_rng(3)
+    x, value = rng.random((4000, 2)), rng.integers(1, 5, 4000)
+    a = N._Blocks(x, value)
+    assert sum(len(rows) * hit.shape[0] for _, _, found in N._near(a, a, 0.5) for rows, hit in found) < 0.5 * 4000 ** 2
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) <= 0.5
+    assert (N._counted(a, a, 0.5) == (near @ value)[a.order]).all()
+    assert (N._least(a, a, 0.5) == np.where(near, value, 9).min(axis=1)[a.order]).all()
+    few = N._Blocks(x[:300], np.arange(300))
+    assert set(zip(*(v.tolist() for v in N._linked(few, few, 0.1)), strict=True)) == {
+        (i, j) for i in range(300) for j in range(i + 1, 300) if math.dist(x[i], x[j]) <= 0.1}
+
+
+def test_radius_and_dbscan_take_a_bounded_number_of_jobs(spark):
+    """Their number follows neither the density nor the halvings of cells."""
+    rng = random.Random(8)
+    points = [(i, rng.random(), rng.random()) for i in range(20_000)]
+    df = spark.createDataFrame(points, "id long, x double, y double").cache()
+    jobs = []
+    for eps in (0.02, 0.3):
+        spark.sparkContext.setJobGroup(f"radius-{eps}", "")
+        radius_counts(df, "id", ["x", "y"], eps).count()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"radius-{eps}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(jobs) <= 40
