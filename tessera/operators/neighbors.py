@@ -13,8 +13,9 @@ Exact k-nearest neighbours never materialise all (query, reference) pairs:
   the final top k per query is taken over k candidates of each block it visited.
 
 Distances are computed from coordinate differences (not the |q|^2 + |r|^2 -
-2 q.r shortcut) so they agree with a plain SQL evaluation.  Rows without an id or a
-vector take no part.
+2 q.r shortcut) so they agree with a plain SQL evaluation.  For Euclidean distances
+that shortcut, a matrix product, only says which rows can be among the k nearest, with
+a margin above its rounding.  Rows without an id or a vector take no part.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ from tessera.operators.graph import connected_components
 from tessera.session import cut_lineage
 
 KNN_SCHEMA = "query_id long, neighbor_id long, rank int, distance double"
-BLOCK_ROWS, QUERY_ROWS = 4096, 1024
+BLOCK_ROWS, QUERY_ROWS = 32768, 32768
+#: Reference rows from which a matrix product precedes the exact distances, and rows that share a least value there.
+FILTER_ROWS, SHARED = 1024, 64
 #: Most pivots; their coordinates and pairwise bounds travel to every task.
 PIVOTS = 512
 #: Bytes of one distance matrix.
@@ -50,11 +53,84 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str, p: float) -> np.ndarray
     return out if metric == "manhattan" else np.sqrt(out) if metric != "minkowski" or p == 2 else out ** (1.0 / p)
 
 
+def _margins(a: np.ndarray, b: np.ndarray) -> tuple[type, np.ndarray] | None:
+    """The type in which |b|^2 - 2 a.b is safe and how far it can be off for each row of
+    ``a``; None where neither is."""
+    reach = (np.sqrt((a * a).sum(axis=1)) + math.sqrt((b * b).sum(axis=1).max())) ** 2
+    for kind, least, most in ((np.float32, 1e-24, 1e30), (np.float64, 1e-200, 1e200)):
+        if least < reach.min() and reach.max() < most:
+            return kind, (4.0 * (a.shape[1] + 16) * float(np.finfo(kind).eps) * reach)
+    return None
+
+
+def _candidates(qids: np.ndarray, qx: np.ndarray, rids: np.ndarray, rx: np.ndarray, k: int, exclude_self: bool, step: int):
+    """(first query, rows, columns): pairs that hold the k nearest of every query with all
+    that tie with them.  Every ``SHARED`` rows share their least value; the k-th least of
+    these is no less than the k-th of all rows."""
+    middle = rx.mean(axis=0)
+    a, b = qx - middle, rx - middle
+    found = _margins(a, b)
+    if found is None:
+        return None
+    kind, margin = found
+    groups = -(-len(rx) // SHARED)
+    dim = rx.shape[1]
+    wide = np.zeros((groups * SHARED, dim + 1), kind)  # b, |b|^2; what only fills the last group is at no distance
+    wide[:, dim] = np.inf
+    wide[:len(rx), :dim], wide[:len(rx), dim] = b, (b * b).sum(axis=1)
+    order = np.argsort(rids, kind="stable")
+    first, last = (np.searchsorted(rids[order], qids, side=x) for x in ("left", "right"))
+
+    def run():
+        for s in range(0, len(qids), step):
+            d = np.hstack([-2 * a[s:s + step], np.ones((len(a[s:s + step]), 1))]).astype(kind) @ wide.T
+            if exclude_self:
+                own = last[s:s + step] - first[s:s + step]
+                row = np.repeat(np.arange(len(d)), own)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(own) - own, own) + np.repeat(first[s:s + step], own)
+                d[row, order[at]] = np.inf
+            least = d.reshape(len(d), SHARED, groups).min(axis=1)
+            most = np.partition(least, k - 1, axis=1)[:, k - 1] + 2 * margin[s:s + step]
+            row, group = np.nonzero(least <= most[:, None])
+            near = d.reshape(len(d), SHARED, groups)[row, :, group] <= most[row, None]
+            at, line = np.nonzero(near)
+            row, col = row[at], line * groups + group[at]
+            keep = col < len(rx)
+            yield s, row[keep], col[keep]
+    return run()
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of paired points, one coordinate at a time as in ``distances``."""
+    out = np.zeros(len(a))
+    for x, y in zip(a.T, b.T, strict=True):
+        diff = x - y
+        out += diff * diff
+    return np.sqrt(out)
+
+
 def _topk_kernel(qids: np.ndarray, qx: np.ndarray, rids: np.ndarray, rx: np.ndarray, k: int, exclude_self: bool, metric: str, p: float) -> pa.Table:
     """The k nearest of ``rx`` for each row of ``qx``, ties by id."""
     parts: list[tuple[np.ndarray, ...]] = []
     step = max(1, MATRIX_BYTES // (8 * max(1, len(rids))))
-    for s in range(0, len(qids), step):
+
+    def ranked(s: int, row: np.ndarray, col: np.ndarray, found: np.ndarray) -> None:
+        row, col, found = (x[np.isfinite(found)] for x in (row, col, found))
+        order = np.lexsort((rids[col], found, row))
+        row, col, found = row[order], col[order], found[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row, side="left") + 1
+        keep = rank <= k
+        parts.append((qids[s:s + step][row[keep]], rids[col[keep]], rank[keep], found[keep]))
+
+    filtered = None
+    if len(qids) and len(rids) >= max(FILTER_ROWS, SHARED * (k + 1)) and (metric == "euclidean" or metric == "minkowski" and p == 2) and np.isfinite(qx).all() and np.isfinite(rx).all():
+        filtered = _candidates(qids, qx, rids, rx, k, exclude_self, step)
+    if filtered is not None:
+        for s, row, col in filtered:
+            if exclude_self:
+                row, col = (x[qids[s + row] != rids[col]] for x in (row, col))
+            ranked(s, row, col, _apart(qx[s + row], rx[col]))
+    for s in range(0, len(qids), step) if filtered is None else ():
         d = distances(qx[s:s + step], rx, metric, p)
         if exclude_self:
             d[qids[s:s + step, None] == rids[None, :]] = np.inf
@@ -62,13 +138,7 @@ def _topk_kernel(qids: np.ndarray, qx: np.ndarray, rids: np.ndarray, rx: np.ndar
             row, col = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1, None])  # ties included
         else:
             row, col = (x.ravel() for x in np.indices(d.shape))
-        found = d[row, col]
-        row, col, found = (x[np.isfinite(found)] for x in (row, col, found))
-        order = np.lexsort((rids[col], found, row))
-        row, col, found = row[order], col[order], found[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row, side="left") + 1
-        keep = rank <= k
-        parts.append((qids[s:s + step][row[keep]], rids[col[keep]], rank[keep], found[keep]))
+        ranked(s, row, col, d[row, col])
     cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0)] * 4
     types = (pa.int64(), pa.int64(), pa.int32(), pa.float64())
     return pa.table({n: pa.array(c.astype(t.to_pandas_dtype())) for n, c, t in
@@ -77,7 +147,7 @@ def _topk_kernel(qids: np.ndarray, qx: np.ndarray, rids: np.ndarray, rx: np.ndar
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), dim)
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(flat), dim)
 
 
 def _nearest(pivots: np.ndarray, metric: str, p: float):
@@ -108,8 +178,11 @@ def knn(queries: DataFrame, reference: DataFrame, k: int = 5, qid: str = "id", r
         p: float = 2.0, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, neighbor_id, rank, distance), exactly k rows per query
     (fewer if the reference is smaller), ties broken by neighbour id."""
+    # float vectors travel as floats; every distance is taken in double
+    kind = "array<float>" if all(d.schema[c].dataType.simpleString() == "array<float>" for d, c in ((queries, qvec), (reference, rvec))) else "array<double>"
+
     def points(df: DataFrame, id_col: str, vec: str) -> DataFrame:
-        return df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).cast("array<double>").alias("_x")).where("_id is not null and _x is not null")
+        return df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).cast(kind).alias("_x")).where("_id is not null and _x is not null")
 
     q, r = points(queries, qid, qvec), points(reference, rid, rvec)
     facts = r.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_x")).alias("dim")).first()
@@ -119,7 +192,7 @@ def knn(queries: DataFrame, reference: DataFrame, k: int = 5, qid: str = "id", r
     pivots = np.unique(np.array([x["_x"] for x in sample], dtype=np.float64).reshape(len(sample), dim), axis=0)
     if not len(pivots):
         return queries.sparkSession.createDataFrame([], KNN_SCHEMA)
-    cell_schema = "_id long, _x array<double>, _cell int, _d double"
+    cell_schema = f"_id long, _x {kind}, _cell int, _d double"
     placed = cut_lineage(r.mapInArrow(_nearest(pivots, metric, p), cell_schema))
     by_cell = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_d").alias("radius")).orderBy("_cell").collect()  # a row per pivot
     cells, sizes, radii = (np.array([x[c] for x in by_cell]) for c in ("_cell", "n", "radius"))
@@ -137,7 +210,7 @@ def knn(queries: DataFrame, reference: DataFrame, k: int = 5, qid: str = "id", r
     groups = max(1, math.ceil(n_q / query_rows))
     rg = placed.select("_cell", F.pmod(F.xxhash64("_id"), n_blocks[F.col("_cell")]).cast("int").alias("_block"),
                        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_group"), "_id", "_x")
-    qg = (q.mapInArrow(target, "_id long, _x array<double>, _cells array<int>").select("_id", "_x", F.explode("_cells").alias("_cell"))
+    qg = (q.mapInArrow(target, f"_id long, _x {kind}, _cells array<int>").select("_id", "_x", F.explode("_cells").alias("_cell"))
           .select("_cell", F.explode(F.sequence(F.lit(0), n_blocks[F.col("_cell")] - 1)).alias("_block"),
                   F.pmod(F.xxhash64("_id"), F.lit(groups)).cast("int").alias("_group"), "_id", "_x"))
 
@@ -185,6 +258,7 @@ def local_outlier_factor(neighbors: DataFrame, k: int) -> DataFrame:
     """L37 from a kNN table (self excluded): k-distance, reachability
     distance, local reachability density (with the reference library's
     1e-10 guard) and LOF as joins and grouped means."""
+    neighbors = cut_lineage(neighbors)  # read three times
     kd = neighbors.where(F.col("rank") == k).select(F.col("query_id").alias("neighbor_id"),
                                                     F.col("distance").alias("_kdist"))
     r = neighbors.join(kd, "neighbor_id").withColumn("_reach", F.greatest("_kdist", "distance"))

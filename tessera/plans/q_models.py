@@ -12,7 +12,7 @@ from tessera.operators.split import random_split
 from tessera.plans.models import make_estimator
 from tessera.plans.registry import register
 from tessera.plans.q_aggregates import lineitem_row_id
-from tessera.session import table
+from tessera.session import cut_lineage, table
 
 
 def _r6(c):
@@ -399,7 +399,7 @@ def l34(spark, sf):
 def l35(spark, sf):
     """kNN affinity graph (exact E07 join) -> power iteration clustering."""
     from pyspark.ml.clustering import PowerIterationClustering
-    nn = embeddings_knn(spark, sf, k=5)
+    nn = cut_lineage(embeddings_knn(spark, sf, k=5))  # the clustering reads its edges more than once
     g = nn.select(F.col("query_id").alias("src"), F.col("neighbor_id").alias("dst"),
                   F.exp(-F.col("distance") * F.col("distance")).alias("weight"))
     pic = PowerIterationClustering(k=10, maxIter=20, weightCol="weight", srcCol="src", dstCol="dst")

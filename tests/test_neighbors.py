@@ -197,3 +197,22 @@ def test_radius_and_dbscan_take_a_bounded_number_of_jobs(spark):
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"radius-{eps}")))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert max(jobs) <= 40
+
+
+@pytest.mark.parametrize("scale,shift", [(1.0, 0.0), (1.0, 1e4), (1e-3, 0.0), (1e20, 0.0), (1e-60, 0.0)])
+def test_matrix_product_loses_no_neighbour(monkeypatch, scale, shift):
+    """The filtered kernel gives the rows of the plain one, with ties, equal ids and any scale,
+    without its full matrix of differences."""
+    import tessera.operators.neighbors as N
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 8)) * scale + shift
+    x[700:900] = x[:200]  # ties
+    ids = np.where(np.arange(1500) % 50 == 0, 7, np.arange(1500))  # an id comes often
+    args = (ids, x, ids, x, 5, True, "euclidean", 2.0)
+    monkeypatch.setattr(N, "MATRIX_BYTES", 8 * 1500 * 400)
+    made = []
+    monkeypatch.setattr(N, "distances", lambda a, b, m, p: made.append(1) or distances(a, b, m, p))
+    got = N._topk_kernel(*args)
+    assert not made
+    monkeypatch.setattr(N, "FILTER_ROWS", 10 ** 9)
+    assert got.equals(N._topk_kernel(*args)) and made
