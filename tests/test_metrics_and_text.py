@@ -113,3 +113,23 @@ def test_empty_vocabulary(spark):
     df = spark.createDataFrame([(1, None, 1.0), (2, "", 2.0)], "id long, text string, size double")
     out = FeaturePipeline(text_cols=["text"], id_col="id").fit(df).transform(df)
     assert [r[0][1:] for r in out.select(vector_to_array("features")).collect()] == [[0.0], [0.0]]
+
+
+def test_word2vec_trains_in_shares(spark, monkeypatch):
+    """Every document gets a vector, and no task trains on more than a share of them."""
+    from tessera.plans import q_text
+    monkeypatch.setattr(q_text, "WORD2VEC_ROWS", 8)
+    d = spark.createDataFrame([(i, ["red", "green", "blue"] * 5) for i in range(20)], "doc_id long, tokens array<string>")
+    est = q_text.word2vec(d, vectorSize=4, minCount=2, seed=42, inputCol="tokens", outputCol="embedding", maxIter=1)
+    assert est.getNumPartitions() == 3
+    assert est.fit(d).transform(d).where("embedding is not null").count() == 20
+    assert q_text.word2vec(d.limit(8)).getNumPartitions() == 1
+
+
+def test_stop_words_are_looked_up_in_a_set(spark):
+    from pyspark.sql import functions as F
+    from tessera.functions.text import default_stop_words, remove_stop_words
+    d = spark.createDataFrame([(["the", "cat", "and", "mouse", "the"],), ([],), (None,)], "tok array<string>")
+    out = d.select(remove_stop_words(F.col("tok"), default_stop_words("english")).alias("t"))
+    assert [r["t"] for r in out.collect()] == [["cat", "mouse"], [], None]
+    assert "INSET" in out._jdf.queryExecution().optimizedPlan().toString()
