@@ -51,8 +51,7 @@ def remove_stop_words(tok: Column, stop_words) -> Column:
     """Drop stop words, keeping order and repeats."""
     if not stop_words:
         return tok
-    sw = F.array(*[F.lit(w) for w in stop_words])
-    return F.filter(tok, lambda t: ~F.array_contains(sw, t))
+    return F.filter(tok, lambda t: ~t.isin(*stop_words))  # the optimiser looks literals up in a hash set
 
 
 def default_stop_words(language: str = "english") -> list[str]:
