@@ -88,11 +88,17 @@ def decode_json_field(col, path: str) -> Column:
 def prefix_params(metrics, params, prefix: str = "param_") -> Column:
     """Add each param not already a metric key as ``param_<key>``
     (later entries overwrite equal keys, like a dict update)."""
-    m, p = _c(metrics), _c(params)
-    add = F.transform_keys(F.map_filter(p, lambda k, v: ~F.array_contains(F.map_keys(m), k)),
-                           lambda k, v: F.concat(F.lit(prefix), k))
-    keep = F.map_filter(m, lambda k, v: ~F.array_contains(F.map_keys(add), k))
-    return F.map_concat(keep, add)
+    # a map of one list is bound to its name once: written out inside a lambda it would be
+    # made again for every key
+    bound = lambda value, then: F.transform(F.array(value), then)[0]
+
+    def merged(s: Column) -> Column:
+        add = F.transform_keys(F.map_filter(s["p"], lambda k, v: ~F.array_contains(F.map_keys(s["m"]), k)),
+                               lambda k, v: F.concat(F.lit(prefix), k))
+        return bound(F.struct(s["m"].alias("m"), add.alias("add")), lambda t: F.map_concat(
+            F.map_filter(t["m"], lambda k, v: ~F.array_contains(F.map_keys(t["add"]), k)), t["add"]))
+
+    return bound(F.struct(_c(metrics).alias("m"), _c(params).alias("p")), merged)
 
 
 def drop_prefixed_keys(col, prefix: str = "mlflow.") -> Column:

@@ -1,8 +1,10 @@
 """Relational bag-of-words features.
 
-Documents are cleaned and tokenised by native expressions, n-grams are
-exploded to (doc, term) rows and counted; the vocabulary cap, document
-frequencies and the L2 norm are grouped aggregates joined back.  Weights
+Documents are cleaned and tokenised by native expressions; their n-grams are
+counted inside the row by Arrow functions over word numbers, and only counted
+terms become strings.  The vocabulary cap and document frequencies are grouped
+aggregates, from which terms that cannot be among the most frequent are kept
+away by bounds.  Weights
 follow the reference's vectoriser: sublinear tf 1 + ln(tf), smooth idf
 ln((1 + n) / (1 + df)) + 1, L2-normalised per document.  Spark ML's ``IDF``
 uses ln((n + 1) / (df + 1)) without the +1 and does not normalise, so it is
@@ -14,14 +16,24 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import clean_text, ngrams, remove_stop_words, tokens
-from tessera.session import spread
+from tessera.session import cut_lineage, spread
 
 VOCAB_BROADCAST_LIMIT = 1_000_000
+#: One in so many ids suggests the terms whose totals bound the vocabulary from below.
+SUGGESTING = 64
+#: Terms suggested for each one kept, and groups of the other terms by hash.
+SUGGESTED, TERM_GROUPS = 4, 1 << 20
+#: Words that one step of an Arrow function takes (a longer document alone).
+WORDS = 200_000
 
 
 def effective_max_features(max_features: int, n_text_cols: int) -> int:
@@ -33,12 +45,20 @@ def effective_max_features(max_features: int, n_text_cols: int) -> int:
     return max_features
 
 
-def doc_grams(docs: DataFrame, id_col: str, text_col: str, ngram_range=(1, 3), stop_words=None,
-              clean: bool = True, mode: str = "standard") -> DataFrame:
-    """(id, _grams): the n-grams of each document, one per occurrence."""
+def _words(text_col: str, stop_words=None, clean: bool = True, mode: str = "standard"):
     text = clean_text(text_col, mode) if clean else F.coalesce(F.col(text_col), F.lit(""))
-    tok = remove_stop_words(tokens(text), stop_words)
-    d = spread(docs.select(F.col(id_col), F.col(text_col)), id_col).select(F.col(id_col), tok.alias("_tok"))
+    return remove_stop_words(tokens(text), stop_words)
+
+
+def doc_words(docs: DataFrame, id_col: str, text_col: str, **kw) -> DataFrame:
+    """(id, _tok): the words of each document, in order."""
+    # rows are dealt round: one id may hold many of them
+    return spread(docs.select(F.col(id_col), F.col(text_col))).select(F.col(id_col), _words(text_col, **kw).alias("_tok"))
+
+
+def doc_grams(docs: DataFrame, id_col: str, text_col: str, ngram_range=(1, 3), **kw) -> DataFrame:
+    """(id, _grams): the n-grams of each document, one per occurrence."""
+    d = doc_words(docs, id_col, text_col, **kw)
     return d.select(F.col(id_col), ngrams(F.col("_tok"), ngram_range[0], ngram_range[1]).alias("_grams"))
 
 
@@ -47,38 +67,160 @@ def doc_terms(docs: DataFrame, id_col: str, text_col: str, **kw) -> DataFrame:
     return doc_grams(docs, id_col, text_col, **kw).select(F.col(id_col), F.explode("_grams").alias("term"))
 
 
-def term_counts(docs: DataFrame, id_col: str, text_col: str, **kw) -> DataFrame:
+def _stepper(most: int):
+    def steps(offsets: np.ndarray):
+        """Row ranges of about ``most`` words, a longer row alone."""
+        a, n = 0, len(offsets) - 1
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1)
+            yield a, b
+            a = b
+
+    return steps  # a closure travels to the tasks by value
+
+
+def _gram_counter(n_min: int, n_max: int):
+    """Arrow batches of (id, words) to rows (id, term, tf): a row's distinct n-grams and their counts.
+
+    Words are numbered, an n-gram is the number of its first n - 1 words with the last
+    word's, and a row's equal numbers are counted; a distinct n-gram is written once."""
+    steps = _stepper(WORDS)
+
+    def count(batches):
+        for batch in batches:
+            ids, tok = batch.column(0), batch.column(1)
+            offsets = tok.offsets.to_numpy().astype(np.int64)
+            for a, b in steps(offsets):
+                flat = tok.values.slice(offsets[a], offsets[b] - offsets[a]).dictionary_encode()
+                words, w = flat.dictionary, flat.indices.to_numpy().astype(np.int64)
+                row, size = np.repeat(np.arange(a, b), np.diff(offsets[a: b + 1])), max(len(words), 1)
+                at, gram, names = np.arange(len(w)), w, words  # where n-grams begin, their numbers and texts
+                for n in range(1, n_max + 1):
+                    if n > 1:
+                        on = at + n - 1 < len(w)
+                        at, gram = at[on], gram[on]
+                        on = row[at] == row[at + n - 1]
+                        at, gram = at[on], gram[on]
+                        gram, found = pd.factorize(gram * size + w[at + n - 1])
+                        names = pc.binary_join_element_wise(names.take(pa.array(found // size)), words.take(pa.array(found % size)), " ")
+                    if n >= n_min and len(at):
+                        cell, found = pd.factorize(row[at] * len(names) + gram)
+                        yield pa.RecordBatch.from_arrays(
+                            [ids.take(pa.array(found // len(names))), names.take(pa.array(found % len(names))).cast(pa.string()),
+                             pa.array(np.bincount(cell, minlength=len(found)).astype(np.int64))], names=["id", "term", "tf"])
+
+    return count
+
+
+def term_counts(docs: DataFrame, id_col: str, text_col: str, ngram_range=(1, 3), **kw) -> DataFrame:
     """Long count vectors (id, term, tf).
 
-    A document is one row, so its terms are counted inside the row, as the
-    lengths of equal runs of its sorted n-grams; nothing is shuffled."""
-    d = doc_grams(docs, id_col, text_col, **kw).select(F.col(id_col), F.sort_array("_grams").alias("_g"))
-    positions = F.when(F.size("_g") > 0, F.sequence(F.lit(0), F.size("_g") - 1)).otherwise(F.array().cast("array<int>"))
-    first = F.filter(positions, lambda i: (i == 0) | (F.get("_g", i) != F.get("_g", i - 1)))
-    d = d.select(id_col, "_g", first.alias("_s"))
-    runs = F.transform("_s", lambda x, j: F.struct(
-        F.get("_g", x).alias("term"), (F.coalesce(F.get("_s", j + 1), F.size("_g")) - x).cast("long").alias("tf")))
-    # an outer generator: for an inner one the optimiser would push a size filter below the
-    # steps above and compute them again inside it
-    return d.select(F.col(id_col), F.inline_outer(runs)).where(F.col("term").isNotNull())
+    A document is one row, so its terms are counted inside the row; nothing is shuffled."""
+    d = doc_words(docs, id_col, text_col, **kw)
+    schema = T.StructType([d.schema[0], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    return d.mapInArrow(_gram_counter(*ngram_range), schema)
+
 
+def suggesting(docs: DataFrame, id_col: str) -> DataFrame:
+    """The rows of one in ``SUGGESTING`` ids."""
+    return docs.where(F.pmod(F.xxhash64(id_col), F.lit(SUGGESTING)) == 0)
 
-def vocabulary(tf: DataFrame, id_col: str, max_features: int | None = 5000) -> DataFrame:
+
+def vocabulary(tf: DataFrame, id_col: str, max_features: int | None = 5000, some: DataFrame | None = None) -> DataFrame:
     """(term, total, df) -- the ``max_features`` terms with the largest
-    corpus frequency, ties by term."""
-    v = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    if max_features:
-        v = v.orderBy(F.col("total").desc(), F.col("term").asc()).limit(max_features)
-    return v
+    corpus frequency, ties by term.  ``some`` are the counts of the ``suggesting`` rows, where
+    they are had for less than from ``tf``.
+
+    Most n-grams are rare, and shuffling each of them would cost more than the text.  The
+    terms most frequent among the rows of some ids are counted exactly, and the last
+    of the kept ones bounds the vocabulary from below; the totals of all other terms are
+    added up in groups by hash, in the same pass.  A term of a group below the bound is not
+    in the vocabulary, so only the groups that reach it are counted by term.  The terms
+    found are those of a plain count whatever is suggested."""
+    plain = lambda t: t.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    if not max_features:
+        return plain(tf)
+    first = lambda v, n: v.orderBy(F.col("total").desc(), F.col("term").asc()).limit(n)
+    suggested = cut_lineage(first(plain(suggesting(tf, id_col) if some is None else some).where("term IS NOT NULL"), SUGGESTED * max_features).select("term"))
+    if max_features > VOCAB_BROADCAST_LIMIT // SUGGESTED or suggested.count() < max_features:
+        return first(plain(tf), max_features)
+    # at most SUGGESTED * max_features terms, and TERM_GROUPS groups
+    named = F.broadcast(suggested.select("term", F.col("term").alias("_named")))
+    group = F.when(F.col("_named").isNull(), F.pmod(F.xxhash64("term"), F.lit(TERM_GROUPS)).cast("int"))
+    told = tf.join(named, "term", "left").withColumn("_group", group)
+    sums = cut_lineage(told.groupBy("_named", "_group").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")))
+    exact = sums.where("_named IS NOT NULL").select(F.col("_named").alias("term"), "total", "df")
+    least = first(exact, max_features).agg(F.min("total")).first()[0]
+    heavy = cut_lineage(sums.where((F.col("_group") >= 0) & (F.col("total") >= F.lit(least))).select("_group"))
+    if not heavy.isEmpty():
+        others = told.join(F.broadcast(heavy), "_group", "left_semi").select("term", "tf")
+        exact = exact.unionByName(plain(others))
+    return first(exact, max_features)
+
+
+def _term_finder(terms: list[str], n_min: int, n_max: int):
+    """Arrow function: the words of each row to the numbers of the ``terms`` it holds,
+    ascending, and how often it holds each.  Every beginning of a term has a number, found
+    from that of one word less and the next word."""
+    split = [tuple(t.split(" ")) for t in terms]
+    words = sorted({w for t in split for w in t})
+    number = {w: i for i, w in enumerate(words)}
+    size = max(len(words), 1)
+    levels, before = [], {(w,): i for w, i in number.items()}
+    for n in range(1, n_max + 1):
+        if n > 1:
+            keys = sorted({before[t[: n - 1]] * size + number[t[n - 1]]: t[:n] for t in split if len(t) >= n}.items())
+            now = {t: i for i, (_, t) in enumerate(keys)}
+            known = np.array([k for k, _ in keys], np.int64)
+            before = now
+        else:
+            known = np.zeros(0, np.int64)
+        term = np.full(len(before) + 1, -1, np.int64)
+        for i, t in enumerate(split):
+            if len(t) == n >= n_min:
+                term[before[t]] = i
+        levels.append((known, term))
+    total, steps = max(len(terms), 1), _stepper(WORDS)
+
+    def find(tok: pa.Array) -> pa.Array:
+        offsets, known_words = tok.offsets.to_numpy().astype(np.int64), pa.array(words, pa.string())
+        parts = []
+        for a, b in steps(offsets):
+            flat = tok.values.slice(offsets[a], offsets[b] - offsets[a]).cast(pa.string())
+            w = pc.fill_null(pc.index_in(flat, value_set=known_words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(b - a), np.diff(offsets[a: b + 1]))
+            at, gram, pairs = np.flatnonzero(w >= 0), w[w >= 0], []
+            for n, (known, term) in enumerate(levels, 1):
+                if n > 1:
+                    on = at + n - 1 < len(w)
+                    at, gram = at[on], gram[on]
+                    on = (row[at] == row[at + n - 1]) & (w[at + n - 1] >= 0)
+                    at, gram = at[on], gram[on]
+                    key = gram * size + w[at + n - 1]
+                    place = np.searchsorted(known, key)
+                    on = place < len(known)
+                    on[on] = known[place[on]] == key[on]
+                    at, gram = at[on], place[on]
+                is_term = term[gram] >= 0
+                pairs.append(row[at[is_term]] * total + term[gram[is_term]])
+            found, counts = np.unique(np.concatenate(pairs), return_counts=True)
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(found // total, minlength=b - a))]), pa.int32())
+            parts.append(pa.StructArray.from_arrays(
+                [pa.ListArray.from_arrays(ends, pa.array(found % total, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.float64)))],
+                names=["indices", "values"]))
+        kind = pa.struct([("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return F.arrow_udf(find, "struct<indices: array<int>, values: array<double>>")
 
 
 @dataclass
 class TermModel:
     """A fitted vocabulary with its idf, applied inside each row.
 
-    Terms are looked up by the JVM's ``CountVectorizerModel`` (a hash table that is
-    broadcast once; at most ``max_features`` terms), and the weights are array
-    expressions over its sparse counts: applying it shuffles nothing."""
+    Terms (at most ``max_features``) are looked up by the numbers of their words in an
+    Arrow function, and the weights are array expressions over its sparse counts: applying
+    it shuffles nothing."""
     terms: list[str]
     idf: list[float]
     ngram_range: tuple[int, int] = (1, 3)
@@ -92,15 +234,9 @@ class TermModel:
         """``df`` with ``out``: struct(indices, values), indices ascending."""
         if not self.terms:
             return df.withColumn(out, F.struct(F.array().cast("array<int>").alias("indices"), F.array().cast("array<double>").alias("values")))
-        from pyspark.ml.feature import CountVectorizerModel
-        grams, tok, tf = f"__{out}_grams", f"__{out}_tok", f"__{out}_tf"
-        text = clean_text(text_col, self.mode) if self.clean else F.coalesce(F.col(text_col), F.lit(""))
-        d = df.withColumn(tok, remove_stop_words(tokens(text), self.stop_words))
-        d = d.withColumn(grams, ngrams(F.col(tok), *self.ngram_range))
-        counter = CountVectorizerModel.from_vocabulary(self.terms, inputCol=grams, outputCol=tf)
-        d = counter.transform(d).drop(grams, tok)
-        found = F.unwrap_udt(tf)
-        d = d.withColumn(tf, F.struct(found["indices"].alias("indices"), found["values"].alias("values")))
+        tok, tf = f"__{out}_tok", f"__{out}_tf"
+        d = df.withColumn(tok, _words(text_col, self.stop_words, self.clean, self.mode))
+        d = d.withColumn(tf, _term_finder(self.terms, *self.ngram_range)(F.col(tok))).drop(tok)
         if self.weighting == "count":
             return d.withColumnRenamed(tf, out)
         # one constant array, folded when planned
@@ -116,11 +252,13 @@ class TermModel:
     def vectors(self, df: DataFrame, text_col: str, out: str) -> DataFrame:
         """``df`` with the weights as an ML sparse vector."""
         from pyspark.ml.linalg import VectorUDT
-        d = self.sparse(df, text_col, out)
-        # the vector type's own layout, read back as that type
-        plain = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(max(1, len(self.terms))).alias("size"),
-                         F.col(out)["indices"].alias("indices"), F.col(out)["values"].alias("values"))
-        return d.withColumn(out, F.from_json(F.to_json(F.struct(plain.alias("v"))), T.StructType([T.StructField("v", VectorUDT())]))["v"])
+        size = max(1, len(self.terms))
+
+        def vector(x: pa.Array) -> pa.Array:
+            plain = [np.zeros(len(x), np.int8), np.full(len(x), size, np.int32)]  # the vector type's own layout: sparse, its size
+            return pa.StructArray.from_arrays([*map(pa.array, plain), x.field(0), x.field(1)], names=["type", "size", "indices", "values"])
+
+        return self.sparse(df, text_col, out).withColumn(out, F.arrow_udf(vector, VectorUDT())(F.col(out)))
 
 
 def fit_terms(docs: DataFrame, text_col: str, max_features: int = 5000, weighting: str = "tfidf", sublinear_tf: bool = True,
@@ -128,9 +266,10 @@ def fit_terms(docs: DataFrame, text_col: str, max_features: int = 5000, weightin
     """The vocabulary of a text column with its smooth idf: one pass that counts inside
     the row and shuffles on the term; at most ``max_features`` rows reach the driver."""
     kw = dict(ngram_range=ngram_range, stop_words=stop_words, clean=clean, mode=mode)
-    rows = docs.select(F.lit(0).alias("_id"), text_col)
+    rows = docs.select(F.xxhash64(text_col).alias("_id"), text_col)
     n_docs = docs.count()
-    found = vocabulary(term_counts(rows, "_id", text_col, **kw), "_id", max_features).orderBy(F.desc("total"), "term").collect()
+    some = term_counts(suggesting(rows, "_id"), "_id", text_col, **kw)
+    found = vocabulary(term_counts(rows, "_id", text_col, **kw), "_id", max_features, some).orderBy(F.desc("total"), "term").collect()
     idf = [math.log((1.0 + n_docs) / (1.0 + r["df"])) + 1.0 for r in found]
     return TermModel([r["term"] for r in found], idf, tuple(ngram_range), stop_words, clean, mode, weighting, sublinear_tf)
 
@@ -147,7 +286,7 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str, ngram_range=(1, 3), max_f
     kw = dict(ngram_range=ngram_range, stop_words=stop_words, clean=clean, mode=mode)
     if max_features and max_features <= VOCAB_BROADCAST_LIMIT:
         model = fit_terms(docs, text_col, max_features, "tfidf", sublinear_tf, **kw)
-        d = model.sparse(spread(docs.select(id_col, text_col), id_col), text_col, "_x")
+        d = model.sparse(spread(docs.select(id_col, text_col)), text_col, "_x")
         name = F.split(F.lit("\x01".join(model.terms)), "\x01")
         weights = F.zip_with(F.col("_x")["indices"], F.col("_x")["values"], lambda i, w: F.struct(F.get(name, i).alias("term"), w.alias("weight")))
         return d.select(F.col(id_col), F.inline(weights))

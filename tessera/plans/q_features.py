@@ -146,12 +146,14 @@ def h11(spark, sf):
 
 def vector_rows(df, names, *keys):
     """(keys..., feature, value) of the entries of ``features`` that are not zero."""
-    v = F.unwrap_udt("features")
+    d = df.select(*keys, F.unwrap_udt("features").alias("_v"))
+    v = F.col("_v")
     # a dense vector has no indices
     at = F.when(v["type"] == 0, v["indices"]).otherwise(F.sequence(F.lit(0), F.size(v["values"]) - 1))
     name = F.split(F.lit("\x01".join(names)), "\x01")
     rows = F.zip_with(at, v["values"], lambda i, x: F.struct(F.get(name, i).alias("feature"), x.alias("value")))
-    return df.select(*keys, F.inline(rows)).where("value <> 0").select(*keys, "feature", _r6("value"))
+    # an outer generator: for an inner one the vectors would be made again inside a size filter
+    return d.select(*keys, F.inline_outer(rows)).where("value <> 0").select(*keys, "feature", _r6("value"))
 
 
 _DOCS = "SELECT doc_id, lang, n_chars, text FROM documents"

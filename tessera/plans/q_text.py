@@ -9,7 +9,7 @@ from tessera.functions import text as T
 from tessera.operators import tfidf as TF
 from tessera.operators.ordering import top_k_per_group
 from tessera.plans.registry import register
-from tessera.session import table
+from tessera.session import spread, table
 
 
 def _r6(c, name=None):
@@ -124,8 +124,10 @@ def i07(spark, sf):
 
 @register("I08_vocabulary", _TFIDF_SQL + "SELECT term, CAST(total AS BIGINT) AS total, CAST(df AS BIGINT) AS df FROM v")
 def i08(spark, sf):
-    tf = TF.term_counts(table(spark, sf, "documents"), "doc_id", "text", ngram_range=(1, 3))
-    v = TF.vocabulary(tf, "doc_id", 5000)
+    docs = table(spark, sf, "documents")
+    tf = TF.term_counts(docs, "doc_id", "text", ngram_range=(1, 3))
+    some = TF.term_counts(TF.suggesting(docs, "doc_id"), "doc_id", "text", ngram_range=(1, 3))
+    v = TF.vocabulary(tf, "doc_id", 5000, some)
     return v.select("term", F.col("total").cast("long"), F.col("df").cast("long"))
 
 
@@ -266,7 +268,7 @@ a AS (SELECT event_id, metrics, map_from_entries(list_transform(
         lambda e: {{'key': 'param_' || e.key, 'value': e.value}})) AS added FROM m)
 SELECT event_id, {_canon_sql("map_concat(metrics, added)")} AS merged FROM a""")
 def i21(spark, sf):
-    e = table(spark, sf, "events")
+    e = spread(table(spark, sf, "events").select("event_id", "value", "user_id", "event_type"))
     metrics = F.create_map(F.lit("score"), F.col("value").cast("string"), F.lit("user_id"), F.col("user_id").cast("string"))
     params = F.create_map(F.lit("user_id"), (F.col("user_id") % 3).cast("string"), F.lit("kind"), F.col("event_type"))
     return e.select("event_id", _canon(X.prefix_params(metrics, params)).alias("merged"))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -78,11 +79,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-spread ``df`` over the cluster when it arrives in fewer
-    partitions than there are task slots (e.g. one large row group) and the
-    next step is heavy per-row work.  With many input splits -- the normal
-    case on a cluster -- it is a no-op, so no shuffle is added."""
+    """Spread ``df`` over the cluster when its rows lie in fewer partitions
+    than there are task slots, or most of them in few, and the next step is
+    heavy per-row work.  A file's splits need not hold rows: one large row group is
+    read by one task however many splits its file has, so the rows of each partition are
+    counted (no column is read).  Where they are even -- the normal case on a cluster --
+    it is a no-op, so no shuffle is added."""
     slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
-        return df
-    return df.repartition(slots, *keys) if keys else df.repartition(slots)
+    n = df.rdd.getNumPartitions()
+    if n >= slots:
+        held = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]  # one row for each partition
+        if max(held, default=0) * slots <= 2 * sum(held):
+            return df
+    n = max(n, slots)
+    return df.repartition(n, *keys) if keys else df.repartition(n)

@@ -133,3 +133,86 @@ def test_stop_words_are_looked_up_in_a_set(spark):
     out = d.select(remove_stop_words(F.col("tok"), default_stop_words("english")).alias("t"))
     assert [r["t"] for r in out.collect()] == [["cat", "mouse"], [], None]
     assert "INSET" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _plain_counts(rows, n_min, n_max):
+    """term -> (total, df) by plain loops, and the counts of each row."""
+    from collections import Counter
+    each = []
+    for words in rows:
+        each.append(Counter(" ".join(words[i: i + n]) for n in range(n_min, n_max + 1) for i in range(len(words) - n + 1)))
+    total, df = Counter(), Counter()
+    for c in each:
+        total.update(c)
+        df.update(c.keys())
+    return each, {t: (total[t], df[t]) for t in total}
+
+
+@pytest.mark.parametrize("suggesting,groups,words", [(64, 1 << 20, 200_000), (2, 64, 7), (1, 1, 1), (3, 100_000, 50)])
+@pytest.mark.parametrize("n_min,n_max", [(1, 3), (2, 2), (1, 1)])
+def test_vocabulary_equals_plain_counts(spark, monkeypatch, suggesting, groups, words, n_min, n_max):
+    """Bounds leave out no term, whatever ids suggest terms and however few groups there are."""
+    import random
+
+    from tessera.operators import tfidf as TF
+    monkeypatch.setattr(TF, "SUGGESTING", suggesting)
+    monkeypatch.setattr(TF, "TERM_GROUPS", groups)
+    monkeypatch.setattr(TF, "WORDS", words)
+    rng = random.Random(7)
+    names = [f"{a}{b}" for a in "abcdefg" for b in "hijkl"]
+    texts = [[rng.choice(names[: rng.choice([3, 35])]) for _ in range(rng.randrange(30))] for _ in range(40)]
+    rows = [(i // 2, " ".join(t)) for i, t in enumerate(texts)] + [(None, None), (50, "")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    each, counts = _plain_counts(texts, n_min, n_max)
+    got = TF.term_counts(docs, "id", "text", ngram_range=(n_min, n_max))
+    want = sorted((i // 2, t, n) for i, c in enumerate(each) for t, n in c.items())
+    assert sorted(map(tuple, got.collect())) == want
+    kept = sorted(((t, *n) for t, n in counts.items()), key=lambda r: (-r[1], r[0]))[:20]
+    assert [tuple(r) for r in TF.vocabulary(got, "id", 20).orderBy(F.desc("total"), "term").collect()] == kept
+    model = TF.fit_terms(docs, "text", 20, "count", ngram_range=(n_min, n_max))
+    assert model.terms == [r[0] for r in kept]
+    at = {t: i for i, t in enumerate(model.terms)}
+    found = sorted((r["id"], [(i, n) for i, n in zip(r["x"]["indices"], r["x"]["values"])])
+                   for r in model.sparse(docs.where("id < 50"), "text", "x").collect())
+    assert found == sorted((i // 2, sorted((at[t], float(n)) for t, n in c.items() if t in at)) for i, c in enumerate(each))
+
+
+def test_rare_terms_are_not_shuffled(spark, monkeypatch):
+    """Terms that occur once are counted in groups, not one by one."""
+    from tessera.operators import tfidf as TF
+    docs = spark.createDataFrame([(i, f"common words {'x' * (i % 26 + 2)}{chr(97 + i // 26)}q") for i in range(400)], "id long, text string")
+    monkeypatch.setattr(TF, "SUGGESTING", 4)
+    tf = TF.term_counts(docs, "id", "text", ngram_range=(1, 1))
+    plain = []
+    joined = TF.DataFrame.join
+    monkeypatch.setattr(TF.DataFrame, "join", lambda *a, **k: plain.append(joined(*a, **k)) or plain[-1])
+    got = TF.vocabulary(tf, "id", 2)
+    assert [(r.term, r.total) for r in got.orderBy("term").collect()] == [("common", 400), ("words", 400)]
+    assert len(plain) == 1  # no group reaches the bound: none is counted by term
+
+
+def test_fitted_rows_are_dealt_round(spark):
+    """Rows of one id are spread over the tasks."""
+    from pyspark.sql import functions as F
+    from tessera.operators.tfidf import doc_words
+    docs = spark.createDataFrame([(0, "same words")] * 40, "id long, text string").coalesce(1)
+    parts = doc_words(docs, "id", "text").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(parts) == spark.sparkContext.defaultParallelism
+
+
+def test_one_row_group_is_spread(spark, tmp_path):
+    """Splits without rows do not count as partitions."""
+    from tessera.session import spread
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        spark.range(40_000).coalesce(1).write.parquet(str(tmp_path / "one"))
+        df = spark.read.parquet(str(tmp_path / "one"))
+        assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        most = lambda d: max(len(p) for p in d.rdd.glom().collect())
+        assert most(df) == 40_000 and most(spread(df)) < 20_000 and spread(df).count() == 40_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    even = spark.range(0, 400, 1, 8)
+    assert spread(even) is even
