@@ -83,16 +83,29 @@ def pair_counts(baskets: DataFrame, min_count: int = 1, block: int = BASKET_BLOC
     """Co-occurrence counts (a, b, n_ab) with a < b over distinct
     (basket, item) rows; items rarer than ``min_count`` are pruned before
     the self-join, and baskets over ``block`` items are joined block by block."""
-    b = _blocked(_frequent(baskets, min_count), block)
+    return _count_pairs(_blocked(_frequent(baskets, min_count), block).withColumn("w", F.lit(1)))
+
+
+def _count_pairs(b: DataFrame) -> DataFrame:
+    """(a, b, n_ab) of the (basket, item, blocks, w) rows ``b``; ``w`` baskets are alike."""
     mine = F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int")
     cells = (b.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("basket", "item", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
-    left = cells.select("basket", "i", "j", F.col("item").alias("a"), F.col("mine").alias("of_a"))
+             .select("basket", "item", "w", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
+    left = cells.select("basket", "w", "i", "j", F.col("item").alias("a"), F.col("mine").alias("of_a"))
     right = cells.select("basket", "i", "j", F.col("item").alias("b"), F.col("mine").alias("of_b"))
     # a cell (i, j) pairs the items of its two blocks, and (i, i) those of one
     met = (F.col("i") == F.col("j")) | (F.col("of_a") != F.col("of_b"))
     return (left.join(right, ["basket", "i", "j"]).where((F.col("a") < F.col("b")) & met)
-            .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab")))
+            .groupBy("a", "b").agg(F.sum("w").alias("n_ab")))
+
+
+def _merged(items: DataFrame) -> DataFrame:
+    """(basket, item, blocks, w): of the baskets of one block that hold the same items one
+    stays, with their number; larger ones stay as they are."""
+    alike = (items.where("blocks = 1").groupBy("basket").agg(F.sort_array(F.collect_list("item")).alias("held"))  # at most a block of items
+             .groupBy("held").agg(F.min("basket").alias("basket"), F.count(F.lit(1)).alias("w")))
+    alike = alike.select("basket", F.explode("held").alias("item"), F.lit(1).alias("blocks"), "w")
+    return alike.unionByName(items.where("blocks > 1").withColumn("w", F.lit(1).cast("long")))
 
 
 def pair_rules(baskets: DataFrame, basket_col: str = "basket", item_col: str = "item",
@@ -146,7 +159,8 @@ def itemsets(baskets: DataFrame, basket_col: str = "basket", item_col: str = "it
     """(items, freq): all sets of items that at least ``min_support`` of the baskets
     hold, items sorted.
 
-    Level by level: the occurrences (basket, set) of the frequent sets of one length are
+    Only items in enough baskets count, and baskets that then hold the same ones are
+    merged, so the work grows with the different ones.  Level by level: the occurrences (basket, set) of the frequent sets of one length are
     joined with their basket's items behind the last, kept where that item and the last
     are a frequent pair, and counted.  The items of a large basket meet its sets under
     one of several keys, so that many tasks extend them."""
@@ -154,27 +168,27 @@ def itemsets(baskets: DataFrame, basket_col: str = "basket", item_col: str = "it
                     .where("item is not null and basket is not null").distinct())
     n = b.select("basket").distinct().count()
     min_count = max(1, math.ceil(min_support * n - 1e-9))
-    items = cut_lineage(_blocked(_frequent(b, min_count), block))
-    one = items.groupBy("item").agg(F.count(F.lit(1)).alias("freq")).select(F.array("item").alias("items"), "freq")
+    items = cut_lineage(_merged(_blocked(_frequent(b, min_count), block)))
+    one = items.groupBy("item").agg(F.sum("w").alias("freq")).select(F.array("item").alias("items"), "freq")
     found = [one]
     if max_items == 1 or not n:
         return one
-    pairs = cut_lineage(pair_counts(b, min_count, block).where(F.col("n_ab") >= min_count))
+    pairs = cut_lineage(_count_pairs(items).where(F.col("n_ab") >= min_count))
     linked = checked_broadcast(pairs.select(F.col("a").alias("last"), F.col("b").alias("item")))
     # a large basket's items under each of its keys
     spread = items.withColumn("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("basket", "key", "item")
-    now = items.select("basket", "blocks", F.array("item").alias("items"), F.col("item").alias("last"))
+    now = items.select("basket", "blocks", "w", F.array("item").alias("items"), F.col("item").alias("last"))
     size = 1
     while max_items is None or size < max_items:
         size += 1
         keyed = now.withColumn("key", F.pmod(F.xxhash64("items"), F.col("blocks")).cast("int"))
         grown = (keyed.join(spread, ["basket", "key"]).where(F.col("item") > F.col("last")).join(linked, ["last", "item"])
-                 .select("basket", "blocks", F.concat("items", F.array("item")).alias("items"), F.col("item").alias("last")))
-        kept = cut_lineage(grown.groupBy("items").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= min_count))
+                 .select("basket", "blocks", "w", F.concat("items", F.array("item")).alias("items"), F.col("item").alias("last")))
+        kept = cut_lineage(grown.groupBy("items").agg(F.sum("w").alias("freq")).where(F.col("freq") >= min_count))
         if kept.isEmpty():
             break
         found.append(kept)
-        now = cut_lineage(grown.join(checked_broadcast(kept.select("items")), "items", "left_semi").select("basket", "blocks", "items", "last"))
+        now = cut_lineage(grown.join(checked_broadcast(kept.select("items")), "items", "left_semi").select("basket", "blocks", "w", "items", "last"))
     return functools.reduce(DataFrame.unionByName, found)
 
 

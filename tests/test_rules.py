@@ -85,3 +85,15 @@ def test_itemsets_equal_brute_force(spark, block):
     assert got == _sets(rows, 8) and max(map(len, got)) >= 3
     assert {tuple(r["items"]) for r in itemsets(df, min_support=0.1, max_items=2).collect()} == {c for c in got if len(c) <= 2}
     assert itemsets(df.limit(0)).count() == 0
+
+
+def test_alike_baskets_are_merged(spark, monkeypatch):
+    """Baskets of the same frequent items are joined once, with their number."""
+    from tessera.operators import rules as R
+    rows = [(f"k{i}", x) for i in range(60) for x in ("a", "b", "c", f"rare{i}")] + [("z", "a"), ("z", "b"), ("z", None)]
+    df = spark.createDataFrame(rows + rows[:7], "basket string, item string")
+    merged, made = R._merged, []
+    monkeypatch.setattr(R, "_merged", lambda items: made.append(merged(items)) or made[-1])
+    got = {tuple(r["items"]): r.freq for r in R.itemsets(df, min_support=0.1).collect()}
+    assert got == {("a",): 61, ("b",): 61, ("c",): 60, ("a", "b"): 61, ("a", "c"): 60, ("b", "c"): 60, ("a", "b", "c"): 60}
+    assert {(r.item, r.w) for r in made[0].collect()} == {("a", 60), ("b", 60), ("c", 60), ("a", 1), ("b", 1)} and made[0].count() == 5
