@@ -196,7 +196,8 @@ def poisson_weights(df: DataFrame, id_col: str, fraction: float = 1.0, seed: int
     from the fraction: its tail beyond that is below one draw in 2^60."""
     import math
     max_k = math.ceil(fraction + 12 * math.sqrt(fraction) + 20)
-    u = hash_uniform(id_col, seed=seed, salt="boot")
+    # a column of its own: within the branches it would be drawn again for each
+    df, u = df.withColumn("__draw", hash_uniform(id_col, seed=seed, salt="boot")), F.col("__draw")
     cdf, p, expr = 0.0, math.exp(-fraction), None
     branches = []
     for k in range(max_k):
@@ -206,7 +207,7 @@ def poisson_weights(df: DataFrame, id_col: str, fraction: float = 1.0, seed: int
     expr = F.lit(max_k)
     for k, c in reversed(branches):
         expr = F.when(u < F.lit(c), F.lit(k)).otherwise(expr)
-    return df.withColumn(name, expr.cast("int"))
+    return df.withColumn(name, expr.cast("int")).drop("__draw")
 
 
 def bootstrap(df: DataFrame, id_col: str, fraction: float = 1.0, seed: int = 42) -> DataFrame:

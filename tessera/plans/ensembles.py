@@ -59,13 +59,17 @@ def soft_vote(df: DataFrame, prob_cols, weights=None, name: str = "prediction")
 
 def fit_bagging(make, df: DataFrame, id_col: str, n_estimators: int = 5, seed: int = 42):
     """Members trained on Poisson(1) bootstrap weights (weightCol), one
-    weight column per member from the row's hash draw."""
-    members = []
+    weight column per member from the row's hash draw; all draws are made in one
+    pass and written, as every fit reads its rows several times."""
+    members, drawn = [], df
     for b in range(n_estimators):
-        d = poisson_weights(df, id_col, 1.0, seed + b, "_bw").where(F.col("_bw") > 0)
+        drawn = poisson_weights(drawn, id_col, 1.0, seed + b, f"_bw{b}")
+    drawn = cut_lineage(drawn)
+    for b in range(n_estimators):
+        d = drawn.where(F.col(f"_bw{b}") > 0).select(*df.columns, F.col(f"_bw{b}").cast("double").alias("_bw"))
         est = make(seed + b)
         est.setWeightCol("_bw")
-        members.append(est.fit(d.withColumn("_bw", F.col("_bw").cast("double"))))
+        members.append(est.fit(d))
     return members
 
 
@@ -415,6 +419,7 @@ def fit_adaboost_r2(make, df: DataFrame, n_rounds: int = 5, checkpoint_every: in
     """L24 AdaBoost.R2 (linear loss): per round a weighted regressor; the
     largest error and the weighted mean loss are two numbers per round; the
     weights are multiplied by beta^(1 - loss) in an expression."""
+    df = cut_lineage(df)  # read several times in each round
     d = df.withColumn("_aw", F.lit(1.0))
     models, alphas = [], []
     for r in range(n_rounds):

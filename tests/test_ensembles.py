@@ -96,3 +96,25 @@ def test_three_class_metrics(spark):
     assert M.roc_auc_ovr(df, "y", "p", classes).first()[0] == pytest.approx(np.mean(auc))
     long = {r["metric"]: r["value"] for r in M.evaluate(df.withColumn("prediction", F.lit("a")), "classification", "y", "prediction", probs="p", classes=classes).collect()}
     assert long["log_loss"] == pytest.approx(ll) and long["roc_auc"] == pytest.approx(np.mean(auc))
+
+
+def test_fits_read_written_rows(spark, monkeypatch):
+    """Bagging and AdaBoost.R2 make the training rows and draws once; a weight is drawn once a row."""
+    from pyspark.sql import functions as F
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
+    from tessera.operators.split import poisson_weights
+    from tessera.plans import ensembles as EN
+    d = VectorAssembler(inputCols=["x"], outputCol="features").transform(
+        spark.range(200).select("id", (F.col("id") % 17).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("label")))
+    cuts, cut = [], EN.cut_lineage
+    monkeypatch.setattr(EN, "cut_lineage", lambda x: cuts.append(cut(x)) or cuts[-1])
+    make = lambda s: DecisionTreeRegressor(maxDepth=2, seed=s)
+    assert len(EN.fit_bagging(make, d, "id", 3)) == 3
+    assert len(cuts) == 1 and {"_bw0", "_bw1", "_bw2"} <= set(cuts[0].columns)
+    want = {r["id"]: r["weight"] for r in poisson_weights(d, "id", 1.0, 43).collect()}
+    assert {r["id"]: r["_bw1"] for r in cuts[0].collect()} == want
+    EN.fit_adaboost_r2(make, d, n_rounds=2)
+    assert len(cuts) == 2 and cuts[1].count() == 200
+    plan = poisson_weights(d, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
