@@ -48,8 +48,9 @@ NGRAM, NUM, DEN = 4, 85, 100
 CACHE_WORDS, CACHE_SETS = 400_000, 200_000
 #: Chance that two unrelated sets share a given shingle, for the cost of a segment.
 SHARED = 0.02
-#: Classes of shingles whose counts bound an overlap.
-CLASSES = 128
+#: Classes of shingles whose counts bound an overlap, and the most that a count says.  Few
+#: shingles to a class, or sets that differ too much have much the same counts.
+CLASSES, FULL = 512, 255
 #: Sets of a bucket that one task compares at most; larger ones are cut into blocks.
 BLOCK = 4_000
 
@@ -291,7 +292,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for x in batch.column(1):
             at = (np.frombuffer(x.as_buffer(), _U) % _U(CLASSES)).astype(np.int64)
-            out.append(np.minimum(np.bincount(at, minlength=CLASSES), 65_535).astype("<u2").tobytes())
+            out.append(np.minimum(np.bincount(at, minlength=CLASSES), FULL).astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["rep", "sketch"])
 
 
@@ -310,8 +311,10 @@ def _cross(num: int, den: int):
             ok = (comp[y] != comp[x]) & (most * den >= (n[x] + n[y] - most) * num)
             hit = y[ok]
             if len(hit):
-                both = np.minimum(sketch[x], sketch[hit]).sum(axis=1, dtype=np.int64)
-                both = np.where(np.maximum(n[x], n[hit]) > 65_535, n[hit], both)  # a class may be full
+                least = np.minimum(sketch[x], sketch[hit])
+                both = least.sum(axis=1, dtype=np.int64)
+                if np.maximum(n[x], n[hit]).max() >= FULL:  # a class may be full in both, and then says nothing
+                    both = np.where((least == FULL).any(axis=1), n[hit], both)
                 hit = hit[both * den >= (n[x] + n[hit] - both) * num]
             if len(hit):
                 out.append(np.stack([np.minimum(rep[x], rep[hit]), np.maximum(rep[x], rep[hit])], axis=1))
@@ -330,7 +333,7 @@ def _cross(num: int, den: int):
             if not batch.num_rows:
                 continue
             rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(8)], axis=1)
-            sketch = np.frombuffer(b"".join(batch.column(8).to_pylist()), "<u2").reshape(-1, CLASSES)
+            sketch = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(-1, CLASSES)
             cuts = [0, *(np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1).tolist(), len(rows)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 now = tuple(rows[a, :3])

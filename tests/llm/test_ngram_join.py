@@ -69,6 +69,48 @@ def test_large_buckets_are_cut_into_blocks(spark, monkeypatch):
     assert got(J.join(frame(spark, rows))) == brute(rows)
 
 
+def one_bucket(sets):
+    """The pairs that are left of a bucket of sets, each a component of its own."""
+    import pyarrow as pa
+    ids = pa.array(range(len(sets)), pa.int64())
+    sketch = next(J._sketches(iter([pa.RecordBatch.from_arrays([ids, pa.array([x.tobytes() for x in sets], pa.binary())], names=["rep", "set"])]))).column(1)
+    zero, size = pa.array([0] * len(sets), pa.int64()), pa.array([len(x) for x in sets], pa.int64())
+    batch = pa.RecordBatch.from_arrays([zero, zero, zero, ids, ids, size, size, zero, sketch],
+                                       names=["sig", "i", "j", "rep", "comp", "size", "c", "block", "sketch"])
+    return {(r["a"], r["b"]) for b in J._cross(80, 100)(iter([batch])) for r in b.to_pylist()}
+
+
+def similar(sets):
+    found = set()
+    for b, y in enumerate(sets):
+        for a, x in enumerate(sets[:b]):
+            both = len(np.intersect1d(x, y))
+            if 100 * both >= 80 * (len(x) + len(y) - both):
+                found.add((a, b))
+    return found
+
+
+def test_sets_a_little_too_different_are_not_paired():
+    """A family of sets at a similarity of about 0.72, and some links among them."""
+    rng = np.random.default_rng(11)
+    base, sets = rng.integers(0, 2**63, 396, dtype=np.uint64), []
+    for k in range(60):
+        kept = base[rng.permutation(len(base))[:int(len(base) * 0.915)]] if k % 10 else base
+        sets.append(np.unique(np.concatenate([kept, rng.integers(0, 2**63, len(base) - len(kept), dtype=np.uint64)])))
+    links, left = similar(sets), one_bucket(sets)
+    assert links and links <= left
+    assert len(left) < len(links) + 200
+
+
+@pytest.mark.parametrize("size", [3_000, 200_000])
+def test_full_classes_rule_nothing_out(size):
+    """Shingles that all fall into few classes, whose counts are full."""
+    rng = np.random.default_rng(size)
+    x = np.unique(rng.integers(0, 2**50, size, dtype=np.uint64) * np.uint64(J.CLASSES))
+    sets = [x, x[: len(x) * 9 // 10], x[len(x) // 20:]]
+    assert similar(sets) <= one_bucket(sets)
+
+
 def test_chain_of_copies_is_one_component(spark):
     rng = random.Random(4)
     text = words(rng, 120, 10**6).split()
