@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -282,21 +283,39 @@ def _mahalanobis(cols, mu: np.ndarray, inv: np.ndarray):
 
 
 def _means(df: DataFrame, cols, parts: list) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Mean and covariance of the rows of each condition of ``parts``, in one pass."""
-    aggs = []
-    for s, keep in enumerate(parts):
-        x = [F.when(keep, F.col(c).cast("double")) for c in cols]
-        aggs += [F.avg(v).alias(f"m_{s}_{i}") for i, v in enumerate(x)]
-        aggs += [F.covar_pop(x[i], x[j]).alias(f"c_{s}_{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]
-    r = df.agg(*aggs).first()
-    out = []
-    for s in range(len(parts)):
-        cov = np.zeros((len(cols), len(cols)))
-        for i in range(len(cols)):
-            for j in range(i, len(cols)):
-                cov[i, j] = cov[j, i] = r[f"c_{s}_{i}_{j}"] or 0.0
-        out.append((np.array([r[f"m_{s}_{i}"] or 0.0 for i in range(len(cols))]), cov))
-    return out
+    """Mean and covariance of the rows of each condition of ``parts``, in one pass: a task
+    gives one row for each.  A mean is over the values that are there, a covariance over the
+    rows that have both."""
+    p, most = len(cols), len(parts)
+
+    def joined(a, b):
+        """Counts, means and summed products of deviations of two sets of rows together."""
+        (n, m, c), (k, o, d) = a, b
+        step, share = o - m, k / np.maximum(n + k, 1)
+        return n + k, m + step * share, c + d + step * step.T * n * share
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.zeros((p, p)),) * 3] * most
+        for batch in batches:
+            there = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns[:p]], axis=1).astype(float)
+            x = np.stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns[:p]], axis=1)
+            for s, c in enumerate(batch.columns[p:]):
+                keep = c.fill_null(False).to_numpy(zero_copy_only=False)
+                if keep.any():
+                    w, y = there[keep], x[keep]
+                    centre = y.sum(axis=0) / np.maximum(w.sum(axis=0), 1)
+                    y = (y - centre) * w
+                    n = w.T @ w  # [i, j]: of the rows that have both i and j
+                    off = (y.T @ w) / np.maximum(n, 1)
+                    held[s] = joined(held[s], (n, (centre[:, None] + off) * (n > 0), y.T @ y - n * off * off.T))
+        flat = [pa.array([list(h[k].ravel()) for h in held], pa.list_(pa.float64())) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(most), pa.int32()), *flat], names=["part", "n", "mean", "dev"])
+
+    rows = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)], *[keep.alias(f"k{s}") for s, keep in enumerate(parts)])
+    found = [(np.zeros((p, p)),) * 3] * most
+    for r in rows.mapInArrow(moments, "part int, n array<double>, mean array<double>, dev array<double>").collect():  # a few numbers of each task
+        found[r["part"]] = joined(found[r["part"]], tuple(np.array(r[k]).reshape(p, p) for k in ("n", "mean", "dev")))
+    return [(np.diagonal(mean).copy(), dev / np.maximum(n, 1)) for n, mean, dev in found]
 
 
 def elliptic_envelope(df: DataFrame, feature_cols, contamination: float = 0.05, starts: int = 10, support: float | None = None,
@@ -327,7 +346,8 @@ def elliptic_envelope(df: DataFrame, feature_cols, contamination: float = 0.05,
             moving = sorted(moving, key=lambda s: (det[s], s))[:finalists]
         inv = {s: np.linalg.pinv(now[s][1]) for s in moving}
         dist = {s: _mahalanobis(cols, now[s][0], inv[s]) for s in moving}
-        cuts = df.agg(*[F.percentile_approx(dist[s], support, 2_000).alias(f"q{s}") for s in moving]).first()
+        # the distances are columns first: an expression inside the aggregate would be interpreted for every row
+        cuts = df.select(*[dist[s].alias(f"d{s}") for s in moving]).agg(*[F.percentile_approx(f"d{s}", support, 2_000).alias(f"q{s}") for s in moving]).first()
         after = _means(df, cols, [dist[s] <= F.lit(cuts[f"q{s}"]) for s in moving])
         still = []
         for s, found in zip(moving, after, strict=True):

@@ -62,6 +62,33 @@ def test_envelope_stands_a_fifth_of_outliers(spark):
     assert iso.where("prediction = -1").count() <= 200
 
 
+def test_moments_of_many_conditions_equal_numpy(spark):
+    """Means over the values that are there, covariances over the rows that have both; the
+    aggregate has a few columns, however many conditions there are."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (400, 3)) @ np.array([[2.0, 1.0, 0.0], [0.0, 1.0, 3.0], [0.5, 0.0, 1.0]]) + [1e6, -5.0, 0.0]
+    gone = rng.random((400, 3)) < 0.2
+    rows = [(i, *[None if g else float(v) for v, g in zip(r, at, strict=True)]) for i, (r, at) in enumerate(zip(x, gone, strict=True))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double").repartition(7)
+    conditions = [(F.col("id") % k == 0, np.arange(400) % k == 0) for k in range(1, 12)] + [(F.col("id") < 0, np.zeros(400, bool)), (F.lit(None).cast("boolean"), np.zeros(400, bool))]
+    frames = []
+    collect = type(df).collect
+    type(df).collect = lambda self: frames.append(self) or collect(self)
+    try:
+        found = EN._means(df, ["a", "b", "c"], [c for c, _ in conditions])
+    finally:
+        type(df).collect = collect
+    assert all(len(f.columns) < 12 for f in frames)
+    for (mean, cov), (_, keep) in zip(found, conditions, strict=True):
+        for i in range(3):
+            one = x[keep & ~gone[:, i], i]
+            assert mean[i] == pytest.approx(one.mean() if len(one) else 0.0, rel=1e-12)
+            for j in range(3):
+                both = x[keep & ~gone[:, i] & ~gone[:, j]]
+                expected = np.mean((both[:, i] - both[:, i].mean()) * (both[:, j] - both[:, j].mean())) if len(both) else 0.0
+                assert cov[i, j] == pytest.approx(expected, rel=1e-7, abs=1e-9)
+
+
 def test_components_equal_numpy(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(0, 1, (200, 6)) * [5, 4, 3, 2, 1, 0.5] + 1.5
