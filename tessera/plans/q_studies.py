@@ -130,7 +130,7 @@ def n09(spark, sf):
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
     d = random_split(labels.join(texts, "doc_id"), "doc_id", 0.8, seed=42)
     est = make_estimator("classification", "logistic_regression", seed=42)
-    model = N.text_model(est, "quality", "text").fit(d.where(SPLIT_COL))
+    model = N.fit_text_model(est, "quality", "text", d.where(SPLIT_COL))
     return N.text_robustness(model, d.where(~F.col(SPLIT_COL)), "classification", "doc_id", ["text"])
 
 

@@ -250,15 +250,16 @@ def typo_text(col: str, id_col: str, p: float = 0.1, seed: int = 42):
     random a-z letter (even odds) -- per-character hash draws, native
     expressions over the whole text."""
     chars = F.split(F.coalesce(F.col(col), F.lit("")), "")
-    idv = F.col(id_col)
+    idv, draws = F.col(id_col), 1 << 30
 
     def u(i, salt):
-        h = F.xxhash64(idv, i, F.lit(seed), F.lit(salt))
-        return (F.pmod(h, F.lit(1 << 30)).cast("double") / float(1 << 30))
+        return F.xxhash64(idv, i, F.lit(seed), F.lit(salt)).bitwiseAND(F.lit(draws - 1))
+
     def step(c, i):
-        hit = (u(i, "hit") < F.lit(p)) & c.rlike(r"^\p{L}$")
-        letter = F.char(F.lit(97) + F.floor(u(i, "letter") * 26).cast("int"))
-        return F.when(hit & (u(i, "act") < 0.5), F.lit("")).when(hit, letter).otherwise(c)
+        # a lambda's body is interpreted and shares nothing: one draw for a character that stays
+        hit = (u(i, "hit") < F.lit(p * draws)) & c.rlike(r"^\p{L}$")
+        letter = F.char(F.lit(97) + F.floor(u(i, "letter").cast("double") / float(draws) * 26).cast("int"))
+        return F.when(hit, F.when(u(i, "act") < F.lit(draws // 2), F.lit("")).otherwise(letter)).otherwise(c)
     return F.array_join(F.transform(chars, step), "")
 
 
@@ -274,6 +275,16 @@ def text_model(estimator, target: str, text_col: str, buckets: int = 1 << 16):
         IDF(inputCol="_counts", outputCol="features"), estimator])
 
 
+def fit_text_model(estimator, target: str, text_col: str, train: DataFrame, buckets: int = 1 << 16):
+    """``text_model`` fitted to ``train``, whose words are counted once: the weights and
+    the estimator's passes read the written counts."""
+    from pyspark.ml import Pipeline, PipelineModel
+    stages = text_model(estimator, target, text_col, buckets).getStages()
+    counter = Pipeline(stages=stages[:4]).fit(train)
+    counts = cut_lineage(counter.transform(train).select("label", "_counts"))
+    return PipelineModel(counter.stages + Pipeline(stages=stages[4:]).fit(counts).stages)
+
+
 def text_robustness(model, raw_test: DataFrame, task: str, id_col: str, text_cols, p: float = 0.1,
                     n_iterations: int = 3, seed: int = 42) -> DataFrame:
     """Metrics of a fitted text model on clean texts (iteration -1) and on

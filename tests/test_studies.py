@@ -72,3 +72,36 @@ def test_calibration_refits_for_each_fold(data):
         def transform(self, df):
             return df.withColumn("prediction", F.lit(0.0))
     assert [(r["split"], r["brier_score"]) for r in N.calibration_by_fold(lambda seed: Bare(), data, "id").collect()] == [(None, None)]
+
+
+def test_a_text_model_counts_words_once(spark):
+    """Each row is read for the labels and for the counts, not by every pass of the fit."""
+    from tessera.plans.models import make_estimator
+    rows = [(i, "good" if i % 2 else "bad", f"{'fine' if i % 2 else 'poor'} text number {i % 7}" if i % 5 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, quality string, text string").repartition(3)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+    est = make_estimator("classification", "logistic_regression", seed=42)
+    model = N.fit_text_model(est, "quality", "text", df.mapInArrow(counted, df.schema))
+    assert read.value <= 2 * len(rows)
+    plain = N.text_model(est, "quality", "text").fit(df)
+    of = lambda m: [(r["doc_id"], r["prediction"]) for r in m.transform(df).orderBy("doc_id").collect()]
+    assert of(model) == of(plain)
+
+
+def test_typos_draw_once_for_a_letter_that_stays(spark):
+    rows = [(i, "Some words, \u00e9\u4e2d 12 and more of them " * 5) for i in range(20)] + [(None, "no id"), (7, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    draw = lambda i, salt: F.pmod(F.xxhash64("doc_id", i, F.lit(3), F.lit(salt)), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    hit = lambda c, i: (draw(i, "hit") < F.lit(0.3)) & c.rlike(r"^\p{L}$")
+    step = lambda c, i: (F.when(hit(c, i) & (draw(i, "act") < 0.5), F.lit(""))
+                         .when(hit(c, i), F.char(F.lit(97) + F.floor(draw(i, "letter") * 26).cast("int"))).otherwise(c))
+    expected = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), ""), step), "")
+    both = df.select(N.typo_text("text", "doc_id", 0.3, 3).alias("a"), expected.alias("b"))
+    assert all(r["a"] == r["b"] for r in both.collect())
+    plan = df.select(N.typo_text("text", "doc_id", 0.3, 3).alias("a"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(", hit, ") == 1
