@@ -10,7 +10,6 @@ whole text.
 from __future__ import annotations
 
 import json
-import re
 from array import array
 from functools import lru_cache
 
@@ -20,8 +19,10 @@ import numpy as np
 CACHE_BYTES, ENTRY, LETTERS = 207_000_000, 230, 64
 #: Marks that may end a word; a run of them is a piece of its own.
 _ENDS = ".,;:!?%$&*#|)"
-#: A space at the start, or one that no non-space follows: not a piece's start.
-_ODD = re.compile(r"\A | (?!\S)")
+
+
+class _Odd(Exception):
+    """A space that no non-space follows: not a piece's start."""
 
 
 def _byte_letters() -> dict[int, int]:
@@ -56,18 +57,26 @@ class _Words(dict):
 
     def __init__(self, owner: Encoder, before: str):
         super().__init__()
-        self.owner, self.before = owner, before
+        self.owner, self.before, self.code, self.tokenize = owner, before, owner.code, owner.tokenize
+        self.mark = before.translate(owner.letters)
 
     def _plain(self, word: str) -> bytes | None:
         base = word.rstrip(_ENDS)
-        if not base.isalpha() or not (base.isascii() or max(base) < "\u0250"):
+        if not base.isalpha():
             return None
-        if len(base) == len(word):
-            piece = (self.before + base).encode().decode("latin-1").translate(self.owner.letters)
-            return array(self.owner.code, [x.id for x in self.owner.tokenize(piece)]).tobytes()
-        return self[base] + self.owner.piece(word[len(base):])
+        if len(base) != len(word):
+            return self[base] + self.owner.piece(word[len(base):]) if base.isascii() or max(base) < "\u0250" else None
+        if base.isascii():
+            piece = self.mark + base  # these letters stand for themselves
+        elif max(base) < "\u0250":
+            piece = self.mark + base.encode().decode("latin-1").translate(self.owner.letters)
+        else:
+            return None
+        return array(self.code, [x.id for x in self.tokenize(piece)]).tobytes()
 
     def __missing__(self, word: str) -> bytes:
+        if self.before and (not word or word[0].isspace()):
+            raise _Odd
         ids = self._plain(word) if word else None
         if ids is None and "\n" in word:
             head, _, tail = word.partition("\n")
@@ -117,11 +126,14 @@ class Encoder:
             self._forget()
             if not t:
                 out.append(b"")
-            elif not self.split or _ODD.search(t):
+            elif not self.split or t[0] == " ":
                 out.append(self.whole(t))
             else:
                 words = t.split(" ")
-                out.append(self.bare[words[0]] + b"".join(map(self.spaced.__getitem__, words[1:])))
+                try:
+                    out.append(self.bare[words[0]] + b"".join(map(self.spaced.__getitem__, words[1:])))
+                except _Odd:
+                    out.append(self.whole(t))
         return out
 
     def encode_spaced(self, texts: list[str]) -> list[bytes]:
@@ -131,10 +143,15 @@ class Encoder:
             self._forget()
             if not t:
                 out.append(b"")
-            elif not self.split or _ODD.search(t):
+            elif not self.split or t[0] == " ":
                 out.append(self.whole(" " + t))
             else:
-                out.append(b"".join(map(self.spaced.__getitem__, t.split(" "))))
+                words = t.split(" ")
+                try:
+                    first = self.whole(" " + words[0]) if words[0][0].isspace() else self.spaced[words[0]]
+                    out.append(first + b"".join(map(self.spaced.__getitem__, words[1:])))
+                except _Odd:
+                    out.append(self.whole(" " + t))
         return out
 
     def _forget(self) -> None:
