@@ -104,12 +104,12 @@ def test_odd_rows(spark, odd, odd_rows, none, tokenizer):
     assert read(spark, none) == []
 
 
-def test_spaces_are_judged_as_the_words_are_looked_up(tokenizer):
+def test_spaces_are_judged_as_the_words_are_looked_up():
     """No text is searched for odd spaces beforehand, and every mixture of spaces has the library's ids."""
     rng = random.Random(12)
     letters = "ab  .,\n\t\r\u00a0\u2003\u00e9\u4e2d1'"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 25))) for _ in range(3000)]
-    enc = tokens.Encoder(tokenizer, "<u2")
+    enc = tokens.Encoder(Q.tokenizer_path(), "<u2")
     assert enc.encode(texts) == [enc.whole(t) for t in texts]
     assert enc.encode_spaced(texts) == [enc.whole(" " + t) for t in texts]
     with pytest.raises(tokens._Odd):
