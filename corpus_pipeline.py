@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, ngram_join, packing, pii, queries, toxicity
-from tessera.llm.common import ensure_checkpoint_dir, importable, materialise, shared_dir, table
+from tessera.llm.common import ensure_checkpoint_dir, importable, materialise, shared_dir, small_batches, table
 
 #: A document whose score reaches this is rejected.
 TOXIC = 0.5
@@ -35,9 +35,16 @@ CACHE_BYTES = 32_000_000
 ROW = "__row"
 
 
+def ready(spark: SparkSession) -> None:
+    """Before a stage that hands texts to Python workers: those of all stages share an
+    executor's memory with what the JVM has taken by then."""
+    importable(spark)
+    small_batches(spark)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pattern grammar scores below TOXIC."""
-    importable(spark)
+    ready(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     insults, weights = toxicity.fit(rows, table(spark, sf_dir, "labels"), held_out=queries.held_out())
     return toxicity.keep_below(docs, insults, weights, TOXIC)
@@ -51,7 +58,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates: that with the smallest id
     (a null id after all others), of equal ids any one."""
-    importable(spark)
+    ready(spark)
     rows = numbered(docs)
     found = ngram_join.join(rows.select(F.col(ROW).alias("doc_id"), "text"), n=SHINGLE, num=NUM, den=DEN)
     member = (rows.select(ROW, F.col("doc_id").alias("__id"))
@@ -69,13 +76,13 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind."""
-    importable(spark)
+    ready(spark)
     return pii.redact_column(docs, "text")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of each document, with its sequence and place there."""
-    importable(spark)
+    ready(spark)
     packed = packing.pack(docs, queries.tokenizer_path(), queries.END_ID, capacity=CAPACITY, cache_bytes=CACHE_BYTES)
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 

@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from tessera.session import ensure_checkpoint_dir, shared_dir, table
 
 __all__ = ["BROADCAST_ROWS", "bounded", "by_size", "dense_position", "documents", "ensure_checkpoint_dir",
-           "importable", "materialise", "shared_dir", "table"]
+           "importable", "materialise", "shared_dir", "small_batches", "table"]
 
 #: A side is broadcast only after a count shows at most this many rows.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = 4_000_000
 
 
 def importable(spark: SparkSession) -> None:
@@ -30,6 +32,16 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session hands Python workers batches of about ``BATCH_BYTES`` (a
+    longer row alone), unless it has a limit of its own; else up to 10000 texts are held
+    at once by the executor and by the worker, beside the buffers they grew in.  Short
+    rows still come by the thousands."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` reduced to (doc_id, text)."""
     return table(spark, sf_dir, "documents").select("doc_id", "text")

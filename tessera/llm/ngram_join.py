@@ -45,7 +45,7 @@ from tessera.llm.common import bounded, materialise
 
 NGRAM, NUM, DEN = 4, 85, 100
 #: Words whose hashes one worker remembers, and sets it knows to have indexed.
-CACHE_WORDS, CACHE_SETS = 400_000, 200_000
+CACHE_WORDS, CACHE_SETS = 100_000, 200_000
 #: Chance that two unrelated sets share a given shingle, for the cost of a segment.
 SHARED = 0.02
 #: Classes of shingles whose counts bound an overlap, and the most that a count says.  Few

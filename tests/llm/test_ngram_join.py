@@ -179,3 +179,14 @@ def test_odd_rows(spark, odd, odd_rows, none):
 def test_an_id_with_two_texts_is_one_document(spark):
     rows = [(4, "a b c d e f"), (4, "u v w x y z"), (9, "a b c d e f"), (2, "u v w x y z"), (7, "alone in here now")]
     assert {(r.doc_id, r.component_id) for r in J.join(frame(spark, rows)).collect()} == {(4, 2), (9, 2), (2, 2), (7, 7)}
+
+
+def test_a_worker_remembers_few_words():
+    """Of 300000 words the hashes of 110000 at most stay in memory, and what is forgotten is hashed alike."""
+    shingle = J.Shingler(4)
+    text = lambda k: " ".join(f"w{i}" for i in range(1000 * k, 1000 * k + 1000))
+    first = shingle(text(0))
+    for k in range(1, 300):
+        shingle(text(k))
+        assert len(shingle.words) <= 110_000
+    assert (shingle(text(0)) == first).all()

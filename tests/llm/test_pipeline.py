@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline as C
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
@@ -93,3 +94,27 @@ def test_entry_has_every_query():
     for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
     assert "pipeline" in names
+
+
+def test_stages_hand_short_batches_to_python(spark, sf):
+    """After any stage with Python workers 12 MB of long texts come in batches of 5 MB at most, short rows
+    still by the thousands; a limit of the session's own stays."""
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = frame(spark, [(i, f"some words {i}") for i in range(5)])
+    long = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("abcd"), 1000).alias("text"))
+    try:
+        for stage in (C.drop_toxic, C.drop_near_duplicates, C.redact_personal_data, C.pack_sequences):
+            spark.conf.unset(key)
+            stage(spark, docs, sf)
+            got = long.mapInArrow(sizes, "n long, bytes long").collect()
+            assert sum(r.n for r in got) == 3000 and max(r.bytes for r in got) < 5_000_000, stage
+        assert [r.n for r in spark.range(0, 9000, 1, 1).mapInArrow(sizes, "n long, bytes long").collect()] == [9000]
+        spark.conf.set(key, "30m")
+        C.redact_personal_data(spark, docs, sf)
+        assert spark.conf.get(key) == "30m"
+    finally:
+        spark.conf.unset(key)
