@@ -110,27 +110,27 @@ class Code:
         a table gives the id and length for the next ``longest`` bits."""
         if not hasattr(self, "symbol"):
             spans = np.left_shift(1, self.longest - self.bits)
-            self.symbol = np.zeros(1 << self.longest, np.int64)
-            self.length = np.ones(1 << self.longest, np.int64)
-            filled = int(spans.sum())
-            self.symbol[:filled] = np.repeat(self.ids, spans)
-            self.length[:filled] = np.repeat(self.bits, spans)
-        wide = np.concatenate([payload, np.zeros(4, np.uint8)]).astype(np.int64)
+            # an id and the length of its code as one number
+            self.symbol = np.ones(1 << self.longest, np.int64 if len(self.ids) and self.ids.max() >> 26 else np.uint32)
+            self.symbol[: int(spans.sum())] = np.repeat(self.ids << 6 | self.bits, spans)
+        wide = np.concatenate([payload, np.zeros(4, np.uint8)]).astype(np.uint32)
         window = (wide[:-3] << 24) | (wide[1:-2] << 16) | (wide[2:-1] << 8) | wide[3:]
-        starts = np.cumsum(steps) - steps
-        out = np.empty(int(steps.sum()), np.uint32)
         order = np.argsort(-steps, kind="stable")  # lanes that end early drop off the tail
-        pos, put, left = at[order].copy(), starts[order], steps[order]
+        pos, left = at[order].astype(np.int64), steps[order]
+        most = int(left[0]) if len(left) else 0
+        out = np.zeros((most, len(pos)), np.uint32)
         mask, shift = (1 << self.longest) - 1, 32 - self.longest
         alive = len(pos)
-        for k in range(int(left[0]) if alive else 0):
+        for k in range(most):
             while alive and left[alive - 1] <= k:
                 alive -= 1
             p = pos[:alive]
-            peek = (window[p >> 3] >> (shift - (p & 7))) & mask
-            out[put[:alive] + k] = self.symbol[peek]
-            p += self.length[peek]
-        return out
+            found = self.symbol[(window[p >> 3] >> (shift - (p & 7)).astype(np.uint32)) & mask]
+            out[k, :alive] = found >> 6
+            p += found & 63
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return out.T[back][np.arange(most) < steps[:, None]]
 
 
 def _raw_blocks(path: str, end_id: int, block: int):
@@ -231,8 +231,8 @@ def read_token_archive(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = Code(*code.value)
         for batch in batches:
-            for a in range(0, batch.num_rows, 32):
-                rows = batch.slice(a, 32).to_pylist()
+            for a in range(0, batch.num_rows, 16):
+                rows = batch.slice(a, 16).to_pylist()
                 payloads = [np.frombuffer(r["payload"], np.uint8) for r in rows]
                 base = np.cumsum([0] + [len(p) for p in payloads])
                 at, steps = [], []

@@ -1,5 +1,6 @@
 import heapq
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -114,3 +115,23 @@ def test_spaces_are_judged_as_the_words_are_looked_up():
     assert enc.encode_spaced(texts) == [enc.whole(" " + t) for t in texts]
     with pytest.raises(tokens._Odd):
         enc.spaced["\tx"]
+
+
+def test_decoding_needs_few_bytes_for_an_id():
+    """Sixteen blocks of 65536 ids at once, read back exactly, in less than 24 bytes for an id."""
+    rng = np.random.default_rng(3)
+    blocks = [(rng.zipf(1.3, A.BLOCK + int(rng.integers(300))) % 5000).astype(np.int64) for _ in range(16)]
+    counts = np.bincount(np.concatenate(blocks))
+    ids = np.flatnonzero(counts)
+    code = A.Code(ids, A.code_lengths(counts[ids]))
+    parts = [code.encode(x) for x in blocks]
+    base = np.cumsum([0] + [len(p) for p, _ in parts])
+    data = np.frombuffer(b"".join(p for p, _ in parts), np.uint8)
+    at = np.concatenate([lanes + 8 * b for (_, lanes), b in zip(parts, base.tolist(), strict=False)])
+    steps = np.concatenate([np.minimum(A.LANE, len(x) - A.LANE * np.arange(len(lanes))) for x, (_, lanes) in zip(blocks, parts, strict=True)])
+    tracemalloc.start()
+    got = code.decode(data, at, steps)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == np.concatenate(blocks)).all()
+    assert peak < 24 * len(got)
