@@ -217,3 +217,67 @@ def test_one_row_group_is_spread(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     even = spark.range(0, 400, 1, 8)
     assert spread(even) is even
+
+
+def test_splitter_finds_the_words_of_the_cleaned_text(spark):
+    """Letters of new alphabets, mentions, addresses that begin in a word, and white space of every kind."""
+    from pyspark.sql import functions as F
+    from tessera.functions.text import clean_text, for_splitter, tokens, word_splitter
+    texts = ["", None, "a", "Ab  cd ef\x0bgh\x1cij\tk", "a@ࡰbb c@dࡰ see #tag ht#tp www #www. x", "shttp://x.y/z\x0bwwwWWW İstanbul Kelvin",
+             "me@http://there now", "don't stop-now 3rd \U0001d400ab힣cd", "at @www and www@at http@ www"]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    words = F.arrow_udf(word_splitter(), "array<string>")(for_splitter("text"))
+    for r in d.select(tokens(clean_text("text")).alias("a"), words.alias("b")).collect():
+        assert r["a"] == r["b"]
+
+
+@pytest.mark.parametrize("chunk,summed,words,n_max,most", [(1_000_000, 500_000, 200_000, 3, 20), (40, 10, 7, 3, 20), (1, 1, 1, 2, 5), (60, 500, 50, 1, 9), (30, 500, 50, 3, 100_000)])
+def test_frequent_terms_equal_plain_counts(spark, monkeypatch, chunk, summed, words, n_max, most):
+    """Bounds by chunk leave out no term, and not every n-gram is counted."""
+    import random
+
+    from tessera.operators import tfidf as TF
+
+    def too_many(*_, **__):
+        raise AssertionError("all n-grams are counted")
+    for name, value in (("CHUNK", chunk), ("SUMMED", summed), ("WORDS", words), ("vocabulary", too_many)):
+        monkeypatch.setattr(TF, name, value)
+    rng = random.Random(3)
+    names = [f"{a}{b}" for a in "abcdefg" for b in "hijkl"]
+    texts = [[rng.choice(names[: rng.choice([2, 5, 35])]) for _ in range(rng.randrange(40))] for _ in range(60)]
+    docs = spark.createDataFrame([(" ".join(t),) for t in texts] + [(None,), ("",)], "text string").repartition(6)
+    _, counts = _plain_counts(texts, 1, n_max)
+    kept = sorted(((t, *n) for t, n in counts.items()), key=lambda r: (-r[1], r[0]))[:most]
+    assert TF.frequent_terms(docs, "text", most, (1, n_max)) == kept
+    assert TF.frequent_terms(docs, "text", most, (1, n_max), clean=False) == kept
+    one = [[w for w in t if w != "ah"] for t in texts]
+    assert dict((t, n) for t, n, _ in TF.frequent_terms(docs, "text", 100_000, (1, n_max), stop_words=["ah"])) == {t: n[0] for t, n in _plain_counts(one, 1, n_max)[1].items()}
+
+
+@pytest.mark.parametrize("suspects", [0, 3, 30])
+def test_texts_without_frequent_words_are_counted_in_full(spark, monkeypatch, suspects):
+    """Where a task or the driver would hold too many n-grams, the terms are the same."""
+    from tessera.operators import tfidf as TF
+    monkeypatch.setattr(TF, "SUSPECTS", suspects)
+    monkeypatch.setattr(TF, "CHUNK", 10)
+    texts = [[f"{a}{b}" for a in "abcd" for b in "efg"[: i % 3 + 1]] for i in range(12)]
+    docs = spark.createDataFrame([(" ".join(t),) for t in texts], "text string").repartition(3)
+    kept = sorted(((t, *n) for t, n in _plain_counts(texts, 1, 3)[1].items()), key=lambda r: (-r[1], r[0]))
+    assert TF.frequent_terms(docs, "text", 6) == kept[:6]
+    assert TF.frequent_terms(docs, "text", 6, (2, 3)) == [r for r in kept if " " in r[0]][:6]
+
+
+def test_weights_are_not_made_for_each_term(spark):
+    """The length of a row's vector is found once, not once for each of its terms."""
+    from tessera.operators import tfidf as TF
+    docs = spark.createDataFrame([(1, "red apple red pie"), (None, "green apple"), (1, None)], "id long, text string")
+    out = TF.tfidf(docs, "id", "text", ngram_range=(1, 2))
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    model = TF.fit_terms(docs, "text", ngram_range=(1, 2))
+    lists = {r["id"]: r["x"] for r in model.sparse(docs.where("text is not null"), "text", "x").collect()}
+    rows = sorted((r["id"] or 0, r["term"], r["weight"]) for r in out.collect())
+    assert rows == sorted((i or 0, model.terms[at], w) for i, x in lists.items() for at, w in zip(x["indices"], x["values"]))
+    idf = lambda n: math.log(4 / (1 + n)) + 1
+    plain = {"red": (1 + math.log(2)) * idf(1), "apple": idf(2), "pie": idf(1), "red apple": idf(1), "apple red": idf(1), "red pie": idf(1)}
+    norm = math.sqrt(sum(w * w for w in plain.values()))
+    assert {t: w for i, t, w in rows if i == 1} == pytest.approx({t: w / norm for t, w in plain.items()})
