@@ -151,9 +151,9 @@ def vector_rows(df, names, *keys):
     # a dense vector has no indices
     at = F.when(v["type"] == 0, v["indices"]).otherwise(F.sequence(F.lit(0), F.size(v["values"]) - 1))
     name = F.split(F.lit("\x01".join(names)), "\x01")
-    rows = F.zip_with(at, v["values"], lambda i, x: F.struct(F.get(name, i).alias("feature"), x.alias("value")))
     # an outer generator: for an inner one the vectors would be made again inside a size filter
-    return d.select(*keys, F.inline_outer(rows)).where("value <> 0").select(*keys, "feature", _r6("value"))
+    rows = d.select(*keys, F.inline_outer(F.arrays_zip(at.alias("_at"), v["values"].alias("value")))).where("value <> 0")
+    return rows.select(*keys, F.get(name, F.col("_at")).alias("feature"), _r6("value"))
 
 
 _DOCS = "SELECT doc_id, lang, n_chars, text FROM documents"

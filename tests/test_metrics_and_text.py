@@ -281,3 +281,55 @@ def test_weights_are_not_made_for_each_term(spark):
     plain = {"red": (1 + math.log(2)) * idf(1), "apple": idf(2), "pie": idf(1), "red apple": idf(1), "apple red": idf(1), "red pie": idf(1)}
     norm = math.sqrt(sum(w * w for w in plain.values()))
     assert {t: w for i, t, w in rows if i == 1} == pytest.approx({t: w / norm for t, w in plain.items()})
+
+
+def _documents(spark, tmp_path):
+    """Rows with long texts of many different words, and a folder with them as a table."""
+    import random
+    rng = random.Random(5)
+    names = [f"{a}{b}{c}" for a in "abcde" for b in "fghij" for c in "klmno"]
+    rows = [(i, ("en", "de", "fr")[i % 3], 10 * i, " ".join(rng.choice(names) for _ in range(3 + i * 4))) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, lang string, n_chars int, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    return rows
+
+
+def _plain_features(rows, train):
+    """What ``H09_assemble_text`` and ``H11_text_fit_transform`` return, by plain loops."""
+    fitted = [r for r in rows if r[0] in train]
+    each, counts = _plain_counts([r[3].split(" ") for r in fitted], 1, 3)
+    terms = {t: math.log((1 + len(fitted)) / (1 + n[1])) + 1 for t, n in sorted(counts.items(), key=lambda r: (-r[1][0], r[0]))[:5000]}
+    chars = np.array([r[2] for r in fitted], float)
+    for r in rows:
+        found = _plain_counts([r[3].split(" ")], 1, 3)[0][0]
+        weights = {t: (1 + math.log(n)) * terms[t] for t, n in found.items() if t in terms}
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        out = {f"text__{t}": w / norm for t, w in weights.items()} | {f"lang_{r[1]}": 1.0, "n_chars": (r[2] - chars.mean()) / chars.std()}
+        yield from ((r[0], f, v) for f, v in out.items() if v)
+
+
+@pytest.mark.parametrize("query", ["H11_text_fit_transform"])
+def test_features_of_long_texts(spark, tmp_path, query):
+    """Text, numbers and categories in one vector, whose entries are not made again for each term."""
+    import __spark_entry__ as entry
+    from tessera.functions.hashing import hash_below, hash_hex
+    rows = _documents(spark, tmp_path)
+    train = {r[0] for r in rows}
+    if query.startswith("H11"):
+        ids = spark.createDataFrame([(r[0],) for r in rows], "doc_id long")
+        train = {r[0] for r in ids.where(hash_below(hash_hex("doc_id", seed=42, salt="split"), 0.8)).collect()}
+        assert 0 < len(train) < len(rows)
+    out = entry.queries()[query](spark, str(tmp_path))
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["doc_id"], r["feature"]): r["value"] for r in out.collect()}
+    want = {(i, f): v for i, f, v in _plain_features(rows, train)}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1.1e-6 for k in want)
+
+
+def test_entries_of_dense_and_sparse_vectors(spark):
+    from pyspark.ml.linalg import Vectors
+    from tessera.plans.q_features import vector_rows
+    rows = [(1, Vectors.sparse(4, [1, 3], [0.5, 2.0])), (1, Vectors.dense([1.0, 0.0, 0.0, 3.0])), (None, Vectors.sparse(4, [2], [0.0])), (2, Vectors.sparse(4, [], []))]
+    d = spark.createDataFrame(rows, ["doc_id", "features"])
+    got = sorted(map(tuple, vector_rows(d, list("abcd"), "doc_id").collect()))
+    assert got == [(1, "a", 1.0), (1, "b", 0.5), (1, "d", 2.0), (1, "d", 3.0)]
