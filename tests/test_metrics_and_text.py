@@ -307,7 +307,7 @@ def _plain_features(rows, train):
         yield from ((r[0], f, v) for f, v in out.items() if v)
 
 
-@pytest.mark.parametrize("query", ["H11_text_fit_transform"])
+@pytest.mark.parametrize("query", ["H09_assemble_text", "H11_text_fit_transform"])
 def test_features_of_long_texts(spark, tmp_path, query):
     """Text, numbers and categories in one vector, whose entries are not made again for each term."""
     import __spark_entry__ as entry
