@@ -39,6 +39,8 @@ LETTERS = 6
 #: Words among which a task looks for frequent n-grams at once (or up to twice as many), distinct words that it
 #: holds and adds up, and words or n-grams suspected to be frequent that go to the driver at most.
 CHUNK, SUMMED, SUSPECTS = 1_000_000, 500_000, 500_000
+#: Tasks that each send the most frequent terms they know to the driver.
+SENDERS = 16
 
 
 def effective_max_features(max_features: int, n_text_cols: int) -> int:
@@ -265,7 +267,8 @@ def frequent_terms(docs: DataFrame, text_col: str, max_features: int = 5000, ngr
     sums = "term string, total long, df long"
     totals = cut_lineage(rows.mapInArrow(_word_summer(pieces), sums).groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df")))
     n_words = totals.agg(F.sum("total")).first()[0] or 0
-    found = [tuple(r) for r in totals.orderBy(F.desc("total"), "term").limit(max_features).collect()]
+    # each task sends its first rows to the driver
+    found = [tuple(r) for r in totals.coalesce(SENDERS).orderBy(F.desc("total"), "term").limit(max_features).collect()]
     if n_words == 0 or ngram_range[1] == 1:
         return found
     least = found[-1][1] if len(found) == max_features else 1
@@ -279,7 +282,7 @@ def frequent_terms(docs: DataFrame, text_col: str, max_features: int = 5000, ngr
     if chunks["held"] < 0:
         return plain()
     # chunks that did not suspect an n-gram hold it ``spare`` times at most
-    totals_at_least = sorted([r[1] for r in found] + [r[0] for r in grams.select("held").orderBy(F.desc("held")).limit(max_features).collect()], reverse=True)
+    totals_at_least = sorted([r[1] for r in found] + [r[0] for r in grams.select("held").coalesce(SENDERS).orderBy(F.desc("held")).limit(max_features).collect()], reverse=True)
     bound = totals_at_least[max_features - 1] if len(totals_at_least) >= max_features else 1
     suspects = grams.where(F.col("held") - F.col("spare") + F.lit(chunks["spare"]) >= F.lit(bound)).select("term")
     if suspects.count() > SUSPECTS:
